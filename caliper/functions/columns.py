@@ -12,7 +12,8 @@ from typing import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import (DateType, DoubleType, FloatType, NumericType, StringType, TimestampNTZType,
+                               TimestampType)
 
 # fixed values: peak hours and weekend day numbers (Monday = 0)
 PEAK_HOURS = (7, 8, 9, 16, 17, 18)
@@ -32,11 +33,19 @@ def to_double(c: Column | str) -> Column:
     return c.try_cast("double")
 
 
-def is_missing(c: Column | str) -> Column:
-    """NULL or NaN (the pandas notion of missing)."""
-    c = F.col(c) if isinstance(c, str) else c
-    d = c.try_cast("double")
-    return c.isNull() | F.isnan(d)
+def is_missing(df: DataFrame, name: str) -> Column:
+    """NULL, or NaN for floating columns (the pandas notion of missing)."""
+    c = F.col(f"`{name}`")
+    t = col_type(df, name)
+    if isinstance(t, (DoubleType, FloatType)):
+        return c.isNull() | F.isnan(c)
+    return c.isNull()
+
+
+def is_missing_numeric(df: DataFrame, name: str) -> Column:
+    """Missing after numeric coercion: NULL, NaN or non-numeric text."""
+    d = F.col(f"`{name}`").try_cast("double")
+    return d.isNull() | F.isnan(d)
 
 
 def non_finite_to_null(c: Column | str) -> Column:
@@ -54,7 +63,7 @@ def parse_date(df: DataFrame, name: str, formats: Iterable[str] = DATE_FORMATS)
     if isinstance(t, (TimestampType, TimestampNTZType)):
         return F.to_date(c)
     if isinstance(t, StringType):
-        return F.coalesce(*[F.try_to_date(c, F.lit(f)) for f in formats])
+        return F.coalesce(*[F.try_to_date(c, f) for f in formats])
     return F.lit(None).cast("date")
 
 

@@ -128,3 +128,227 @@ def q_date_window(spark, d):
     """Inclusive date window (pushed to the scan as a range)."""
     fact = EN.normalise_dates(R.collision(spark, d).select("accident_index", "date"), "date")
     return EN.date_window(fact, "date", "1996-03-01", "1998-02-28")
+
+
+# ------------------------------------------------------------------ scalar features
+
+from caliper.functions import columns as C  # noqa: E402
+from caliper.operators import prepare as PR  # noqa: E402
+from caliper.operators import quality as QU  # noqa: E402
+
+
+@register("temporal_features", S.with_(S.TIMED_EVENTS) + f"""
+SELECT event_id, date, time, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(month(date) AS INTEGER) AS month,
+       CAST(coalesce(isodow(date) IN (6, 7), false) AS INTEGER) AS is_weekend,
+       CAST(floor((month(date) % 12) / 3) AS INTEGER) AS season,
+       {S.HOUR_SQL} AS hour, CAST({S.HOUR_SQL} IN (7, 8, 9, 16, 17, 18) AS INTEGER) AS hour_peak
+FROM timed""")
+def q_temporal_features(spark, d):
+    """F2–F7, F20 on timestamped events."""
+    return C.temporal_features(R.timed_events(spark, d))
+
+
+@register("date_parse", S.with_(S.TEXT_DATES) + """
+SELECT accident_index, date_text,
+       CAST(coalesce(try_strptime(date_text, '%Y-%m-%d'), try_strptime(date_text, '%d/%m/%Y'),
+                     try_strptime(date_text, '%Y%m%d')) AS DATE) AS date
+FROM text_dates""")
+def q_date_parse(spark, d):
+    """text dates in several formats; unparseable -> NULL."""
+    df = R.text_dates(spark, d)
+    return df.withColumn("date", C.parse_date(df, "date_text"))
+
+
+@register("interaction_features", S.with_(S.ALL_MASTER) + """
+SELECT accident_index, precipitation, hour_peak, cloud_cover, sunshine,
+       precipitation_peak_interaction, low_visibility_proxy FROM master""",
+          ["precipitation", "cloud_cover", "sunshine", "precipitation_peak_interaction"])
+def q_interaction_features(spark, d):
+    """F10, F11, F21."""
+    return R.master(spark, d)[0].select("accident_index", "precipitation", "hour_peak", "cloud_cover", "sunshine",
+                                        "precipitation_peak_interaction", "low_visibility_proxy")
+
+
+@register("spatial_key", S.with_(S.ALL_MASTER) + """
+SELECT m.accident_index, m.spatial_key AS grid_key,
+       coalesce('E' || lpad(CAST(c.c_nationkey AS VARCHAR), 8, '0'), 'unknown') AS area_key
+FROM master m JOIN orders o ON m.accident_index = o.o_orderkey
+LEFT JOIN customer c ON o.o_custkey = c.c_custkey""")
+def q_spatial_key(spark, d):
+    """grid cell from coordinates and area code (customer nation) forms."""
+    grid = R.master(spark, d)[0].select("accident_index", F.col("spatial_key").alias("grid_key"))
+    o = R.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    c = R.table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    area = (o.join(c, o.o_custkey == c.c_custkey, "left")
+            .select(F.col("o_orderkey").alias("accident_index"),
+                    F.concat(F.lit("E"), F.lpad(F.col("c_nationkey").cast("string"), 8, "0"))
+                    .alias("lsoa_of_accident_location")))
+    area = C.spatial_key(area, area="lsoa_of_accident_location", out="area_key")
+    return grid.join(area.select("accident_index", "area_key"), "accident_index")
+
+
+@register("snow_flag", S.with_(S.ALL_MASTER) + """
+SELECT accident_index, snow_depth, CAST(coalesce(TRY_CAST(snow_depth AS DOUBLE), 0) > 0 AS INTEGER) AS snow
+FROM master""", ["snow_depth"])
+def q_snow_flag(spark, d):
+    """Snow flag from depth (NULL -> 0)."""
+    return C.snow_flag(R.master(spark, d)[0].select("accident_index", "snow_depth"))
+
+
+@register("category_string", S.with_(S.ALL_MASTER) + """
+SELECT accident_index, coalesce(CAST(order_status AS VARCHAR), 'missing') AS order_status_cat,
+       coalesce(CAST(pressure AS VARCHAR), 'missing') AS pressure_cat,
+       coalesce(CAST(accident_severity AS VARCHAR), 'missing') AS severity_cat
+FROM master""")
+def q_category_string(spark, d):
+    """categories as text, NULL -> 'missing'."""
+    m = R.master(spark, d)[0]
+    return m.select("accident_index", C.category_string("order_status").alias("order_status_cat"),
+                    C.category_string("pressure").alias("pressure_cat"),
+                    C.category_string("accident_severity").alias("severity_cat"))
+
+
+# ------------------------------------------------------------------ prepare
+
+PREP_DOUBLES = ["number_of_vehicles", "cloud_cover", "sunshine", "global_radiation", "max_temp", "mean_temp",
+                "min_temp", "precipitation", "pressure", "precipitation_peak_interaction"]
+
+
+@register("target_filter", S.with_(S.ALL_MASTER) + """
+SELECT accident_index, TRY_CAST(accident_severity AS DOUBLE) AS target_code FROM master
+WHERE TRY_CAST(accident_severity AS DOUBLE) IN (1, 2, 3)""", ["target_code"])
+def q_target_filter(spark, d):
+    """Numeric target within the valid codes."""
+    m = R.master(spark, d)[0]
+    return m.filter(PR.valid_target("accident_severity")).select(
+        "accident_index", PR.target_code("accident_severity").alias("target_code"))
+
+
+@register("target_recode", S.with_(S.ALL_PREPARED) + "SELECT row_id, label FROM prepared")
+def q_target_recode(spark, d):
+    """Code -> class through the code map."""
+    return R.prepared(spark, d).select("row_id", "label")
+
+
+@register("prepared_dataset", S.with_(S.ALL_PREPARED) + "SELECT * FROM prepared", PREP_DOUBLES)
+def q_prepared_dataset(spark, d):
+    """row_id, features, label, date, spatial_key."""
+    return R.prepared(spark, d)
+
+
+def _missing_expr(c: str, is_double: bool) -> str:
+    return f"avg(CAST(({c} IS NULL{f' OR isnan({c})' if is_double else ''}) AS DOUBLE))"
+
+
+@register("feature_missing", S.with_(S.ALL_MASTER) + f"""
+SELECT feature, missing_rate FROM (
+  SELECT {", ".join(_missing_expr(c, c in PREP_DOUBLES) + f" AS {c}" for c in R.FEATURES if c != "snow")},
+         CAST(0 AS DOUBLE) AS snow
+  FROM master WHERE TRY_CAST(accident_severity AS DOUBLE) IN (1, 2, 3))
+UNPIVOT (missing_rate FOR feature IN ({", ".join(R.FEATURES)}))""", ["missing_rate"])
+def q_feature_missing(spark, d):
+    """Missing rate per feature over valid-target rows."""
+    return PR.feature_missing_rates(R.master(spark, d)[0], R.FEATURES)
+
+
+# ------------------------------------------------------------------ quality
+
+MASTER_COLUMNS = ["accident_index", "accident_severity", "date", "number_of_casualties", "location_easting_osgr",
+                  "location_northing_osgr", "order_status", "time", "vehicle_record_count", "casualty_record_count",
+                  "cloud_cover", "sunshine", "global_radiation", "max_temp", "mean_temp", "min_temp", "precipitation",
+                  "pressure", "snow_depth", "is_bank_holiday", "bank_holiday_title", "number_of_vehicles",
+                  "spatial_key", "day_of_week", "month", "is_weekend", "season", "hour", "hour_peak",
+                  "precipitation_peak_interaction", "low_visibility_proxy", "road_class", "maxspeed",
+                  "junction_density", "no2", "pm25", "imd_decile"]
+
+MISSING_RATES_SQL = S.with_(S.ALL_MASTER) + f"""
+SELECT column_name, missing_rate FROM (
+  SELECT {", ".join(_missing_expr(c, c in MASTER_DOUBLES) + f' AS "{c}"' for c in MASTER_COLUMNS)} FROM master)
+UNPIVOT (missing_rate FOR column_name IN ({", ".join(f'"{c}"' for c in MASTER_COLUMNS)}))"""
+
+
+@register("missing_rates", MISSING_RATES_SQL, ["missing_rate"])
+def q_missing_rates(spark, d):
+    """A5: missing rate of every master column, highest first."""
+    return QU.missing_rates(R.master(spark, d)[0]).withColumnRenamed("column", "column_name")
+
+
+@register("top_missing", f"SELECT * FROM ({MISSING_RATES_SQL}) ORDER BY missing_rate DESC, column_name LIMIT 12",
+          ["missing_rate"])
+def q_top_missing(spark, d):
+    """The 12 most-missing columns (ties by name)."""
+    return QU.top_missing(R.master(spark, d)[0], 12).withColumnRenamed("column", "column_name")
+
+
+@register("missing_by_month", S.with_(S.ALL_MASTER) + f"""
+SELECT year_month, feature, missing_rate, rows FROM (
+  SELECT strftime(date, '%Y-%m') AS year_month, count(*) AS rows,
+         {", ".join(f"avg(CAST((TRY_CAST({c} AS DOUBLE) IS NULL OR isnan(TRY_CAST({c} AS DOUBLE))) AS DOUBLE)) AS {c}" for c in R.WEATHER_FEATURES)}
+  FROM master WHERE date IS NOT NULL GROUP BY 1)
+UNPIVOT (missing_rate FOR feature IN ({", ".join(R.WEATHER_FEATURES)}))""", ["missing_rate"])
+def q_missing_by_month(spark, d):
+    """A7 + T10: month × feature missingness of the daily measurements."""
+    return QU.missing_by_month(R.master(spark, d)[0], R.WEATHER_FEATURES)
+
+
+@register("class_distribution", S.with_(S.ALL_PREPARED) + """
+SELECT label, count(*) AS rows FROM prepared GROUP BY label""")
+def q_class_distribution(spark, d):
+    """Rows per class after the target filter."""
+    return QU.class_distribution(R.prepared(spark, d))
+
+
+@register("target_validity", S.with_(S.ALL_MASTER) + """
+SELECT count(*) AS rows_raw,
+       count(*) FILTER (WHERE TRY_CAST(accident_severity AS DOUBLE) IN (1, 2, 3)) AS rows_valid_target,
+       count(*) FILTER (WHERE NOT coalesce(TRY_CAST(accident_severity AS DOUBLE) IN (1, 2, 3), false)) AS rows_invalid_target,
+       avg(CAST(coalesce(TRY_CAST(accident_severity AS DOUBLE) IN (1, 2, 3), false) AS DOUBLE)) AS target_valid_ratio
+FROM master""", ["target_valid_ratio"])
+def q_target_validity(spark, d):
+    """A9."""
+    return QU.target_validity(R.master(spark, d)[0])
+
+
+@register("date_coverage", S.with_(S.ALL_MASTER) + """
+SELECT min(date) AS date_min, max(date) AS date_max, count(DISTINCT date) AS unique_days FROM master""")
+def q_date_coverage(spark, d):
+    """A10."""
+    return QU.date_coverage(R.master(spark, d)[0])
+
+
+@register("spatial_coverage", S.with_(S.ALL_PREPARED) + """
+SELECT count(DISTINCT coalesce(spatial_key, 'unknown')) AS unique_spatial_keys,
+       avg(CAST(coalesce(spatial_key, 'unknown') = 'unknown' AS DOUBLE)) AS unknown_spatial_key_ratio
+FROM prepared""", ["unknown_spatial_key_ratio"])
+def q_spatial_coverage(spark, d):
+    """A11."""
+    return QU.spatial_coverage(R.prepared(spark, d))
+
+
+@register("quality_report", S.with_(S.ALL_PREPARED) + """
+SELECT r.*, s.* FROM
+ (SELECT count(*) AS rows_raw,
+         count(*) FILTER (WHERE TRY_CAST(accident_severity AS DOUBLE) IN (1, 2, 3)) AS rows_valid_target,
+         count(*) FILTER (WHERE NOT coalesce(TRY_CAST(accident_severity AS DOUBLE) IN (1, 2, 3), false)) AS rows_invalid_target,
+         min(date) AS date_min, max(date) AS date_max, count(DISTINCT date) AS unique_days FROM master) r,
+ (SELECT count(DISTINCT coalesce(spatial_key, 'unknown')) AS unique_spatial_keys,
+         avg(CAST(coalesce(spatial_key, 'unknown') = 'unknown' AS DOUBLE)) AS unknown_spatial_key_ratio
+  FROM prepared) s""", ["unknown_spatial_key_ratio"])
+def q_quality_report(spark, d):
+    """Raw + prepared coverage in one row."""
+    m, _ = R.master(spark, d)
+    return QU.quality_report(m, R.prepared(spark, d))
+
+
+@register("master_metadata", S.with_(S.ALL_MASTER) + f"""
+SELECT count(*) AS row_count, {len(MASTER_COLUMNS)} AS column_count,
+       avg(CAST(coalesce(TRY_CAST(accident_severity AS DOUBLE) IN (1, 2, 3), false) AS DOUBLE)) AS target_valid_ratio,
+       count(*) FILTER (WHERE NOT coalesce(TRY_CAST(accident_severity AS DOUBLE) IN (1, 2, 3), false)) AS target_invalid_count,
+       avg(CAST(vehicle_record_count IS NOT NULL AS DOUBLE)) AS vehicle_match_rate,
+       avg(CAST(casualty_record_count IS NOT NULL AS DOUBLE)) AS casualty_match_rate,
+       avg(CAST(mean_temp IS NOT NULL AS DOUBLE)) AS weather_match_rate
+FROM master""", ["target_valid_ratio", "vehicle_match_rate", "casualty_match_rate", "weather_match_rate"])
+def q_master_metadata(spark, d):
+    """A13."""
+    m, stats = R.master(spark, d)
+    return QU.master_metadata(m, stats)

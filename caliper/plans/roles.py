@@ -34,9 +34,18 @@ def collision(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_totalprice").alias("location_easting_osgr"),
         (F.col("o_custkey") * 10).alias("location_northing_osgr"),
         F.col("o_orderstatus").alias("order_status"),
+        time_of_day().alias("time"),
     )
 
 
+def time_of_day():
+    """Clock text derived from the keys: unpadded hour, padded minute; medium-priority
+    orders carry a seconds part, which the hour parser must reject (hour -> 12)."""
+    hm = F.concat((F.col("o_custkey") % 24).cast("string"), F.lit(":"),
+                  F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0"))
+    return F.when(F.col("o_orderpriority").startswith("3"), F.concat(hm, F.lit(":00"))).otherwise(hm)
+
+
 def vehicle(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("accident_index"), F.col("l_linenumber").alias("number_of_vehicles"))
@@ -82,3 +91,38 @@ def master(spark: SparkSession, d: str):
     from caliper.plans.master import build_master
     return build_master(collision(spark, d), vehicle(spark, d), casualty(spark, d), weather(spark, d),
                         calendar(spark, d))
+
+
+# fixed values: feature lists of the binding (numeric first, then categorical)
+NUMERIC_FEATURES = ["number_of_vehicles", "hour", "day_of_week", "month", "is_weekend", "season", "cloud_cover",
+                    "sunshine", "global_radiation", "max_temp", "mean_temp", "min_temp", "precipitation", "pressure",
+                    "snow", "hour_peak", "precipitation_peak_interaction", "low_visibility_proxy"]
+CATEGORICAL_FEATURES = ["order_status", "is_bank_holiday"]
+FEATURES = NUMERIC_FEATURES + CATEGORICAL_FEATURES
+POST_EVENT_FEATURES = ["number_of_vehicles", "number_of_casualties"] + FEATURES[1:]
+WEATHER_FEATURES = ["cloud_cover", "sunshine", "global_radiation", "max_temp", "mean_temp", "min_temp",
+                    "precipitation", "pressure"]
+
+
+def prepared(spark: SparkSession, d: str, features=None) -> DataFrame:
+    from caliper.operators.prepare import prepare
+    m, _ = master(spark, d)
+    return prepare(m, features or FEATURES, target="accident_severity", row_id="accident_index")
+
+
+def timed_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events with a date and a clock text; error events carry seconds (rejected -> 12)."""
+    e = table(spark, d, "events")
+    t = F.when(F.col("event_type") == "error", F.date_format("ts", "HH:mm:ss")).otherwise(F.date_format("ts", "H:mm"))
+    return e.select("event_id", F.col("ts").alias("date"), t.alias("time"))
+
+
+def text_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Order dates rendered as text in three formats plus an unparseable form."""
+    o = table(spark, d, "orders")
+    od = F.col("o_orderdate")
+    s = (F.when(F.col("o_orderpriority").startswith("5"), F.lit("not a date"))
+         .when(F.col("o_orderstatus") == "F", F.date_format(od, "yyyy-MM-dd"))
+         .when(F.col("o_orderstatus") == "O", F.date_format(od, "dd/MM/yyyy"))
+         .otherwise(F.date_format(od, "yyyyMMdd")))
+    return o.select(F.col("o_orderkey").alias("accident_index"), s.alias("date_text"))

@@ -7,7 +7,10 @@ COLLISION = """collision AS (
          CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_custkey % 4 END AS number_of_casualties,
          o_totalprice AS location_easting_osgr,
          o_custkey * 10 AS location_northing_osgr,
-         o_orderstatus AS order_status
+         o_orderstatus AS order_status,
+         CASE WHEN starts_with(o_orderpriority, '3')
+              THEN CAST(o_custkey % 24 AS VARCHAR) || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') || ':00'
+              ELSE CAST(o_custkey % 24 AS VARCHAR) || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') END AS time
   FROM orders)"""
 
 VEHICLE = """vehicle AS (SELECT l_orderkey AS accident_index, l_linenumber AS number_of_vehicles FROM lineitem)"""
@@ -48,8 +51,11 @@ MASTER = """m1 AS (
   LEFT JOIN cagg c ON f.accident_index IS NOT DISTINCT FROM c.accident_index
   LEFT JOIN weather w ON f.date IS NOT DISTINCT FROM w.date
   LEFT JOIN holidays h ON f.date IS NOT DISTINCT FROM h.date),
+m2 AS (SELECT *, CAST(coalesce(CASE WHEN regexp_full_match(time, '[0-9]{1,2}:[0-9]{1,2}')
+                                   THEN hour(try_strptime(time, '%H:%M')) END, 12) AS INTEGER) AS hour
+       FROM m1),
 master AS (
-  SELECT accident_index, accident_severity, date, location_easting_osgr, location_northing_osgr, order_status,
+  SELECT accident_index, accident_severity, date, time, location_easting_osgr, location_northing_osgr, order_status,
          vehicle_record_count, casualty_record_count, cloud_cover, sunshine, global_radiation, max_temp,
          mean_temp, min_temp, precipitation, pressure, snow_depth,
          CAST(coalesce(hb, 0) AS INTEGER) AS is_bank_holiday,
@@ -62,17 +68,50 @@ master AS (
          CAST(month(date) AS INTEGER) AS month,
          CAST(coalesce(isodow(date) IN (6, 7), false) AS INTEGER) AS is_weekend,
          CAST(floor((month(date) % 12) / 3) AS INTEGER) AS season,
-         12 AS hour, 0 AS hour_peak,
-         coalesce(precipitation, CAST(0 AS DOUBLE)) * CAST(0 AS DOUBLE) AS precipitation_peak_interaction,
+         hour, CAST(hour IN (7, 8, 9, 16, 17, 18) AS INTEGER) AS hour_peak,
+         coalesce(precipitation, CAST(0 AS DOUBLE)) * CAST(CAST(hour IN (7, 8, 9, 16, 17, 18) AS INTEGER) AS DOUBLE)
+           AS precipitation_peak_interaction,
          CASE WHEN coalesce(cloud_cover, 0) >= 7 AND coalesce(sunshine, 0) <= 1 THEN 1 ELSE 0 END AS low_visibility_proxy,
          CAST(NULL AS DOUBLE) AS road_class, CAST(NULL AS DOUBLE) AS maxspeed,
          CAST(NULL AS DOUBLE) AS junction_density, CAST(NULL AS DOUBLE) AS no2,
          CAST(NULL AS DOUBLE) AS pm25, CAST(NULL AS DOUBLE) AS imd_decile
-  FROM m1)"""
+  FROM m2)"""
 
 ALL_MASTER = ",\n".join([COLLISION, VEHICLE, CASUALTY, WEATHER, CALENDAR, VAGG, CAGG, MASTER])
 
 
+PREPARED = """prepared AS (
+  SELECT accident_index AS row_id,
+         number_of_vehicles, hour, day_of_week, month, is_weekend, season,
+         CASE WHEN isinf(cloud_cover) OR isnan(cloud_cover) THEN NULL ELSE cloud_cover END AS cloud_cover,
+         sunshine, global_radiation, max_temp, mean_temp, min_temp, precipitation, pressure,
+         CAST(coalesce(TRY_CAST(snow_depth AS DOUBLE), 0) > 0 AS INTEGER) AS snow,
+         hour_peak, precipitation_peak_interaction, low_visibility_proxy, order_status, is_bank_holiday,
+         CAST(CASE CAST(TRY_CAST(accident_severity AS DOUBLE) AS INTEGER) WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 END AS INTEGER) AS label,
+         date, spatial_key
+  FROM master
+  WHERE TRY_CAST(accident_severity AS DOUBLE) IN (1, 2, 3))"""
+
+ALL_PREPARED = ALL_MASTER + ",\n" + PREPARED
+
+TIMED_EVENTS = """timed AS (
+  SELECT event_id, CAST(ts AS DATE) AS date,
+         CASE WHEN event_type = 'error' THEN strftime(ts, '%H:%M:%S')
+              ELSE CAST(hour(ts) AS VARCHAR) || ':' || strftime(ts, '%M') END AS time
+  FROM events)"""
+
+TEXT_DATES = """text_dates AS (
+  SELECT o_orderkey AS accident_index,
+         CASE WHEN starts_with(o_orderpriority, '5') THEN 'not a date'
+              WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d')
+              WHEN o_orderstatus = 'O' THEN strftime(o_orderdate, '%d/%m/%Y')
+              ELSE strftime(o_orderdate, '%Y%m%d') END AS date_text
+  FROM orders)"""
+
+HOUR_SQL = ("CAST(coalesce(CASE WHEN regexp_full_match(time, '[0-9]{1,2}:[0-9]{1,2}') "
+            "THEN hour(try_strptime(time, '%H:%M')) END, 12) AS INTEGER)")
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 

@@ -79,7 +79,7 @@ def read_calendar(spark: SparkSession, path: str, region: str = "england-and-wal
     ev = raw.select(F.explode(F.coalesce(F.col(f"`{region}`.events"),
                                          F.array().cast(schema.fields[0].dataType["events"].dataType))).alias("e"))
     return ev.select(
-        F.coalesce(F.try_to_date(F.col("e.date"), F.lit("yyyy-MM-dd")), F.try_to_date(F.col("e.date"), F.lit("dd/MM/yyyy"))).alias("date"),
+        F.coalesce(F.try_to_date(F.col("e.date"), "yyyy-MM-dd"), F.try_to_date(F.col("e.date"), "dd/MM/yyyy")).alias("date"),
         F.lit(1).alias("is_bank_holiday"),
         F.coalesce(F.col("e.title"), F.lit("unknown")).alias("bank_holiday_title"),
     )
