@@ -352,3 +352,224 @@ def q_master_metadata(spark, d):
     """A13."""
     m, stats = R.master(spark, d)
     return QU.master_metadata(m, stats)
+
+
+# ------------------------------------------------------------------ metrics
+
+from caliper.operators import metrics as ME  # noqa: E402
+
+
+def _pc_sql(src: str, by: list[str]) -> str:
+    """Per-class CTEs (cm, tr, pr, pc) over a scored source, optionally per group."""
+    b = "".join(f"{c}, " for c in by)
+    on = " AND ".join(["tr.cls = pr.cls"] + [f"tr.{c} = pr.{c}" for c in by])
+    bsel = "".join(f"coalesce(tr.{c}, pr.{c}) AS {c}, " for c in by)
+    return f"""cm AS (SELECT {b}label, prediction, count(*) AS n FROM {src} GROUP BY ALL),
+tr AS (SELECT {b}label AS cls, CAST(sum(n) AS BIGINT) AS support,
+              CAST(sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS BIGINT) AS tp FROM cm GROUP BY ALL),
+pr AS (SELECT {b}prediction AS cls, CAST(sum(n) AS BIGINT) AS predicted FROM cm GROUP BY ALL),
+pc0 AS (SELECT {bsel}coalesce(tr.cls, pr.cls) AS cls, coalesce(tp, 0) AS tp, coalesce(support, 0) AS support,
+               coalesce(predicted, 0) AS predicted FROM tr FULL OUTER JOIN pr ON {on}),
+pc AS (SELECT *, CASE WHEN predicted = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / predicted END AS precision,
+              CASE WHEN support = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / support END AS recall,
+              CASE WHEN support + predicted = 0 THEN CAST(0 AS DOUBLE)
+                   ELSE CAST(2 * tp AS DOUBLE) / (support + predicted) END AS f1 FROM pc0)"""
+
+
+def _overall_sql(by: list[str]) -> str:
+    b = "".join(f"{c}, " for c in by)
+    return f"""ov AS (SELECT {b}CAST(sum(tp) AS DOUBLE) / sum(support) AS accuracy,
+       avg(recall) FILTER (WHERE support > 0) AS balanced_accuracy, avg(f1) AS f1_macro FROM pc GROUP BY ALL)"""
+
+
+def _ovr_sql(src: str, by: list[str], pos: int = 0) -> str:
+    b = "".join(f"{c}, " for c in by)
+    return f"""ovr0 AS (SELECT {b}count(*) FILTER (WHERE label = {pos} AND prediction = {pos}) AS tp,
+                  count(*) FILTER (WHERE label = {pos}) AS support,
+                  count(*) FILTER (WHERE prediction = {pos}) AS predicted FROM {src} GROUP BY ALL),
+ovr AS (SELECT {b}CASE WHEN predicted = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / predicted END AS fatal_precision,
+               CASE WHEN support = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / support END AS fatal_recall,
+               CASE WHEN support + predicted = 0 THEN CAST(0 AS DOUBLE)
+                    ELSE CAST(2 * tp AS DOUBLE) / (support + predicted) END AS fatal_f1 FROM ovr0)"""
+
+
+def _ap_sql(src: str, by: list[str], pos: int = 0) -> str:
+    b = "".join(f"{c}, " for c in by)
+    part = f"PARTITION BY {', '.join(by)} " if by else ""
+    return f"""ps AS (SELECT {b}score, count(*) FILTER (WHERE label = {pos}) AS tp, count(*) AS n FROM {src} GROUP BY ALL),
+cu AS (SELECT {b}tp, sum(tp) OVER ({part}ORDER BY score DESC) AS ctp, sum(n) OVER ({part}ORDER BY score DESC) AS cn,
+              sum(tp) OVER ({part.strip()}) AS pos FROM ps),
+ap AS (SELECT {b}CASE WHEN max(pos) > 0 THEN sum((CAST(tp AS DOUBLE) / pos) * (CAST(ctp AS DOUBLE) / cn))
+                      ELSE CAST(0 AS DOUBLE) END AS fatal_pr_auc FROM cu GROUP BY ALL)"""
+
+
+def _lit(x: float) -> str:
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+THRESHOLDS_SQL = "th AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {_lit(t)})" for i, t in enumerate(ME.default_thresholds())) + ") AS v(k, t))"
+
+SWEEP_SQL = S.with_(S.SCORED, THRESHOLDS_SQL, """sw0 AS (
+  SELECT th.k, th.t, count(*) FILTER (WHERE label = 0) AS P, count(*) AS N,
+         count(*) FILTER (WHERE label = 0 AND score >= th.t) AS tp, count(*) FILTER (WHERE score >= th.t) AS pp
+  FROM scored, th GROUP BY th.k, th.t),
+sw AS (SELECT round(t, 2) AS threshold,
+         CASE WHEN pp = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / pp END AS precision,
+         CASE WHEN P = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / P END AS recall,
+         CASE WHEN P + pp = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(2 * tp AS DOUBLE) / (P + pp) END AS f1,
+         CAST(pp - tp AS DOUBLE) / greatest(1, (pp - tp) + (N - P - (pp - tp))) AS false_positive_rate,
+         CASE WHEN N = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(pp AS DOUBLE) / N END AS predicted_positive_rate,
+         tp, pp - tp AS fp, P - tp AS fn, N - P - (pp - tp) AS tn FROM sw0)""")
+
+SWEEP_DOUBLES = ["threshold", "precision", "recall", "f1", "false_positive_rate", "predicted_positive_rate"]
+
+
+@register("confusion_matrix", S.with_(S.SCORED) + "SELECT label, prediction, count(*) AS n FROM scored GROUP BY ALL")
+def q_confusion_matrix(spark, d):
+    """A14."""
+    return ME.confusion(R.scored(spark, d))
+
+
+@register("class_report", S.with_(S.SCORED, _pc_sql("scored", [])) + """
+SELECT CAST(cls AS VARCHAR) AS class, precision, recall, f1, support FROM pc
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM pc
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                 sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM pc""",
+          ["precision", "recall", "f1"])
+def q_class_report(spark, d):
+    """A15."""
+    return ME.class_report(ME.confusion(R.scored(spark, d)))
+
+
+@register("overall_metrics", S.with_(S.SCORED, _pc_sql("scored", []), _overall_sql([])) + "SELECT * FROM ov",
+          ["accuracy", "balanced_accuracy", "f1_macro"])
+def q_overall_metrics(spark, d):
+    """A16."""
+    return ME.overall(ME.confusion(R.scored(spark, d)))
+
+
+@register("critical_class_metrics", S.with_(S.SCORED, _ovr_sql("scored", [])) + "SELECT * FROM ovr",
+          ["fatal_precision", "fatal_recall", "fatal_f1"])
+def q_critical_class_metrics(spark, d):
+    """A17."""
+    return ME.one_vs_rest(ME.confusion(R.scored(spark, d)), R.CRITICAL)
+
+
+@register("average_precision", S.with_(S.SCORED, _ap_sql("scored", [])) + "SELECT * FROM ap", ["fatal_pr_auc"])
+def q_average_precision(spark, d):
+    """A18 (bucketed prefix sum)."""
+    return ME.average_precision(R.scored(spark, d), R.CRITICAL)
+
+
+@register("threshold_sweep", SWEEP_SQL + "SELECT * FROM sw", SWEEP_DOUBLES)
+def q_threshold_sweep(spark, d):
+    """A19."""
+    return ME.threshold_sweep(R.scored(spark, d), R.CRITICAL)
+
+
+@register("safety_threshold", SWEEP_SQL + """
+SELECT *, 'max recall with false_positive_rate <= 0.2' AS selection_rule FROM sw
+ORDER BY (false_positive_rate <= CAST(0.2 AS DOUBLE)) DESC, recall DESC, precision DESC, threshold ASC LIMIT 1""",
+          SWEEP_DOUBLES)
+def q_safety_threshold(spark, d):
+    """T4."""
+    return ME.pick_threshold(ME.threshold_sweep(R.scored(spark, d), R.CRITICAL), 0.2)
+
+
+def _calib_sql(src: str) -> str:
+    fr = sorted({f for q in range(1, 11) for f in ME._fractions(q)})
+    idx = {f: i + 1 for i, f in enumerate(fr)}
+    cases = " ".join(f"WHEN {q} THEN [{', '.join(f'pv[{idx[f]}]' for f in ME._fractions(q))}]" for q in range(1, 11))
+    return f"""st AS (SELECT quantile_cont(score, [{', '.join(_lit(f) for f in fr)}]) AS pv,
+                   count(DISTINCT score) AS nd FROM {src}),
+ed AS (SELECT list_sort(list_distinct(CASE least(10, nd) {cases} END)) AS edges, nd FROM st),
+bn AS (SELECT s.score, CAST(s.label = 0 AS DOUBLE) AS y, ed.edges, ed.nd,
+              CASE WHEN ed.nd <= 1 THEN 1 ELSE greatest(1, len(list_filter(ed.edges, lambda e: e < s.score))) END AS bin
+       FROM {src} s, ed),
+cb AS (SELECT CAST(bin AS INTEGER) AS bin,
+              CASE WHEN max(nd) <= 1 THEN min(score) ELSE first(edges)[bin] END AS lo,
+              CASE WHEN max(nd) <= 1 THEN max(score) ELSE first(edges)[bin + 1] END AS hi,
+              count(*) AS count, avg(score) AS mean_predicted_probability, avg(y) AS observed_rate,
+              abs(avg(score) - avg(y)) AS abs_gap FROM bn GROUP BY bin)"""
+
+
+@register("calibration_bins", S.with_(S.SCORED, _calib_sql("scored")) + "SELECT * FROM cb",
+          ["lo", "hi", "mean_predicted_probability", "observed_rate", "abs_gap"])
+def q_calibration_bins(spark, d):
+    """A20."""
+    return ME.calibration_bins(R.scored(spark, d), R.CRITICAL)
+
+
+@register("ece_brier", S.with_(S.SCORED, _calib_sql("scored")) + """
+SELECT b.sample_count, b.brier_score, e.expected_calibration_error FROM
+ (SELECT count(*) AS sample_count, avg(pow(score - CAST(label = 0 AS DOUBLE), 2)) AS brier_score FROM scored) b,
+ (SELECT sum(abs_gap * count) / sum(count) AS expected_calibration_error FROM cb) e""",
+          ["brier_score", "expected_calibration_error"])
+def q_ece_brier(spark, d):
+    """A21 + A22."""
+    return ME.ece_brier(R.scored(spark, d), R.CRITICAL)
+
+
+MODEL_METRICS_SQL = S.with_(S.SCORED_MODELS, _pc_sql("scored_models", ["model_name", "train_order"]),
+                            _overall_sql(["model_name", "train_order"]),
+                            _ovr_sql("scored_models", ["model_name", "train_order"]),
+                            _ap_sql("scored_models", ["model_name", "train_order"]), """mm AS (
+  SELECT ov.model_name, ov.train_order, accuracy, f1_macro, balanced_accuracy, fatal_precision, fatal_recall,
+         fatal_pr_auc
+  FROM ov JOIN ovr USING (model_name, train_order) JOIN ap USING (model_name, train_order))""")
+
+MODEL_DOUBLES = ["accuracy", "f1_macro", "balanced_accuracy", "fatal_precision", "fatal_recall", "fatal_pr_auc"]
+
+
+def _model_metrics(spark, d):
+    m = ME.evaluate(R.scored_models(spark, d), R.CRITICAL, by=["model_name", "train_order"])
+    return m
+
+
+@register("model_comparison", MODEL_METRICS_SQL + """
+SELECT model_name, accuracy, f1_macro, balanced_accuracy, fatal_precision, fatal_recall, fatal_pr_auc FROM mm""",
+          MODEL_DOUBLES)
+def q_model_comparison(spark, d):
+    """A29 + T1: all models evaluated in one job (grouped by model)."""
+    return ME.compare_models(_model_metrics(spark, d))
+
+
+@register("best_model", MODEL_METRICS_SQL + """
+SELECT model_name, f1_macro FROM mm ORDER BY f1_macro DESC, train_order ASC LIMIT 1""", ["f1_macro"])
+def q_best_model(spark, d):
+    """T2."""
+    return ME.best_model(_model_metrics(spark, d))
+
+
+@register("screening_model", MODEL_METRICS_SQL + """
+SELECT model_name, fatal_recall, fatal_precision, fatal_pr_auc, f1_macro,
+       'highest fatal_recall, then fatal_pr_auc, then macro_f1' AS selection_rule
+FROM mm ORDER BY fatal_recall DESC, fatal_pr_auc DESC, f1_macro DESC, train_order ASC LIMIT 1""",
+          ["fatal_recall", "fatal_precision", "fatal_pr_auc", "f1_macro"])
+def q_screening_model(spark, d):
+    """T3."""
+    return ME.screening_model(_model_metrics(spark, d))
+
+
+@register("error_cases", S.with_(S.SCORED) + """
+SELECT *, label AS actual_class_index, prediction AS predicted_class_index,
+       ['Fatal', 'Serious', 'Slight'][label + 1] AS actual_class_label,
+       ['Fatal', 'Serious', 'Slight'][prediction + 1] AS predicted_class_label
+FROM scored WHERE label <> prediction""", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "score"])
+def q_error_cases(spark, d):
+    """P15."""
+    return ME.error_cases(R.scored(spark, d), R.CLASS_LABELS)
+
+
+@register("error_dispersion", S.with_(S.SCORED) + """
+SELECT feature, std FROM (
+  SELECT stddev_samp(l_quantity) AS l_quantity, stddev_samp(l_extendedprice) AS l_extendedprice,
+         stddev_samp(l_discount) AS l_discount, stddev_samp(l_tax) AS l_tax
+  FROM scored WHERE label <> prediction)
+UNPIVOT (std FOR feature IN (l_quantity, l_extendedprice, l_discount, l_tax))
+ORDER BY std DESC, feature LIMIT 3""", ["std"])
+def q_error_dispersion(spark, d):
+    """A25 + T8: top-3 dispersive features among error rows."""
+    err = ME.error_cases(R.scored(spark, d), R.CLASS_LABELS)
+    return QU.error_dispersion(err, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], top=3)

@@ -126,3 +126,35 @@ def text_dates(spark: SparkSession, d: str) -> DataFrame:
          .when(F.col("o_orderstatus") == "O", F.date_format(od, "dd/MM/yyyy"))
          .otherwise(F.date_format(od, "yyyyMMdd")))
     return o.select(F.col("o_orderkey").alias("accident_index"), s.alias("date_text"))
+
+
+# fixed values: class labels of the scored binding (index 0 is the critical class)
+CLASS_LABELS = ["Fatal", "Serious", "Slight"]
+CRITICAL = 0
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """Scored frame: truth from the return flag (A/N/R -> 0/1/2), prediction from the
+    line number, critical-class score from the quantity (many ties)."""
+    li = table(spark, d, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                     F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+                     .alias("label"),
+                     (F.col("l_linenumber") % 3).alias("prediction"),
+                     (F.col("l_quantity") / 50).alias("score"))
+
+
+# fixed values: three scored "models" over the same rows (name, training order)
+MODELS = (("forest", 0), ("boosting", 1), ("logistic", 2))
+
+
+def scored_models(spark: SparkSession, d: str) -> DataFrame:
+    """Three model outputs per lineitem row in one scan (a generator, not a union)."""
+    li = table(spark, d, "lineitem")
+    preds = [(F.col("l_linenumber") % 3).cast("int"), (F.col("l_partkey") % 3).cast("int"),
+             ((F.col("l_suppkey") + F.col("l_linenumber")) % 3).cast("int")]
+    scores = [F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 12.5]
+    arr = F.array(*[F.struct(F.lit(n).alias("model_name"), F.lit(o).alias("train_order"), p.alias("prediction"),
+                             s.alias("score")) for (n, o), p, s in zip(MODELS, preds, scores)])
+    y = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    return li.select(y.alias("label"), F.explode(arr).alias("m")).select("label", "m.*")

@@ -112,6 +112,24 @@ HOUR_SQL = ("CAST(coalesce(CASE WHEN regexp_full_match(time, '[0-9]{1,2}:[0-9]{1
             "THEN hour(try_strptime(time, '%H:%M')) END, 12) AS INTEGER)")
 
 
+SCORED = """scored AS (
+  SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+         CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label,
+         l_linenumber % 3 AS prediction,
+         l_quantity / 50 AS score
+  FROM lineitem)"""
+
+SCORED_MODELS = """scored_models AS (
+  SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label, 'forest' AS model_name,
+         0 AS train_order, CAST(l_linenumber % 3 AS INTEGER) AS prediction, l_quantity / 50 AS score FROM lineitem
+  UNION ALL
+  SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, 'boosting', 1,
+         CAST(l_partkey % 3 AS INTEGER), l_discount * 10 FROM lineitem
+  UNION ALL
+  SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, 'logistic', 2,
+         CAST((l_suppkey + l_linenumber) % 3 AS INTEGER), l_tax * 12.5 FROM lineitem)"""
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
