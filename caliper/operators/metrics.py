@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caliper.functions.columns import label_of
+from caliper.operators.common import attach
 
 AP_BUCKETS = 4096
 
@@ -32,13 +33,12 @@ def _safe_div(a: Column, b: Column) -> Column:
 
 
 def _attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach a one-row-per-group table: broadcast equi-join on ``by`` (size bound:
-    one row per group), or a scalar subquery when there is no grouping."""
-    if by:
-        return df.join(F.broadcast(small), list(by))
-    cols = small.columns
-    packed = small.select(F.struct(*cols).alias("__s")).scalar()
-    return df.withColumns({c: packed[c] for c in cols})
+    return attach(df, small, by)
+
+
+def _join_rows(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Combine two one-row-per-group frames."""
+    return a.join(b, list(by)) if by else attach(a, b)
 
 
 # ------------------------------------------------------------------ confusion-matrix family
@@ -244,7 +244,7 @@ def ece_brier(df: DataFrame, positive: int, label: str = "label", score: str = "
     bins = calibration_bins(df, positive, label, score, max_bins, by)
     e = ece_from_bins(bins, by)
     b = brier(df, positive, label, score, by)
-    return b.join(e, list(by)) if by else b.join(e, how="inner")
+    return _join_rows(b, e, by)
 
 
 # ------------------------------------------------------------------ per-model evaluation and selection
@@ -256,10 +256,10 @@ def evaluate(df: DataFrame, positive: int, label: str = "label", prediction: str
     cm = confusion(df, label, prediction, by)
     out = overall(cm, label, prediction, by)
     ovr = one_vs_rest(cm, positive, label, prediction, by, prefix)
-    out = out.join(ovr, list(by)) if by else out.join(ovr, how="inner")
+    out = _join_rows(out, ovr, by)
     if score is not None:
         ap = average_precision(df, positive, label, score, by, name=f"{prefix}_pr_auc")
-        out = out.join(ap, list(by)) if by else out.join(ap, how="inner")
+        out = _join_rows(out, ap, by)
     return out
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caliper.functions.columns import is_missing, is_missing_numeric, parse_date, year_month
+from caliper.operators.common import attach
 from caliper.operators.prepare import POST_EVENT_COLUMNS, VALID_CODES, valid_target
 
 
@@ -84,13 +85,13 @@ def quality_report(raw: DataFrame, prepared: DataFrame, target: str = "accident_
                    date: str = "date", codes=VALID_CODES) -> DataFrame:
     """One-row report = A9 + A10 on the raw table and A11 on the prepared one.
 
-    Two single-pass aggregates joined 1×1 (a cross product of two one-row frames)."""
+    Two single-pass aggregates; the prepared one is attached as a scalar subquery."""
     d = parse_date(raw, date) if date in raw.columns else F.lit(None).cast("date")
     ok = valid_target(target, codes)
     r = raw.agg(F.count(F.lit(1)).alias("rows_raw"), F.count_if(ok).alias("rows_valid_target"),
                 F.count_if(~ok).alias("rows_invalid_target"), F.min(d).alias("date_min"),
                 F.max(d).alias("date_max"), F.count_distinct(d).alias("unique_days"))
-    return r.join(spatial_coverage(prepared), how="inner")
+    return attach(r, spatial_coverage(prepared))
 
 
 def master_metadata(master: DataFrame, join_stats: DataFrame, target: str = "accident_severity",
@@ -101,7 +102,7 @@ def master_metadata(master: DataFrame, join_stats: DataFrame, target: str = "acc
                    F.lit(len(master.columns)).alias("column_count"),
                    F.coalesce(F.avg(ok.cast("double")), F.lit(0.0)).alias("target_valid_ratio"),
                    F.count_if(~ok).alias("target_invalid_count"))
-    return m.join(join_stats, how="inner")
+    return attach(m, join_stats)
 
 
 def error_dispersion(errors: DataFrame, features: list[str], top: int | None = None) -> DataFrame:
@@ -135,7 +136,7 @@ def leakage_report(train: DataFrame, test: DataFrame, features: list[str], date:
     has_s = F.lit(bool(suspicious))
     over = F.col("duplicate_row_overlap_count") > 0
     risk = (F.when(has_s & over, "high").when(has_s | over, "medium").otherwise("low"))
-    return (dup.join(tr, how="inner").join(te, how="inner")
+    return (attach(attach(dup, tr), te)
             .select(risk.alias("risk_level"), has_s.alias("suspicious_feature_present"),
                     F.lit(",".join(suspicious)).alias("suspicious_features_present"),
                     over.alias("row_overlap_train_test"),

@@ -573,3 +573,119 @@ def q_error_dispersion(spark, d):
     """A25 + T8: top-3 dispersive features among error rows."""
     err = ME.error_cases(R.scored(spark, d), R.CLASS_LABELS)
     return QU.error_dispersion(err, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], top=3)
+
+
+# ------------------------------------------------------------------ splits and leakage
+
+from caliper.operators import splits as SP  # noqa: E402
+
+_H = "CAST(('0x' || substr(md5('42:' || CAST({} AS VARCHAR)), 1, 8)) AS BIGINT)"
+
+SPLIT_BASE = f"""base AS (SELECT *, {_H.format('row_id')} AS h FROM prepared),
+cc AS (SELECT label, count(*) AS nc FROM base GROUP BY label)"""
+
+
+def _alloc_sql(total: str) -> str:
+    return f"""al0 AS (SELECT label, nc, sum(nc) OVER () AS n FROM cc),
+al1 AS (SELECT label, nc, n, CAST({total} AS BIGINT) AS t FROM al0),
+al2 AS (SELECT label, t, (nc * t) // n AS b, (nc * t) % n AS rem FROM al1),
+al AS (SELECT label, b + CASE WHEN row_number() OVER (ORDER BY rem DESC, label) <= t - sum(b) OVER () THEN 1 ELSE 0 END
+              AS alloc FROM al2),
+rk AS (SELECT base.*, row_number() OVER (PARTITION BY base.label ORDER BY h, row_id) AS rn, al.alloc
+       FROM base JOIN al USING (label))"""
+
+
+STRAT_SQL = S.with_(S.ALL_PREPARED, SPLIT_BASE, _alloc_sql("ceil(n * CAST(0.2 AS DOUBLE))"))
+
+
+def _prepared_split(spark, d):
+    return SP.stratified_split(R.prepared_checkpointed(spark, d), "label", "row_id", 0.2, seed=42)
+
+
+@register("stratified_split", STRAT_SQL + """
+SELECT row_id, label, CASE WHEN rn <= alloc THEN 'test' ELSE 'train' END AS side FROM rk""")
+def q_stratified_split(spark, d):
+    """Exact stratified 80/20 split in seeded hash order."""
+    return _prepared_split(spark, d).select("row_id", "label", "side")
+
+
+@register("row_cap", S.with_(S.ALL_PREPARED, SPLIT_BASE, _alloc_sql("least(n, 5000)")) + """
+SELECT row_id, label FROM rk WHERE rn <= alloc""")
+def q_row_cap(spark, d):
+    """Stratified cap at 5 000 rows."""
+    return SP.stratified_cap(R.prepared_checkpointed(spark, d), 5000).select("row_id", "label")
+
+
+@register("stratified_folds", S.with_(S.ALL_PREPARED, SPLIT_BASE) + """
+SELECT row_id, label,
+       CAST((row_number() OVER (PARTITION BY label ORDER BY h, row_id) - 1)
+            % (SELECT greatest(2, least(5, min(nc))) FROM cc) AS INTEGER) AS fold
+FROM base""")
+def q_stratified_folds(spark, d):
+    """X3 + W3 + A28: exact per-class folds."""
+    return SP.stratified_folds(R.prepared_checkpointed(spark, d)).select("row_id", "label", "fold")
+
+
+@register("fold_count", S.with_(S.ALL_PREPARED) + """
+SELECT min(nc) AS min_class_count, CAST(greatest(2, least(5, min(nc))) AS INTEGER) AS n_splits,
+       min(nc) >= 2 AS stratify FROM (SELECT label, count(*) AS nc FROM prepared GROUP BY label)""")
+def q_fold_count(spark, d):
+    """A28."""
+    return SP.min_class_count(R.prepared(spark, d))
+
+
+GROUP_SQL = S.with_(S.ALL_PREPARED, f"""gs AS (SELECT DISTINCT coalesce(spatial_key, 'unknown') AS g FROM prepared),
+gh AS (SELECT g, {_H.format('g')} AS h FROM gs),
+gt AS (SELECT g, CASE WHEN row_number() OVER (ORDER BY h, g) <= ceil(count(*) OVER () * CAST(0.2 AS DOUBLE))
+                      THEN 'test' ELSE 'train' END AS side FROM gh),
+gsplit AS (SELECT p.*, gt.side FROM prepared p JOIN gt ON coalesce(p.spatial_key, 'unknown') = gt.g)""")
+
+
+@register("group_split", GROUP_SQL + "SELECT row_id, spatial_key, side FROM gsplit")
+def q_group_split(spark, d):
+    """Group shuffle split (whole spatial groups per side)."""
+    return SP.group_split(R.prepared_checkpointed(spark, d), "spatial_key", 0.2).select("row_id", "spatial_key", "side")
+
+
+@register("holdout_sizes", GROUP_SQL + """
+SELECT side, count(*) AS rows, count(DISTINCT coalesce(spatial_key, 'unknown')) AS groups FROM gsplit GROUP BY side""")
+def q_holdout_sizes(spark, d):
+    """Rows and groups per side of the group holdout."""
+    return SP.holdout_sizes(SP.group_split(R.prepared_checkpointed(spark, d), "spatial_key", 0.2))
+
+
+@register("time_split", S.with_(S.ALL_PREPARED) + """
+SELECT row_id, date, CASE WHEN rn <= floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS side
+FROM (SELECT row_id, date, row_number() OVER (ORDER BY date, row_id) AS rn, count(*) OVER () AS n
+      FROM prepared WHERE date IS NOT NULL)""")
+def q_time_split(spark, d):
+    """X5 + W1: ordered 80/20 cut by date (two-level bucketed prefix sum)."""
+    return SP.time_split(R.prepared_checkpointed(spark, d)).select("row_id", "date", "side")
+
+
+_FEAT_EQ = " AND ".join(f"tr.{c} IS NOT DISTINCT FROM te.{c}" for c in R.FEATURES)
+LEAK_SQL = STRAT_SQL + f""", sides AS (SELECT *, CASE WHEN rn <= alloc THEN 'test' ELSE 'train' END AS side FROM rk),
+tr AS (SELECT * FROM sides WHERE side = 'train'), te AS (SELECT * FROM sides WHERE side = 'test'),
+dup AS (SELECT count(*) AS duplicate_row_overlap_count FROM te
+        WHERE EXISTS (SELECT 1 FROM tr WHERE {_FEAT_EQ}))
+"""
+
+
+@register("leakage_overlap", LEAK_SQL + "SELECT * FROM dup")
+def q_leakage_overlap(spark, d):
+    """Test rows whose full feature row occurs in train."""
+    sp = _prepared_split(spark, d)
+    tr, te = sp.filter("side = 'train'"), sp.filter("side = 'test'")
+    return QU.duplicate_overlap(tr, te, R.FEATURES).agg(F.count(F.lit(1)).alias("duplicate_row_overlap_count"))
+
+
+@register("leakage_report", LEAK_SQL + """
+SELECT CASE WHEN duplicate_row_overlap_count > 0 THEN 'medium' ELSE 'low' END AS risk_level,
+       false AS suspicious_feature_present, '' AS suspicious_features_present,
+       duplicate_row_overlap_count > 0 AS row_overlap_train_test, duplicate_row_overlap_count,
+       (SELECT max(date) FROM tr) >= (SELECT min(date) FROM te) AS temporal_overlap_possible
+FROM dup""")
+def q_leakage_report(spark, d):
+    """A26."""
+    sp = _prepared_split(spark, d)
+    return QU.leakage_report(sp.filter("side = 'train'"), sp.filter("side = 'test'"), R.FEATURES)

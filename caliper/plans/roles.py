@@ -158,3 +158,11 @@ def scored_models(spark: SparkSession, d: str) -> DataFrame:
                              s.alias("score")) for (n, o), p, s in zip(MODELS, preds, scores)])
     y = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     return li.select(y.alias("label"), F.explode(arr).alias("m")).select("label", "m.*")
+
+
+def prepared_checkpointed(spark: SparkSession, d: str, features=None) -> DataFrame:
+    """The prepared frame written once to the shared checkpoint folder: operators that
+    read it several times (splits, folds, reports) then scan the checkpoint instead of
+    re-running the enrichment plan, and a lost executor recomputes from it."""
+    from caliper.session import cut_lineage
+    return cut_lineage(prepared(spark, d, features))
