@@ -689,3 +689,93 @@ def q_leakage_report(spark, d):
     """A26."""
     sp = _prepared_split(spark, d)
     return QU.leakage_report(sp.filter("side = 'train'"), sp.filter("side = 'test'"), R.FEATURES)
+
+
+# ------------------------------------------------------------------ feature preprocessing
+
+from caliper.operators import features as FE  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+NUM_WITH_MISSING = R.WEATHER_FEATURES  # the daily measurements are the only numeric features with gaps
+
+
+@register("class_weights", S.with_(S.ALL_PREPARED) + """
+SELECT label, CAST(sum(nc) OVER () AS DOUBLE) / (count(*) OVER () * nc) AS weight
+FROM (SELECT label, count(*) AS nc FROM prepared GROUP BY label)""", ["weight"])
+def q_class_weights(spark, d):
+    """Balanced class weights n / (K · n_c)."""
+    return FE.class_weights(R.prepared(spark, d))
+
+
+@register("feature_defaults", S.with_(S.ALL_PREPARED) + " UNION ALL ".join(
+    [f"SELECT '{c}' AS feature, 'numeric' AS kind, coalesce(median(TRY_CAST({c} AS DOUBLE)), CAST(0 AS DOUBLE)) "
+     f"AS numeric_default, CAST(NULL AS VARCHAR) AS categorical_default FROM prepared" for c in R.NUMERIC_FEATURES]
+    + [f"SELECT '{c}', 'categorical', CAST(NULL AS DOUBLE), coalesce((SELECT v FROM (SELECT CAST({c} AS VARCHAR) AS v, "
+       f"count(*) AS n FROM prepared WHERE {c} IS NOT NULL GROUP BY v) ORDER BY n DESC, v LIMIT 1), 'missing')"
+       for c in R.CATEGORICAL_FEATURES]), ["numeric_default"])
+def q_feature_defaults(spark, d):
+    """Median / mode defaults used to fill absent inputs."""
+    return FE.feature_defaults(R.prepared(spark, d), R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES)
+
+
+def _imputed_sql() -> str:
+    cols = ", ".join(f"coalesce({c}, median({c}) OVER ()) AS {c}" for c in R.NUMERIC_FEATURES)
+    ind = ", ".join(f"CAST({c} IS NULL AS DOUBLE) AS missingindicator_{c}" for c in NUM_WITH_MISSING)
+    return f"imp AS (SELECT row_id, {cols}, {ind} FROM prepared)"
+
+
+IMPUTED_COLS = R.NUMERIC_FEATURES + [f"missingindicator_{c}" for c in NUM_WITH_MISSING]
+
+
+@register("imputed_features", S.with_(S.ALL_PREPARED, _imputed_sql()) + "SELECT * FROM imp",
+          [c for c in IMPUTED_COLS])
+def q_imputed_features(spark, d):
+    """M1: exact-median imputation + missing indicators (only for columns with gaps)."""
+    p = R.prepared(spark, d)
+    m = FE.ExactMedianImputer(inputCols=R.NUMERIC_FEATURES).fit(p)
+    out = m.transform(p)
+    return out.select("row_id", *[c for c in out.columns if c in IMPUTED_COLS])
+
+
+@register("scaled_features", S.with_(S.ALL_PREPARED, _imputed_sql()) + "SELECT row_id, " + ", ".join(
+    f"(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / coalesce(nullif(stddev_pop(CAST({c} AS DOUBLE)) OVER (), 0), 1) AS {c}"
+    for c in IMPUTED_COLS) + " FROM imp", IMPUTED_COLS)
+def q_scaled_features(spark, d):
+    """M2: imputed (incl. indicators) and standardised with the population std."""
+    p = R.prepared(spark, d)
+    m = FE.ScalerAfterImputer(inputCols=R.NUMERIC_FEATURES).fit(p)
+    out = m.transform(p)
+    return out.select("row_id", *[c for c in out.columns if c in IMPUTED_COLS])
+
+
+OHE_COLS = {"order_status": ["F", "O", "P"], "is_bank_holiday": ["0", "1"]}
+
+
+@register("onehot_features", S.with_(S.ALL_PREPARED) + "SELECT row_id, " + ", ".join(
+    f"CASE WHEN coalesce(CAST({c} AS VARCHAR), 'missing') = '{v}' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS {c}_{v}"
+    for c, vals in OHE_COLS.items() for v in vals) + " FROM prepared",
+          [f"{c}_{v}" for c, vals in OHE_COLS.items() for v in vals])
+def q_onehot_features(spark, d):
+    """M3 + M4 + M6: text categories, alphabetical one-hot, unseen -> all zeros; named
+    output slots come from the vector's ML attributes."""
+    p = R.prepared(spark, d)
+    pipe = FE.preprocessor([], R.CATEGORICAL_FEATURES).fit(p)
+    names = FE.feature_names(pipe, p)
+    out = pipe.transform(p).select("row_id", vector_to_array("features").alias("__v"))
+    return out.select("row_id", *[F.col("__v")[i].alias(n) for i, n in enumerate(names)])
+
+
+@register("default_fill", S.with_(S.ALL_PREPARED) + """
+SELECT row_id, (SELECT coalesce(median(cloud_cover), CAST(0 AS DOUBLE)) FROM prepared) AS cloud_cover,
+       (SELECT v FROM (SELECT CAST(order_status AS VARCHAR) AS v, count(*) AS n FROM prepared
+                       WHERE order_status IS NOT NULL GROUP BY v) ORDER BY n DESC, v LIMIT 1) AS order_status,
+       hour FROM prepared""", ["cloud_cover"])
+def q_default_fill(spark, d):
+    """Absent input columns filled with stored defaults (computed by A23)."""
+    p = R.prepared(spark, d)
+    dfl = FE.feature_defaults(p, ["cloud_cover"], ["order_status"])
+    cloud = dfl.filter("feature = 'cloud_cover'").select("numeric_default").scalar()
+    status = dfl.filter("feature = 'order_status'").select("categorical_default").scalar()
+    x = FE.fill_defaults(p.select("row_id", "hour"), ["cloud_cover", "order_status", "hour"],
+                         {"cloud_cover": cloud, "order_status": status})
+    return x.select("row_id", "cloud_cover", "order_status", "hour")
