@@ -779,3 +779,268 @@ def q_default_fill(spark, d):
     x = FE.fill_defaults(p.select("row_id", "hour"), ["cloud_cover", "order_status", "hour"],
                          {"cloud_cover": cloud, "order_status": status})
     return x.select("row_id", "cloud_cover", "order_status", "hour")
+
+
+# ------------------------------------------------------------------ models and reliability (rows-only checks)
+
+import uuid  # noqa: E402
+
+from caliper.operators import models as MO  # noqa: E402
+from caliper.operators import reliability as RE  # noqa: E402
+from caliper.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
+
+# Light hyper-parameters for the registered demo queries (library defaults follow the
+# reference: 220 trees, 180 boosting rounds, 1000 LR iterations).
+LIGHT = {"logistic_regression": {"max_iter": 100},
+         "random_forest": {"num_trees": 30, "max_depth": 8},
+         "hist_gradient_boosting_balanced": {"max_iter": 15, "max_depth": 3}}
+
+_SPLITS: dict = {}
+
+
+def _ml_split(spark, d):
+    """Stratified 80/20 split of the prepared frame, checkpointed once per session."""
+    key = (id(spark), d)
+    if key not in _SPLITS:
+        _SPLITS[key] = cut_lineage(SP.stratified_split(R.prepared_checkpointed(spark, d)))
+    sp = _SPLITS[key]
+    return sp.filter("side = 'train'").drop("side"), sp.filter("side = 'test'").drop("side")
+
+
+def _fit_eval(spark, d, name):
+    tr, te = _ml_split(spark, d)
+    m = MO.fit_model(name, tr, R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES, R.CLASS_LABELS, LIGHT[name])
+    return ME.evaluate(MO.score(m, te, R.CRITICAL), R.CRITICAL).select(F.lit(name).alias("model_name"), "*")
+
+
+@register("fit_logistic")
+def q_fit_logistic(spark, d):
+    """M7: balanced multinomial logistic regression, test metrics."""
+    return _fit_eval(spark, d, "logistic_regression")
+
+
+@register("fit_forest")
+def q_fit_forest(spark, d):
+    """M8: balanced random forest, test metrics."""
+    return _fit_eval(spark, d, "random_forest")
+
+
+@register("fit_boosting")
+def q_fit_boosting(spark, d):
+    """M9: one-vs-rest weighted GBTs with normalised probabilities, test metrics."""
+    return _fit_eval(spark, d, "hist_gradient_boosting_balanced")
+
+
+_BEST: dict = {}
+
+
+def _selected(spark, d):
+    key = (id(spark), d)
+    if key not in _BEST:
+        tr, te = _ml_split(spark, d)
+        _BEST[key] = MO.fit_and_select(tr, te, R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES, R.CLASS_LABELS,
+                                       R.CRITICAL, params=LIGHT)
+    return _BEST[key]
+
+
+@register("model_selection")
+def q_model_selection(spark, d):
+    """M12 + A29: all candidates on one test split, comparison ordered by macro-F1."""
+    return ME.compare_models(_selected(spark, d)[1])
+
+
+@register("grid_search")
+def q_grid_search(spark, d):
+    """M11 + T5: CrossValidator over the logistic C grid with stratified fold column."""
+    tr, _ = _ml_split(spark, d)
+    _, trials = RE.grid_search(tr, "logistic_regression", {"C": [0.1, 1.0, 3.0], "max_iter": [100]},
+                               R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES, R.CLASS_LABELS)
+    return trials
+
+
+@register("batch_score")
+def q_batch_score(spark, d):
+    """M14 + P16: score the test rows with absent inputs filled from stored defaults."""
+    best = _selected(spark, d)[0]
+    tr, te = _ml_split(spark, d)
+    dfl = FE.feature_defaults(tr, best.numeric, best.categorical).collect()  # ≤ number of features rows
+    best.defaults = {r["feature"]: (r["numeric_default"] if r["kind"] == "numeric" else r["categorical_default"])
+                     for r in dfl}
+    out = MO.batch_score(best, te.drop("order_status", "cloud_cover"))
+    return out.select("row_id", "predicted_class_index", "predicted_class_label", "predicted_code", "probabilities")
+
+
+def _model_dir(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/caliper-models/{uuid.uuid4().hex}"
+
+
+@register("stored_model_eval")
+def q_stored_model_eval(spark, d):
+    """S11 + M15: save, load and re-evaluate on every prepared row (in-sample)."""
+    best = _selected(spark, d)[0]
+    path = _model_dir(spark)
+    MO.save_model(best, path, spark)
+    loaded = MO.load_model(path, spark)
+    allrows = R.prepared_checkpointed(spark, d)
+    return ME.evaluate(MO.score(loaded, allrows, R.CRITICAL), R.CRITICAL).select(
+        F.lit(loaded.name).alias("model_name"), F.lit("in_sample").alias("evaluation"), "*")
+
+
+@register("calibrated_model")
+def q_calibrated_model(spark, d):
+    """M13 + X6: Platt-calibrate on a stratified quarter of train; Brier / ECE of raw and
+    calibrated critical-class probabilities on test."""
+    best = _selected(spark, d)[0]
+    tr, te = _ml_split(spark, d)
+    cs = cut_lineage(SP.stratified_split(tr, test_frac=0.25))
+    fit_part, cal_part = cs.filter("side = 'train'"), cs.filter("side = 'test'")
+    base = MO.fit_model(best.name, fit_part, best.numeric, best.categorical, R.CLASS_LABELS, LIGHT[best.name])
+    cal = MO.calibrate(base, cal_part)
+    raw = ME.ece_brier(MO.score(best, te, R.CRITICAL), R.CRITICAL).withColumn("probability", F.lit("raw"))
+    cs_ = cal.transform(te).withColumn("score", F.col("probabilities")[R.CRITICAL])
+    calibrated = ME.ece_brier(cs_, R.CRITICAL).withColumn("probability", F.lit("calibrated"))
+    return raw.unionByName(calibrated)
+
+
+@register("model_importance")
+def q_model_importance(spark, d):
+    """M16 + T6: importances of the selected model (top 10)."""
+    best = _selected(spark, d)[0]
+    _, te = _ml_split(spark, d)
+    return MO.model_importance(best, te).limit(10)
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, d):
+    """M17 + W4 + T7: macro-F1 drop per permuted feature, 3 repeats, whole test split."""
+    best = _selected(spark, d)[0]
+    _, te = _ml_split(spark, d)
+    return RE.permutation_importance(best, te, best.features, repeats=3)
+
+
+@register("cv_reliability")
+def q_cv_reliability(spark, d):
+    """M18 + A24: stratified K-fold means / population stds per candidate."""
+    return RE.cv_reliability(R.prepared_checkpointed(spark, d), R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES,
+                             R.CLASS_LABELS, R.CRITICAL, params=LIGHT)
+
+
+@register("time_holdout")
+def q_time_holdout(spark, d):
+    """Refit the selected model on the earliest 80 %."""
+    best = _selected(spark, d)[0]
+    return RE.time_holdout(R.prepared_checkpointed(spark, d), best.name, R.NUMERIC_FEATURES,
+                           R.CATEGORICAL_FEATURES, R.CLASS_LABELS, R.CRITICAL, LIGHT[best.name])
+
+
+@register("spatial_holdout")
+def q_spatial_holdout(spark, d):
+    """M20 + A27: refit with whole spatial groups held out."""
+    best = _selected(spark, d)[0]
+    return RE.spatial_holdout(R.prepared_checkpointed(spark, d), best.name, R.NUMERIC_FEATURES,
+                              R.CATEGORICAL_FEATURES, R.CLASS_LABELS, R.CRITICAL, LIGHT[best.name])
+
+
+@register("ablation")
+def q_ablation(spark, d):
+    """M21 + U1: pre-event vs post-event feature sets."""
+    pre = R.prepared_checkpointed(spark, d, R.FEATURES)
+    post = R.prepared_checkpointed(spark, d, R.POST_EVENT_FEATURES)
+    post_num = [c for c in R.POST_EVENT_FEATURES if c not in R.CATEGORICAL_FEATURES]
+    return RE.ablation({"pre_event": (pre, R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES),
+                        "post_event": (post, post_num, R.CATEGORICAL_FEATURES)}, R.CLASS_LABELS, R.CRITICAL,
+                       params=LIGHT)
+
+
+# ------------------------------------------------------------------ audit
+
+from caliper.operators import audit as AU  # noqa: E402
+
+AUDIT_WARN, AUDIT_FAIL = 16 * 1024, 32 * 1024  # size bands for the document binding (bytes)
+_PAT_SQL = AU.SECRET_PATTERN.replace("'", "''")
+
+DOC_FILES_SQL = """files AS (SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS path, CAST(strlen(text) AS BIGINT) AS size,
+                          text, source FROM documents)"""
+PAGE_PATHS_SQL = r"""pp AS (SELECT regexp_extract(url, '^[a-z]+://[^/]+/?([^?#]*)', 1) AS path FROM pages)"""
+
+SECRET_SQL = f"""sd AS (SELECT * FROM files WHERE strlen(text) <= {AU.MAX_SCAN_BYTES} AND path NOT IN
+                    (SELECT path FROM files WHERE source = 'src0') AND regexp_matches(text, '{_PAT_SQL}')),
+sl AS (SELECT path, unnest(string_split(text, chr(10))) AS line,
+              generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM sd),
+secret AS (SELECT 'FAIL' AS level, path, 'possible secret-like text at line ' || CAST(min(pos) AS VARCHAR) AS message
+           FROM sl WHERE regexp_matches(line, '{_PAT_SQL}') GROUP BY path)"""
+
+SIZE_SQL = f"""sizes AS (SELECT CASE WHEN size >= {AUDIT_FAIL} THEN 'FAIL' ELSE 'WARN' END AS level, path,
+                 CASE WHEN size >= {AUDIT_FAIL}
+                      THEN 'tracked file is ' || printf('%.1f', size / 1048576) || ' MiB; public repo limit is {AUDIT_FAIL // (1024 * 1024)} MiB'
+                      ELSE 'tracked file is ' || printf('%.1f', size / 1048576) || ' MiB; consider release storage' END AS message
+          FROM files WHERE size >= {AUDIT_WARN})"""
+
+
+def _rules_sql() -> str:
+    name = r"regexp_extract(path, '([^/]*)$', 1)"
+    suffix = rf"lower(regexp_extract({name}, '^.+(\.[^.]+)$', 1))"
+    q = lambda xs: ", ".join("'" + x + "'" for x in xs)
+    exact = " ".join(f"WHEN path = '{k}' THEN '{v}'" for k, v in AU.FORBIDDEN_EXACT.items())
+    local = " OR ".join(f"starts_with(path, '{p}')" for p in AU.LOCAL_DATA_PREFIXES)
+    course = " OR ".join(f"regexp_matches({name}, '{p}')" for p in AU.COURSE_NAME_PATTERNS)
+    return f"""rules AS (SELECT 'FAIL' AS level, path, CASE {exact}
+      WHEN {suffix} IN ({q(AU.FORBIDDEN_SUFFIXES)}) OR starts_with({name}, '.env') THEN '{AU.REASON_SECRET_FILE}'
+      WHEN ({local}) AND path NOT IN ({q(AU.PLACEHOLDERS)}) THEN '{AU.REASON_LOCAL_DATA}'
+      WHEN starts_with(path, 'data/sample/') THEN '{AU.REASON_SAMPLE}'
+      WHEN starts_with(path, 'artifacts/') AND {suffix} IN ({q(AU.MODEL_BINARY_SUFFIXES)}) THEN '{AU.REASON_MODEL_BINARY}'
+      WHEN ends_with(path, '.zip') AND NOT contains(path, '/') THEN '{AU.REASON_ZIP}'
+      WHEN ends_with(path, '.pdf') AND NOT contains(path, '/') THEN '{AU.REASON_PDF}'
+      WHEN ends_with(path, '.ipynb') AND NOT contains(path, '/') AND ({course}) THEN '{AU.REASON_NOTEBOOK}'
+      WHEN {name} IN ({q(AU.LOCAL_FILE_NAMES)}) THEN '{AU.REASON_LOCAL_FILE}' END AS message FROM pp)"""
+
+
+REQUIRED_SQL = "req AS (SELECT 'FAIL' AS level, r.path, r.message FROM (VALUES " + ", ".join(
+    f"('{k}', '{v}')" for k, v in AU.REQUIRED.items()) + ") AS r(path, message) WHERE r.path NOT IN (SELECT path FROM pp))"
+
+AUDIT_SQL = S.with_(DOC_FILES_SQL, PAGE_PATHS_SQL, SECRET_SQL, SIZE_SQL, _rules_sql(), REQUIRED_SQL)
+
+
+def _findings(spark, d):
+    files = R.documents_as_files(spark, d)
+    exempt = files.filter(F.col("source") == "src0").select("path")
+    secret = AU.secret_findings(files, "path", "text", exempt=exempt)
+    sizes = AU.size_findings(files, "path", "size", AUDIT_WARN, AUDIT_FAIL)
+    pages = R.page_paths(spark, d)
+    rules = AU.path_findings(pages, "path")
+    req = AU.missing_required(pages, "path")
+    return secret, sizes, rules, req
+
+
+@register("secret_scan", AUDIT_SQL + "SELECT * FROM secret")
+def q_secret_scan(spark, d):
+    """D1 + J11: first secret-like line per document (whole texts, exempt ids skipped)."""
+    return _findings(spark, d)[0]
+
+
+@register("size_bands", AUDIT_SQL + "SELECT * FROM sizes")
+def q_size_bands(spark, d):
+    """WARN / FAIL size bands."""
+    return _findings(spark, d)[1]
+
+
+@register("path_rules", AUDIT_SQL + "SELECT * FROM rules WHERE message IS NOT NULL")
+def q_path_rules(spark, d):
+    """D3: ordered path rules on page URL paths."""
+    return _findings(spark, d)[2]
+
+
+@register("required_keys", AUDIT_SQL + "SELECT * FROM req")
+def q_required_keys(spark, d):
+    """D4 + J10: required entries missing from the observed paths."""
+    return _findings(spark, d)[3]
+
+
+@register("audit_summary", AUDIT_SQL + """
+SELECT count(*) FILTER (WHERE level = 'FAIL') AS failures, count(*) FILTER (WHERE level = 'WARN') AS warnings,
+       count(*) FILTER (WHERE level = 'FAIL') = 0 AS passed
+FROM (SELECT * FROM secret UNION ALL SELECT * FROM sizes UNION ALL
+      SELECT * FROM rules WHERE message IS NOT NULL UNION ALL SELECT * FROM req)""")
+def q_audit_summary(spark, d):
+    """D5 + U3: stacked findings rolled up."""
+    return AU.summarise(_findings(spark, d))[1]

@@ -166,3 +166,16 @@ def prepared_checkpointed(spark: SparkSession, d: str, features=None) -> DataFra
     re-running the enrichment plan, and a lost executor recomputes from it."""
     from caliper.session import cut_lineage
     return cut_lineage(prepared(spark, d, features))
+
+
+def documents_as_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as audit inputs: path = ``doc/<doc_id>``, size = UTF-8 bytes, text."""
+    docs = table(spark, d, "documents")
+    return docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"),
+                       F.octet_length("text").cast("bigint").alias("size"), "text", "source")
+
+
+def page_paths(spark: SparkSession, d: str) -> DataFrame:
+    """URL paths of the pages (scheme, host, query and fragment removed)."""
+    pages = table(spark, d, "pages")
+    return pages.select(F.regexp_extract("url", r"^[a-z]+://[^/]+/?([^?#]*)", 1).alias("path"))
