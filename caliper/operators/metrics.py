@@ -129,7 +129,8 @@ def average_precision(df: DataFrame, positive: int, label: str = "label", score:
     j = per_score.join(F.broadcast(offsets), [*by, "__b"])
     wf = Window.partitionBy(*by, "__b").orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
     j = j.withColumns({"ctp": F.col("otp") + F.sum("tp").over(wf), "cn": F.col("on") + F.sum("n").over(wf)})
-    term = F.col("tp").cast("double") / F.col("pos") * (F.col("ctp").cast("double") / F.col("cn"))
+    term = F.when(F.col("pos") > 0, F.col("tp").cast("double") / F.col("pos")
+                  * (F.col("ctp").cast("double") / F.col("cn"))).otherwise(F.lit(0.0))
     out = j.groupBy(*by).agg(F.max("pos").alias("__pos"), F.sum(term).alias("__ap"))
     return out.select(*by, F.when(F.col("__pos") > 0, F.col("__ap")).otherwise(F.lit(0.0)).alias(name))
 
