@@ -264,11 +264,14 @@ def evaluate(df: DataFrame, positive: int, label: str = "label", prediction: str
     return out
 
 
-def compare_models(metrics: DataFrame, model: str = "model_name", prefix: str = "fatal") -> DataFrame:
-    """A29 + T1: comparison table ordered by macro-F1 (missing metrics -> 0)."""
+def compare_models(metrics: DataFrame, model: str = "model_name", prefix: str = "fatal",
+                   order: str = "train_order") -> DataFrame:
+    """A29 + T1: comparison table ordered by macro-F1, ties in training order (the same
+    rule that picks the best model), missing metrics -> 0."""
     cols = ["accuracy", "f1_macro", "balanced_accuracy", f"{prefix}_precision", f"{prefix}_recall", f"{prefix}_pr_auc"]
-    return metrics.select(model, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols]) \
-        .orderBy(F.desc("f1_macro"), F.asc(model))
+    tie = [F.asc(order)] if order in metrics.columns else []
+    return metrics.orderBy(F.desc(F.coalesce(F.col("f1_macro"), F.lit(0.0))), *tie, F.asc(model)) \
+        .select(model, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols])
 
 
 def best_model(metrics: DataFrame, metric: str = "f1_macro", order: str = "train_order",

@@ -170,26 +170,42 @@ def fit_model(name: str, train: DataFrame, numeric: list[str], categorical: list
 
 
 def score(model: FittedModel, df: DataFrame, positive: int = 0) -> DataFrame:
-    """Class index (int), probabilities (array) and the positive-class score."""
-    out = model.transform(df)
-    return (out.withColumn("probabilities", vector_to_array(F.col("probability")))
-            .withColumn("prediction", F.col("prediction").cast("int"))
-            .withColumn("score", F.col("probabilities")[positive])
-            .drop("features", "rawPrediction", "probability"))
+    """The input columns unchanged, plus class index (int), probabilities (array) and
+    the positive-class score.  The original row rides through the preprocessing (which
+    rewrites numeric columns in place) inside one struct column."""
+    cols = [c for c in df.columns if c not in ("prediction", "probabilities", "score")]
+    out = model.transform(df.withColumn("__orig", F.struct(*[F.col(f"`{c}`") for c in cols])))
+    return out.select(*[F.col("__orig")[c].alias(c) for c in cols],
+                      F.col("prediction").cast("int").alias("prediction"),
+                      vector_to_array(F.col("probability")).alias("probabilities")) \
+        .withColumn("score", F.col("probabilities")[positive])
+
+
+def parallel_map(fn, items, parallelism: int = 4):
+    """Run independent fits from a small thread pool: Spark schedules concurrent jobs
+    from several driver threads (what ``CrossValidator(parallelism=…)`` does)."""
+    items = list(items)
+    if parallelism <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(items))) as pool:
+        return list(pool.map(fn, items))
 
 
 def fit_and_select(train: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str],
                    class_labels: list[str], positive: int = 0, models: list[str] | None = None,
-                   params: dict | None = None, metric: str = "f1_macro", seed: int = 42):
+                   params: dict | None = None, metric: str = "f1_macro", seed: int = 42, parallelism: int = 3):
     """Fit every candidate, score the same test rows, evaluate all models in one
     grouped job, pick the best by ``metric`` (T2).  Returns ``(best, metrics, scored)``."""
     models = models or MODEL_ORDER
-    fitted, scored = [], None
-    for order, name in enumerate(models):
-        m = fit_model(name, train, numeric, categorical, class_labels, (params or {}).get(name), seed=seed)
-        fitted.append(m)
+    fitted = parallel_map(lambda name: fit_model(name, train, numeric, categorical, class_labels,
+                                                 (params or {}).get(name), seed=seed), models, parallelism)
+    scored = None
+    for order, (name, m) in enumerate(zip(models, fitted)):
         s = score(m, test, positive).withColumns({"model_name": F.lit(name), "train_order": F.lit(order)})
         scored = s if scored is None else scored.unionByName(s)
+    from caliper.session import cut_lineage
+    scored = cut_lineage(scored)   # several metric aggregates read it: score each model once
     metrics = ME.evaluate(scored, positive, by=["model_name", "train_order"]).persist()
     best_name = ME.best_model(metrics, metric).first()["model_name"]
     best = next(m for m in fitted if m.name == best_name)

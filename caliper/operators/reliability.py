@@ -25,21 +25,24 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
 
 def cv_reliability(df: DataFrame, numeric: list[str], categorical: list[str], class_labels: list[str],
                    positive: int = 0, models: list[str] | None = None, params: dict | None = None,
-                   k: int | None = None, seed: int = 42) -> DataFrame:
+                   k: int | None = None, seed: int = 42, parallelism: int = 4) -> DataFrame:
     """M18 + A24: stratified K-fold for every candidate; per model the fold mean and
     population std of accuracy, macro-F1 and critical recall, best mean macro-F1 first."""
     models = models or MO.MODEL_ORDER
     folds = cut_lineage(SP.stratified_folds(df, k, seed=seed))
     k = k or int(SP.min_class_count(df).first()["n_splits"])
-    scored = []
-    for name in models:
-        for f in range(k):
-            m = MO.fit_model(name, folds.filter(F.col("fold") != f), numeric, categorical, class_labels,
-                             (params or {}).get(name), seed=seed)
-            s = MO.score(m, folds.filter(F.col("fold") == f), positive)
-            scored.append(s.select("label", "prediction", "score", F.lit(name).alias("model_name"),
-                                   F.lit(f).alias("fold")))
-    per_fold = ME.evaluate(_stack(scored), positive, by=["model_name", "fold"])
+    jobs = [(name, f) for name in models for f in range(k)]
+
+    def fit_one(job):
+        name, f = job
+        return MO.fit_model(name, folds.filter(F.col("fold") != f), numeric, categorical, class_labels,
+                            (params or {}).get(name), seed=seed)
+
+    fitted = MO.parallel_map(fit_one, jobs, parallelism)
+    scored = [MO.score(m, folds.filter(F.col("fold") == f), positive)
+              .select("label", "prediction", "score", F.lit(name).alias("model_name"), F.lit(f).alias("fold"))
+              for (name, f), m in zip(jobs, fitted)]
+    per_fold = ME.evaluate(cut_lineage(_stack(scored)), positive, by=["model_name", "fold"])
     return (per_fold.groupBy("model_name").agg(
         F.lit(k).alias("cv_splits"),
         F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"),
@@ -115,7 +118,7 @@ def permutation_importance(model: MO.FittedModel, test: DataFrame, features: lis
     features = features or model.features
     base = ME.overall(ME.confusion(MO.score(model, test, positive))).select(F.col("f1_macro").alias("__base"))
     copies = permuted_copies(test, features, repeats, seed)
-    s = MO.score(model, copies, positive)
+    s = cut_lineage(MO.score(model, copies, positive).select("perm_feature", "perm_repeat", "label", "prediction"))
     per = ME.overall(ME.confusion(s, by=["perm_feature", "perm_repeat"]), by=["perm_feature", "perm_repeat"])
     from caliper.operators.common import attach
     per = attach(per, base).withColumn("drop", F.col("__base") - F.col("f1_macro"))
