@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caliper.functions.columns import interaction_features, spatial_key, temporal_features
-from caliper.operators.enrich import (KEY_ALIASES, TARGET_ALIASES, add_placeholders, apply_aliases,
+from caliper.operators.enrich import (KEY_ALIASES, NS_NULL, NS_VALUE, TARGET_ALIASES, add_placeholders,
+                                      apply_aliases,
                                       child_counts, count_fallback, daily_left_join, date_window,
                                       holiday_defaults, left_join_null_safe, match_rates,
                                       normalise_dates)
@@ -27,11 +28,11 @@ def build_master(collision: DataFrame, vehicle: DataFrame, casualty: DataFrame,
     fact = normalise_dates(fact, date, FACT_DATE_FORMATS)
     weather = normalise_dates(weather, date, ("yyyy-MM-dd", "yyyyMMdd", "dd/MM/yyyy"))
 
-    v = child_counts(vehicle, key, "vehicle_record_count", ["number_of_vehicles"])
+    v = child_counts(vehicle, key, "vehicle_record_count", ["number_of_vehicles"], keep_join_key=True)
     v = v.withColumnRenamed("number_of_vehicles", "__vehicle_max") if "number_of_vehicles" in v.columns else v
-    c = child_counts(casualty, key, "casualty_record_count")
+    c = child_counts(casualty, key, "casualty_record_count", keep_join_key=True)
     merged = left_join_null_safe(fact, v, key)
-    merged = left_join_null_safe(merged, c, key)
+    merged = left_join_null_safe(merged, c, key).drop(NS_VALUE, NS_NULL)
     merged = daily_left_join(merged, weather, date, suffix="_weather")
     merged = daily_left_join(merged, holidays, date, suffix="_holiday")
     merged = holiday_defaults(merged)
