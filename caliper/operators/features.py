@@ -37,6 +37,19 @@ class _ColsParams(Params):
         self._setDefault(inputCols=[], stats="{}")
 
 
+def column_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Exact interpolated medians of several columns in one grouped job: the columns are
+    stacked as (feature, value) rows and ``exact_quantiles`` runs per feature (no
+    single-task value map).  Returns at most ``len(cols)`` numbers to the driver."""
+    if not cols:
+        return {}
+    from caliper.operators.quantiles import exact_quantiles
+    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"),
+                                                      F.col(c).try_cast("double").alias("value"))
+                                             for c in cols])).alias("s")).select("s.*")
+    return {r["feature"]: r["value"] for r in exact_quantiles(stacked, "value", [0.5], by=["feature"]).collect()}
+
+
 class ExactMedianImputerModel(Model, _ColsParams, DefaultParamsReadable, DefaultParamsWritable):
     def __init__(self, inputCols=None, stats=None):
         super().__init__()
@@ -75,10 +88,10 @@ class ExactMedianImputer(Estimator, _ColsParams, DefaultParamsReadable, DefaultP
         aggs = []
         for i, c in enumerate(cols):
             v = F.col(c).cast("double")
-            v = F.when(F.isnan(v), F.lit(None)).otherwise(v)
-            aggs += [F.median(v).alias(f"m{i}"), F.count_if(v.isNull()).alias(f"n{i}")]
+            aggs.append(F.count_if(v.isNull() | F.isnan(v)).alias(f"n{i}"))
         row = dataset.agg(*aggs).first() if cols else None
-        med = {c: (float(row[f"m{i}"]) if row[f"m{i}"] is not None else 0.0) for i, c in enumerate(cols)}
+        meds = column_medians(dataset, cols)
+        med = {c: float(meds.get(c) if meds.get(c) is not None else 0.0) for c in cols}
         ind = {c: bool(row[f"n{i}"] > 0) for i, c in enumerate(cols)}
         return ExactMedianImputerModel(inputCols=cols, stats=json.dumps({"median": med, "indicator": ind}))
 
@@ -228,12 +241,12 @@ def with_class_weights(df: DataFrame, label: str = "label", weight: str = "weigh
 
 def feature_defaults(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """``(feature, kind, numeric_default, categorical_default)``: exact median of
-    numeric features (none -> 0.0); most frequent text of categorical ones, ties to the
-    smallest, none -> 'missing'.  One aggregate."""
+    numeric features (none -> 0.0; one grouped quantile job); most frequent text of
+    categorical ones, ties to the smallest, none -> 'missing' (one aggregate)."""
     aggs = []
+    meds = column_medians(df, numeric)
     for i, c in enumerate(numeric):
-        v = F.col(c).try_cast("double")
-        aggs.append(F.coalesce(F.median(F.when(~F.isnan(v), v)), F.lit(0.0)).alias(f"n{i}"))
+        aggs.append(F.lit(float(meds[c]) if meds.get(c) is not None else 0.0).alias(f"n{i}"))
     for i, c in enumerate(categorical):
         aggs.append(F.coalesce(F.mode(F.col(c).cast("string"), deterministic=True), F.lit("missing")).alias(f"c{i}"))
     row = df.agg(*aggs)

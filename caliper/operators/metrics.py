@@ -196,14 +196,19 @@ def calibration_bins(df: DataFrame, positive: int, label: str = "label", score:
     lower edge; empty bins never appear).  ``bin, lo, hi, count, mean_predicted_probability,
     observed_rate, abs_gap``.
 
-    Edges come from one ``percentile`` aggregate over the union of every candidate grid
-    (so q needs no extra job); ``accuracy`` switches to ``percentile_approx`` for very
-    large, near-distinct score sets."""
+    Edges are exact order statistics over the union of every candidate grid (so q needs
+    no extra job), from ``exact_quantiles`` (histogram + boundary buckets, no single-task
+    value map); ``accuracy`` switches to ``percentile_approx``."""
     s = F.col(score).cast("double")
     fr = sorted({f for q in range(1, max_bins + 1) for f in _fractions(q)})
     idx = {f: i for i, f in enumerate(fr)}
-    pct = (F.percentile_approx(s, fr, accuracy) if accuracy else F.percentile(s, F.array(*[F.lit(f) for f in fr])))
-    stats = df.groupBy(*by).agg(pct.alias("__pv"), F.count_distinct(s).alias("__nd"))
+    nd = df.groupBy(*by).agg(F.count_distinct(s).alias("__nd"))
+    if accuracy:
+        pv = df.groupBy(*by).agg(F.percentile_approx(s, fr, accuracy).alias("__pv"))
+    else:
+        from caliper.operators.quantiles import exact_quantile_array
+        pv = exact_quantile_array(df, score, fr, by).withColumnRenamed("values", "__pv")
+    stats = pv.join(nd, list(by)) if by else attach(pv, nd)
     q = F.least(F.lit(max_bins), F.col("__nd"))
     pick = None
     for qq in range(1, max_bins + 1):

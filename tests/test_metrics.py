@@ -172,3 +172,23 @@ def test_error_cases_labels(spark):
     out = ME.error_cases(df, ["Fatal", "Serious", "Slight"]).orderBy("label").collect()
     assert [(r.actual_class_label, r.predicted_class_label) for r in out] == [("Fatal", "Slight"), ("Serious", "Slight")]
     assert not math.isnan(len(out))
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_exact_quantiles_match_numpy(spark, case):
+    from caliper.operators.quantiles import exact_quantiles
+    rnd = random.Random(case)
+    n = [1, 7, 1000, 3000][case]
+    vals = [round(rnd.random(), 3) if case % 2 else rnd.gauss(0, 1) for _ in range(n)]
+    if case == 3:
+        vals += [0.5] * 2000                     # a third-plus of the rows on one value
+    df = spark.createDataFrame([(v, "a" if i % 3 else "b") for i, v in enumerate(vals)], "x double, g string")
+    fr = [float(f) for f in np.linspace(0, 1, 11)]
+    got = {r.fraction: r.value for r in exact_quantiles(df, "x", fr, buckets=8).collect()}
+    exp = np.quantile(np.array(vals), fr)
+    for f, e in zip(fr, exp):
+        assert got[f] == pytest.approx(e, abs=1e-12)
+    med = {r.g: r.value for r in exact_quantiles(df, "x", [0.5], by=["g"], buckets=4).collect()}
+    for g in med:
+        sub = [v for i, v in enumerate(vals) if ("a" if i % 3 else "b") == g]
+        assert med[g] == pytest.approx(float(np.median(sub)), abs=1e-12)
