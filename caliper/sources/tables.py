@@ -126,3 +126,13 @@ def land(src: DataFrame, dst: str, date_col: str | None = None, lo: str | None =
         "to_date": F.lit(hi),
         "landed_at_utc": F.current_timestamp(),
     })
+
+
+def read_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+                 multiline: bool = False) -> DataFrame:
+    """JSON records to score (one object per line, or one multi-line document).
+    Fields beyond the model's features are carried along and ignored by scoring."""
+    reader = spark.read.option("multiLine", multiline)
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.json(path)

@@ -69,3 +69,25 @@ def test_training_generates_artifacts(spark, tmp_dir):
     assert len(scored) == 1 and scored[0].predicted_code in (1, 2, 3)
     assert abs(sum(scored[0].probabilities) - 1.0) < 1e-9
     assert json.loads(spark.read.json(os.path.join(out_dir, "metrics")).first()["summary"])["rows_total"] == 60
+
+
+def test_json_records_scoring_ignores_extra_fields(spark, tmp_dir):
+    from caliper.operators import features as FE
+    from caliper.sources.tables import read_records
+    from caliper.plans.train_run import CATEGORICAL, NUMERIC
+    rows = spark.createDataFrame(_master_rows(), SCHEMA)
+    from caliper.operators import prepare as PR
+    prepared = PR.prepare(rows.withColumn("row_id", F.monotonically_increasing_id()), NUMERIC + CATEGORICAL)
+    model = MO.fit_model("logistic_regression", prepared, NUMERIC, CATEGORICAL, ["Fatal", "Serious", "Slight"],
+                         {"max_iter": 10})
+    rec = {c: 1 for c in NUMERIC + CATEGORICAL}
+    rec.update({"number_of_casualties": 3, "cloud_cover": 5.0, "precipitation": 0.2})
+    p = os.path.join(tmp_dir, "sample_input.json")
+    with open(p, "w") as f:
+        json.dump(rec, f)
+    df = read_records(spark, p, multiline=True)
+    dfl = {r["feature"]: (r["numeric_default"] if r["kind"] == "numeric" else r["categorical_default"])
+           for r in FE.feature_defaults(prepared, NUMERIC, CATEGORICAL).collect()}
+    model.defaults = dfl
+    out = MO.batch_score(model, df.drop("road_type")).collect()
+    assert len(out) == 1 and out[0].predicted_class_label in ("Fatal", "Serious", "Slight")
