@@ -37,17 +37,37 @@ class _ColsParams(Params):
         self._setDefault(inputCols=[], stats="{}")
 
 
-def column_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """Exact interpolated medians of several columns in one grouped job: the columns are
-    stacked as (feature, value) rows and ``exact_quantiles`` runs per feature (no
-    single-task value map).  Returns at most ``len(cols)`` numbers to the driver."""
+def column_profile(df: DataFrame, cols: list[str]) -> tuple[dict, dict]:
+    """Exact interpolated medians and missing counts of several columns.
+
+    Pass 1 (one aggregate): missing count and a HyperLogLog distinct estimate per column.
+    Pass 2: when every column provably has few distinct values, one wide ``median``
+    aggregate (its value->count maps are bounded); otherwise the columns are stacked as
+    (feature, value) rows and the bucketed ``exact_quantiles`` runs per feature, so no
+    task ever holds an unbounded value map.  Returns ``(medians, missing_counts)`` —
+    at most 2·len(cols) numbers on the driver."""
     if not cols:
-        return {}
-    from caliper.operators.quantiles import exact_quantiles
+        return {}, {}
+    from caliper.operators.quantiles import MAP_BOUND, exact_quantiles
+    aggs = []
+    for i, c in enumerate(cols):
+        v = F.col(c).try_cast("double")
+        aggs += [F.count_if(v.isNull() | F.isnan(v)).alias(f"n{i}"), F.approx_count_distinct(v, 0.05).alias(f"d{i}")]
+    row = df.agg(*aggs).first()
+    missing = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
+    if max(int(row[f"d{i}"]) for i in range(len(cols))) <= MAP_BOUND / 1.2:
+        meds = df.agg(*[F.median(F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double")))
+                        .alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        return {c: meds[f"m{i}"] for i, c in enumerate(cols)}, missing
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"),
                                                       F.col(c).try_cast("double").alias("value"))
                                              for c in cols])).alias("s")).select("s.*")
-    return {r["feature"]: r["value"] for r in exact_quantiles(stacked, "value", [0.5], by=["feature"]).collect()}
+    q = exact_quantiles(stacked, "value", [0.5], by=["feature"], map_bound=None).collect()
+    return {r["feature"]: r["value"] for r in q}, missing
+
+
+def column_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    return column_profile(df, cols)[0]
 
 
 class ExactMedianImputerModel(Model, _ColsParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -85,14 +105,9 @@ class ExactMedianImputer(Estimator, _ColsParams, DefaultParamsReadable, DefaultP
 
     def _fit(self, dataset: DataFrame) -> ExactMedianImputerModel:
         cols = self.getOrDefault(self.inputCols)
-        aggs = []
-        for i, c in enumerate(cols):
-            v = F.col(c).cast("double")
-            aggs.append(F.count_if(v.isNull() | F.isnan(v)).alias(f"n{i}"))
-        row = dataset.agg(*aggs).first() if cols else None
-        meds = column_medians(dataset, cols)
+        meds, missing = column_profile(dataset, cols)
         med = {c: float(meds.get(c) if meds.get(c) is not None else 0.0) for c in cols}
-        ind = {c: bool(row[f"n{i}"] > 0) for i, c in enumerate(cols)}
+        ind = {c: bool(missing.get(c, 0) > 0) for c in cols}
         return ExactMedianImputerModel(inputCols=cols, stats=json.dumps({"median": med, "indicator": ind}))
 
 

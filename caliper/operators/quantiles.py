@@ -27,11 +27,43 @@ from caliper.operators.common import attach
 BUCKETS = 65536
 
 
+MAP_BOUND = 1_000_000  # distinct values per group that one task may hold in a value->count map
+
+
 def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float], by: Sequence[str] = (),
-                    buckets: int = BUCKETS) -> DataFrame:
+                    buckets: int = BUCKETS, eager: bool = True, map_bound: int | None = MAP_BOUND) -> DataFrame:
+    """Exact linear-interpolated quantiles, ``by…, fraction, value``.
+
+    Checked choice of strategy: one aggregate estimates the distinct values per group
+    (HyperLogLog).  When every group has at most ``map_bound`` of them, Spark's exact
+    ``percentile`` (a value->count map per group) is provably small and is used;
+    otherwise the bucketed path below runs.  ``map_bound=None`` forces the bucketed path.
+
+    ``eager`` (default) persists the projected values while the bucketed passes run and
+    returns the tiny result (groups × fractions rows) as a reliable checkpoint, so the
+    input plan is evaluated once."""
     by = list(by)
     x = F.col(col).cast("double")
     vals = df.select(*by, x.alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    if map_bound is not None:
+        nd = vals.groupBy(*by).agg(F.approx_count_distinct("__x", 0.05).alias("__nd")) \
+            .agg(F.max("__nd").alias("m")).first()["m"]
+        if nd is None or nd <= map_bound / 1.2:
+            fr = F.array(*[F.lit(float(f)) for f in fractions])
+            pv = vals.groupBy(*by).agg(F.percentile("__x", fr).alias("__pv"))
+            return pv.select(*by, F.posexplode("__pv").alias("__i", "value")).select(
+                *by, fr[F.col("__i")].alias("fraction"), "value")
+    if eager:
+        from caliper.session import cut_lineage
+        vals = vals.persist()
+        try:
+            return cut_lineage(_quantiles(vals, fractions, by, buckets))
+        finally:
+            vals.unpersist()
+    return _quantiles(vals, fractions, by, buckets)
+
+
+def _quantiles(vals: DataFrame, fractions: Sequence[float], by: list[str], buckets: int) -> DataFrame:
     stats = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"),
                                   F.max("__x").alias("__hi"))
     width = F.col("__hi") - F.col("__lo")

@@ -173,7 +173,7 @@ def grid_search(train: DataFrame, name: str, grid: dict[str, list], numeric: lis
         e = MO.build_estimator(name, p, n, len(class_labels), seed)
         maps.append({est.getParam(q.name): e.getOrDefault(q) for q in e.params if e.isSet(q) or e.hasDefault(q)})
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps or pgb.build(), evaluator=MO.MacroF1Evaluator(),
-                        numFolds=k, foldCol="fold", seed=seed)
+                        numFolds=k, foldCol="fold", seed=seed, parallelism=4)
     cvm = cv.fit(folds)
     scores = list(cvm.avgMetrics)
     spark = train.sparkSession

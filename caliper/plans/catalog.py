@@ -704,7 +704,7 @@ SELECT label, CAST(sum(nc) OVER () AS DOUBLE) / (count(*) OVER () * nc) AS weigh
 FROM (SELECT label, count(*) AS nc FROM prepared GROUP BY label)""", ["weight"])
 def q_class_weights(spark, d):
     """Balanced class weights n / (K · n_c)."""
-    return FE.class_weights(R.prepared(spark, d))
+    return FE.class_weights(R.prepared_checkpointed(spark, d))
 
 
 @register("feature_defaults", S.with_(S.ALL_PREPARED) + " UNION ALL ".join(
@@ -715,7 +715,7 @@ def q_class_weights(spark, d):
        for c in R.CATEGORICAL_FEATURES]), ["numeric_default"])
 def q_feature_defaults(spark, d):
     """Median / mode defaults used to fill absent inputs."""
-    return FE.feature_defaults(R.prepared(spark, d), R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES)
+    return FE.feature_defaults(R.prepared_checkpointed(spark, d), R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES)
 
 
 def _imputed_sql() -> str:
@@ -731,7 +731,7 @@ IMPUTED_COLS = R.NUMERIC_FEATURES + [f"missingindicator_{c}" for c in NUM_WITH_M
           [c for c in IMPUTED_COLS])
 def q_imputed_features(spark, d):
     """M1: exact-median imputation + missing indicators (only for columns with gaps)."""
-    p = R.prepared(spark, d)
+    p = R.prepared_checkpointed(spark, d)
     m = FE.ExactMedianImputer(inputCols=R.NUMERIC_FEATURES).fit(p)
     out = m.transform(p)
     return out.select("row_id", *[c for c in out.columns if c in IMPUTED_COLS])
@@ -742,7 +742,7 @@ def q_imputed_features(spark, d):
     for c in IMPUTED_COLS) + " FROM imp", IMPUTED_COLS)
 def q_scaled_features(spark, d):
     """M2: imputed (incl. indicators) and standardised with the population std."""
-    p = R.prepared(spark, d)
+    p = R.prepared_checkpointed(spark, d)
     m = FE.ScalerAfterImputer(inputCols=R.NUMERIC_FEATURES).fit(p)
     out = m.transform(p)
     return out.select("row_id", *[c for c in out.columns if c in IMPUTED_COLS])
@@ -758,7 +758,7 @@ OHE_COLS = {"order_status": ["F", "O", "P"], "is_bank_holiday": ["0", "1"]}
 def q_onehot_features(spark, d):
     """M3 + M4 + M6: text categories, alphabetical one-hot, unseen -> all zeros; named
     output slots come from the vector's ML attributes."""
-    p = R.prepared(spark, d)
+    p = R.prepared_checkpointed(spark, d)
     pipe = FE.preprocessor([], R.CATEGORICAL_FEATURES).fit(p)
     names = FE.feature_names(pipe, p)
     out = pipe.transform(p).select("row_id", vector_to_array("features").alias("__v"))
@@ -772,7 +772,7 @@ SELECT row_id, (SELECT coalesce(median(cloud_cover), CAST(0 AS DOUBLE)) FROM pre
        hour FROM prepared""", ["cloud_cover"])
 def q_default_fill(spark, d):
     """Absent input columns filled with stored defaults (computed by A23)."""
-    p = R.prepared(spark, d)
+    p = R.prepared_checkpointed(spark, d)
     dfl = FE.feature_defaults(p, ["cloud_cover"], ["order_status"])
     cloud = dfl.filter("feature = 'cloud_cover'").select("numeric_default").scalar()
     status = dfl.filter("feature = 'order_status'").select("categorical_default").scalar()

@@ -50,12 +50,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
-
-    Used before iterative work (model fitting loops) so a lost executor recomputes
-    from the checkpoint, not from the raw scan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it
+    back (a written table survives executor loss; lineage is cut).
+
+    Compared with ``Dataset.checkpoint()`` this runs the plan once (a reliable RDD
+    checkpoint recomputes it unless cached) and stores columns, so later reads get
+    column pruning and filter pushdown."""
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/caliper-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

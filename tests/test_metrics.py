@@ -184,11 +184,12 @@ def test_exact_quantiles_match_numpy(spark, case):
         vals += [0.5] * 2000                     # a third-plus of the rows on one value
     df = spark.createDataFrame([(v, "a" if i % 3 else "b") for i, v in enumerate(vals)], "x double, g string")
     fr = [float(f) for f in np.linspace(0, 1, 11)]
-    got = {r.fraction: r.value for r in exact_quantiles(df, "x", fr, buckets=8).collect()}
     exp = np.quantile(np.array(vals), fr)
-    for f, e in zip(fr, exp):
-        assert got[f] == pytest.approx(e, abs=1e-12)
-    med = {r.g: r.value for r in exact_quantiles(df, "x", [0.5], by=["g"], buckets=4).collect()}
+    for bound in (None, 10 ** 6):              # bucketed path and the checked map path
+        got = {r.fraction: r.value for r in exact_quantiles(df, "x", fr, buckets=8, map_bound=bound).collect()}
+        for f, e in zip(fr, exp):
+            assert got[f] == pytest.approx(e, abs=1e-12)
+    med = {r.g: r.value for r in exact_quantiles(df, "x", [0.5], by=["g"], buckets=4, map_bound=None).collect()}
     for g in med:
         sub = [v for i, v in enumerate(vals) if ("a" if i % 3 else "b") == g]
         assert med[g] == pytest.approx(float(np.median(sub)), abs=1e-12)
