@@ -32,10 +32,12 @@ def order_key(df: DataFrame, row_id: str = "row_id", seed: int = 42, name: str =
 
 
 def flag_first_n(df: DataFrame, quota: DataFrame, part: Sequence[str], key: str, tiebreak: str,
-                 out: str = "__first", buckets: int = BUCKETS, key_range: tuple[int, int] | None = None) -> DataFrame:
+                 out: str = "__first", buckets: int = BUCKETS, key_range: tuple[int, int] | None = None,
+                 counts: DataFrame | None = None) -> DataFrame:
     """Add boolean ``out``: the row is among the first ``quota.n`` rows of its ``part``
     group in ``(key, tiebreak)`` order.  ``quota`` has columns ``part… , n`` (one row per
-    group, broadcast: its size is the number of groups).
+    group, broadcast: its size is the number of groups).  A caller that already has the
+    ``__b`` column and its ``(part…, __b, __c)`` count table passes them in.
 
     ``key`` must be numeric; buckets are ``floor((key - lo) · B / (hi - lo + 1))`` — a
     monotone map, so bucket order agrees with key order."""
@@ -48,8 +50,10 @@ def flag_first_n(df: DataFrame, quota: DataFrame, part: Sequence[str], key: str,
         work = df
         lo, hi = F.lit(float(key_range[0])), F.lit(float(key_range[1]))
     b = F.floor((F.col(key).cast("double") - lo) * F.lit(float(buckets)) / (hi - lo + F.lit(1.0)))
-    work = work.withColumn("__b", F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("int"))
-    counts = work.groupBy(*part, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    if "__b" not in work.columns:
+        work = work.withColumn("__b", F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("int"))
+    if counts is None:
+        counts = work.groupBy(*part, "__b").agg(F.count(F.lit(1)).alias("__c"))
     counts = attach(counts, quota, part)
     w = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     decided = counts.select(*part, "__b", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__before"),
@@ -114,30 +118,35 @@ def min_class_count(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def stratified_take(df: DataFrame, label: str, total: Column, row_id: str = "row_id", seed: int = 42,
-                    out: str = "__take", stratify: bool = True) -> DataFrame:
+                    out: str = "__take", stratify: bool | None = True) -> DataFrame:
     """Mark ``total`` rows (a Column over ``__n`` = all rows) taken per class in
-    proportion, first in seeded hash order."""
+    proportion, first in seeded hash order.
+
+    One pass builds the (class, bucket) count table (≤ K × buckets rows, written once);
+    class counts, the stratification check and the quotas all come from it, so the data
+    is read three times in total (counts, decided buckets, boundary buckets)."""
+    from caliper.session import cut_lineage
+
     work = order_key(df, row_id, seed)
+    work = work.withColumn("__b", F.floor(F.col("__h") * F.lit(float(BUCKETS)) / F.lit(float(HASH_SPAN))).cast("int"))
+    counts = cut_lineage(work.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__c")))
+    per_class = counts.groupBy(label).agg(F.sum("__c").alias("__nc"))
+    if stratify is None:
+        stratify = bool(per_class.agg(F.min("__nc")).first()[0] >= 2)
     if stratify:
-        quota = allocate(class_counts(work, label), label, total)
-        res = flag_first_n(work, quota, [label], "__h", row_id, out, key_range=(0, HASH_SPAN - 1))
+        quota = allocate(per_class, label, total)
+        res = flag_first_n(work, quota, [label], "__h", row_id, out, key_range=(0, HASH_SPAN - 1), counts=counts)
     else:
-        quota = work.agg(F.count(F.lit(1)).alias("__n")).select(total.cast("bigint").alias("n"))
-        res = flag_first_n(work, quota, [], "__h", row_id, out, key_range=(0, HASH_SPAN - 1))
+        quota = counts.agg(F.sum("__c").alias("__n")).select(total.cast("bigint").alias("n"))
+        c1 = counts.groupBy("__b").agg(F.sum("__c").alias("__c"))
+        res = flag_first_n(work, quota, [], "__h", row_id, out, key_range=(0, HASH_SPAN - 1), counts=c1)
     return res.drop("__h")
 
 
-def _stratify_ok(df: DataFrame, label: str) -> bool:
-    """Bounded scalar action (K rows): stratify only if every class has ≥ 2 rows."""
-    return bool(min_class_count(df, label).first()["stratify"])
-
-
 def stratified_split(df: DataFrame, label: str = "label", row_id: str = "row_id", test_frac: float = 0.2,
                      seed: int = 42, stratify: bool | None = None) -> DataFrame:
     """Adds ``side`` = 'test' for ``ceil(test_frac·n)`` rows (allocated to classes
     by largest remainder), 'train' otherwise.  Unstratified when a class has < 2 rows."""
-    if stratify is None:
-        stratify = _stratify_ok(df, label)
     total = F.ceil(F.col("__n") * F.lit(float(test_frac)))
     res = stratified_take(df, label, total, row_id, seed, "__take", stratify)
     return res.withColumn("side", F.when(F.col("__take"), F.lit("test")).otherwise(F.lit("train"))).drop("__take")
