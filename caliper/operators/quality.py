@@ -118,12 +118,21 @@ def error_dispersion(errors: DataFrame, features: list[str], top: int | None = N
 def duplicate_overlap(train: DataFrame, test: DataFrame, features: list[str]) -> DataFrame:
     """Test rows whose full feature row also occurs in train (NULL-safe equality).
 
-    The train side is reduced to its distinct feature rows first, then a NULL-safe
-    left-semi join; both sides shuffle on the feature values (a hot duplicate row is one
-    key on the deduplicated side, so only the test side can skew, and AQE splits it)."""
-    right = train.select(*features).distinct()
-    cond = [test[c].eqNullSafe(right[c]) for c in features]
-    return test.join(right, cond, "left_semi")
+    Both sides are keyed by one 64-bit hash of the feature row (F17).  The train side is
+    hash-partitioned on that key and deduplicated there, and the left-semi join uses the
+    key as its only equi-key, so neither side is shuffled twice; the exact NULL-safe
+    comparison of the whole row runs as the join's residual condition (hash collisions
+    cannot create false matches).  A hot duplicate row is one key on the deduplicated
+    side; only the test side can skew, and AQE splits it."""
+    k = F.xxhash64(*[F.col(c) for c in features])
+    right = (train.select(k.alias("__k"), F.struct(*features).alias("__r"))
+             .repartition("__k").dropDuplicates(["__k", "__r"]))
+    left = test.withColumn("__k", k)
+    lrow, rrow = F.struct(*[left[c] for c in features]), right["__r"]
+    # both terms mix the two sides, so the planner keeps this as a residual (the hash is
+    # the only join key); greatest == least holds exactly when the rows are equal
+    same_row = F.greatest(lrow, rrow).eqNullSafe(F.least(lrow, rrow))
+    return left.join(right, (left["__k"] == right["__k"]) & same_row, "left_semi").drop("__k")
 
 
 def leakage_report(train: DataFrame, test: DataFrame, features: list[str], date: str = "date") -> DataFrame:
