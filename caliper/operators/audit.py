@@ -118,7 +118,9 @@ def secret_findings(df: DataFrame, path: str = "path", text: str = "text", exemp
     d = df.select(F.col(path).alias("__path"), F.col(text).alias("__text"))
     d = d.filter(F.octet_length("__text") <= max_bytes)
     if exempt is not None:
-        d = d.join(F.broadcast(exempt.select(F.col(exempt.columns[0]).alias("__path"))), "__path", "left_anti")
+        from caliper.session import bounded_broadcast
+        ex = bounded_broadcast(exempt.select(F.col(exempt.columns[0]).alias("__path")).distinct(), 1_000_000)
+        d = d.join(ex, "__path", "left_anti")
     d = d.filter(F.col("__text").rlike(pattern))
     lines = d.select("__path", F.posexplode(F.split("__text", "\n")).alias("__pos", "__line"))
     first = lines.filter(F.col("__line").rlike(pattern)).groupBy("__path").agg((F.min("__pos") + 1).alias("line_no"))

@@ -93,7 +93,9 @@ def _quantiles(vals: DataFrame, fractions: Sequence[float], by: list[str], bucke
 
     # exact order statistics inside the needed buckets only (distinct values + counts)
     inb = work.join(F.broadcast(needed), [*by, "__b"]).groupBy(*by, "__b", "__x").agg(F.count(F.lit(1)).alias("__m"))
-    inb = inb.join(F.broadcast(counts.select(*by, "__b", "__before")), [*by, "__b"])
+    # only the needed buckets' offsets travel (≤ 2·fractions rows per group)
+    offs = counts.select(*by, "__b", "__before").join(F.broadcast(needed), [*by, "__b"])
+    inb = inb.join(F.broadcast(offs), [*by, "__b"])
     wv = Window.partitionBy(*by, "__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
     inb = inb.withColumn("__end", F.col("__before") + F.sum("__m").over(wv))      # exclusive end rank
     inb = inb.withColumn("__start", F.col("__end") - F.col("__m"))

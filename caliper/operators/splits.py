@@ -25,6 +25,20 @@ from caliper.operators.common import attach
 
 BUCKETS = 4096
 HASH_SPAN = 2 ** 32
+MAX_BUCKET_ROWS = 2_000_000  # bound on any broadcast (group × bucket) table
+
+
+def coarsen(counts: DataFrame, work: DataFrame, part: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Keep the (group × bucket) table under ``MAX_BUCKET_ROWS`` rows: with many groups,
+    merge adjacent buckets (``__b div f`` stays monotone).  One bounded action on the
+    small written count table."""
+    rows = counts.count()
+    if rows <= MAX_BUCKET_ROWS:
+        return counts, work
+    f = -(-rows // MAX_BUCKET_ROWS)
+    nb = (F.col("__b") / F.lit(f)).cast("int")
+    counts = counts.groupBy(*part, nb.alias("__b")).agg(F.sum("__c").alias("__c"))
+    return counts, work.withColumn("__b", nb)
 
 
 def order_key(df: DataFrame, row_id: str = "row_id", seed: int = 42, name: str = "__h") -> DataFrame:
@@ -81,7 +95,9 @@ def ordinal_within(df: DataFrame, part: Sequence[str], key: str, tiebreak: str,
     lo, hi = key_range
     b = F.floor((F.col(key).cast("double") - F.lit(float(lo))) * F.lit(float(buckets)) / F.lit(float(hi - lo + 1)))
     work = df.withColumn("__b", F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("int"))
-    counts = work.groupBy(*part, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    from caliper.session import cut_lineage
+    counts = cut_lineage(work.groupBy(*part, "__b").agg(F.count(F.lit(1)).alias("__c")))
+    counts, work = coarsen(counts, work, part)
     w = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*part, "__b", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off"))
     work = work.join(F.broadcast(offs), [*part, "__b"])
@@ -130,6 +146,7 @@ def stratified_take(df: DataFrame, label: str, total: Column, row_id: str = "row
     work = order_key(df, row_id, seed)
     work = work.withColumn("__b", F.floor(F.col("__h") * F.lit(float(BUCKETS)) / F.lit(float(HASH_SPAN))).cast("int"))
     counts = cut_lineage(work.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__c")))
+    counts, work = coarsen(counts, work, [label])
     per_class = counts.groupBy(label).agg(F.sum("__c").alias("__nc"))
     if stratify is None:
         stratify = bool(per_class.agg(F.min("__nc")).first()[0] >= 2)

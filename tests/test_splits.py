@@ -117,3 +117,22 @@ def test_min_class_count(spark):
     df = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "row_id long, label int")
     r = SP.min_class_count(df).first()
     assert (r.min_class_count, r.n_splits, r.stratify) == (1, 2, False)
+
+
+def test_coarsened_buckets_keep_exactness(spark, monkeypatch):
+    df, rows = _frame(spark, n=1200)
+    monkeypatch.setattr(SP, "MAX_BUCKET_ROWS", 50)        # force merging of adjacent buckets
+    out = SP.stratified_split(df, test_frac=0.25).collect()
+    counts = {}
+    for _, lab, _, _ in rows:
+        counts[lab] = counts.get(lab, 0) + 1
+    alloc = _expected_alloc(counts, math.ceil(len(rows) * 0.25))
+    exp = set()
+    for c in counts:
+        ids = sorted((r[0] for r in rows if r[1] == c), key=lambda k: (_h(k), k))
+        exp |= set(ids[:alloc[c]])
+    assert {r.row_id for r in out if r.side == "test"} == exp
+    folds = SP.stratified_folds(df, 4).collect()
+    ids = sorted((r[0] for r in rows if r[1] == 2), key=lambda k: (_h(k), k))
+    fold_of = {r.row_id: r.fold for r in folds}
+    assert [fold_of[k] for k in ids] == [i % 4 for i in range(len(ids))]
