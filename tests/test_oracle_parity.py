@@ -31,3 +31,18 @@ def test_all_oracle_queries_match(spark):
         if sorted(sdf.columns) != sorted(rel.columns) or digest(sdf.columns, srows)[0] != digest(rel.columns, drows)[0]:
             bad.append(name)
     assert not bad, bad
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
+def test_no_cartesian_or_nested_loop_joins(spark):
+    """Scale rule: no registered (SQL-checked) query plans a cross product or a
+    nested-loop join, even with broadcast joins allowed."""
+    import __spark_entry__ as E
+
+    qs = E.queries()
+    bad = []
+    for name in E.oracle_sql():
+        plan = qs[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        if "CartesianProduct" in plan or "NestedLoopJoin" in plan:
+            bad.append(name)
+    assert not bad, bad
