@@ -212,8 +212,10 @@ def time_split(df: DataFrame, date: str = "date", row_id: str = "row_id", train_
     ``int(train_frac·n)`` are 'train', the rest 'test'.
 
     Level 1: per-date counts (≤ number of days) prefix-summed to find the boundary day.
-    Level 2: inside the boundary day, the bucketed first-n on ``row_id`` (so one hot day
-    is still split across tasks).  Needs ``max(min_valid, int(min_valid_frac·N))`` dates."""
+    Level 2: inside the boundary day, the exact m-th smallest row id by iterative
+    histogram refinement (``kth_smallest``), so one hot day is never sorted in one task,
+    however its ids cluster.  ``row_id`` must be numeric and unique.  Needs
+    ``max(min_valid, int(min_valid_frac·N))`` dates."""
     valid = df.filter(F.col(date).isNotNull())
     per_day = valid.groupBy(date).agg(F.count(F.lit(1)).alias("__c"))
     all_days = Window.partitionBy()
@@ -233,11 +235,16 @@ def time_split(df: DataFrame, date: str = "date", row_id: str = "row_id", train_
         (F.col("__k") - F.col("__before")).alias("n"))
     j = valid.join(F.broadcast(bounds), date)
     whole = j.filter(F.col("__status") != "partial").withColumn("side", F.col("__status"))
-    edge = j.filter(F.col("__status") == "partial").drop("__status", "n")
-    quota = bounds.filter(F.col("__status") == "partial").select("n")
-    edge = flag_first_n(edge, quota, [], row_id, row_id, "__first")
-    edge = edge.withColumn("side", F.when(F.col("__first"), F.lit("train")).otherwise(F.lit("test"))).drop("__first")
-    return whole.drop("__status", "n").unionByName(edge)
+    part = bounds.filter(F.col("__status") == "partial").select(date, "n").first()   # ≤ 1 row
+    whole = whole.drop("__status", "n")
+    if part is None:
+        return whole
+    # level 2: first m rows of the boundary day by row id = row id <= the m-th smallest one
+    from caliper.operators.quantiles import kth_smallest
+    edge = valid.filter(F.col(date) == F.lit(part[date]))
+    cut = kth_smallest(edge, row_id, int(part["n"]))
+    edge = edge.withColumn("side", F.when(F.col(row_id) <= F.lit(cut), F.lit("train")).otherwise(F.lit("test")))
+    return whole.unionByName(edge)
 
 
 def holdout_sizes(split: DataFrame, group: str = "spatial_key", side: str = "side") -> DataFrame:

@@ -136,3 +136,12 @@ def test_coarsened_buckets_keep_exactness(spark, monkeypatch):
     ids = sorted((r[0] for r in rows if r[1] == 2), key=lambda k: (_h(k), k))
     fold_of = {r.row_id: r.fold for r in folds}
     assert [fold_of[k] for k in ids] == [i % 4 for i in range(len(ids))]
+
+
+def test_kth_smallest_clustered_values(spark):
+    from caliper.operators.quantiles import kth_smallest
+    vals = list(range(1000)) + [10 ** 15 + i for i in range(5)] + [-(10 ** 12)]
+    df = spark.createDataFrame([(v,) for v in vals], "x long")
+    srt = sorted(vals)
+    for k in (1, 2, 500, 1001, len(vals)):
+        assert kth_smallest(df, "x", k, buckets=4, small=3) == srt[k - 1]
