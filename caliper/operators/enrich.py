@@ -122,15 +122,30 @@ def match_rates(df: DataFrame, indicators: dict[str, str]) -> DataFrame:
 
 
 def date_window(df: DataFrame, date: str, lo: str | None = None, hi: str | None = None) -> DataFrame:
-    """Inclusive date window on a parsed date column; NULL dates drop out.
-
-    Written as a plain range on the column so it pushes down to the scan."""
-    cond = F.lit(True)
+    """Inclusive window of calendar days; NULL dates drop out.
+
+    Written as a plain range on the *stored* column so it reaches the parquet scan as
+    pushed filters: a timestamp column is compared with ``[lo 00:00, hi + 1 day)``, a
+    date column with ``[lo, hi]``.  Text dates are parsed first (no pushdown possible)."""
+    t = dict(df.dtypes)[date]
+    c = F.col(date)
+    if t.startswith("timestamp"):
+        cast = "timestamp_ntz" if t == "timestamp_ntz" else "timestamp"
+        cond = c.isNotNull()
+        if lo is not None:
+            cond = cond & (c >= F.lit(f"{lo} 00:00:00").cast(cast))
+        if hi is not None:
+            cond = cond & (c < (F.to_date(F.lit(hi)) + F.expr("INTERVAL 1 DAY")).cast(cast))
+        return df.filter(cond)
+    if t == "string":
+        df = normalise_dates(df, date)
+        c = F.col(date)
+    cond = c.isNotNull()
     if lo is not None:
-        cond = cond & (F.col(date) >= F.to_date(F.lit(lo)))
+        cond = cond & (c >= F.to_date(F.lit(lo)))
     if hi is not None:
-        cond = cond & (F.col(date) <= F.to_date(F.lit(hi)))
-    return df.filter(F.col(date).isNotNull() & cond)
+        cond = cond & (c <= F.to_date(F.lit(hi)))
+    return df.filter(cond)
 
 
 def normalise_dates(df: DataFrame, date: str = "date", formats=None) -> DataFrame:

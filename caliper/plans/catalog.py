@@ -126,8 +126,8 @@ SELECT accident_index, date FROM collision
 WHERE date BETWEEN DATE '1996-03-01' AND DATE '1998-02-28'""")
 def q_date_window(spark, d):
     """Inclusive date window (pushed to the scan as a range)."""
-    fact = EN.normalise_dates(R.collision(spark, d).select("accident_index", "date"), "date")
-    return EN.date_window(fact, "date", "1996-03-01", "1998-02-28")
+    fact = EN.date_window(R.collision(spark, d).select("accident_index", "date"), "date", "1996-03-01", "1998-02-28")
+    return EN.normalise_dates(fact, "date")
 
 
 # ------------------------------------------------------------------ scalar features

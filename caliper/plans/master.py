@@ -67,8 +67,14 @@ def merge_daily_inner(fact: DataFrame, daily: DataFrame, date: str = "date", sta
     from caliper.operators.enrich import MAX_DAILY_ROWS
 
     lo = f"{start_year:04d}-01-01"
-    f = date_window(normalise_dates(fact, date, fact_formats), date, lo)
-    d = date_window(normalise_dates(daily, date, daily_formats), date, lo)
+    def window(df, formats):
+        # raw timestamp / date columns are filtered before parsing so the bound reaches the scan
+        if dict(df.dtypes)[date] == "string":
+            return date_window(normalise_dates(df, date, formats), date, lo)
+        return normalise_dates(date_window(df, date, lo), date, formats)
+
+    f = window(fact, fact_formats)
+    d = window(daily, daily_formats)
     clashes = [c for c in d.columns if c != date and c in f.columns]
     for cc in clashes:
         d = d.withColumnRenamed(cc, cc + "_daily")
