@@ -12,8 +12,7 @@ from typing import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DateType, DoubleType, FloatType, NumericType, StringType, TimestampNTZType,
-                               TimestampType)
+from pyspark.sql.types import DateType, DoubleType, FloatType, StringType, TimestampNTZType, TimestampType
 
 # fixed values: peak hours and weekend day numbers (Monday = 0)
 PEAK_HOURS = (7, 8, 9, 16, 17, 18)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from caliper.functions.columns import interaction_features, spatial_key, temporal_features
 from caliper.operators.enrich import (KEY_ALIASES, NS_NULL, NS_VALUE, TARGET_ALIASES, add_placeholders,

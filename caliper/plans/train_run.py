@@ -13,7 +13,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caliper.operators import audit  # noqa: F401  (kept importable from the plan)
 from caliper.operators import features as FE
 from caliper.operators import metrics as ME
 from caliper.operators import models as MO
