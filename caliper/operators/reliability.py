@@ -58,10 +58,23 @@ def _holdout_metrics(train: DataFrame, test: DataFrame, name: str, numeric, cate
     return ME.evaluate(s, positive)
 
 
+def unavailable(spark, name: str, reason: str) -> DataFrame:
+    """The "not available + reason" record of a holdout that cannot run."""
+    return spark.createDataFrame([(False, name, reason)], "available boolean, model_name string, reason string")
+
+
 def time_holdout(df: DataFrame, name: str, numeric: list[str], categorical: list[str], class_labels: list[str],
-                 positive: int = 0, params: dict | None = None, seed: int = 42, date: str = "date") -> DataFrame:
-    """Refit on the earliest 80 % (by date, row id) and evaluate on the rest."""
-    sp = cut_lineage(SP.time_split(df, date))
+                 positive: int = 0, params: dict | None = None, seed: int = 42, date: str = "date",
+                 train_frac: float = 0.8) -> DataFrame:
+    """Refit on the earliest 80 % (by date, row id) and evaluate on the rest; a
+    one-row "unavailable" record when there are too few dated rows or no valid cut."""
+    c = df.agg(F.count(F.lit(1)).alias("n"), F.count(date).alias("v")).first()
+    if c["v"] < max(10, int(0.4 * c["n"])):
+        return unavailable(df.sparkSession, name, "Not enough valid date values for time-based holdout.")
+    k = int(train_frac * c["v"])
+    if k <= 0 or k >= c["v"]:
+        return unavailable(df.sparkSession, name, "Invalid split index for time holdout.")
+    sp = cut_lineage(SP.time_split(df, date, train_frac=train_frac))
     tr, te = sp.filter("side = 'train'"), sp.filter("side = 'test'")
     met = _holdout_metrics(tr, te, name, numeric, categorical, class_labels, positive, params, seed)
     sizes = sp.agg(F.count_if(F.col("side") == "train").alias("train_rows"),
@@ -74,7 +87,11 @@ def time_holdout(df: DataFrame, name: str, numeric: list[str], categorical: list
 def spatial_holdout(df: DataFrame, name: str, numeric: list[str], categorical: list[str], class_labels: list[str],
                     positive: int = 0, params: dict | None = None, seed: int = 42, group: str = "spatial_key",
                     test_frac: float = 0.2) -> DataFrame:
-    """M20 + A27: refit with whole spatial groups held out."""
+    """M20 + A27: refit with whole spatial groups held out; a one-row "unavailable"
+    record when there are fewer than five groups."""
+    g0 = F.coalesce(F.col(group).cast("string"), F.lit("unknown"))
+    if df.agg(F.count_distinct(g0).alias("g")).first()["g"] < 5:
+        return unavailable(df.sparkSession, name, "Not enough spatial groups for group holdout.")
     sp = cut_lineage(SP.group_split(df, group, test_frac, seed))
     tr, te = sp.filter("side = 'train'"), sp.filter("side = 'test'")
     met = _holdout_metrics(tr, te, name, numeric, categorical, class_labels, positive, params, seed)

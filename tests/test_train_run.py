@@ -91,3 +91,13 @@ def test_json_records_scoring_ignores_extra_fields(spark, tmp_dir):
     model.defaults = dfl
     out = MO.batch_score(model, df.drop("road_type")).collect()
     assert len(out) == 1 and out[0].predicted_class_label in ("Fatal", "Serious", "Slight")
+
+
+def test_holdouts_report_unavailable(spark):
+    from caliper.operators import reliability as RE
+    df = spark.createDataFrame([(i, i % 3, None, f"g{i % 2}", float(i)) for i in range(30)],
+                               "row_id long, label int, date date, spatial_key string, x double")
+    t = RE.time_holdout(df, "logistic_regression", ["x"], [], ["a", "b", "c"]).first()
+    assert t.available is False and "date" in t.reason
+    s = RE.spatial_holdout(df, "logistic_regression", ["x"], [], ["a", "b", "c"]).first()
+    assert s.available is False and "groups" in s.reason
