@@ -37,7 +37,7 @@ class _ColsParams(Params):
         self._setDefault(inputCols=[], stats="{}")
 
 
-def column_profile(df: DataFrame, cols: list[str]) -> tuple[dict, dict]:
+def column_profile(df: DataFrame, cols: list[str], moments: dict | None = None) -> tuple[dict, dict]:
     """Exact interpolated medians and missing counts of several columns.
 
     Pass 1 (one aggregate): missing count and a HyperLogLog distinct estimate per column.
@@ -52,9 +52,14 @@ def column_profile(df: DataFrame, cols: list[str]) -> tuple[dict, dict]:
     aggs = []
     for i, c in enumerate(cols):
         v = F.col(c).try_cast("double")
+        obs = F.when(~F.isnan(v), v)
         aggs += [F.count_if(v.isNull() | F.isnan(v)).alias(f"n{i}"), F.approx_count_distinct(v, 0.05).alias(f"d{i}")]
+        if moments is not None:
+            aggs += [F.count(obs).alias(f"o{i}"), F.avg(obs).alias(f"a{i}"), F.var_pop(obs).alias(f"v{i}")]
     row = df.agg(*aggs).first()
     missing = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
+    if moments is not None:
+        moments.update({c: (int(row[f"o{i}"]), row[f"a{i}"], row[f"v{i}"]) for i, c in enumerate(cols)})
     if max(int(row[f"d{i}"]) for i in range(len(cols))) <= MAP_BOUND / 1.2:
         meds = df.agg(*[F.median(F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double")))
                         .alias(f"m{i}") for i, c in enumerate(cols)]).first()
@@ -156,11 +161,36 @@ class ScalerAfterImputer(Estimator, _ColsParams, DefaultParamsReadable, DefaultP
             self._set(inputCols=inputCols)
 
     def _fit(self, dataset: DataFrame):
+        """Two passes: the column profile (missing counts, distinct estimates and the
+        observed count / mean / population variance) and the medians.  The scaler's
+        statistics of the *imputed* columns follow exactly from those (parallel-axis
+        combination of the observed part and the median-filled part), so no third pass
+        over the training data is needed."""
+        import math
+
+        from pyspark.ml import PipelineModel
         cols = self.getOrDefault(self.inputCols)
-        imp = ExactMedianImputer(inputCols=cols).fit(dataset)
+        mom: dict = {}
+        meds, missing = column_profile(dataset, cols, mom)
+        med = {c: float(meds.get(c) if meds.get(c) is not None else 0.0) for c in cols}
+        ind = {c: bool(missing.get(c, 0) > 0) for c in cols}
+        imp = ExactMedianImputerModel(inputCols=cols, stats=json.dumps({"median": med, "indicator": ind}))
+        mean, scale = {}, {}
+        for c in cols:
+            n_obs, m_obs, v_obs = mom[c]
+            n_mis = missing[c]
+            n = n_obs + n_mis
+            m_obs, v_obs = float(m_obs or 0.0), float(v_obs or 0.0)
+            mu = (n_obs * m_obs + n_mis * med[c]) / n if n else 0.0
+            var = (n_obs * (v_obs + (m_obs - mu) ** 2) + n_mis * (med[c] - mu) ** 2) / n if n else 0.0
+            mean[c], scale[c] = mu, (math.sqrt(var) if var > 0 else 1.0)
+            if ind[c]:
+                p = n_mis / n
+                mean[f"missingindicator_{c}"] = p
+                sd = math.sqrt(p * (1 - p))
+                scale[f"missingindicator_{c}"] = sd if sd > 0 else 1.0
         scaled_cols = cols + imp.indicator_columns()
-        sc = PopulationScaler(inputCols=scaled_cols).fit(imp.transform(dataset))
-        from pyspark.ml import PipelineModel
+        sc = PopulationScalerModel(inputCols=scaled_cols, stats=json.dumps({"mean": mean, "scale": scale}))
         return PipelineModel([imp, sc])
 
 
