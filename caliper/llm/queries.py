@@ -9,9 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caliper.llm import bpe_codec, token_counts
+from caliper.llm import bpe_codec, decontaminate, language_id, minmax_dedup, quality_rules, secret_grammar, store, token_counts, token_store, url_filter, zip_warc
 
 TOKEN_LIMIT = 2048
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,67 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to coded shards and read back."""
+    folder, shards = token_store.store_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    back = token_store.read(spark, shards, folder)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+# fixed values: (verdict, host, path)
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all documents, the base rules, and the learned list's verdict."""
+    judged, _ = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: counts and a digest of the base spans, and all spans."""
+    documents = table(spark, sf_dir, "documents")
+    scanned = store.written(secret_grammar.scan(documents), "secrets")
+    found = secret_grammar.add_formats(scanned, secret_grammar.learn(scanned, documents))
+
+    def joined(spans: F.Column) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in secret_grammar.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages of all documents, learned from four of five folds."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language_id.fold().alias("fold"))
+    model = language_id.fit(documents.where("fold != 0").select("text", "lang"))
+    told = language_id.identify(documents.select("doc_id", "text", F.coalesce(F.col("fold") == 0, F.lit(False)).alias("held_out")), model)
+    return told.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap benchmark items, one row for each document and item."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by four-word shingles."""
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and what they decode to, as digests."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
@@ -34,7 +96,14 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to packages of WARC records and read back by range."""
+    folder = store.new_folder(spark, "warc")
+    packages = zip_warc.write(table(spark, sf_dir, "pages"), folder)
+    return zip_warc.read(packages, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op9_bpe_codec)
+    f.__name__: f for f in (op1_token_counts, op2_huffman_ids, op3_url_filter, op4_quality_rules, op5_secret_grammar, op6_language_id, op7_spaced_seeds, op8_minmax_dedup, op9_bpe_codec, op10_zip_warc)
 }
 ORACLE: dict[str, str] = {}
