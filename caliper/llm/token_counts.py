@@ -219,18 +219,14 @@ class Counter:
         """Which entries stay: the one for the space after a chunk only if there is one."""
         at = self.chunked.model.special_at
         keep = np.ones(n, bool)
-        last = -1  # number of the chunk or special string that ends before the cut
+        last, spaced = -1, False  # the chunk or special string before the cut, and whether a space follows it
         cuts = [0, *(x for m in at.finditer(text) for x in m.span()), len(text)]
-        for start, stop in zip(cuts, cuts[1:]):
-            piece = text[start:stop]
-            if last >= 0 and not (piece and starts_in_space(piece)):
-                keep[ends[last] - 1] = False
-            inside = self.chunked.parts(piece)
-            last += len(inside)
-            if inside and not ends_in_space(piece):
-                keep[ends[last] - 1] = True  # undecided until the next piece is seen
-        if not ends_in_space(text):
-            keep[ends[-1] - 1] = False
+        for piece in (text[start:stop] for start, stop in zip(cuts, cuts[1:]) if start < stop):
+            if last >= 0:
+                keep[ends[last] - 1] = spaced or starts_in_space(piece)
+            last += len(self.chunked.parts(piece))
+            spaced = ends_in_space(piece)
+        keep[ends[-1] - 1] = spaced
         return keep
 
 
