@@ -124,7 +124,7 @@ def _gain(before: tuple[int, int], low: int, high: int) -> float:
     return low * (math.log2(low / (low + high)) - math.log2(before[0] / sum(before)))
 
 
-def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, bins: int = 24, min_precision: float = 0.9, min_covered: int = 20) -> list[Rule]:
+def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, bins: int = 24, min_precision: float = 0.9, min_covered: int = 8) -> list[Rule]:
     """A decision list from statistics with ``low`` (boolean) and ``doc_id``.  Two thirds
     of the documents (by hash of the id) grow rules, the others prune and judge them."""
     names = list(RATIOS)
