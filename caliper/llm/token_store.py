@@ -21,12 +21,14 @@ empty table makes no shard.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,11 +45,11 @@ _TAIL = np.dtype([("payload_bits", "<u8"), ("ids", "<u8"), ("documents", "<u8"),
 class Encoder:
     """Ids of whole texts by the tokenizers library.  No token spans a space but as its
     first character, so a text whose white space is all single characters is the sequence
-    of its space-led words.  The words that are new are given to the library joined to one
-    text; the tokens that begin with a space cut its ids into words again.  A text with
-    other white space goes to the library whole."""
+    of its space-led words.  Of a run of texts each distinct word that is new is given to
+    the library once, all joined to one text; the tokens that begin with a space cut its
+    ids into words again.  A text with other white space goes to the library whole."""
 
-    def __init__(self, path: str, room: int = 150_000):
+    def __init__(self, path: str, room: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -63,42 +65,46 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words, each with a space before it."""
-        if not words:
-            return []
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words, each with a space before it."""
         ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = (4 * np.append(np.flatnonzero(self.leads[ids]), len(ids))).tolist()
         if len(cuts) != len(words) + 1:
             raise ValueError("words and their tokens don't fit")
         flat = ids.tobytes()
-        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        self.young.update((w, flat[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and where each text's end."""
+        parts = pc.split_pattern(texts.fill_null(""), " ")
+        ends = parts.value_lengths().to_numpy().cumsum()
+        firsts = np.concatenate([[0], ends[:-1]])
+        coded = parts.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() or (not w.isalpha() and _DOUBLE.search(w) is not None) for w in words), bool, len(words))
+        plain = np.add.reduceat(odd[at].astype(np.int64), firsts) == 0
+        own = self._whole([words[at[k]] if ok else t or "" for k, ok, t in zip(firsts.tolist(), plain.tolist(), texts.to_pylist(), strict=True)])
         if len(self.young) > self.room:
             self.old, self.young = self.young, {}
-        known, old = self.young, self.old
-        cut: list[list[str] | None] = []
-        whole: list[str] = []  # first words, which no space leads, and texts that aren't cut
-        for text in texts:
-            words = text.split()
-            if words and sum(map(len, words)) + len(words) - 1 == len(text):
-                first, *parts = text.split(" ")
-                cut.append(parts)
-                whole.append(first)
-            else:
-                cut.append(None)
-                whole.append(text)
-        new = {p for parts in cut if parts for p in parts if p not in known}
-        for p in new & old.keys():
-            known[p] = old[p]
-            new.discard(p)
-        fresh = list(new)
-        known.update(zip(fresh, self._words(fresh), strict=True))
-        return [begin + b"".join([known[p] for p in parts]) if parts else begin for begin, parts in zip(self._whole(whole), cut, strict=True)]
-
-
+        known = self.young
+        new = {w for w, x in zip(words, odd.tolist(), strict=True) if not x and w not in known}
+        for w in new & self.old.keys():
+            known[w] = self.old[w]
+            new.discard(w)
+        if new:
+            self._learn(list(new))
+        ids_of = [known.get(w, b"") for w in words] + own + [b""]
+        sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) >> 2
+        starts = np.cumsum(sizes) - sizes
+        entry = np.where(np.repeat(plain, np.diff(ends, prepend=0)), at, len(ids_of) - 1)  # a text taken whole has one entry
+        entry[firsts] = len(words) + np.arange(len(own))
+        length = sizes[entry]
+        until = np.cumsum(length)
+        spot = np.repeat(starts[entry] - (until - length), length) + np.arange(int(until[-1]))
+        return np.frombuffer(b"".join(ids_of), "<u4")[spot], until[ends - 1]
+
+
+_DOUBLE = re.compile(r"\s\s")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -112,10 +118,12 @@ def encoded(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id",
             _ENCODERS[vocabulary] = Encoder(vocabulary)
         own = _ENCODERS[vocabulary]
         kind = _id_type(max(own.tokenizer.get_vocab_size(), end_id + 1))
-        for part in store.slices(batches, "text"):
-            ids = own.encode([t or "" for t in part.column("text").to_pylist()])
-            rows = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(kind).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary()), pa.array([kind.itemsize] * len(rows), pa.int32())], ["doc_id", "ids", "width"])
+        for part in store.slices(batches, "text", 8 << 20):
+            ids, ends = own.encode(part.column("text"))
+            flat = np.insert(ids, ends, end_id).astype(kind)
+            offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * kind.itemsize
+            rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), rows, pa.array([kind.itemsize] * len(ends), pa.int32())], ["doc_id", "ids", "width"])
 
     return store.as_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, width int")
 
