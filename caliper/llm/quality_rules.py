@@ -186,7 +186,10 @@ def _best(counts: list, cuts: dict[str, list[float]]) -> tuple[Condition, int] |
         for k, threshold in enumerate(thresholds):
             low, high = low + own.get(k, (0, 0))[0], high + own.get(k, (0, 0))[1]
             for above, kept in ((False, (low, high)), (True, (total[0] - low, total[1] - high))):
-                if (g := _gain(total, *kept)) > gained:
+                g = _gain(total, *kept)
+                # of equally good conditions the one that covers less of what was never seen
+                narrower = best is not None and g == gained and above and best[0].above and best[0].statistic == name
+                if g > gained or narrower:
                     best, gained = (Condition(name, above, threshold), kept[1]), g
     return best
 
