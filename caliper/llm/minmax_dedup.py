@@ -7,12 +7,11 @@ variance.  Each band of ``rows`` signature values is a bucket key; two documents
 similarity s miss each other in all bands with probability (1 - s^rows)^bands, 5e-8 at 0.8
 with 64 permutations and bands of 4.
 
-Exact copies (equal sets) become one node first.  In a bucket the nodes are compared with
-a hub, not with each other.  Where that leaves a bucket in several components, nodes
-outside its largest component become further hubs, twice as many each round, until all
-that could still link in it have been compared.  So no bucket is ever paired with itself,
-near-copy groups cost a few comparisons a node, and no link is lost between texts that
-share a bucket.  Links are confirmed on the full sets.
+Exact copies (equal sets) become one node first.  In a bucket each node is compared with
+the bucket's hub, its smallest node, so near-copy groups cost one comparison a node and
+bucket.  What the hub doesn't link may still link with another node x of the hub's group;
+such pairs are found by what they have in common *against* the hub, see :func:`traces`,
+and never by pairing a group with itself.  Links are confirmed on the full sets.
 
 Cases: a null or empty text (no words) has the empty set and links with nothing; fewer
 than k words are one shingle; rows with a null id are in no component (component_id null,
@@ -88,31 +87,109 @@ def _similar_sizes(a: str, b: str) -> F.Column:
     return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets reach the threshold.  Only texts that are in a
-    pair are read into sets again."""
-    involved = store.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "dedup-involved")
+def set_table(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``node, members``: the full sets (sorted 64-bit hashes) of the nodes' texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in store.slices(batches, "text"):
             sets = [s.tobytes() for s in _shingle_sets(part.column("text"), k)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["node", "members"])
 
+    wanted = texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    return store.written(wanted.select("doc_id", "text").mapInArrow(make, "node long, members binary"), "dedup-sets")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    x = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
+    return pairs.join(y, "b").join(x, "a")
+
+
+def _common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which elements of the sorted set p are in the sorted set q."""
+    if not len(q):
+        return np.zeros(len(p), bool)
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    return q[at] == p
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, linked`` of pairs ``a, b`` on their full sets."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                both = int((q[at] == p).sum()) if len(q) else 0
-                ok.append(bool(both) and 100 * both >= THRESHOLD * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                both = int(_common(p, q).sum())
+                ok.append(100 * both >= THRESHOLD * (len(p) + len(q) - both) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+
+    told = _with_sets(pairs, sets).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, linked boolean")
+    return told.groupBy("a", "b").agg(F.max("linked").alias("linked"))
+
+
+SAME, NEAR, FAR = 0, 1, 2  # kinds of traces
+
+
+def traces_of(p: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[int, bool, np.ndarray]]]:
+    """What a node's set p and its hub's set h differ in, and (kind, asks, hashes) traces.
+
+    Let D(x, y) be the number of shingles that are in one set only; a link is
+    9 D(x, y) <= |x| + |y|.  With d_x = what x and the hub differ in, D(x, y) is
+    D_x + D_y - 2 |d_x & d_y|, so a link of x, which the hub doesn't link, bounds
+    c = |d_x & d_y| from below; with the excess e_x = 9 D_x - |x| - |h| > 0:
+
+    * y linked with the hub: c > 4/9 D_y, and c >= e_x / 10;
+    * y not linked with the hub: c > (e_x + 2 |h|) / 18.
+
+    Two sets that share c elements share one among the first |d| - c + 1 of each in any
+    common order.  The order is: what the hub lacks, then what it has, by hash; so the
+    rare additions come first, and few of the removals that many copies have in common.
+    A node with many own shingles (over a fifth) asks by its own set in the same order
+    instead: its first fifth lies outside the hub, and a link shares one of them."""
+    inside = _common(p, h)
+    own, lost = p[~inside], h[~_common(h, p)]
+    n, size, d = len(p), len(h), len(own) + len(lost)
+    excess = 9 * d - n - size
+    first = n - -(-THRESHOLD * n // 100) + 1
+    order = np.concatenate([own, lost])
+    out = [(SAME, excess > 0 and len(own) >= first, own[:first])]
+    if out[0][1]:
+        return order, out
+    if excess <= 0:
+        return order, [*out, (NEAR, False, order[: d - 4 * d // 9])]
+    return order, [*out, (NEAR, True, order[: d - max(1, -(-excess // 10)) + 1]), (FAR, True, order[: max(0, d - (excess + 2 * size) // 18)])]
 
-    sets = store.written(texts.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(make, "node long, members binary"), "dedup-sets")
-    first = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    both = first.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+
+def outline(differences: np.ndarray) -> np.ndarray:
+    """256 bits, one set for each difference by its hash.  A bit that x has and y lacks is
+    a difference of x alone, so |d_x & d_y| is at most D_x less the number of such bits."""
+    bits = np.zeros(256, np.uint8)
+    bits[(differences >> np.uint64(56)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def traces(grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """``hub, kind, trace, asks, node, d, b0..b3`` from ``a`` (hub) and ``b`` (node); see
+    :func:`traces_of` and :func:`outline`.  Pairs of nodes that may link share hub, kind and
+    trace, and one of the two asks (both, for the kind FAR)."""
+    names = ["hub", "kind", "trace", "asks", "node", "d", "b0", "b1", "b2", "b3"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "x", "y")), strict=True):
+                hub, node = a.as_py(), b.as_py()
+                order, kinds = traces_of(np.frombuffer(y.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64))
+                bits = outline(order).tolist()
+                for kind, asks, found in kinds:
+                    if m := len(found):
+                        same = [pa.array(np.full(m, v)) for v in (asks, node, len(order), *bits)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, hub)), pa.array(np.full(m, kind, np.int32)), pa.array(found.view(np.int64)), *same], names)
+
+    return _with_sets(grouped, sets).select("a", "b", "x", "y").mapInArrow(
+        run, "hub long, kind int, trace long, asks boolean, node long, d long, b0 long, b1 long, b2 long, b3 long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -132,47 +209,44 @@ def components(links: DataFrame) -> DataFrame:
         labels = nearer.select("node", F.col("next").alias("component"))
 
 
-def _linked(members: DataFrame, texts: DataFrame, k: int) -> DataFrame | None:
+def _linked(members: DataFrame, sizes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """All ``node, component`` of more than one node, from ``key, node, n`` of buckets of
-    two or more nodes.  None if nothing links."""
-    links, labels, checked, used = None, None, None, None
-    hubs = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.node").alias("hub_component"))
-    many = 16
-    while True:
-        hubs = store.written(hubs, "dedup-hubs")
-        if labels is None:
-            now = members.withColumn("component", F.col("node"))
-        else:
-            now = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        met = now.join(hubs, "key").where((F.col("component") != F.col("hub_component")) & _similar_sizes("n", "hub_n"))
-        pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = store.written(pairs, "dedup-pairs")
-        if not pairs.isEmpty():
-            checked = pairs if checked is None else checked.unionByName(pairs)
-            found = store.written(confirmed(pairs, texts, k), "dedup-confirmed")
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                labels = components(links)
-        mine = hubs.select("key", F.col("hub").alias("node"))
-        used = mine if used is None else used.unionByName(mine)
-        if labels is not None:
-            now = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        now = store.written(now, "dedup-members")
-        parts = now.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"))
-        parts = store.written(parts.where("parts > 1"), "dedup-parts")
-        if parts.isEmpty():
-            return labels
-        apart = now.join(parts, "key").where("component != largest").join(used, ["key", "node"], "left_anti")
-        apart = store.written(apart.select("key", "node", "n", "component"), "dedup-apart")
-        if apart.isEmpty():
-            return labels
-        left = store.written(apart.groupBy("key").agg(F.count("*").alias("left")), "dedup-left")
-        share = F.pmod(F.xxhash64("node", F.lit(many)), F.lit(1 << 30)) * F.col("left")
-        hubs = apart.join(left, "key").where((F.col("left") <= 2 * many) | (share <= F.lit(many << 30)))
-        hubs = hubs.select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-        many *= 2
+    two or more nodes."""
+    hubs = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h")).select("key", F.col("h.node").alias("a"), F.col("h.n").alias("hub_n"))
+    hubs = store.written(hubs, "dedup-hubs")
+    grouped = members.withColumnRenamed("node", "b").join(hubs, "key").where("a < b").select("a", "b", "n", "hub_n").distinct()
+    grouped = store.written(grouped, "dedup-groups")
+    involved = grouped.select(F.col("a").alias("node")).unionByName(grouped.select(F.col("b").alias("node"))).distinct()
+    sets = set_table(store.written(involved, "dedup-involved"), texts, k)
+    first = store.written(compared(grouped.where(_similar_sizes("n", "hub_n")).select("a", "b"), sets), "dedup-first")
+    links = first.where("linked").select("a", "b")
+    labels = components(links)
+
+    def component(of: str, name: str, df: DataFrame) -> DataFrame:
+        own = labels.select(F.col("node").alias(of), F.col("component").alias(name))
+        return df.join(own, of, "left").withColumn(name, F.coalesce(name, of))
+
+    placed = store.written(component("a", "hub_component", component("b", "component", grouped.select("a", "b"))), "dedup-placed")
+    open_hubs = placed.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("hub_component").alias("own"))
+    open_hubs = open_hubs.where("low != high or low != own").select("a")
+    asked = placed.join(store.written(open_hubs, "dedup-open"), "a", "left_semi").select("a", "b")
+    found = store.written(traces(asked, sets), "dedup-traces")
+    found = component("node", "component", found).join(sizes, "node")
+    found = store.written(found, "dedup-traces")
+    told = ["component", "n", "d", "b0", "b1", "b2", "b3"]
+    x = found.where("asks").select("hub", "kind", "trace", F.col("node").alias("x"), *(F.col(c).alias(f"x_{c}") for c in told))
+    y = found.where("kind != 2 or asks").select("hub", "kind", "trace", F.col("node").alias("y"), *(F.col(c).alias(f"y_{c}") for c in told), "asks")
+    once = ~F.col("asks") | (F.col("x") < F.col("y"))  # of two that ask, the smaller one
+
+    def alone(p: str, q: str) -> F.Column:
+        return sum((F.bit_count(F.col(f"{p}_b{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}_b{i}")))) for i in range(4)), F.lit(0))
+
+    common = F.least(F.col("x_d") - alone("x", "y"), F.col("y_d") - alone("y", "x"))  # at most
+    may_link = 9 * (F.col("x_d") + F.col("y_d") - 2 * common) <= F.col("x_n") + F.col("y_n")
+    met = x.join(y, ["hub", "kind", "trace"]).where((F.col("x_component") != F.col("y_component")) & once & _similar_sizes("x_n", "y_n") & may_link)
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = store.written(compared(store.written(pairs, "dedup-pairs"), sets), "dedup-more").where("linked").select("a", "b")
+    return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, permutations: int = 64, rows: int = 4) -> DataFrame:
@@ -186,7 +260,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows_of = store.written(classes.select("node", "n", F.explode("bands").alias("key")), "dedup-bands")
     shared = store.written(rows_of.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "dedup-keys")
     members = store.written(rows_of.join(shared, "key", "left_semi"), "dedup-buckets")
-    labels = None if members.isEmpty() else _linked(members, texts.where("doc_id is not null"), k)
+    labels = None if members.isEmpty() else _linked(members, classes.select("node", "n").groupBy("node").agg(F.max("n").alias("n")), texts.where("doc_id is not null"), k)
     to = classes.select("digest", "node", "copies")
     to = to.withColumn("component", F.col("node")) if labels is None else to.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     to = store.written(to.where("copies > 1 or component != node").select("digest", "component"), "dedup-classes")
