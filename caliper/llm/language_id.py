@@ -133,7 +133,7 @@ def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, bits: i
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 32))
     share = F.create_map(*(F.lit(x) for lang, m in sizes.items() for x in (lang, int((1 << 32) * min(1.0, per_language / m)))))
-    sample = labelled.where(place < F.try_element_at(share, F.col("lang")))
+    sample = labelled.where(place < F.try_element_at(share, F.col("lang"))).distinct()  # copies of a text are chosen together
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [c for t in sorted(pdf["text"].unique()) if (c := counts(t, bits)) is not None]
@@ -163,13 +163,15 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text", lang_ou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for part in store.slices(batches, text_col, 1 << 20):
-            rows = [counts(t) if t else None for t in part.column(text_col).to_pylist()]
-            at = [i for i, r in enumerate(rows) if r is not None] if m else []
-            langs, scores = np.full(len(rows), UNKNOWN, object), np.zeros(len(rows))
-            for some in (at[k : k + 256] for k in range(0, len(at), 256)):
-                best, cosine = m.nearest([rows[i] for i in some])
-                langs[some] = [m.languages[b] for b in best]
-                scores[some] = cosine
+            texts = part.column(text_col).to_pylist()
+            langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+            for k in range(0, len(texts) if m else 0, 256):  # so many vectors at a time
+                rows = {i: c for i in range(k, min(k + 256, len(texts))) if texts[i] and (c := counts(texts[i])) is not None}
+                if rows:
+                    at = list(rows)
+                    best, cosine = m.nearest(list(rows.values()))
+                    langs[at] = [m.languages[b] for b in best]
+                    scores[at] = cosine
             rejected = (langs == UNKNOWN) | (scores < (m.farthest if m else 2.0))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs.tolist(), pa.string()), pa.array(scores), pa.array(rejected.astype(bool))], [*part.schema.names, *names])
 
