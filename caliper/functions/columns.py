@@ -112,10 +112,6 @@ def label_of(index: Column, labels: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), index.cast("int") + 1)
 
 
-def row_hash(cols: list[str]) -> Column:
-    """64-bit hash over a full feature row (NULL-aware)."""
-    return F.xxhash64(*[F.col(c) for c in cols])
-
 
 def md5_order(key: Column, seed: int) -> Column:
     """Deterministic 32-bit order value from a key and a seed (same in any SQL engine:

@@ -34,43 +34,33 @@ def apply_aliases(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
     return df
 
 
-NS_VALUE, NS_NULL = "__ns_value", "__ns_null"
-
-
-def null_safe_key(df: DataFrame, key: str) -> DataFrame:
-    """Split a key into (value-or-default, is-NULL) columns.  Grouping and joining on
-    this pair gives NULL-matches-NULL semantics with *plain* equi-join keys, so the
-    aggregate's hash partitioning is reused by the join (a NULL-safe condition on the
-    raw key would re-shuffle the aggregate output at scale)."""
-    dflt = F.lit("") if dict(df.dtypes)[key] == "string" else F.lit(0).cast(dict(df.dtypes)[key])
-    return df.withColumns({NS_VALUE: F.coalesce(F.col(key), dflt), NS_NULL: F.col(key).isNull()})
-
-
-def child_counts(child: DataFrame, key: str, count_name: str,
-                 max_cols: Iterable[str] = (), keep_join_key: bool = False) -> DataFrame:
+def child_counts(child: DataFrame, key: str, count_name: str, max_cols: Iterable[str] = (),
+                 for_join: bool = False) -> DataFrame:
     """A1–A3 + J6: records per key (NULL key kept as its own group) and, in the same
     aggregate, the max of selected columns.  One ``groupBy`` – no self-join.
 
-    ``keep_join_key`` groups on the NULL-safe key pair (for ``left_join_null_safe``)."""
+    ``for_join`` groups on (key, key is NULL) and drops the flag: the same groups, but a
+    join on the key then gets an exchange of its own over the (small) aggregate, without
+    which AQE could not split a hot key of the other side."""
     child = apply_aliases(child, KEY_ALIASES)
     aggs = [F.count(F.lit(1)).alias(count_name)]
     aggs += [F.max(to_double(c)).alias(c) for c in max_cols if c in child.columns]
-    if keep_join_key:
-        return null_safe_key(child, key).groupBy(NS_VALUE, NS_NULL).agg(*aggs)
+    if for_join:
+        return child.groupBy(key, F.col(key).isNull().alias("__null")).agg(*aggs).drop("__null")
     return child.groupBy(key).agg(*aggs)
 
 
 def left_join_null_safe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left outer equi-join where NULL matches NULL.
-
-    ``right`` is either keyed by ``key`` or already carries the NULL-safe key pair (from
-    ``child_counts(..., keep_join_key=True)``).  The join runs on the pair, so chained
-    joins on the same key shuffle the fact side once and reuse each aggregate's
-    partitioning."""
-    if NS_VALUE not in right.columns:
-        right = null_safe_key(right, key).drop(key)
-    lf = left if NS_VALUE in left.columns else null_safe_key(left, key)
-    return lf.join(right, [NS_VALUE, NS_NULL], "left")
+    """Left outer equi-join where NULL matches NULL; ``right`` has at most one row
+    per key.
+
+    The join runs on the plain key, so NULL and hot keys of the left side are split by
+    AQE like any skewed key.  NULL-key rows then take the right side's single NULL-key
+    row, which is a scalar subquery: it is never joined."""
+    cols = [c for c in right.columns if c != key]
+    null_row = right.filter(F.col(key).isNull()).agg(F.first(F.struct(*cols)).alias("r")).scalar()
+    out = left.join(right.filter(F.col(key).isNotNull()), key, "left")
+    return out.withColumns({c: F.when(F.col(key).isNull(), null_row[c]).otherwise(F.col(c)) for c in cols})
 
 
 def daily_left_join(fact: DataFrame, daily: DataFrame, date: str = "date",

@@ -6,7 +6,7 @@ column expressions at transform time, persistable through ``DefaultParams``):
 
 * ``ExactMedianImputer`` — exact (interpolated) median; ``Imputer`` is approximate and
   fails on an all-NULL column.  Adds ``missingindicator_<c>`` only for columns that had
-  missing values at fit; an all-NULL column is imputed with 0.
+  missing values at fit; a column without any value at fit is dropped, with no indicator.
 * ``PopulationScaler`` — population standard deviation (``StandardScaler`` uses the
   sample one); zero variance scales by 1.
 * categories: ``StringIndexer(alphabetAsc, keep)`` + ``OneHotEncoder(dropLast)`` so an
@@ -38,36 +38,27 @@ class _ColsParams(Params):
 
 
 def column_profile(df: DataFrame, cols: list[str], moments: dict | None = None) -> tuple[dict, dict]:
-    """Exact interpolated medians and missing counts of several columns.
-
-    Pass 1 (one aggregate): missing count and a HyperLogLog distinct estimate per column.
-    Pass 2: when every column provably has few distinct values, one wide ``median``
-    aggregate (its value->count maps are bounded); otherwise the columns are stacked as
-    (feature, value) rows and the bucketed ``exact_quantiles`` runs per feature, so no
-    task ever holds an unbounded value map.  Returns ``(medians, missing_counts)`` —
-    at most 2·len(cols) numbers on the driver."""
+    """Exact interpolated medians and missing counts of several columns: one aggregate for
+    counts and moments; the medians from (feature, value) counts (``exact_quantiles``).
+    Returns ``(medians, missing_counts)`` — at most 2·len(cols) numbers on the driver."""
     if not cols:
         return {}, {}
-    from caliper.operators.quantiles import MAP_BOUND, exact_quantiles
+    from caliper.operators.quantiles import exact_quantiles
     aggs = []
     for i, c in enumerate(cols):
         v = F.col(c).try_cast("double")
         obs = F.when(~F.isnan(v), v)
-        aggs += [F.count_if(v.isNull() | F.isnan(v)).alias(f"n{i}"), F.approx_count_distinct(v, 0.05).alias(f"d{i}")]
+        aggs.append(F.count_if(v.isNull() | F.isnan(v)).alias(f"n{i}"))
         if moments is not None:
             aggs += [F.count(obs).alias(f"o{i}"), F.avg(obs).alias(f"a{i}"), F.var_pop(obs).alias(f"v{i}")]
     row = df.agg(*aggs).first()
     missing = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
     if moments is not None:
         moments.update({c: (int(row[f"o{i}"]), row[f"a{i}"], row[f"v{i}"]) for i, c in enumerate(cols)})
-    if max(int(row[f"d{i}"]) for i in range(len(cols))) <= MAP_BOUND / 1.2:
-        meds = df.agg(*[F.median(F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double")))
-                        .alias(f"m{i}") for i, c in enumerate(cols)]).first()
-        return {c: meds[f"m{i}"] for i, c in enumerate(cols)}, missing
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"),
                                                       F.col(c).try_cast("double").alias("value"))
                                              for c in cols])).alias("s")).select("s.*")
-    q = exact_quantiles(stacked, "value", [0.5], by=["feature"], map_bound=None).collect()
+    q = exact_quantiles(stacked, "value", [0.5], by=["feature"]).collect()
     return {r["feature"]: r["value"] for r in q}, missing
 
 
@@ -86,6 +77,7 @@ class ExactMedianImputerModel(Model, _ColsParams, DefaultParamsReadable, Default
     def _transform(self, dataset: DataFrame) -> DataFrame:
         st = json.loads(self.getOrDefault(self.stats))
         cols = {}
+        dataset = dataset.drop(*st.get("dropped", []))
         for c in self.getOrDefault(self.inputCols):
             v = F.col(c).cast("double")
             missing = v.isNull() | F.isnan(v)
@@ -99,6 +91,14 @@ class ExactMedianImputerModel(Model, _ColsParams, DefaultParamsReadable, Default
         return [f"missingindicator_{c}" for c in self.getOrDefault(self.inputCols) if st["indicator"][c]]
 
 
+def _imputer(cols: list[str], medians: dict, missing: dict) -> ExactMedianImputerModel:
+    """The fitted imputer: columns without a median have no value at all and are dropped."""
+    kept = [c for c in cols if medians.get(c) is not None]
+    st = {"median": {c: float(medians[c]) for c in kept}, "indicator": {c: missing.get(c, 0) > 0 for c in kept},
+          "dropped": [c for c in cols if c not in kept]}
+    return ExactMedianImputerModel(inputCols=kept, stats=json.dumps(st))
+
+
 class ExactMedianImputer(Estimator, _ColsParams, DefaultParamsReadable, DefaultParamsWritable):
     """M1: median impute + missing indicators (one aggregate at fit)."""
 
@@ -111,9 +111,7 @@ class ExactMedianImputer(Estimator, _ColsParams, DefaultParamsReadable, DefaultP
     def _fit(self, dataset: DataFrame) -> ExactMedianImputerModel:
         cols = self.getOrDefault(self.inputCols)
         meds, missing = column_profile(dataset, cols)
-        med = {c: float(meds.get(c) if meds.get(c) is not None else 0.0) for c in cols}
-        ind = {c: bool(missing.get(c, 0) > 0) for c in cols}
-        return ExactMedianImputerModel(inputCols=cols, stats=json.dumps({"median": med, "indicator": ind}))
+        return _imputer(cols, meds, missing)
 
 
 class PopulationScalerModel(Model, _ColsParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -172,9 +170,10 @@ class ScalerAfterImputer(Estimator, _ColsParams, DefaultParamsReadable, DefaultP
         cols = self.getOrDefault(self.inputCols)
         mom: dict = {}
         meds, missing = column_profile(dataset, cols, mom)
-        med = {c: float(meds.get(c) if meds.get(c) is not None else 0.0) for c in cols}
-        ind = {c: bool(missing.get(c, 0) > 0) for c in cols}
-        imp = ExactMedianImputerModel(inputCols=cols, stats=json.dumps({"median": med, "indicator": ind}))
+        imp = _imputer(cols, meds, missing)
+        cols = imp.getOrDefault(imp.inputCols)
+        st = json.loads(imp.getOrDefault(imp.stats))
+        med, ind = st["median"], st["indicator"]
         mean, scale = {}, {}
         for c in cols:
             n_obs, m_obs, v_obs = mom[c]
@@ -244,7 +243,7 @@ class _Assemble(Estimator, Params, DefaultParamsReadable, DefaultParamsWritable)
         self._set(**{k: v for k, v in kwargs.items() if v is not None})
 
     def _fit(self, dataset: DataFrame):
-        num = self.getOrDefault(self.numeric)
+        num = [c for c in self.getOrDefault(self.numeric) if c in dataset.columns]
         ind = [c for c in dataset.columns if c.startswith("missingindicator_") and c[len("missingindicator_"):] in num]
         cat = [f"{c}__ohe" for c in self.getOrDefault(self.categorical)]
         return VectorAssembler(inputCols=num + ind + cat, outputCol=self.getOrDefault(self.output),
@@ -287,14 +286,16 @@ def with_class_weights(df: DataFrame, label: str = "label", weight: str = "weigh
 def feature_defaults(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """``(feature, kind, numeric_default, categorical_default)``: exact median of
     numeric features (none -> 0.0; one grouped quantile job); most frequent text of
-    categorical ones, ties to the smallest, none -> 'missing' (one aggregate)."""
+    categorical ones, ties to the smallest, none -> 'missing' (counts per column and text)."""
+    from caliper.operators.quantiles import most_frequent
     aggs = []
     meds = column_medians(df, numeric)
     for i, c in enumerate(numeric):
         aggs.append(F.lit(float(meds[c]) if meds.get(c) is not None else 0.0).alias(f"n{i}"))
+    modes = most_frequent(df, categorical)
     for i, c in enumerate(categorical):
-        aggs.append(F.coalesce(F.mode(F.col(c).cast("string"), deterministic=True), F.lit("missing")).alias(f"c{i}"))
-    row = df.agg(*aggs)
+        aggs.append(F.lit("missing" if modes[c] is None else modes[c]).alias(f"c{i}"))
+    row = df.sparkSession.range(1).select(*aggs)
     parts = [F.struct(F.lit(c).alias("feature"), F.lit("numeric").alias("kind"), F.col(f"n{i}").alias("numeric_default"),
                       F.lit(None).cast("string").alias("categorical_default")) for i, c in enumerate(numeric)]
     parts += [F.struct(F.lit(c).alias("feature"), F.lit("categorical").alias("kind"),

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from caliper.functions.columns import label_of
 from caliper.operators.common import attach
 
-AP_BUCKETS = 4096
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -108,31 +107,19 @@ def one_vs_rest(cm: DataFrame, positive: int, label: str = "label", prediction:
 # ------------------------------------------------------------------ ranking metrics
 
 def average_precision(df: DataFrame, positive: int, label: str = "label", score: str = "score",
-                      by: Sequence[str] = (), buckets: int = AP_BUCKETS, name: str = "fatal_pr_auc") -> DataFrame:
+                      by: Sequence[str] = (), name: str = "fatal_pr_auc") -> DataFrame:
     """Σ (Rᵢ − Rᵢ₋₁)·Pᵢ over distinct scores in decreasing order; 0 without positives.
 
-    Bucketed prefix sum: rows collapse to one row per distinct score (partial
-    aggregation), scores fall into ``buckets`` ordered buckets (equal scores share a
-    bucket), a ≤ buckets+1-row table per group gives each bucket's offset, and the
-    fine cumulative window runs per (group, bucket).  No window over fact-size rows
-    sits in one partition."""
+    Rows collapse to one row per distinct score (partial aggregation); the cumulative
+    counts come from balanced score ranges (``ordered_sums``), wherever scores cluster."""
+    from caliper.operators.quantiles import ordered_sums
     y = (F.col(label) == positive).cast("long")
-    s = F.col(score).cast("double")
-    per_score = df.groupBy(*by, s.alias("__s")).agg(F.sum(y).alias("tp"), F.count(F.lit(1)).alias("n"))
-    bucket = F.least(F.greatest(F.floor(F.col("__s") * buckets), F.lit(-1)), F.lit(buckets)).cast("int")
-    per_score = per_score.withColumn("__b", bucket)
-    per_bucket = per_score.groupBy(*by, "__b").agg(F.sum("tp").alias("btp"), F.sum("n").alias("bn"))
-    wb = Window.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(*by, "__b", F.coalesce(F.sum("btp").over(wb), F.lit(0)).alias("otp"),
-                                F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("on"),
-                                F.sum("btp").over(Window.partitionBy(*by)).alias("pos"))
-    j = per_score.join(F.broadcast(offsets), [*by, "__b"])
-    wf = Window.partitionBy(*by, "__b").orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
-    j = j.withColumns({"ctp": F.col("otp") + F.sum("tp").over(wf), "cn": F.col("on") + F.sum("n").over(wf)})
-    term = F.when(F.col("pos") > 0, F.col("tp").cast("double") / F.col("pos")
-                  * (F.col("ctp").cast("double") / F.col("cn"))).otherwise(F.lit(0.0))
-    out = j.groupBy(*by).agg(F.max("pos").alias("__pos"), F.sum(term).alias("__ap"))
-    return out.select(*by, F.when(F.col("__pos") > 0, F.col("__ap")).otherwise(F.lit(0.0)).alias(name))
+    per_score = df.groupBy(*by, F.col(score).cast("double").alias("__s")).agg(
+        F.sum(y).alias("tp"), F.count(F.lit(1)).alias("n"))
+    j = ordered_sums(per_score, "__s", ["tp", "n"], by, descending=True)
+    precision = (F.col("tp_before") + F.col("tp")).cast("double") / (F.col("n_before") + F.col("n"))
+    term = F.when(F.col("tp_total") > 0, F.col("tp").cast("double") / F.col("tp_total") * precision).otherwise(0.0)
+    return j.groupBy(*by).agg(F.coalesce(F.sum(term), F.lit(0.0)).alias(name))
 
 
 def default_thresholds() -> list[float]:
@@ -197,7 +184,7 @@ def calibration_bins(df: DataFrame, positive: int, label: str = "label", score:
     observed_rate, abs_gap``.
 
     Edges are exact order statistics over the union of every candidate grid (so q needs
-    no extra job), from ``exact_quantiles`` (histogram + boundary buckets, no single-task
+    no extra job), from ``exact_quantiles`` (balanced value ranges, no single-task
     value map); ``accuracy`` switches to ``percentile_approx``."""
     s = F.col(score).cast("double")
     fr = sorted({f for q in range(1, max_bins + 1) for f in _fractions(q)})

@@ -20,7 +20,6 @@ from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        LogisticRegressionModel, RandomForestClassificationModel,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasSeed, HasWeightCol
@@ -37,6 +36,12 @@ DEFAULT_PARAMS = {
     "random_forest": {"num_trees": 220, "min_leaf": 2, "max_depth": 30},
     "hist_gradient_boosting_balanced": {"max_iter": 180, "learning_rate": 0.08, "max_depth": 5},
 }
+# fixed values: grids of the hyper-parameter search (max_depth None: the default depth)
+PARAM_GRIDS = {
+    "logistic_regression": {"C": [0.1, 1.0, 3.0]},
+    "random_forest": {"num_trees": [200, 400], "max_depth": [None, 12], "min_leaf": [1, 3]},
+    "hist_gradient_boosting_balanced": {"learning_rate": [0.05, 0.1], "max_iter": [150, 300], "max_depth": [None, 8]},
+}
 MODEL_ORDER = ["logistic_regression", "random_forest", "hist_gradient_boosting_balanced"]
 
 
@@ -125,11 +130,12 @@ def build_estimator(name: str, params: dict, n_rows: int, n_classes: int, seed:
                                   standardization=False, tol=1e-6)
     if name == "random_forest":
         return RandomForestClassifier(numTrees=int(p["num_trees"]), minInstancesPerNode=int(p["min_leaf"]),
-                                      maxDepth=min(30, int(p["max_depth"] or 30)), weightCol="weight", seed=seed,
+                                      maxDepth=min(30, int(p["max_depth"] or DEFAULT_PARAMS[name]["max_depth"])), weightCol="weight", seed=seed,
                                       featureSubsetStrategy="sqrt", bootstrap=True)
     if name == "hist_gradient_boosting_balanced":
         return OvrBoostingClassifier(numClasses=n_classes, maxIter=int(p["max_iter"]),
-                                     stepSize=float(p["learning_rate"]), maxDepth=int(p["max_depth"]), seed=seed)
+                                     stepSize=float(p["learning_rate"]), seed=seed,
+                                     maxDepth=int(p["max_depth"] or DEFAULT_PARAMS[name]["max_depth"]))
     raise ValueError(name)
 
 
@@ -145,6 +151,7 @@ class FittedModel:
     code_map: dict = field(default_factory=lambda: {1: 0, 2: 1, 3: 2})
     params: dict = field(default_factory=dict)
     defaults: dict = field(default_factory=dict)
+    info: dict = field(default_factory=dict)  # target, label version, feature mode, screening and calibration records
 
     @property
     def features(self) -> list[str]:
@@ -194,42 +201,40 @@ def parallel_map(fn, items, parallelism: int = 4):
 
 def fit_and_select(train: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str],
                    class_labels: list[str], positive: int = 0, models: list[str] | None = None,
-                   params: dict | None = None, metric: str = "f1_macro", seed: int = 42, parallelism: int = 3):
-    """Fit every candidate, score the same test rows, evaluate all models in one
-    grouped job, pick the best by ``metric`` (T2).  Returns ``(best, metrics, scored)``."""
+                   params: dict | None = None, metric: str = "f1_macro", seed: int = 42, parallelism: int = 3,
+                   grids: dict | None = None, records: list | None = None):
+    """M11 + M12: fit every candidate, score the same test rows, evaluate all models in one
+    grouped job, pick the best by ``metric`` (T2).  Returns ``(best, metrics, scored)``.
+
+    ``grids`` (model -> parameter grid) switches the hyper-parameter search on: the best
+    point of each model's grid is refitted on all training rows.  ``records`` collects one
+    search record per model."""
     models = models or MODEL_ORDER
-    fitted = parallel_map(lambda name: fit_model(name, train, numeric, categorical, class_labels,
-                                                 (params or {}).get(name), seed=seed), models, parallelism)
+    chosen = {name: dict((params or {}).get(name) or {}) for name in models}
+    for name in models:
+        record = {"model_name": name, "search_enabled": bool(grids), "best_params": {}, "best_score_f1_macro": None,
+                  "top_trials": []}
+        if grids:
+            from caliper.operators.reliability import grid_search
+            best, _, record = grid_search(train, name, grids.get(name, {}), numeric, categorical, class_labels,
+                                          seed=seed, base=chosen[name])
+            chosen[name] |= best
+        if records is not None:
+            records.append(record)
+    fitted = parallel_map(lambda name: fit_model(name, train, numeric, categorical, class_labels, chosen[name],
+                                                 seed=seed), models, parallelism)
     scored = None
     for order, (name, m) in enumerate(zip(models, fitted)):
         s = score(m, test, positive).withColumns({"model_name": F.lit(name), "train_order": F.lit(order)})
         scored = s if scored is None else scored.unionByName(s)
     from caliper.session import cut_lineage
     scored = cut_lineage(scored)   # several metric aggregates read it: score each model once
-    metrics = ME.evaluate(scored, positive, by=["model_name", "train_order"]).persist()
+    metrics = cut_lineage(ME.evaluate(scored, positive, by=["model_name", "train_order"]))
     best_name = ME.best_model(metrics, metric).first()["model_name"]
     best = next(m for m in fitted if m.name == best_name)
     return best, metrics, scored
 
 
-# ------------------------------------------------------------------ evaluator for CrossValidator
-
-class MacroF1Evaluator(Evaluator):
-    """Macro-F1 over the union of labels (Spark's ``f1`` metric is the weighted one)."""
-
-    def __init__(self, labelCol: str = "label", predictionCol: str = "prediction"):
-        super().__init__()
-        self.labelCol, self.predictionCol = labelCol, predictionCol
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        d = dataset.select(F.col(self.labelCol).cast("int").alias("label"),
-                           F.col(self.predictionCol).cast("int").alias("prediction"))
-        return float(ME.overall(ME.confusion(d)).first()["f1_macro"])
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
 # ------------------------------------------------------------------ calibration
 
 class PlattCalibrated:
@@ -321,7 +326,7 @@ def save_model(model: FittedModel, path: str, spark: SparkSession) -> None:
         model.clf.write().overwrite().save(f"{path}/classifier")
     meta = {"name": model.name, "numeric": model.numeric, "categorical": model.categorical,
             "class_labels": model.class_labels, "code_map": {str(k): v for k, v in model.code_map.items()},
-            "params": model.params, "defaults": model.defaults}
+            "params": model.params, "defaults": model.defaults, "info": model.info}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
@@ -336,4 +341,5 @@ def load_model(path: str, spark: SparkSession) -> FittedModel:
     else:
         clf = OvrBoostingModel.load_from(f"{path}/classifier", len(meta["class_labels"]))
     return FittedModel(name, prep, clf, meta["numeric"], meta["categorical"], meta["class_labels"],
-                       {int(k): v for k, v in meta["code_map"].items()}, meta["params"], meta["defaults"])
+                       {int(k): v for k, v in meta["code_map"].items()}, meta["params"], meta["defaults"],
+                       meta.get("info", {}))

@@ -118,15 +118,13 @@ def error_dispersion(errors: DataFrame, features: list[str], top: int | None = N
 def duplicate_overlap(train: DataFrame, test: DataFrame, features: list[str]) -> DataFrame:
     """Test rows whose full feature row also occurs in train (NULL-safe equality).
 
-    Both sides are keyed by one 64-bit hash of the feature row (F17).  The train side is
-    hash-partitioned on that key and deduplicated there, and the left-semi join uses the
-    key as its only equi-key, so neither side is shuffled twice; the exact NULL-safe
-    comparison of the whole row runs as the join's residual condition (hash collisions
-    cannot create false matches).  A hot duplicate row is one key on the deduplicated
-    side; only the test side can skew, and AQE splits it."""
+    Both sides are keyed by one 64-bit hash of the feature row (F17).  The train rows are
+    deduplicated first (partial aggregation keeps one copy a map task), so a hot train row
+    reaches the join once; the left-semi join has the hash as its only equi-key and its
+    exchanges lie directly under it, so AQE splits a hot test row.  The exact NULL-safe
+    comparison of the whole row is the join's residual (hash collisions match nothing)."""
     k = F.xxhash64(*[F.col(c) for c in features])
-    right = (train.select(k.alias("__k"), F.struct(*features).alias("__r"))
-             .repartition("__k").dropDuplicates(["__k", "__r"]))
+    right = train.select(*features).distinct().select(k.alias("__k"), F.struct(*features).alias("__r"))
     left = test.withColumn("__k", k)
     lrow, rrow = F.struct(*[left[c] for c in features]), right["__r"]
     # both terms mix the two sides, so the planner keeps this as a residual (the hash is

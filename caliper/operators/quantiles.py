@@ -1,18 +1,16 @@
-"""Exact, interpolated quantiles without a single-task value map.
+"""Exact order statistics from balanced ranges of distinct values.
 
-Spark's exact ``percentile`` / ``median`` merge one value→count map of *all* distinct
-values per group in one task.  Here:
+One algorithm serves ranks, quantiles, medians and cumulative curves:
 
-1. per group: ``n``, ``min``, ``max`` (partial aggregation);
-2. every value falls into one of ``B`` ordered buckets between min and max; the
-   bucket-count table (≤ B rows per group) is prefix-summed;
-3. each needed rank (``floor`` and ``ceil`` of ``(n−1)·f``) is located in its bucket by
-   one small ordered window over bucket rows and rank rows;
-4. only rows of those few buckets are collapsed to distinct values and ranked inside
-   their bucket, giving the exact order statistics; linear interpolation as in
-   ``numpy`` / pandas ``quantile``.
+1. rows collapse to one row per distinct value and its sums (partial aggregation, so a
+   value that most rows share is one row);
+2. the distinct values are range-partitioned by (group, value).  Spark samples them, so
+   ranges are balanced however the values cluster and wherever outliers lie;
+3. the sums per (group, range) — at most ranges + groups rows — are prefix-summed;
+4. a window inside each range adds the rest.
 
-Result: ``by…, fraction, value`` (one row per group and fraction).
+No task sees more than one range, no group is collected, and the ranges grow in number
+with ``spark.sql.shuffle.partitions``.
 """
 
 from __future__ import annotations
@@ -22,141 +20,87 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caliper.operators.common import attach
+from caliper.session import cut_lineage
 
-BUCKETS = 65536
 
+def ordered_sums(per_value: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (),
+                 descending: bool = False) -> DataFrame:
+    """Cumulative sums over distinct values in order.
 
-MAP_BOUND = 1_000_000  # distinct values per group that one task may hold in a value->count map
-
-
-def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float], by: Sequence[str] = (),
-                    buckets: int = BUCKETS, eager: bool = True, map_bound: int | None = MAP_BOUND) -> DataFrame:
-    """Exact linear-interpolated quantiles, ``by…, fraction, value``.
-
-    Checked choice of strategy: one aggregate estimates the distinct values per group
-    (HyperLogLog).  When every group has at most ``map_bound`` of them, Spark's exact
-    ``percentile`` (a value->count map per group) is provably small and is used;
-    otherwise the bucketed path below runs.  ``map_bound=None`` forces the bucketed path.
-
-    ``eager`` (default) persists the projected values while the bucketed passes run and
-    returns the tiny result (groups × fractions rows) as a reliable checkpoint, so the
-    input plan is evaluated once."""
+    ``per_value`` has one row per (``by``, ``value``) with the columns ``sums``; the result
+    adds ``<s>_before`` (the sum over all earlier values of the group) and ``<s>_total``."""
+    by = list(by)
+    ranges = int(per_value.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.desc(value) if descending else F.asc(value)
+    kept = per_value.select(*by, value, *sums)
+    kept = cut_lineage(kept.repartitionByRange(ranges, *by, order).withColumn("__range", F.spark_partition_id()))
+    part = kept.groupBy(*by, "__range").agg(*[F.sum(s).alias(s) for s in sums])
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by)
+    offsets = part.select(*by, "__range",
+                          *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"__{s}_offset") for s in sums],
+                          *[F.sum(s).over(group).alias(f"{s}_total") for s in sums])
+    inside = Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = kept.withColumns({f"__{s}_inside": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums})
+    out = out.join(offsets, [*by, "__range"])
+    return out.select(*by, value, *sums,
+                      *[(F.col(f"__{s}_offset") + F.col(f"__{s}_inside")).alias(f"{s}_before") for s in sums],
+                      *[f"{s}_total" for s in sums])
+
+
+def exact_quantiles(df: DataFrame, col: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolated quantiles (as numpy / pandas), ``by…, fraction, value``;
+    NULL and NaN values are left out."""
     by = list(by)
     x = F.col(col).cast("double")
-    vals = df.select(*by, x.alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
-    if map_bound is not None:
-        nd = vals.groupBy(*by).agg(F.approx_count_distinct("__x", 0.05).alias("__nd")) \
-            .agg(F.max("__nd").alias("m")).first()["m"]
-        if nd is None or nd <= map_bound / 1.2:
-            fr = F.array(*[F.lit(float(f)) for f in fractions])
-            pv = vals.groupBy(*by).agg(F.percentile("__x", fr).alias("__pv"))
-            return pv.select(*by, F.posexplode("__pv").alias("__i", "value")).select(
-                *by, fr[F.col("__i")].alias("fraction"), "value")
-    if eager:
-        from caliper.session import cut_lineage
-        vals = vals.persist()
-        try:
-            return cut_lineage(_quantiles(vals, fractions, by, buckets))
-        finally:
-            vals.unpersist()
-    return _quantiles(vals, fractions, by, buckets)
-
-
-def _quantiles(vals: DataFrame, fractions: Sequence[float], by: list[str], buckets: int) -> DataFrame:
-    stats = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"),
-                                  F.max("__x").alias("__hi"))
-    width = F.col("__hi") - F.col("__lo")
-    b = F.when(width > 0, F.floor((F.col("__x") - F.col("__lo")) / width * F.lit(float(buckets)))).otherwise(F.lit(0))
-    work = attach(vals, stats, by).withColumn("__b", F.least(b, F.lit(buckets - 1)).cast("int"))
-    counts = work.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    wb = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(wb), F.lit(0)))
-
-    # needed ranks per group: floor and ceil of (n-1)·f, 0-based
-    fr = F.array(*[F.lit(float(f)) for f in fractions])
-    ranks = stats.select(*by, "__n", F.explode(fr).alias("fraction"))
-    ranks = ranks.withColumn("__pos", (F.col("__n") - 1).cast("double") * F.col("fraction"))
-    ranks = ranks.select(*by, "fraction", "__pos",
-                         F.explode(F.array_distinct(F.array(F.floor("__pos").cast("long"), F.ceil("__pos").cast("long"))))
-                         .alias("__k"))
-
-    # locate each rank's bucket: union of bucket starts and ranks, carried forward in order
-    marks = counts.select(*by, F.col("__before").cast("long").alias("__key"), F.lit(0).alias("__t"), "__b",
-                          F.lit(None).cast("long").alias("__k"))
-    rk = ranks.select(*by, F.col("__k").alias("__key"), F.lit(1).alias("__t"), F.lit(None).cast("int").alias("__b"),
-                      "__k").distinct()
-    w = Window.partitionBy(*by).orderBy("__key", "__t").rowsBetween(Window.unboundedPreceding, 0)
-    located = (marks.unionByName(rk).withColumn("__bb", F.last("__b", ignorenulls=True).over(w))
-               .filter(F.col("__t") == 1).select(*by, "__k", F.col("__bb").alias("__b")))
-    needed = located.select(*by, "__b").distinct()
-
-    # exact order statistics inside the needed buckets only (distinct values + counts)
-    inb = work.join(F.broadcast(needed), [*by, "__b"]).groupBy(*by, "__b", "__x").agg(F.count(F.lit(1)).alias("__m"))
-    # only the needed buckets' offsets travel (≤ 2·fractions rows per group)
-    offs = counts.select(*by, "__b", "__before").join(F.broadcast(needed), [*by, "__b"])
-    inb = inb.join(F.broadcast(offs), [*by, "__b"])
-    wv = Window.partitionBy(*by, "__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-    inb = inb.withColumn("__end", F.col("__before") + F.sum("__m").over(wv))      # exclusive end rank
-    inb = inb.withColumn("__start", F.col("__end") - F.col("__m"))
-    kv = located.join(inb, [*by, "__b"]).filter((F.col("__k") >= F.col("__start")) & (F.col("__k") < F.col("__end")))
-    kv = kv.select(*by, "__k", F.col("__x").alias("__v"))
-
-    lo = ranks.withColumn("__kl", F.floor("__pos").cast("long")).withColumn("__kh", F.ceil("__pos").cast("long"))
-    lo = lo.select(*by, "fraction", "__pos", "__kl", "__kh").distinct()
-    j = (lo.join(kv.withColumnRenamed("__k", "__kl").withColumnRenamed("__v", "__vl"), [*by, "__kl"])
-         .join(kv.withColumnRenamed("__k", "__kh").withColumnRenamed("__v", "__vh"), [*by, "__kh"]))
-    t = F.col("__pos") - F.col("__kl")
-    value = F.when(F.col("__vl") == F.col("__vh"), F.col("__vl")).otherwise(
-        F.col("__vl") + (F.col("__vh") - F.col("__vl")) * t)
-    return j.select(*by, "fraction", value.alias("value"))
-
-
-def exact_quantile_array(df: DataFrame, col: str, fractions: Sequence[float], by: Sequence[str] = (),
-                         buckets: int = BUCKETS) -> DataFrame:
+    values = df.select(*by, x.alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    values = values.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    ranked = ordered_sums(values, "__x", ["__n"], by)
+    asked = F.transform(F.array(*[F.lit(float(f)) for f in fractions]), lambda f: F.struct(
+        f.alias("fraction"), ((F.col("__n_total") - 1).cast("double") * f).alias("at")))
+
+    def here(rank):
+        return (rank >= F.col("__n_before")) & (rank < F.col("__n_before") + F.col("__n"))
+
+    mine = F.filter(asked, lambda a: here(F.floor(a["at"])) | here(F.ceil(a["at"])))
+    hits = ranked.select(*by, "__x", "__n", "__n_before", F.explode(mine).alias("a"))
+    at = F.col("a.at")
+    ends = hits.groupBy(*by, F.col("a.fraction").alias("fraction")).agg(
+        F.max(F.when(here(F.floor(at)), F.col("__x"))).alias("lo"),
+        F.max(F.when(here(F.ceil(at)), F.col("__x"))).alias("hi"), F.max(at).alias("at"))
+    part = F.col("at") - F.floor("at")
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(
+        F.col("lo") + (F.col("hi") - F.col("lo")) * part)
+    return ends.select(*by, "fraction", value.alias("value"))
+
+
+def exact_quantile_array(df: DataFrame, col: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """The same as one row per group with ``values`` = array in the order of ``fractions``."""
-    q = exact_quantiles(df, col, fractions, by, buckets)
+    q = exact_quantiles(df, col, fractions, by)
     idx = F.create_map(*[t for i, f in enumerate(fractions) for t in (F.lit(float(f)), F.lit(i))])
     q = q.withColumn("__i", idx[F.col("fraction")])
     return q.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__i", "value"))).alias("__s")) \
         .select(*by, F.transform("__s", lambda s: s["value"]).alias("values"))
 
 
-def kth_smallest(df: DataFrame, col: str, k: int, buckets: int = 4096, small: int = 100_000,
-                 max_levels: int = 12):
-    """Exact k-th smallest (1-based) value of a numeric column.
-
-    Iterative histogram refinement: each level aggregates the rows inside the current
-    value range into ≤ ``buckets`` buckets with their counts and exact min / max (a
-    bounded table), keeps the bucket holding rank k, and narrows the range to that
-    bucket's min..max.  Once the range holds ≤ ``small`` rows, an ordered top-k over
-    just those rows finishes.  No task ever sorts more than ``small`` rows, however the
-    values cluster."""
-    x = F.col(col)
-    base = df.select(x.alias("__x")).filter(F.col("__x").isNotNull())
-    st = base.agg(F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if st["n"] == 0 or not 1 <= k <= st["n"]:
-        raise ValueError(f"rank {k} outside 1..{st['n']}")
-    lo, hi, offset = st["lo"], st["hi"], 0
-    for _ in range(max_levels):
-        if lo == hi:
-            return lo
-        part = base.filter((F.col("__x") >= F.lit(lo)) & (F.col("__x") <= F.lit(hi)))
-        width = float(hi) - float(lo)
-        b = F.least(F.floor((F.col("__x").cast("double") - F.lit(float(lo))) / F.lit(width) * F.lit(float(buckets))),
-                    F.lit(buckets - 1))
-        hist = (part.groupBy(b.alias("__b")).agg(F.count(F.lit(1)).alias("c"), F.min("__x").alias("mn"),
-                                                 F.max("__x").alias("mx")).orderBy("__b").collect())
-        running = offset
-        for r in hist:
-            if running + r["c"] >= k:
-                lo, hi, cnt = r["mn"], r["mx"], r["c"]
-                break
-            running += r["c"]
-        offset = running
-        if cnt <= small or len(hist) == 1:
-            break
-    if lo == hi:
-        return lo
-    rest = base.filter((F.col("__x") >= F.lit(lo)) & (F.col("__x") <= F.lit(hi)))
-    return rest.orderBy("__x").limit(k - offset).agg(F.max("__x")).first()[0]
+def kth_smallest(df: DataFrame, col: str, k: int):
+    """Exact k-th smallest (1-based) value of a column."""
+    values = df.select(F.col(col).alias("__x")).filter(F.col("__x").isNotNull())
+    values = values.groupBy("__x").agg(F.count(F.lit(1)).alias("__n"))
+    ranked = ordered_sums(values, "__x", ["__n"])
+    found = ranked.filter((F.col("__n_before") < k) & (F.col("__n_before") + F.col("__n") >= k)).first()
+    if k < 1 or found is None:
+        raise ValueError(f"rank {k} outside the rows")
+    return found["__x"]
+
+
+def most_frequent(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
+    """The most frequent text of each column (ties to the smallest; None without values):
+    counts per (column, text), then one row per column."""
+    if not cols:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
+    counts = df.select(pairs.alias("p")).filter(F.col("p.v").isNotNull()).groupBy("p.c", "p.v").agg(
+        F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("n"), "v"))["v"].alias("v")).collect()
+    return dict.fromkeys(cols) | {r["c"]: r["v"] for r in best}

@@ -14,7 +14,6 @@ So no class — however hot — is ever sorted in a single task, and nothing is
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -252,12 +251,3 @@ def holdout_sizes(split: DataFrame, group: str = "spatial_key", side: str = "sid
     return split.groupBy(side).agg(F.count(F.lit(1)).alias("rows"),
                                    F.count_distinct(F.coalesce(F.col(group).cast("string"), F.lit("unknown")))
                                    .alias("groups"))
-
-
-def split_date_start(split: DataFrame, date: str = "date", side: str = "side") -> DataFrame:
-    """First date of the test side of a time split."""
-    return split.filter(F.col(side) == "test").agg(F.min(date).alias("split_date_start"))
-
-
-def n_test(n: int, frac: float) -> int:
-    return math.ceil(n * frac)

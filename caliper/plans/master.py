@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from caliper.functions.columns import interaction_features, spatial_key, temporal_features
-from caliper.operators.enrich import (KEY_ALIASES, NS_NULL, NS_VALUE, TARGET_ALIASES, add_placeholders,
+from caliper.operators.enrich import (KEY_ALIASES, TARGET_ALIASES, add_placeholders,
                                       apply_aliases,
                                       child_counts, count_fallback, daily_left_join, date_window,
                                       holiday_defaults, left_join_null_safe, match_rates,
@@ -27,11 +27,11 @@ def build_master(collision: DataFrame, vehicle: DataFrame, casualty: DataFrame,
     fact = normalise_dates(fact, date, FACT_DATE_FORMATS)
     weather = normalise_dates(weather, date, ("yyyy-MM-dd", "yyyyMMdd", "dd/MM/yyyy"))
 
-    v = child_counts(vehicle, key, "vehicle_record_count", ["number_of_vehicles"], keep_join_key=True)
+    v = child_counts(vehicle, key, "vehicle_record_count", ["number_of_vehicles"], for_join=True)
     v = v.withColumnRenamed("number_of_vehicles", "__vehicle_max") if "number_of_vehicles" in v.columns else v
-    c = child_counts(casualty, key, "casualty_record_count", keep_join_key=True)
+    c = child_counts(casualty, key, "casualty_record_count", for_join=True)
     merged = left_join_null_safe(fact, v, key)
-    merged = left_join_null_safe(merged, c, key).drop(NS_VALUE, NS_NULL)
+    merged = left_join_null_safe(merged, c, key)
     merged = daily_left_join(merged, weather, date, suffix="_weather")
     merged = daily_left_join(merged, holidays, date, suffix="_holiday")
     merged = holiday_defaults(merged)
@@ -56,6 +56,27 @@ def join_stats(master: DataFrame, weather_probe: str = "mean_temp") -> DataFrame
     })
 
 
+def write_master(spark, master: DataFrame, path: str, metadata_path: str, target: str = "accident_severity",
+                 join_keys: tuple[str, ...] = ("accident_index", "date", "spatial_key"), weather_probe: str = "mean_temp") -> DataFrame:
+    """S8 + A13: write the master once; the metadata document (counts, target validity,
+    match rates, missing rate per column, join keys, build time) reads the written table.
+    Returns the written master."""
+    from datetime import datetime, timezone
+
+    from caliper.operators.quality import master_metadata, missing_rates
+    from caliper.sources.tables import write_document, write_table
+
+    write_table(master, path)
+    done = spark.read.parquet(path)
+    stats = join_stats(done, weather_probe)
+    row = master_metadata(done, stats, target).first().asDict()                       # one row
+    rates = {r["column"]: r["missing_rate"] for r in missing_rates(done).collect()}   # a row a column
+    match = {k: row.pop(k) for k in stats.columns}
+    write_document(spark, {"built_at_utc": datetime.now(timezone.utc).isoformat(timespec="seconds")} | row | {
+        "missing_rate_by_column": rates, "join_keys": list(join_keys), "join_match_rates": match}, metadata_path)
+    return done
+
+
 def merge_daily_inner(fact: DataFrame, daily: DataFrame, date: str = "date", start_year: int = 2010,
                       fact_formats=FACT_DATE_FORMATS, daily_formats=("yyyyMMdd", "yyyy-MM-dd")) -> DataFrame:
     """C5 (J5, P10): both sides from ``start_year`` on, inner join on the date.

@@ -6,8 +6,9 @@ and its work grows with them:
 
 * fact (collision)      = ``orders`` (key ``o_orderkey``, date ``o_orderdate``)
 * child A (vehicle)     = ``lineitem`` by ``l_orderkey``; ``l_linenumber`` plays the maximum
-* child B (casualty)    = ``lineitem`` rows with ``l_returnflag = 'R'``
-* daily weather         = ``lineitem`` rows with flag R and discount 0.05, one row per ship day
+* child B (casualty)    = all ``lineitem`` rows; without return flag R the key is NULL
+* daily weather         = one row per ``lineitem`` ship day; measures over its rows with flag R and
+                          discount 0.05, NULL on days without one
 * calendar              = three fixed holidays for every year the orders span
 * target codes          = first digit of ``o_orderpriority`` (1–3 valid, 4–5 invalid)
 * timed events          = ``events.ts`` (time of day for the hour features)
@@ -52,24 +53,32 @@ def vehicle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def casualty(spark: SparkSession, d: str) -> DataFrame:
+    """All lineitem rows; those without return flag R have a NULL key (a hot key)."""
     li = table(spark, d, "lineitem")
-    return li.filter(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("accident_index"))
+    return li.select(F.when(F.col("l_returnflag") == "R", F.col("l_orderkey")).alias("accident_index"))
 
 
 def weather(spark: SparkSession, d: str) -> DataFrame:
+    """One row per ship day over all lineitem rows; measures are taken from the rows with
+    flag R and discount 0.05, so days without such a row have NULL measures."""
     li = table(spark, d, "lineitem")
-    q = F.col("l_quantity")
-    return (li.filter((F.col("l_returnflag") == "R") & (F.col("l_discount") == F.lit(0.05)))
-            .groupBy(F.to_date("l_shipdate").alias("date"))
-            .agg((F.count(F.lit(1)) % 9).cast("double").alias("cloud_cover"),
+    seen = (F.col("l_returnflag") == "R") & (F.col("l_discount") == F.lit(0.05))
+
+    def of(c):
+        return F.when(seen, F.col(c))
+
+    q = of("l_quantity")
+    n = F.count_if(seen)
+    return (li.groupBy(F.to_date("l_shipdate").alias("date"))
+            .agg(F.when(n > 0, (n % 9).cast("double")).alias("cloud_cover"),
                  (F.min(q) / 4).alias("sunshine"),
-                 (F.max("l_extendedprice") / 100).alias("global_radiation"),
+                 (F.max(of("l_extendedprice")) / 100).alias("global_radiation"),
                  (F.max(q) / 2).alias("max_temp"),
                  (F.avg(q) / 2).alias("mean_temp"),
                  (F.min(q) / 2).alias("min_temp"),
-                 (F.max("l_tax") * 10).alias("precipitation"),
-                 (F.lit(1000) + F.sum("l_linenumber") % 40).cast("double").alias("pressure"),
-                 F.when(F.min(q) > 45, F.lit(1.0)).otherwise(F.lit(0.0)).alias("snow_depth")))
+                 (F.max(of("l_tax")) * 10).alias("precipitation"),
+                 (F.lit(1000) + F.sum(of("l_linenumber")) % 40).cast("double").alias("pressure"),
+                 F.when(F.min(q) > 45, F.lit(1.0)).when(n > 0, F.lit(0.0)).alias("snow_depth")))
 
 
 # fixed values: holidays placed in every year of the fact table's range (month, day, title)
@@ -176,6 +185,17 @@ def documents_as_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_paths(spark: SparkSession, d: str) -> DataFrame:
-    """URL paths of the pages (scheme, host, query and fragment removed)."""
+    """A file path for each page: the URL's path, and for 15 of 16 page ids a form that
+    one of the path rules, or an exception to one, is about."""
     pages = table(spark, d, "pages")
-    return pages.select(F.regexp_extract("url", r"^[a-z]+://[^/]+/?([^?#]*)", 1).alias("path"))
+    base = F.regexp_extract("url", r"^[a-z]+://[^/]+/?([^?#]*)", 1)
+    page = F.col("page_id").cast("string")
+    # fixed values: forms by page id modulo 16
+    forms = [F.lit("artifacts/model.joblib"), F.lit("artifacts/error_cases.csv"), F.lit("data/sample/merged_sample.csv"),
+             F.concat(F.lit("keys/"), base, F.lit(".PEM")), F.concat(base, F.lit("/.env.local")),
+             F.concat(F.lit("data/raw/"), base), F.lit("data/raw/.gitkeep"), F.concat(F.lit("data/sample/"), base),
+             F.concat(F.lit("artifacts/"), base, F.lit(".pkl")), F.concat(F.lit("p"), page, F.lit(".zip")),
+             F.concat(F.lit("p"), page, F.lit(".pdf")), F.concat(F.lit("practical"), page, F.lit(".ipynb")),
+             F.lit("docs/practical.ipynb"), F.concat(base, F.lit("/biplot_2d.png")), F.lit("data/processed/x.key"), base]
+    path = F.coalesce(*[F.when(F.col("page_id") % 16 == i, f) for i, f in enumerate(forms)])
+    return pages.select(path.alias("path"))

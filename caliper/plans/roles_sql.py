@@ -15,22 +15,19 @@ COLLISION = """collision AS (
 
 VEHICLE = """vehicle AS (SELECT l_orderkey AS accident_index, l_linenumber AS number_of_vehicles FROM lineitem)"""
 
-CASUALTY = """casualty AS (SELECT l_orderkey AS accident_index FROM lineitem WHERE l_returnflag = 'R')"""
+CASUALTY = """casualty AS (SELECT CASE WHEN l_returnflag = 'R' THEN l_orderkey END AS accident_index FROM lineitem)"""
 
 WEATHER = """weather AS (
-  SELECT CAST(l_shipdate AS DATE) AS date,
-         CAST(count(*) % 9 AS DOUBLE) AS cloud_cover,
-         min(l_quantity) / 4 AS sunshine,
-         max(l_extendedprice) / 100 AS global_radiation,
-         max(l_quantity) / 2 AS max_temp,
-         avg(l_quantity) / 2 AS mean_temp,
-         min(l_quantity) / 2 AS min_temp,
-         max(l_tax) * 10 AS precipitation,
-         CAST(1000 + sum(l_linenumber) % 40 AS DOUBLE) AS pressure,
-         CASE WHEN min(l_quantity) > 45 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS snow_depth
-  FROM lineitem
-  WHERE l_returnflag = 'R' AND l_discount = CAST(0.05 AS DOUBLE)
-  GROUP BY CAST(l_shipdate AS DATE))"""
+  SELECT date, CASE WHEN n > 0 THEN CAST(n % 9 AS DOUBLE) END AS cloud_cover, lo / 4 AS sunshine,
+         price / 100 AS global_radiation, hi / 2 AS max_temp, mean / 2 AS mean_temp, lo / 2 AS min_temp,
+         tax * 10 AS precipitation, CAST(1000 + lines % 40 AS DOUBLE) AS pressure,
+         CASE WHEN lo > 45 THEN CAST(1 AS DOUBLE) WHEN n > 0 THEN CAST(0 AS DOUBLE) END AS snow_depth
+  FROM (SELECT CAST(l_shipdate AS DATE) AS date, count(*) FILTER (WHERE r) AS n, min(l_quantity) FILTER (WHERE r) AS lo,
+               max(l_quantity) FILTER (WHERE r) AS hi, avg(l_quantity) FILTER (WHERE r) AS mean,
+               max(l_extendedprice) FILTER (WHERE r) AS price, max(l_tax) FILTER (WHERE r) AS tax,
+               sum(l_linenumber) FILTER (WHERE r) AS lines
+        FROM (SELECT *, l_returnflag = 'R' AND l_discount = CAST(0.05 AS DOUBLE) AS r FROM lineitem)
+        GROUP BY CAST(l_shipdate AS DATE)))"""
 
 CALENDAR = """holidays AS (
   SELECT make_date(CAST(y AS BIGINT), h.m, h.dd) AS date, 1 AS is_bank_holiday, h.t AS bank_holiday_title

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,14 +36,17 @@ def get_spark(master: str | None = None, app: str = "caliper", shuffle_partition
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """The shared folder named in ``spark.checkpoint.dir``.  Where it is unset, a local
+    master gets a scratch folder; a cluster is refused: its executors do not see each
+    other's local folders, and re-reads would miss files."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="caliper-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -67,20 +70,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast-hint ``df`` only after proving it has at most ``max_rows`` rows.
 
-    The proof is a bounded action (``limit(max_rows + 1).count()``) on the persisted
-    frame, so the join reuses what the check computed.  Beyond the bound
-    the frame is returned unhinted so the planner uses a shuffle join (AQE skew
-    splitting applies)."""
-    small = df.persist()
-    n = small.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(small)
-    small.unpersist()
-    return df
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+    The frame is written to the checkpoint folder once; the proof reads the row counts in
+    its Parquet footers and the join reads the written rows, so nothing stays persisted.
+    Beyond the bound the frame is returned unhinted: the planner uses a shuffle join and
+    AQE splits skewed keys."""
+    small = cut_lineage(df)
+    return F.broadcast(small) if small.count() <= max_rows else small

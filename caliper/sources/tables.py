@@ -6,6 +6,7 @@ Catalyst); guards touch only file listings or a bounded ``limit(n)`` action.
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,10 +107,17 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", single_file: bool =
         raise ValueError(fmt)
 
 
+def write_document(spark: SparkSession, document: dict, path: str) -> None:
+    """One nested JSON document (objects stay objects)."""
+    text = F.lit(json.dumps(document, default=str))
+    spark.range(1).select(F.from_json(text, F.schema_of_json(text)).alias("d")).select("d.*") \
+        .coalesce(1).write.mode("overwrite").json(path)
+
+
 def land(src: DataFrame, dst: str, date_col: str | None = None, lo: str | None = None, hi: str | None = None,
-         if_exists: str = "overwrite") -> DataFrame:
+         if_exists: str = "overwrite", source: str | None = None) -> DataFrame:
     """Source -> optional inclusive date window -> landed parquet.  Returns the
-    landing manifest row (S13): rows, min/max date, output, timestamp."""
+    landing manifest row (S13): source, rows, min/max date, output, timestamp."""
     from caliper.operators.enrich import date_window, normalise_dates
 
     df = src
@@ -121,6 +129,7 @@ def land(src: DataFrame, dst: str, date_col: str | None = None, lo: str | None =
     if date_col:
         aggs += [F.min(date_col).alias("min_date"), F.max(date_col).alias("max_date")]
     return landed.agg(*aggs).withColumns({
+        "source": F.lit(source),
         "output": F.lit(dst),
         "from_date": F.lit(lo),
         "to_date": F.lit(hi),

@@ -95,7 +95,7 @@ def _ap_bruteforce(y, p):
 def test_average_precision_matches_bruteforce(spark, ties):
     rows = _random_scored(700, 3 if ties else 4, ties)
     df = spark.createDataFrame(rows, "row_id long, label int, prediction int, score double")
-    got = ME.average_precision(df, 0, buckets=16).first().fatal_pr_auc
+    got = ME.average_precision(df, 0).first().fatal_pr_auc
     exp = _ap_bruteforce([1 if r[1] == 0 else 0 for r in rows], [r[3] for r in rows])
     assert got == pytest.approx(exp, abs=1e-12)
 
@@ -185,11 +185,10 @@ def test_exact_quantiles_match_numpy(spark, case):
     df = spark.createDataFrame([(v, "a" if i % 3 else "b") for i, v in enumerate(vals)], "x double, g string")
     fr = [float(f) for f in np.linspace(0, 1, 11)]
     exp = np.quantile(np.array(vals), fr)
-    for bound in (None, 10 ** 6):              # bucketed path and the checked map path
-        got = {r.fraction: r.value for r in exact_quantiles(df, "x", fr, buckets=8, map_bound=bound).collect()}
-        for f, e in zip(fr, exp):
-            assert got[f] == pytest.approx(e, abs=1e-12)
-    med = {r.g: r.value for r in exact_quantiles(df, "x", [0.5], by=["g"], buckets=4, map_bound=None).collect()}
+    got = {r.fraction: r.value for r in exact_quantiles(df, "x", fr).collect()}
+    for f, e in zip(fr, exp):
+        assert got[f] == pytest.approx(e, abs=1e-12)
+    med = {r.g: r.value for r in exact_quantiles(df, "x", [0.5], by=["g"]).collect()}
     for g in med:
         sub = [v for i, v in enumerate(vals) if ("a" if i % 3 else "b") == g]
         assert med[g] == pytest.approx(float(np.median(sub)), abs=1e-12)

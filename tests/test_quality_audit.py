@@ -87,6 +87,27 @@ def test_secret_findings_first_line_and_exempt(spark):
     assert out == {"settings.py": "possible secret-like text at line 1", "b.txt": "possible secret-like text at line 3"}
 
 
+def test_secret_lines_follow_all_line_breaks_and_any_length(spark):
+    secret = "token = 'abcdefghijkl'"
+    texts = {"breaks": f"a\rb\x0cc\r\n{secret}", "late": "line of text\n" * 250_000 + secret, "twice": secret,
+             "spread": "token =\n'abcdefghijkl'"}
+    rows = [*texts.items(), ("twice", f"x\n{secret}"), (None, secret), ("null", None)]
+    got = sorted(((r.path, r.message.rsplit(" ", 1)[1]) for r in AU.secret_findings(
+        spark.createDataFrame(rows, "path string, text string")).collect()), key=str)
+    lines = {k: next((i + 1 for i, x in enumerate(v.splitlines()) if secret in x), None) for k, v in texts.items()}
+    assert len(texts["late"]) > 3 * 1024 * 1024 and lines["breaks"] == 4
+    assert got == sorted([("breaks", "4"), ("late", "250001"), ("twice", "1"), ("twice", "2"), (None, "1")], key=str)
+
+
+def test_path_rules_apply_by_priority(spark):
+    rules = (AU.PathRule("prefix", ("a/",), "first"), AU.PathRule("extension", (".key",), "second", unless=("b.key",)),
+             AU.PathRule("name_regex", ("^n",), "third", root_only=True, pattern=r"\.txt$"))
+    paths = {"a/x.key": "first", "c/x.KEY": "second", "b.key": None, "note.txt": "third", "d/note.txt": None, "note.md": None}
+    df = spark.createDataFrame([(p,) for p in [*paths, None]], "path string")
+    got = {r.path: r.reason for r in df.select("path", AU.forbidden_reason(F.col("path"), rules).alias("reason")).collect()}
+    assert got == paths | {None: None}
+
+
 def test_required_and_summary(spark):
     observed = spark.createDataFrame([("README.md",)], "path string")
     req = AU.missing_required(observed)

@@ -144,4 +144,4 @@ def test_kth_smallest_clustered_values(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x long")
     srt = sorted(vals)
     for k in (1, 2, 500, 1001, len(vals)):
-        assert kth_smallest(df, "x", k, buckets=4, small=3) == srt[k - 1]
+        assert kth_smallest(df, "x", k) == srt[k - 1]

@@ -68,7 +68,50 @@ def test_training_generates_artifacts(spark, tmp_dir):
     scored = MO.batch_score(model, one).collect()
     assert len(scored) == 1 and scored[0].predicted_code in (1, 2, 3)
     assert abs(sum(scored[0].probabilities) - 1.0) < 1e-9
-    assert json.loads(spark.read.json(os.path.join(out_dir, "metrics")).first()["summary"])["rows_total"] == 60
+    doc = spark.read.json(os.path.join(out_dir, "metrics")).first().asDict(recursive=True)
+    assert doc["rows_total"] == 60 and doc["data_quality_report"]["target_distribution_after_filter"] == {"1": 20, "2": 20, "3": 20}
+    assert doc["safety_metrics_on_test_split"]["fatal_support"] == 4 and len(doc["all_model_metrics"]) == 3
+    assert doc["selected_model_by_cv"] in MO.MODEL_ORDER and doc["calibration_model_report"]["available"] is True
+    assert model.info["target_column"] == "accident_severity" and model.info["calibration_model_report"]["available"]
+    assert sum(r["n"] for r in res["reports"]["confusion_matrix"].collect()) == 12
+
+
+def test_search_prefers_the_better_point_and_weighs_per_fold(spark):
+    from caliper.operators import reliability as RE
+    rows = [(i, i % 3, float(i % 3) + (i % 7) * 0.01, float(i % 5)) for i in range(90)]
+    df = spark.createDataFrame(rows, "row_id long, label int, x double, y double")
+    best, trials, record = RE.grid_search(df, "random_forest", {"num_trees": [1, 12], "max_depth": [1, None]}, ["x", "y"], [],
+                                          ["a", "b", "c"], k=3, base={"max_depth": 6})
+    t = [r.asDict() for r in trials.collect()]
+    assert [r["rank"] for r in t] == [1, 2, 3, 4] and t[0]["mean_test_f1_macro"] == pytest.approx(record["best_score_f1_macro"])
+    assert json.loads(t[0]["params"]) == best == record["best_params"] and record["best_score_f1_macro"] > 0.9
+    by_hand = []                                   # the best point again, fold by fold
+    from caliper.operators import metrics as ME
+    from caliper.operators import splits as SP
+    folds = SP.stratified_folds(df, 3).cache()
+    for f in range(3):
+        m = MO.fit_model("random_forest", folds.filter(F.col("fold") != f), ["x", "y"], [], ["a", "b", "c"], {"max_depth": 6, **best})
+        by_hand.append(ME.overall(ME.confusion(MO.score(m, folds.filter(F.col("fold") == f)))).first()["f1_macro"])
+    folds.unpersist()
+    assert record["best_score_f1_macro"] == pytest.approx(sum(by_hand) / 3)
+    assert record["cv_splits"] == 3 and record["fit_rows_for_search"] == 90
+    recs = []
+    tr, te = df.filter("row_id < 70"), df.filter("row_id >= 70")
+    chosen, _, _ = MO.fit_and_select(tr, te, ["x", "y"], [], ["a", "b", "c"], models=["logistic_regression"],
+                                     grids={"logistic_regression": {"C": [0.1, 3.0]}}, records=recs)
+    assert chosen.params == recs[0]["best_params"] and recs[0]["search_enabled"]
+
+
+def test_boosting_takes_no_depth_as_the_default():
+    est = MO.build_estimator("hist_gradient_boosting_balanced", {"max_depth": None}, 10, 3)
+    assert est.getOrDefault(est.maxDepth) == MO.DEFAULT_PARAMS["hist_gradient_boosting_balanced"]["max_depth"]
+
+
+def test_row_ids_do_not_depend_on_partitioning(spark):
+    from caliper.plans.train_run import with_row_id
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (None, "b")], "x int, y string")
+    one = sorted(r.row_id for r in with_row_id(df.coalesce(1), "row_id").collect())
+    assert one == sorted(r.row_id for r in with_row_id(df.repartition(3), "row_id").collect()) and len(set(one)) == 4
 
 
 def test_json_records_scoring_ignores_extra_fields(spark, tmp_dir):
