@@ -4,8 +4,8 @@ A text is a vector of hashed character n-grams of its letters (lower-cased; what
 letter is one word boundary), weighted by 1 + log count and inverse document frequency,
 of length one.  Each language has several centroids, found by clustering a bounded sample
 of its labelled texts by cosine; a text gets the language of the nearest centroid, and the
-cosine as score.  A text that is farther from all centroids than nearly all labelled texts
-are is rejected.
+cosine as score.  A text is rejected if its cosine is under a quarter of what 99 in 100 labelled texts reach;
+short texts and texts full of numbers stay far above that, other scripts far below.
 
 Document frequencies are counted over all labelled texts; only the clustering uses the
 sample (``per_language`` texts of each language, by hash of the text).
@@ -147,7 +147,7 @@ def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, bits: i
     rows = sorted(sample.groupBy("lang").applyInPandas(centres, "lang string, centre array<float>, low double").collect(), key=lambda r: (r["lang"], list(r["centre"])))
     if not rows:
         return None
-    return Model([r["lang"] for r in rows], np.array([r["centre"] for r in rows], np.float32), weights, 0.5 * min(r["low"] for r in rows))
+    return Model([r["lang"] for r in rows], np.array([r["centre"] for r in rows], np.float32), weights, 0.25 * min(r["low"] for r in rows))
 
 
 def identify(df: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", rejected_out: str = "rejected") -> DataFrame:
