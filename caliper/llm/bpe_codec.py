@@ -124,27 +124,32 @@ def codec(path: str) -> Codec:
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids``: every whole text's ids as little-endian unsigned 32-bit integers
     in one binary value.  Narrow: no shuffle."""
-    store.ready(df.sparkSession)
+    return _run(store.as_text(df, id_col, text_col), vocabulary, decoded=False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
-        for part in store.slices(batches, "text"):
-            ids = own.encode([t or "" for t in part.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return store.as_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
+def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids, decoded``: every whole text encoded, and its ids decoded again, in one
+    pass and one Python worker a task."""
+    return _run(store.as_text(df, id_col, text_col), vocabulary, decoded=True)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, ids, decoded`` from :func:`encode`'s rows."""
-    store.ready(encoded.sparkSession)
+    return _run(encoded.select("doc_id", "ids"), vocabulary, decoded=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
-        for part in store.slices(batches, "ids"):
-            texts = [own.decode(x or b"") for x in part.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
+def _run(df: DataFrame, vocabulary: str, decoded: bool) -> DataFrame:
+    store.ready(df.sparkSession)
+    source = df.columns[1]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(vocabulary)
+        for part in store.slices(batches, source):
+            given = part.column(source).to_pylist()
+            ids = [x or b"" for x in given] if source == "ids" else own.encode([t or "" for t in given])
+            columns = {"doc_id": part.column("doc_id"), "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                columns["decoded"] = pa.array([own.decode(x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return df.mapInArrow(run, "doc_id long, ids binary" + ", decoded string" * decoded)

@@ -209,44 +209,73 @@ def components(links: DataFrame) -> DataFrame:
         labels = nearer.select("node", F.col("next").alias("component"))
 
 
+_TOLD = ("component", "n", "d", "b0", "b1", "b2", "b3")
+
+
+def _placed(found: DataFrame, labels: DataFrame, column: str = "node") -> DataFrame:
+    """``component`` of a column's nodes: their label, else themselves."""
+    own = labels.select(F.col("node").alias(column), "component")
+    return found.join(own, column, "left").withColumn("component", F.coalesce("component", column))
+
+
+def _may_link(x: str, y: str) -> F.Column:
+    """Whether two nodes (columns with these prefixes) are in different components and may
+    link by their sizes and outlines."""
+
+    def alone(p: str, q: str) -> F.Column:
+        return sum((F.bit_count(F.col(f"{p}b{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}b{i}")))) for i in range(4)), F.lit(0))
+
+    common = F.least(F.col(f"{x}d") - alone(x, y), F.col(f"{y}d") - alone(y, x))  # at most
+    close = 9 * (F.col(f"{x}d") + F.col(f"{y}d") - 2 * common) <= F.col(f"{x}n") + F.col(f"{y}n")
+    return (F.col(f"{x}component") != F.col(f"{y}component")) & _similar_sizes(f"{x}n", f"{y}n") & close
+
+
+def _pairs(met: DataFrame, name: str) -> DataFrame:
+    return store.written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
+
+
+def _side(found: DataFrame, name: str) -> DataFrame:
+    return found.select("hub", "kind", "trace", F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in _TOLD), "asks")
+
+
 def _linked(members: DataFrame, sizes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """All ``node, component`` of more than one node, from ``key, node, n`` of buckets of
-    two or more nodes."""
+    two or more nodes: links with the buckets' hubs; then, among the nodes that share a
+    trace, links with the smallest of them; then what may still join two components."""
     hubs = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("h")).select("key", F.col("h.node").alias("a"), F.col("h.n").alias("hub_n"))
     hubs = store.written(hubs, "dedup-hubs")
     grouped = members.withColumnRenamed("node", "b").join(hubs, "key").where("a < b").select("a", "b", "n", "hub_n").distinct()
     grouped = store.written(grouped, "dedup-groups")
     involved = grouped.select(F.col("a").alias("node")).unionByName(grouped.select(F.col("b").alias("node"))).distinct()
     sets = set_table(store.written(involved, "dedup-involved"), texts, k)
-    first = store.written(compared(grouped.where(_similar_sizes("n", "hub_n")).select("a", "b"), sets), "dedup-first")
-    links = first.where("linked").select("a", "b")
-    labels = components(links)
 
-    def component(of: str, name: str, df: DataFrame) -> DataFrame:
-        own = labels.select(F.col("node").alias(of), F.col("component").alias(name))
-        return df.join(own, of, "left").withColumn(name, F.coalesce(name, of))
-
-    placed = store.written(component("a", "hub_component", component("b", "component", grouped.select("a", "b"))), "dedup-placed")
-    open_hubs = placed.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("hub_component").alias("own"))
-    open_hubs = open_hubs.where("low != high or low != own").select("a")
-    asked = placed.join(store.written(open_hubs, "dedup-open"), "a", "left_semi").select("a", "b")
-    found = store.written(traces(asked, sets), "dedup-traces")
-    found = component("node", "component", found).join(sizes, "node")
-    found = store.written(found, "dedup-traces")
-    told = ["component", "n", "d", "b0", "b1", "b2", "b3"]
-    x = found.where("asks").select("hub", "kind", "trace", F.col("node").alias("x"), *(F.col(c).alias(f"x_{c}") for c in told))
-    y = found.where("kind != 2 or asks").select("hub", "kind", "trace", F.col("node").alias("y"), *(F.col(c).alias(f"y_{c}") for c in told), "asks")
-    once = ~F.col("asks") | (F.col("x") < F.col("y"))  # of two that ask, the smaller one
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        return store.written(compared(pairs, sets), name).where("linked").select("a", "b")
 
-    def alone(p: str, q: str) -> F.Column:
-        return sum((F.bit_count(F.col(f"{p}_b{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}_b{i}")))) for i in range(4)), F.lit(0))
-
-    common = F.least(F.col("x_d") - alone("x", "y"), F.col("y_d") - alone("y", "x"))  # at most
-    may_link = 9 * (F.col("x_d") + F.col("y_d") - 2 * common) <= F.col("x_n") + F.col("y_n")
-    met = x.join(y, ["hub", "kind", "trace"]).where((F.col("x_component") != F.col("y_component")) & once & _similar_sizes("x_n", "y_n") & may_link)
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = store.written(compared(store.written(pairs, "dedup-pairs"), sets), "dedup-more").where("linked").select("a", "b")
-    return labels if more.isEmpty() else components(links.unionByName(more))
+    links = links_of(grouped.where(_similar_sizes("n", "hub_n")).select("a", "b"), "dedup-first")
+    labels = components(links)
+    placed = _placed(grouped.select("a", "b"), labels, "b")
+    placed = _placed(placed.withColumnRenamed("component", "of_node"), labels, "a")
+    placed = store.written(placed.withColumnRenamed("component", "of_hub"), "dedup-placed")
+    apart = placed.groupBy("a").agg(F.min("of_node").alias("low"), F.max("of_node").alias("high"), F.min("of_hub").alias("own"))
+    apart = store.written(apart.where("low != high or low != own").select("a"), "dedup-apart")
+    found = store.written(traces(placed.join(apart, "a", "left_semi").select("a", "b"), sets), "dedup-traces")
+    found = store.written(found.join(sizes, "node"), "dedup-traces")
+
+    now = store.written(_placed(found, labels), "dedup-traces")
+    least = now.groupBy("hub", "kind", "trace").agg(F.min(F.struct("node", *_TOLD)).alias("y"), F.count("*").alias("m")).where("m > 1")
+    least = store.written(least.select("hub", "kind", "trace", F.col("y.node").alias("y"), *(F.col(f"y.{c}").alias(f"y_{c}") for c in _TOLD)), "dedup-least")
+    met = _side(now, "x").join(least, ["hub", "kind", "trace"]).where(_may_link("x_", "y_"))
+    more = links_of(_pairs(met, "dedup-pairs"), "dedup-more")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
+        now = store.written(_placed(found, labels), "dedup-traces")
+    x, y = _side(now.where("asks"), "x").drop("asks"), _side(now.where("kind != 2 or asks"), "y")
+    once = ~F.col("asks") | (F.col("x") < F.col("y"))  # of two that ask, the smaller one
+    met = x.join(y, ["hub", "kind", "trace"]).where(once & _may_link("x_", "y_"))
+    rest = links_of(_pairs(met, "dedup-pairs"), "dedup-more")
+    return labels if rest.isEmpty() else components(links.unionByName(rest))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, permutations: int = 64, rows: int = 4) -> DataFrame:

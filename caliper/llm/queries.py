@@ -91,7 +91,7 @@ def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and what they decode to, as digests."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    coded = bpe_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

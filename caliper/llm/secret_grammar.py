@@ -192,8 +192,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 def plain_symbols(df: DataFrame, text_col: str = "text", max_texts: int = 1000) -> dict[str, float]:
     """Log-probabilities of characters in ordinary text, from a bounded sample for the fit
-    (the whole texts of smallest hash).  A row for each character reaches the driver."""
-    few = df.select(F.col(f"`{text_col}`").alias("t")).where("t is not null and t != ''").select(F.xxhash64("t").alias("h"), "t").orderBy("h", "t").limit(max_texts)
+    (the whole texts of smallest hash; copies of a chosen text count with it).  A row for each character reaches the driver."""
+    texts = df.select(F.col(f"`{text_col}`").alias("t")).where("t is not null and t != ''").select(F.xxhash64("t").alias("h"), "t")
+    last = texts.select("h").orderBy("h").limit(max_texts).agg(F.max("h")).first()[0]
+    if last is None:
+        return {END: -math.log(256)}
+    few = texts.where(F.col("h") <= last)
     seen = {r["c"]: r["n"] for r in few.select(F.explode(F.split("t", "")).alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect() if r["c"]}
     total = sum(seen.values()) + 256
     return {c: math.log((n + 1) / total) for c, n in seen.items()} | {END: math.log(1 / total)}

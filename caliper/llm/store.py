@@ -1,15 +1,15 @@
 """Shared-folder helpers of the ``llm`` operators.
 
 Everything an operator leaves for a later job lies under the folder that the session
-names in ``spark.checkpoint.dir``.  Only where that setting is empty (tests) a scratch
-folder is made and set.  Lineage is cut by a written Parquet table, so a lost executor
-costs the running tasks and nothing that was written before.
+names in ``spark.checkpoint.dir``.  Only where that setting is empty in a local session
+(tests) a scratch folder is made and set.  Lineage is cut by a written Parquet table, so a
+lost executor costs the running tasks and nothing that was written before.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -19,28 +19,37 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caliper.session import ensure_checkpoint_dir
+
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: What Python workers are started with: memory that a task gives back goes to the system.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576", "OMP_NUM_THREADS": "1"}
+BATCH_BYTES = 8 << 20
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers find this package where the driver found it (a cluster that
-    gets the package with ``--py-files`` needs nothing more)."""
+    gets the package with ``--py-files`` needs nothing more), and keep what is in flight
+    between them and the JVM small: texts are long, so Arrow batches are bounded by bytes."""
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO not in parts:
         env["PYTHONPATH"] = os.pathsep.join([REPO, *parts])
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if re.fullmatch(r"-1b?|67108864b?", spark.conf.get(key)):  # no bound, or the default
+        spark.conf.set(key, str(BATCH_BYTES))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a new scratch folder if unset."""
+    """The folder named by ``spark.checkpoint.dir``; a new scratch folder if it is unset in
+    a local session (a cluster without a shared folder is refused)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="caliper-llm-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    return (named or ensure_checkpoint_dir(spark)).rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -78,11 +87,6 @@ def put_file(address: str, write) -> None:
     system.move(attempt, path)
 
 
-def text_bytes(batch: pa.RecordBatch, column: str) -> int:
-    n = pc.sum(pc.binary_length(batch.column(column))).as_py()
-    return n or 0
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with about ``limit`` bytes in ``column`` (one
     row at least), so that working memory follows ``limit`` and the longest single text."""

@@ -6,16 +6,17 @@ of documents in ascending id order:
 
     magic, payload bits, checkpoints, documents, sizes of these, magic
 
-The payload is one run of bits.  Every ``BLOCK`` ids a checkpoint names the bit at which a
-block begins, so each block can be decoded by itself; a reader decodes many blocks in step
-with one table look-up an id.  ``codes.bin`` beside the shards has the code lengths.
+The payload is one run of bits.  A document's ids are cut into blocks of ``BLOCK``, and for
+each block a checkpoint names the bit at which it begins, so every document and every block
+can be decoded by itself; a reader decodes many blocks in step with one table look-up an id.
+``codes.bin`` beside the shards has the code lengths.
 
-Documents are coded before they are shuffled into ranges, so what moves is as small as
-what is stored.  Shards are written whole under their final names by whichever attempt
+Texts are encoded once, into a written table of ids; the range shuffle moves ids, and
+shards are coded as they are written, slice by slice.  Shards are written whole under their final names by whichever attempt
 ends; the list of shards is a written table with a row for each.
 
 Cases: a null or empty text has the end id alone; a null doc_id sorts first; rows that
-repeat an id are stored one after the other by their ids; other columns aren't read; an
+repeat an id are stored one after the other, ordered by their ids' bytes; other columns aren't read; an
 empty table makes no shard.
 """
 
@@ -109,23 +110,32 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoded(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids``: each whole text's ids and the end id, two bytes an id where all
-    ids fit in two, else four."""
+    """``doc_id, ids, width``: each whole text's ids and the end id, two bytes an id where
+    all ids fit in two, else four.  A task's last row has no ids: its ``counted`` and
+    ``counts`` say how often each id came up in the task."""
     store.ready(df.sparkSession)
+    names = ["doc_id", "ids", "width", "counted", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _ENCODERS:
             _ENCODERS[vocabulary] = Encoder(vocabulary)
         own = _ENCODERS[vocabulary]
-        kind = _id_type(max(own.tokenizer.get_vocab_size(), end_id + 1))
+        size = max(own.tokenizer.get_vocab_size(), end_id + 1)
+        kind = _id_type(size)
+        total = np.zeros(size, np.int64)
+        lists = pa.list_(pa.int64())
         for part in store.slices(batches, "text", 8 << 20):
             ids, ends = own.encode(part.column("text"))
             flat = np.insert(ids, ends, end_id).astype(kind)
+            total += np.bincount(flat, minlength=size)
             offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * kind.itemsize
             rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), rows, pa.array([kind.itemsize] * len(ends), pa.int32())], ["doc_id", "ids", "width"])
+            none = pa.nulls(len(ends), lists)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), rows, pa.array([kind.itemsize] * len(ends), pa.int32()), none, none], names)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([at.tolist()], lists), pa.array([total[at].tolist()], lists)], names)
 
-    return store.as_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, width int")
+    return store.as_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, width int, counted array<long>, counts array<long>")
 
 
 def _id_type(size: int) -> np.dtype:
@@ -134,19 +144,8 @@ def _id_type(size: int) -> np.dtype:
 
 def id_counts(ids: DataFrame) -> dict[int, int]:
     """How often each id occurs, over all documents: a row for each id reaches the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for part in store.slices(batches, "ids", 8 << 20):
-            for width in set(part.column("width").to_pylist()):
-                flat = np.frombuffer(b"".join(x for x, w in zip(part.column("ids").to_pylist(), part.column("width").to_pylist(), strict=True) if w == width), f"<u{width}")
-                own = np.bincount(flat, minlength=len(total))
-                own[: len(total)] += total
-                total = own
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
-
-    rows = ids.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    each = ids.where("ids is null").select(F.explode(F.arrays_zip("counted", "counts")).alias("c"))
+    rows = each.groupBy(F.col("c.counted").alias("id")).agg(F.sum("c.counts").alias("n")).collect()
     return {r["id"]: r["n"] for r in rows}
 
 
@@ -235,6 +234,11 @@ class Code:
         return out[np.arange(out.shape[1])[None, :] < sizes[:, None]]
 
 
+def _inside(blocks: np.ndarray) -> np.ndarray:
+    """The number of each block in its document, from the documents' numbers of blocks."""
+    return np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+
+
 def write(ids: DataFrame, code: Code, folder: str, shards: int) -> DataFrame:
     """Write :func:`encoded`'s rows to shards in ascending doc_id order; the written list
     ``shard, file, documents, ids`` of the shards."""
@@ -242,67 +246,54 @@ def write(ids: DataFrame, code: Code, folder: str, shards: int) -> DataFrame:
     store.put_file(f"{folder}/codes.bin", lambda out: out.write(code.to_bytes()))
     shared = spark.sparkContext.broadcast(code.to_bytes())  # a length for each id of the vocabulary
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Code.from_bytes(shared.value)
-        for part in store.slices(batches, "ids"):
-            packed, sizes, lengths = [], [], []
-            for x, width in zip(part.column("ids").to_pylist(), part.column("width").to_pylist(), strict=True):
-                one = np.frombuffer(x, f"<u{width}")
-                sizes.append(len(one))
-                bits = own.bits(one)
-                lengths.append(len(bits))
-                packed.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n", "bits", "packed"])
-
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         own = Code.from_bytes(shared.value)
-        rows: list[tuple] = []
-        count = [0, 0]
+        tables: list[np.ndarray] = []
+        total = [0]
 
         def parts(out) -> None:
             out.write(MAGIC)
-            rest = np.zeros(0, np.uint8)
-            total_bits = total_ids = 0
-            checkpoints = []
-            for part in store.slices(batches, "packed"):
-                pieces = [rest]
-                for doc_id, n, used, packed in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n", "bits", "packed")), strict=True):
-                    raw = np.frombuffer(packed, np.uint8)
-                    first = -total_ids % BLOCK  # the document's id at which a block begins
-                    if first < n:
-                        flat = own.decode(np.concatenate([raw, np.zeros(4, np.uint8)]), np.zeros(1, np.int64), np.array([n]))
-                        begins = np.concatenate([[0], np.cumsum(own.length[flat].astype(np.int64))])
-                        checkpoints.extend((total_bits + begins[first:n:BLOCK]).tolist())
-                    pieces.append(np.unpackbits(raw, count=used))
-                    rows.append((doc_id, total_ids, n))
-                    total_bits += used
-                    total_ids += n
-                flow = np.concatenate(pieces)
+            rest, checkpoints = np.zeros(0, np.uint8), []
+            bits = 0
+            for part in store.slices(batches, "ids"):
+                rows = part.column("ids").to_pylist()
+                width = part.column("width")[0].as_py()
+                flat = np.frombuffer(b"".join(rows), f"<u{width}")
+                n = np.array([len(r) // width for r in rows], np.int64)
+                first = np.cumsum(n) - n
+                blocks = -(-n // BLOCK)
+                length = own.length[flat].astype(np.int64)
+                begins = np.cumsum(length) - length
+                checkpoints.append((bits + begins[np.repeat(first, blocks) + BLOCK * _inside(blocks)]).astype("<u8"))
+                table = np.zeros(len(rows), TABLE)
+                names = part.column("doc_id")
+                table["null"], table["doc_id"] = names.is_null().to_numpy(zero_copy_only=False), names.fill_null(0).to_numpy()
+                table["start"], table["n"] = total[0] + first, n
+                tables.append(table)
+                total[0] += len(flat)
+                bits += int(length.sum())
+                flow = np.concatenate([rest, own.bits(flat)])
                 whole = len(flow) // 8 * 8
                 out.write(np.packbits(flow[:whole]).tobytes())
                 rest = flow[whole:]
             out.write(np.packbits(rest).tobytes())
-            out.write(np.array(checkpoints, "<u8").tobytes())
-            table = np.zeros(len(rows), TABLE)
-            for i, (doc_id, start, n) in enumerate(rows):
-                table[i] = (doc_id is None, doc_id or 0, start, n)
-            out.write(table.tobytes())
-            out.write(np.array([(total_bits, total_ids, len(rows), MAGIC)], _TAIL).tobytes())
-            count[:] = [len(rows), total_ids]
+            for x in (*checkpoints, *tables):
+                out.write(x.tobytes())
+            out.write(np.array([(bits, total[0], sum(map(len, tables)), MAGIC)], _TAIL).tobytes())
 
         name = f"part-{shard:06d}.huf"
         store.put_file(f"{folder}/{name}", parts)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([name]), pa.array([count[0]], pa.int64()), pa.array([count[1]], pa.int64())], ["shard", "file", "documents", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([name]), pa.array([sum(map(len, tables))], pa.int64()), pa.array(total, pa.int64())], ["shard", "file", "documents", "ids"])
 
-    packed = ids.select("doc_id", "ids", "width").mapInArrow(pack, "doc_id long, n long, bits long, packed binary")
-    ranged = packed.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "packed")
+    ranged = ids.where("ids is not null").select("doc_id", "ids", "width").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
     return store.written(ranged.mapInArrow(fill, "shard long, file string, documents long, ids long"), "token-shards")
 
 
-def read(spark: SparkSession, shards: DataFrame, folder: str, group: int = 1024) -> DataFrame:
+def read(spark: SparkSession, shards: DataFrame, folder: str, group: int = 1 << 20) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of all documents from the shard files: ``start``
-    counts the ids of all documents before it, ``ids`` are little-endian 32-bit."""
+    counts the ids of all documents before it, ``ids`` are little-endian 32-bit.  About
+    ``group`` ids are decoded at a time (one document at least)."""
     store.ready(spark)
     listed = sorted((r["shard"], r["file"], r["ids"]) for r in shards.where("documents > 0").collect())  # a row for each file
     starts = np.concatenate([[0], np.cumsum([n for _, _, n in listed])]).astype(np.int64)
@@ -327,30 +318,28 @@ def _shard(f, code: Code, base: int, group: int) -> Iterator[pa.RecordBatch]:
     tail = np.frombuffer(f.read_at(_TAIL.itemsize, size - _TAIL.itemsize), _TAIL)[0]
     if tail["magic"] != MAGIC or f.read_at(8, 0) != MAGIC:
         raise ValueError("not a shard file")
-    bits, ids, documents = int(tail["payload_bits"]), int(tail["ids"]), int(tail["documents"])
-    blocks = -(-ids // BLOCK)
+    bits, documents = int(tail["payload_bits"]), int(tail["documents"])
     payload_end = 8 + -(-bits // 8)
-    checkpoints = np.frombuffer(f.read_at(8 * blocks, payload_end), "<u8").astype(np.int64)
-    table = np.frombuffer(f.read_at(TABLE.itemsize * documents, payload_end + 8 * blocks), TABLE)
-    ends = np.append(checkpoints[1:], bits)
-    left, doc = b"", 0
-    for first in range(0, blocks, group):
-        last = min(first + group, blocks)
-        start = int(checkpoints[first]) // 8
-        data = f.read_at(-(-int(ends[last - 1]) // 8) - start, 8 + start)
+    table = np.frombuffer(f.read_at(TABLE.itemsize * documents, size - _TAIL.itemsize - TABLE.itemsize * documents), TABLE)
+    blocks = -(-table["n"].astype(np.int64) // BLOCK)  # of each document
+    until = np.cumsum(blocks)
+    checkpoints = np.frombuffer(f.read_at(8 * int(until[-1]), payload_end), "<u8").astype(np.int64)
+    first = 0
+    while first < documents:
+        last = max(first + 1, int(np.searchsorted(table["start"], table["start"][first] + group)))
+        part, some = table[first:last], blocks[first:last]
+        begin, end = int(until[first] - blocks[first]), int(until[last - 1])
+        marks = checkpoints[begin:end]
+        stop = int(checkpoints[end]) if end < len(checkpoints) else bits
+        start = int(marks[0]) // 8 if len(marks) else stop // 8
+        data = f.read_at(-(-stop // 8) - start, 8 + start)
         payload = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
-        sizes = np.minimum(BLOCK, ids - BLOCK * np.arange(first, last))
-        left += code.decode(payload, checkpoints[first:last] - 8 * start, sizes).astype("<u4").tobytes()
-        have = min(last * BLOCK, ids)
-        until = int(np.searchsorted(table["start"] + table["n"], have, "right"))
-        done = table[doc:until]
-        if len(done):
-            origin = int(done[0]["start"])
-            at = 4 * (np.append(done["start"], done[-1]["start"] + done[-1]["n"]).astype(np.int64) - origin)
-            rows = [left[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            left = left[at[-1] :]
-            yield pa.RecordBatch.from_arrays([pa.array(done["doc_id"].astype(np.int64), mask=done["null"].astype(bool)), pa.array(done["start"].astype(np.int64) + base), pa.array(done["n"].astype(np.int64)), pa.array(rows, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-            doc = until
+        sizes = np.minimum(BLOCK, np.repeat(part["n"].astype(np.int64), some) - BLOCK * _inside(some))
+        flat = code.decode(payload, marks - 8 * start, sizes).astype("<u4").tobytes()
+        at = (4 * np.concatenate([[0], np.cumsum(part["n"].astype(np.int64))])).tolist()
+        rows = [flat[a:b] for a, b in zip(at, at[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"].astype(np.int64), mask=part["null"].astype(bool)), pa.array(part["start"].astype(np.int64) + base), pa.array(part["n"].astype(np.int64)), pa.array(rows, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+        first = last
 
 
 def store_ids(df: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:

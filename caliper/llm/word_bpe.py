@@ -171,7 +171,7 @@ class Chunked:
     two generations: when the young one has ``room`` chunks it becomes the old one, so
     frequent chunks stay and rare ones go."""
 
-    def __init__(self, model: WordBpe, solve, join, special, room: int = 150_000):
+    def __init__(self, model: WordBpe, solve, join, special, room: int = 60_000):
         self.model, self.solve, self.join, self.special, self.room = model, solve, join, special, room
         self.young: dict = {}
         self.old: dict = {}

@@ -83,13 +83,14 @@ def test_counts_of_odd_rows(spark, table, word):
 def test_codec_equals_the_library(spark, table, word):
     texts = TEXTS + spelled(80, 4)
     docs = table(texts, [None, *range(1, len(texts))]).withColumn("ids", F.lit(0))
-    got = bpe_codec.decode(bpe_codec.encode(docs, WORD), WORD).collect()
+    got = bpe_codec.round_trip(docs, WORD).collect()
     assert len(got) == len(texts)
     for r in got:
         ids = word.encode(texts[r["doc_id"] or 0] or "", add_special_tokens=False).ids
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids
         assert r["decoded"] == word.decode(ids, skip_special_tokens=False)
-    assert bpe_codec.decode(bpe_codec.encode(docs.limit(0), WORD), WORD).count() == 0
+    both = bpe_codec.decode(bpe_codec.encode(docs, WORD), WORD).collect()
+    assert sorted(map(tuple, both), key=str) == sorted(map(tuple, got), key=str) and bpe_codec.round_trip(docs.limit(0), WORD).count() == 0
 
 
 def test_root_is_the_leftmost_lowest_merge():
@@ -146,7 +147,7 @@ def test_store_round_trip(spark, table, byte, shards):
     folder = store.new_folder(spark, "test-ids")
     ids = store.written(token_store.encoded(docs, BYTE, 2), "test-encoded")
     listed = token_store.write(ids, token_store.Code(token_store.code_lengths(token_store.id_counts(ids))), folder, shards)
-    got = token_store.read(spark, listed, folder, group=2).collect()
+    got = token_store.read(spark, listed, folder, group=500).collect()
     assert len(got) == len(texts)
     order = sorted(range(len(texts)), key=lambda i: (names[i] is not None, names[i] or 0))
     start = 0
