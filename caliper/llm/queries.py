@@ -106,4 +106,15 @@ def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_huffman_ids, op3_url_filter, op4_quality_rules, op5_secret_grammar, op6_language_id, op7_spaced_seeds, op8_minmax_dedup, op9_bpe_codec, op10_zip_warc)
 }
-ORACLE: dict[str, str] = {}
+#: Base32 of a SHA-1 in hex, column h: twenty bits at a time.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, {5 * g + 1}, 5) AS BIGINT) >> {shift}) & 31 AS BIGINT), 1)"
+    for g in range(8) for shift in (15, 10, 5, 0))
+
+ORACLE: dict[str, str] = {
+    "op10_zip_warc": f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, min(page_id) OVER (PARTITION BY h, n) AS lead FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> lead THEN lead END AS refers_to FROM d""",
+}
