@@ -5,7 +5,9 @@ letter is one word boundary), weighted by 1 + log count and inverse document fre
 of length one.  Each language has several centroids, found by clustering a bounded sample
 of its labelled texts by cosine; a text gets the language of the nearest centroid, and the
 cosine as score.  A text is rejected if its cosine is under a quarter of what 99 in 100 labelled texts reach;
-short texts and texts full of numbers stay far above that, other scripts far below.
+short texts and texts full of numbers stay far above that, other scripts far below.  There
+are enough buckets that a long text has few n-grams in common with a language by collision;
+vectors are held sparse, or dense over the buckets that a sample has.
 
 Document frequencies are counted over all labelled texts; only the clustering uses the
 sample (``per_language`` texts of each language, by hash of the text).
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,7 @@ from pyspark.sql import types as T
 from caliper.llm import store
 
 UNKNOWN = "und"
-BITS = 12
+BITS = 16
 _ALPHA: list[np.ndarray] = []
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,6 +64,15 @@ def counts(text: str, bits: int = BITS) -> np.ndarray | None:
     return total
 
 
+Sparse = tuple[np.ndarray, np.ndarray]  # buckets, and a value for each
+
+
+def sparse(text: str, bits: int = BITS) -> Sparse | None:
+    """The buckets that a text has, with their counts; None without a letter."""
+    total = counts(text, bits)
+    return None if total is None else ((at := np.flatnonzero(total)), total[at])
+
+
 @dataclass
 class Model:
     languages: list[str]  # of each centroid
@@ -68,20 +80,36 @@ class Model:
     weights: np.ndarray  # inverse document frequencies
     farthest: float  # cosine below which a text is rejected
 
-    def vectors(self, rows: list[np.ndarray]) -> np.ndarray:
-        return vectors(rows, self.weights)
+    @property
+    def bits(self) -> int:
+        return len(self.weights).bit_length() - 1
 
-    def nearest(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, rows: list[Sparse]) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroid and the cosine of each row of counts."""
-        cosine = self.vectors(rows) @ self.centroids.T
+        by_bucket = self.by_bucket
+        cosine = np.array([x @ by_bucket[at] for at, x in (weighted(r, self.weights) for r in rows)])
         best = cosine.argmax(1)
         return best, np.clip(cosine[np.arange(len(rows)), best].astype(np.float64), 0.0, 1.0)
 
+    @cached_property
+    def by_bucket(self) -> np.ndarray:
+        return np.ascontiguousarray(self.centroids.T)
+
+
+def weighted(row: Sparse, weights: np.ndarray) -> Sparse:
+    at, n = row
+    x = ((1 + np.log(n)) * weights[at]).astype(np.float32)
+    return at, x / max(np.linalg.norm(x), 1e-12)
+
 
-def vectors(rows: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
-    x = np.array(rows, np.float32)
-    x = np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0) * weights.astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+def vectors(rows: list[Sparse], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that any row has, and the rows' vectors over these."""
+    used = np.unique(np.concatenate([at for at, _ in rows]))
+    out = np.zeros((len(rows), len(used)), np.float32)
+    for i, row in enumerate(rows):
+        at, x = weighted(row, weights)
+        out[i, np.searchsorted(used, at)] = x
+    return used, out
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -111,10 +139,11 @@ def document_frequencies(texts: DataFrame, bits: int = BITS) -> tuple[int, np.nd
         total = np.zeros(size + 1, np.int64)
         for part in store.slices(batches, "text"):
             for text in part.column("text").to_pylist():
-                if text and (c := counts(text, bits)) is not None:
-                    total[:size] += c > 0
+                if text and (c := sparse(text, bits)) is not None:
+                    total[c[0]] += 1
                     total[size] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], ["bucket", "n"])
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "n"])
 
     store.ready(texts.sparkSession)
     out = np.zeros(size + 1, np.int64)
@@ -136,18 +165,20 @@ def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, bits: i
     sample = labelled.where(place < F.try_element_at(share, F.col("lang"))).distinct()  # copies of a text are chosen together
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [c for t in sorted(pdf["text"].unique()) if (c := counts(t, bits)) is not None]
+        rows = [c for t in sorted(pdf["text"].unique()) if (c := sparse(t, bits)) is not None]
         if not rows:
             return pd.DataFrame({"lang": [], "centre": [], "low": []})
-        x = vectors(rows, weights)
+        used, x = vectors(rows, weights)
         found = cluster(x, clusters)
         low = float(np.quantile((x @ found.T).max(1), 0.01))
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centre": list(found.astype(np.float32)), "low": low})
+        whole = np.zeros((len(found), 1 << bits), np.float32)
+        whole[:, used] = found
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centre": [c.tobytes() for c in whole], "low": low})
 
-    rows = sorted(sample.groupBy("lang").applyInPandas(centres, "lang string, centre array<float>, low double").collect(), key=lambda r: (r["lang"], list(r["centre"])))
+    rows = sorted(sample.groupBy("lang").applyInPandas(centres, "lang string, centre binary, low double").collect(), key=lambda r: (r["lang"], bytes(r["centre"])))
     if not rows:
         return None
-    return Model([r["lang"] for r in rows], np.array([r["centre"] for r in rows], np.float32), weights, 0.25 * min(r["low"] for r in rows))
+    return Model([r["lang"] for r in rows], np.array([np.frombuffer(r["centre"], np.float32) for r in rows]), weights, 0.25 * min(r["low"] for r in rows))
 
 
 def identify(df: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", rejected_out: str = "rejected") -> DataFrame:
@@ -166,7 +197,7 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text", lang_ou
             texts = part.column(text_col).to_pylist()
             langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             for k in range(0, len(texts) if m else 0, 256):  # so many vectors at a time
-                rows = {i: c for i in range(k, min(k + 256, len(texts))) if texts[i] and (c := counts(texts[i])) is not None}
+                rows = {i: c for i in range(k, min(k + 256, len(texts))) if texts[i] and (c := sparse(texts[i], m.bits)) is not None}
                 if rows:
                     at = list(rows)
                     best, cosine = m.nearest(list(rows.values()))

@@ -203,3 +203,29 @@ def test_without_labels_all_is_unknown(spark, table):
 @pytest.mark.parametrize("text", ["ab cd", "é漢 字", "A b\nC"])
 def test_counts_of_pieces_add_up(text):
     assert language_id.counts(text).sum() == 3 * len(re.sub(r"\s+", " ", text)) + 2 * 3 - 3
+
+
+def invented(letters, seed, n):
+    """``n`` words from a vocabulary of 400."""
+    rng = random.Random(seed)
+    known = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    return [rng.choice(known) for _ in range(n)]
+
+
+LETTERS = {"x": "aeioubdglmn", "y": "aeyprstkvhw", "z": "aouzcjfqxng"}
+
+
+def test_long_foreign_texts_are_rejected(spark, table):
+    rng = random.Random(31)
+    speech = {n: invented(LETTERS[n], n, 2000) for n in LETTERS}
+    langs = [rng.choice("xyz") for _ in range(300)]
+    docs = table([" ".join(rng.choices(speech[n], k=rng.randint(5, 200))) for n in langs], lang=langs)
+    model = language_id.fit(docs.select("text", "lang"))
+    scripts = {"Greek": (0x3B1, 25), "Cyrillic": (0x430, 32), "Arabic": (0x627, 36), "Han": (0x4E00, 3000)}
+    foreign = [" ".join(invented([chr(c) for c in range(a, a + m)], i, n)) for i, (a, m) in enumerate(scripts.values()) for n in (5, 50, 500, 5000)]
+    foreign += [" ".join(w + rng.choice("ąęłń") * 2 + w for w in invented("çğışöüćź", 9, n)) for n in (5, 50, 500, 5000)]
+    clean = [" ".join(speech[n][:k]) for n in LETTERS for k in (1, 2, 5, 500)]
+    clean += [" ".join(f"{w} {rng.randrange(10**9)} {rng.randrange(10**9)}" for w in speech[n][:k]) for n in LETTERS for k in (5, 500)]
+    got = {r["doc_id"]: r for r in language_id.identify(table(foreign + clean), model).collect()}
+    assert [i for i in range(len(foreign)) if not got[i]["rejected"]] == []
+    assert [i for i in range(len(foreign), len(got)) if got[i]["rejected"]] == []
