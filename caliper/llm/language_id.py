@@ -10,7 +10,8 @@ are enough buckets that a long text has few n-grams in common with a language by
 vectors are held sparse, or dense over the buckets that a sample has.
 
 Document frequencies are counted over all labelled texts; only the clustering uses the
-sample (``per_language`` texts of each language, by hash of the text).
+sample (the ``per_language`` distinct texts of smallest hash of each language; however
+many copies there are, a language with a labelled text that has letters has centroids).
 
 Cases: a null text or one without a letter is ``und`` with score 0 and rejected; a null
 ``lang`` or null id teaches nothing; without labelled texts everything is ``und``; equal
@@ -26,7 +27,7 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,15 +160,16 @@ def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, bits: i
     if not n:
         return None
     weights = np.log((1 + n) / (1 + df)) + 1
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 32))
-    share = F.create_map(*(F.lit(x) for lang, m in sizes.items() for x in (lang, int((1 << 32) * min(1.0, per_language / m)))))
-    sample = labelled.where(place < F.try_element_at(share, F.col("lang"))).distinct()  # copies of a text are chosen together
+    place = F.struct((~F.col("text").rlike(r"\p{L}")).alias("bare"), F.xxhash64("text").alias("hash"))  # texts with letters first
+    placed = labelled.withColumn("place", place)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    last = placed.select("lang", "place").distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("place").alias("last"))
+    sample = placed.join(F.broadcast(last), "lang").where("place <= last").select("text", "lang").distinct()  # a row for each language is broadcast
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [c for t in sorted(pdf["text"].unique()) if (c := sparse(t, bits)) is not None]
         if not rows:
-            return pd.DataFrame({"lang": [], "centre": [], "low": []})
+            return pd.DataFrame({"lang": pd.Series(dtype=object), "centre": pd.Series(dtype=object), "low": pd.Series(dtype=float)})
         used, x = vectors(rows, weights)
         found = cluster(x, clusters)
         low = float(np.quantile((x @ found.T).max(1), 0.01))

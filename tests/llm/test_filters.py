@@ -229,3 +229,22 @@ def test_long_foreign_texts_are_rejected(spark, table):
     got = {r["doc_id"]: r for r in language_id.identify(table(foreign + clean), model).collect()}
     assert [i for i in range(len(foreign)) if not got[i]["rejected"]] == []
     assert [i for i in range(len(foreign), len(got)) if got[i]["rejected"]] == []
+
+
+def test_copies_lose_no_language(spark, table):
+    langs = [f"l{i}" for i in range(8)]
+    two = {n: [" ".join(invented("abcdefghijklmnop"[i : i + 8], 10 * i + k, 30)) for k in (0, 1)] for i, n in enumerate(langs)}
+    rows = [(n, t) for n in langs for t in two[n] for _ in range(200)] + [("l0", f"{i}") for i in range(300)] + [("digits", "12 34")]
+    model = language_id.fit(table([t for _, t in rows], lang=[n for n, _ in rows]).select("text", "lang"), per_language=20)
+    assert set(model.languages) == set(langs)
+    told = [n for n in langs for _ in two[n]]
+    got = {r["doc_id"]: r for r in language_id.identify(table([t for n in langs for t in two[n]]), model).collect()}
+    assert [got[i]["lang_pred"] for i in range(len(told))] == told and not any(r["rejected"] for r in got.values())
+
+
+def test_the_sample_has_the_asked_size(spark, table, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(language_id, "Model", lambda languages, centroids, *rest: sizes.append(len(languages)))
+    texts = [" ".join(invented("abcdefgh", i, 8)) for i in range(30)]
+    language_id.fit(table(texts * 2, lang=["x"] * 60).select("text", "lang"), clusters=30, per_language=10)
+    assert sizes == [10]
