@@ -791,16 +791,6 @@ from caliper.operators import models as MO  # noqa: E402
 from caliper.operators import reliability as RE  # noqa: E402
 from caliper.session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
 
-# Light hyper-parameters for the registered demo queries (library defaults follow the
-# reference: 220 trees, 180 boosting rounds, 1000 LR iterations).
-LIGHT = {"logistic_regression": {"max_iter": 100},
-         "random_forest": {"num_trees": 30, "max_depth": 8},
-         "hist_gradient_boosting_balanced": {"max_iter": 15, "max_depth": 3}}
-
-LIGHT_GRIDS = {"logistic_regression": MO.PARAM_GRIDS["logistic_regression"],
-               "random_forest": {"num_trees": [10, 20], "max_depth": [4, 8]},
-               "hist_gradient_boosting_balanced": {"learning_rate": [0.05, 0.1], "max_iter": [5]}}
-
 
 def _ml_split(spark, d):
     """Stratified 80/20 split of the prepared frame, written once per query."""
@@ -810,7 +800,7 @@ def _ml_split(spark, d):
 
 def _fit_eval(spark, d, name):
     tr, te = _ml_split(spark, d)
-    m = MO.fit_model(name, tr, R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES, R.CLASS_LABELS, LIGHT[name])
+    m = MO.fit_model(name, tr, R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES, R.CLASS_LABELS)
     return ME.evaluate(MO.score(m, te, R.CRITICAL), R.CRITICAL).select(F.lit(name).alias("model_name"), "*")
 
 
@@ -836,7 +826,7 @@ def _selected(spark, d):
     """The selected model, the metrics of all candidates, and both sides of the split."""
     tr, te = _ml_split(spark, d)
     best, metrics, _ = MO.fit_and_select(tr, te, R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES, R.CLASS_LABELS,
-                                         R.CRITICAL, params=LIGHT)
+                                         R.CRITICAL)
     return best, metrics, tr, te
 
 
@@ -850,8 +840,7 @@ def q_model_selection(spark, d):
 def q_grid_search(spark, d):
     """M11 + T5: grids of all three candidates, top 5 points each by mean macro-F1."""
     tr, _ = _ml_split(spark, d)
-    trials = [RE.grid_search(tr, name, LIGHT_GRIDS[name], R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES, R.CLASS_LABELS,
-                             base=LIGHT[name])[1] for name in MO.MODEL_ORDER]
+    trials = [RE.grid_search(tr, name, MO.PARAM_GRIDS[name], R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES, R.CLASS_LABELS)[1] for name in MO.MODEL_ORDER]
     return trials[0].unionByName(trials[1]).unionByName(trials[2])
 
 
@@ -889,7 +878,7 @@ def q_calibrated_model(spark, d):
     best, _, tr, te = _selected(spark, d)
     cs = cut_lineage(SP.stratified_split(tr, test_frac=0.25))
     fit_part, cal_part = cs.filter("side = 'train'"), cs.filter("side = 'test'")
-    base = MO.fit_model(best.name, fit_part, best.numeric, best.categorical, R.CLASS_LABELS, LIGHT[best.name])
+    base = MO.fit_model(best.name, fit_part, best.numeric, best.categorical, R.CLASS_LABELS, best.params)
     cal = MO.calibrate(base, cal_part)
     raw = ME.ece_brier(MO.score(best, te, R.CRITICAL), R.CRITICAL).withColumn("probability", F.lit("raw"))
     cs_ = cal.transform(te).withColumn("score", F.col("probabilities")[R.CRITICAL])
@@ -915,7 +904,7 @@ def q_permutation_importance(spark, d):
 def q_cv_reliability(spark, d):
     """M18 + A24: stratified K-fold means / population stds per candidate."""
     return RE.cv_reliability(R.prepared_checkpointed(spark, d), R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES,
-                             R.CLASS_LABELS, R.CRITICAL, params=LIGHT)
+                             R.CLASS_LABELS, R.CRITICAL)
 
 
 @register("time_holdout")
@@ -923,7 +912,7 @@ def q_time_holdout(spark, d):
     """Refit the selected model on the earliest 80 %."""
     best = _selected(spark, d)[0]
     return RE.time_holdout(R.prepared_checkpointed(spark, d), best.name, R.NUMERIC_FEATURES,
-                           R.CATEGORICAL_FEATURES, R.CLASS_LABELS, R.CRITICAL, LIGHT[best.name])
+                           R.CATEGORICAL_FEATURES, R.CLASS_LABELS, R.CRITICAL, best.params)
 
 
 @register("spatial_holdout")
@@ -931,7 +920,7 @@ def q_spatial_holdout(spark, d):
     """M20 + A27: refit with whole spatial groups held out."""
     best = _selected(spark, d)[0]
     return RE.spatial_holdout(R.prepared_checkpointed(spark, d), best.name, R.NUMERIC_FEATURES,
-                              R.CATEGORICAL_FEATURES, R.CLASS_LABELS, R.CRITICAL, LIGHT[best.name])
+                              R.CATEGORICAL_FEATURES, R.CLASS_LABELS, R.CRITICAL, best.params)
 
 
 @register("ablation")
@@ -941,8 +930,7 @@ def q_ablation(spark, d):
     post = R.prepared_checkpointed(spark, d, R.POST_EVENT_FEATURES)
     post_num = [c for c in R.POST_EVENT_FEATURES if c not in R.CATEGORICAL_FEATURES]
     return RE.ablation({"pre_event": (pre, R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES),
-                        "post_event": (post, post_num, R.CATEGORICAL_FEATURES)}, R.CLASS_LABELS, R.CRITICAL,
-                       params=LIGHT)
+                        "post_event": (post, post_num, R.CATEGORICAL_FEATURES)}, R.CLASS_LABELS, R.CRITICAL)
 
 
 # ------------------------------------------------------------------ audit
