@@ -9,7 +9,7 @@ text is scored by its log-likelihood per symbol under each automaton; it is a se
 is as likely as nearly all of the labelled ones and likelier than as ordinary text.
 
 The fit uses at most ``per_kind`` distinct credentials a kind (those of smallest hash);
-the scan scores all candidates of all whole texts.
+ordinary text is what all whole texts have, and the scan scores all candidates of them.
 
 Cases: a null or empty text has no spans; without labelled credentials of a kind that
 kind has no automaton; equal spans of one kind count once; repeated rows are scanned each
@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -190,15 +191,23 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return store.as_text(df, id_col, text_col).mapInArrow(run, f"doc_id long, spans {_SPAN}, others {_SPAN}")
 
 
-def plain_symbols(df: DataFrame, text_col: str = "text", max_texts: int = 1000) -> dict[str, float]:
-    """Log-probabilities of characters in ordinary text, from a bounded sample for the fit
-    (the whole texts of smallest hash; copies of a chosen text count with it).  A row for each character reaches the driver."""
-    texts = df.select(F.col(f"`{text_col}`").alias("t")).where("t is not null and t != ''").select(F.xxhash64("t").alias("h"), "t")
-    last = texts.select("h").orderBy("h").limit(max_texts).agg(F.max("h")).first()[0]
-    if last is None:
-        return {END: -math.log(256)}
-    few = texts.where(F.col("h") <= last)
-    seen = {r["c"]: r["n"] for r in few.select(F.explode(F.split("t", "")).alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect() if r["c"]}
+def plain_symbols(df: DataFrame, text_col: str = "text") -> dict[str, float]:
+    """Log-probabilities of characters in ordinary text, from all whole texts (repeated
+    rows count each for itself).  Each task counts; a row for each character reaches the driver."""
+    store.ready(df.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0x110000, np.int64)
+        for part in store.slices(batches, "text"):
+            for text in part.column("text").to_pylist():
+                for start in range(0, len(text or ""), 1 << 20):
+                    n = np.bincount(np.frombuffer(text[start : start + (1 << 20)].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
+                    total[: len(n)] += n
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["c", "n"])
+
+    texts = df.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    seen = {chr(r["c"]): r["n"] for r in texts.mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}
     total = sum(seen.values()) + 256
     return {c: math.log((n + 1) / total) for c, n in seen.items()} | {END: math.log(1 / total)}
 

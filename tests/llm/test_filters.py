@@ -1,6 +1,7 @@
 """URL filter, quality rules, secret grammars and language identification."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -174,6 +175,16 @@ def test_secrets_of_an_empty_table(spark, table):
     assert digest.startswith("e3b0")
 
 
+def test_ordinary_text_is_the_whole_table(spark, table):
+    texts = ["9f3a" * 20] * 1100 + [f"plain words é漢\U0001f600 {i}" for i in range(1500)] + [None, ""]
+    seen = Counter("".join(t or "" for t in texts))
+    total = seen.total() + 256
+    got = secret_grammar.plain_symbols(table(texts))
+    assert got.keys() == {*seen, secret_grammar.END} and all(got[c] == math.log((n + 1) / total) for c, n in seen.items())
+    assert got[secret_grammar.END] == math.log(1 / total)
+    assert secret_grammar.plain_symbols(table(["x"]).limit(0)) == {secret_grammar.END: -math.log(256)}
+
+
 SPEECH = {"x": "der die das und ist ein nicht mit auch schon".split(), "y": "the and of to in is that it was for".split(), "z": "le la les et des est que pour dans une".split()}
 
 
