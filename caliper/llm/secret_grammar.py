@@ -5,11 +5,13 @@ each kind, the credentials make a prefix tree with counts; states whose next-sym
 ending frequencies agree within the Hoeffding bound, all the way down, are merged (first
 found states first, so equal strings in another order give the same automaton); what is
 left is a probabilistic automaton of that kind's format.  Every other token-like run of a
-text is scored by its log-likelihood per symbol under each automaton; it is a secret if it
+text (see below) is scored by its log-likelihood per symbol under each automaton; it is a secret if it
 is as likely as nearly all of the labelled ones and likelier than as ordinary text.
 
 The fit uses at most ``per_kind`` distinct credentials a kind (those of smallest hash);
 ordinary text is what all whole texts have, and the scan scores all candidates of them.
+Candidates are runs of 16 or more of ``A-Za-z0-9+/_=-`` with a digit: shorter bare
+credentials, those of letters only and dotted ones with shorter parts are not scored.
 
 Cases: a null or empty text has no spans; without labelled credentials of a kind that
 kind has no automaton; equal spans of one kind count once; repeated rows are scanned each
