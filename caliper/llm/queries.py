@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caliper.llm import bpe_codec, decontaminate, language_id, minmax_dedup, quality_rules, secret_grammar, store, token_counts, token_store, url_filter, zip_warc
+from caliper.llm import bpe_codec, decontaminate, divergence_audit, language_id, minmax_dedup, quality_rules, secret_grammar, store, token_counts, token_store, url_filter, zip_warc
 
 TOKEN_LIMIT = 2048
 END_ID = 2
@@ -103,8 +103,14 @@ def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zip_warc.read(packages, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all pairs of sources of a language and the terms that set each off."""
+    return divergence_audit.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_huffman_ids, op3_url_filter, op4_quality_rules, op5_secret_grammar, op6_language_id, op7_spaced_seeds, op8_minmax_dedup, op9_bpe_codec, op10_zip_warc)
+    f.__name__: f for f in (op1_token_counts, op2_huffman_ids, op3_url_filter, op4_quality_rules, op5_secret_grammar, op6_language_id, op7_spaced_seeds, op8_minmax_dedup, op9_bpe_codec, op10_zip_warc,
+                                op11_divergence_audit)
 }
 #: Base32 of a SHA-1 in hex, column h: twenty bits at a time.
 _BASE32 = " || ".join(
@@ -117,4 +123,25 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html,
 d AS (SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, min(page_id) OVER (PARTITION BY h, n) AS lead FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> lead THEN lead END AS refers_to FROM d""",
+    "op11_divergence_audit": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT lang, source, r, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS total FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(total) + 2 * count(*) AS m FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS n FROM c JOIN k USING (lang, term) GROUP BY ALL),
+m AS (SELECT g.lang, g.source, coalesce(own.n, 0) + 2 * l.v AS m FROM g JOIN l USING (lang) LEFT JOIN own USING (lang, source)),
+p AS (SELECT m.lang, m.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // m.m AS p,
+      1 + (CAST(1000000000 AS HUGEINT) * (k.total + 2)) // l.m AS q
+      FROM m JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = m.lang AND c.source = m.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+         UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM ranked)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10""",
 }
