@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caliper.llm import bpe_codec, decontaminate, divergence_audit, language_id, minmax_dedup, quality_rules, secret_grammar, store, token_counts, token_store, url_filter, zip_warc
+from caliper.llm import bpe_codec, decontaminate, divergence_audit, language_id, minmax_dedup, quality_rules, secret_grammar, store, token_counts, token_store, url_filter, vector_codes, window_packing, zip_warc
 
 TOKEN_LIMIT = 2048
 END_ID = 2
@@ -108,9 +108,22 @@ def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of at most 1,024 tokens, a row for each piece."""
+    windows = window_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
+    return window_packing.pieces(windows).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings in eight parts of sixteen entries after six rounds."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    hexed = F.lower(F.hex("code")).alias("code")
+    return vector_codes.label_errors(coded).select("vec_id", hexed, "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_huffman_ids, op3_url_filter, op4_quality_rules, op5_secret_grammar, op6_language_id, op7_spaced_seeds, op8_minmax_dedup, op9_bpe_codec, op10_zip_warc,
-                                op11_divergence_audit)
+                                op11_divergence_audit, op12_window_packing, op13_vector_codes)
 }
 #: Base32 of a SHA-1 in hex, column h: twenty bits at a time.
 _BASE32 = " || ".join(

@@ -66,6 +66,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def delete(spark: SparkSession, address: str) -> None:
+    """Delete a folder of :func:`new_folder` that no later job reads."""
+    if "/caliper-llm/" not in address:
+        raise ValueError(f"not a folder of this module: {address}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(address)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def filesystem(address: str) -> tuple[fs.FileSystem, str]:
     """The Arrow file system and the path in it for a folder or file address."""
     if address.startswith("file:"):
