@@ -130,7 +130,31 @@ _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, {5 * g + 1}, 5) AS BIGINT) >> {shift}) & 31 AS BIGINT), 1)"
     for g in range(8) for shift in (15, 10, 5, 0))
 
+
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """The rounds one after the other: a<r> assigns to the codebook b<r>, whose next one is
+    the floored mean, by the remainder that is never negative."""
+    assign = """
+a{r} AS MATERIALIZED (SELECT x.r, x.p, any_value(x.s) AS s, arg_min(e, 16 * d + e) AS e, min(d) AS d FROM (
+    SELECT x.r, x.p, x.s, b.e, list_sum(list_transform(list_zip(x.s, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN b{r} b ON x.p = b.p) x GROUP BY x.r, x.p),"""
+    move = """
+b{n} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN (
+    SELECT p, e, list((t - ((t % n) + n) % n) // n ORDER BY i) AS c FROM (
+        SELECT p, e, i, CAST(sum(s[i]) AS BIGINT) AS t, count(*) AS n FROM (SELECT p, e, s, unnest(range(1, len(s) + 1)) AS i FROM a{r}) GROUP BY p, e, i)
+    GROUP BY p, e) m ON b.p = m.p AND b.e = m.e),"""
+    steps = "".join(assign.format(r=r) + move.format(r=r, n=r + 1) for r in range(rounds)) + assign.format(r=rounds)
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT r, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) AS s FROM k CROSS JOIN range(8) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, s AS c FROM x WHERE r <= 16),{steps}
+h AS (SELECT sha256(string_agg(t, ',' ORDER BY p, e)) AS codebooks_sha256 FROM (SELECT p, e, array_to_string(c, ',') AS t FROM b{rounds})),
+c AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (r) CROSS JOIN h"""
+
+
 ORACLE: dict[str, str] = {
+    "op13_vector_codes": _vector_codes_sql(),
     "op10_zip_warc": f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, min(page_id) OVER (PARTITION BY h, n) AS lead FROM p)
