@@ -65,9 +65,14 @@ def whole_vectors(df: DataFrame, scale: int = 4096, id_col: str = "vec_id", vect
     """``vec_id, label, v``: the vectors kept, in whole numbers."""
     v = F.col(f"`{vector_col}`").cast("array<double>")
     told = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("int").alias("label"), v.alias("v"))
-    told = told.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    limit = F.assert_true(F.forall("v", lambda x: F.abs(x * scale) < LARGEST), F.lit(f"a component beyond {LARGEST} after scaling"))
-    return told.select("vec_id", "label", F.when(limit.isNull(), F.transform("v", lambda x: F.floor(x * scale).cast("int"))).alias("v"))
+
+    def finite(x: F.Column) -> F.Column:
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
+    told = told.where(F.col("v").isNotNull() & F.forall("v", finite))
+    # the planner may ask this of rows that are dropped, too
+    limit = F.assert_true(F.coalesce(F.forall("v", lambda x: ~finite(x) | (F.abs(x * scale) < LARGEST)), F.lit(True)), F.lit(f"a component beyond {LARGEST} after scaling"))
+    return told.select("vec_id", "label", F.when(limit.isNull(), F.transform("v", lambda x: F.floor(x * scale).try_cast("int"))).alias("v"))
 
 
 def _squares(x: np.ndarray, entry: np.ndarray) -> np.ndarray:
