@@ -164,33 +164,39 @@ class ScalerAfterImputer(Estimator, _ColsParams, DefaultParamsReadable, DefaultP
         statistics of the *imputed* columns follow exactly from those (parallel-axis
         combination of the observed part and the median-filled part), so no third pass
         over the training data is needed."""
-        import math
-
-        from pyspark.ml import PipelineModel
         cols = self.getOrDefault(self.inputCols)
         mom: dict = {}
         meds, missing = column_profile(dataset, cols, mom)
-        imp = _imputer(cols, meds, missing)
-        cols = imp.getOrDefault(imp.inputCols)
-        st = json.loads(imp.getOrDefault(imp.stats))
-        med, ind = st["median"], st["indicator"]
-        mean, scale = {}, {}
-        for c in cols:
-            n_obs, m_obs, v_obs = mom[c]
-            n_mis = missing[c]
-            n = n_obs + n_mis
-            m_obs, v_obs = float(m_obs or 0.0), float(v_obs or 0.0)
-            mu = (n_obs * m_obs + n_mis * med[c]) / n if n else 0.0
-            var = (n_obs * (v_obs + (m_obs - mu) ** 2) + n_mis * (med[c] - mu) ** 2) / n if n else 0.0
-            mean[c], scale[c] = mu, (math.sqrt(var) if var > 0 else 1.0)
-            if ind[c]:
-                p = n_mis / n
-                mean[f"missingindicator_{c}"] = p
-                sd = math.sqrt(p * (1 - p))
-                scale[f"missingindicator_{c}"] = sd if sd > 0 else 1.0
-        scaled_cols = cols + imp.indicator_columns()
-        sc = PopulationScalerModel(inputCols=scaled_cols, stats=json.dumps({"mean": mean, "scale": scale}))
-        return PipelineModel([imp, sc])
+        return _imputed_scaler(cols, meds, missing, mom)
+
+
+def _imputed_scaler(cols: list[str], meds: dict, missing: dict, mom: dict):
+    """The fitted imputer and scaler from medians, missing counts and (count, mean,
+    population variance) of the observed values."""
+    import math
+
+    from pyspark.ml import PipelineModel
+    imp = _imputer(cols, meds, missing)
+    cols = imp.getOrDefault(imp.inputCols)
+    st = json.loads(imp.getOrDefault(imp.stats))
+    med, ind = st["median"], st["indicator"]
+    mean, scale = {}, {}
+    for c in cols:
+        n_obs, m_obs, v_obs = mom[c]
+        n_mis = missing[c]
+        n = n_obs + n_mis
+        m_obs, v_obs = float(m_obs or 0.0), float(v_obs or 0.0)
+        mu = (n_obs * m_obs + n_mis * med[c]) / n if n else 0.0
+        var = (n_obs * (v_obs + (m_obs - mu) ** 2) + n_mis * (med[c] - mu) ** 2) / n if n else 0.0
+        mean[c], scale[c] = mu, (math.sqrt(var) if var > 0 else 1.0)
+        if ind[c]:
+            p = n_mis / n
+            mean[f"missingindicator_{c}"] = p
+            sd = math.sqrt(p * (1 - p))
+            scale[f"missingindicator_{c}"] = sd if sd > 0 else 1.0
+    scaled_cols = cols + imp.indicator_columns()
+    sc = PopulationScalerModel(inputCols=scaled_cols, stats=json.dumps({"mean": mean, "scale": scale}))
+    return PipelineModel([imp, sc])
 
 
 class CategoryText(Transformer, _ColsParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -229,6 +235,73 @@ def preprocessor(numeric: list[str], categorical: list[str], output: str = "feat
     return Pipeline(stages=stages)
 
 
+def fold_preprocessors(folds: DataFrame, k: int, numeric: list[str], categorical: list[str], output: str = "features") -> list:
+    """For every fold the preprocessor fitted on all *other* folds' rows, from statistics
+    grouped by fold: a fold's complement has the whole table's counts, sums, value counts and
+    categories less the fold's own.  One job for the moments, one for the medians of all
+    folds, one for the categories, whatever ``k`` is."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import StringIndexerModel
+
+    from caliper.operators.quantiles import ordered_sums
+    fold = F.col("fold").cast("int").alias("fold")
+    moments = [dict() for _ in range(k)]
+    missing = [dict() for _ in range(k)]
+    medians: list[dict] = [dict() for _ in range(k)]
+    if numeric:
+        value = {c: F.col(c).try_cast("double") for c in numeric}
+        whole = folds.agg(*[F.avg(F.when(~F.isnan(v), v)).alias(f"a{i}") for i, v in enumerate(value.values())]).first()
+        aggs = []
+        for i, v in enumerate(value.values()):
+            # sums of differences from the whole mean, so that subtraction loses no digits
+            d = F.when(~F.isnan(v), v - F.lit(whole[f"a{i}"]).cast("double"))
+            aggs += [F.count_if(v.isNull() | F.isnan(v)).alias(f"n{i}"), F.count(d).alias(f"o{i}"), F.sum(d).alias(f"s{i}"), F.sum(d * d).alias(f"q{i}")]
+        rows = {r["fold"]: r for r in folds.groupBy(fold).agg(*aggs).collect()}  # a row a fold
+        for f in range(k):
+            others = [r for g, r in rows.items() if g != f]
+            for i, c in enumerate(numeric):
+                n = sum(r[f"o{i}"] for r in others)
+                s, q = (sum(r[f"{x}{i}"] or 0.0 for r in others) for x in "sq")
+                mean = s / n if n else 0.0
+                missing[f][c] = sum(r[f"n{i}"] for r in others)
+                moments[f][c] = (n, (whole[f"a{i}"] or 0.0) + mean, max(0.0, q / n - mean * mean) if n else 0.0)
+        each = folds.select(fold, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), v.alias("value")) for c, v in value.items()])).alias("s"))
+        each = each.select("fold", "s.*").where("value is not null and not isnan(value)")
+        counts = each.groupBy("feature", "value").agg(*[F.count_if(F.col("fold") != f).alias(f"c{f}") for f in range(k)])
+        ranked = ordered_sums(counts, "value", [f"c{f}" for f in range(k)], ["feature"])
+        picks = []
+        for f in range(k):
+            for side, rank in (("lo", F.floor((F.col(f"c{f}_total") - 1) / 2)), ("hi", F.ceil((F.col(f"c{f}_total") - 1) / 2))):
+                here = (rank >= F.col(f"c{f}_before")) & (rank < F.col(f"c{f}_before") + F.col(f"c{f}"))
+                picks.append(F.max(F.when(here, F.col("value"))).alias(f"{side}{f}"))
+        for r in ranked.groupBy("feature").agg(*picks).collect():  # a row a feature
+            for f in range(k):
+                lo, hi = r[f"lo{f}"], r[f"hi{f}"]
+                medians[f][r["feature"]] = None if lo is None else lo + (hi - lo) * 0.5
+    labels: list[dict] = [{c: [] for c in categorical} for _ in range(k)]
+    if categorical:
+        texts = CategoryText(inputCols=categorical).transform(folds)
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"{c}__cat").alias("v")) for c in categorical]))
+        seen = texts.select(fold, pairs.alias("p")).groupBy("p.c", "p.v").agg(F.collect_set("fold").alias("folds")).collect()  # a row a category
+        for r in sorted(seen, key=lambda r: r["v"].encode()):
+            for f in range(k):
+                if any(g != f for g in r["folds"]):
+                    labels[f][r["c"]].append(r["v"])
+    out = []
+    for f in range(k):
+        stages, rows_of = [], folds.limit(0)
+        if numeric:
+            stages.append(_imputed_scaler(numeric, medians[f], missing[f], moments[f]))
+        if categorical:
+            stages.append(CategoryText(inputCols=categorical))
+            stages += [StringIndexerModel.from_labels(labels[f][c], inputCol=f"{c}__cat", outputCol=f"{c}__idx", handleInvalid="keep") for c in categorical]
+            encoder = OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical], outputCols=[f"{c}__ohe" for c in categorical], dropLast=True, handleInvalid="error")
+            stages.append(encoder.fit(PipelineModel(stages).transform(rows_of)))  # sizes are in the columns' metadata: no rows are read
+        done = PipelineModel(stages).transform(rows_of)
+        out.append(PipelineModel([*stages, _Assemble(numeric=numeric, categorical=categorical, output=output).fit(done)]))
+    return out
+
+
 class _Assemble(Estimator, Params, DefaultParamsReadable, DefaultParamsWritable):
     """VectorAssembler over the numeric, indicator and one-hot columns present at fit."""
     numeric = Param(Params._dummy(), "numeric", "numeric columns", typeConverter=TypeConverters.toListString)

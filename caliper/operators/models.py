@@ -3,9 +3,8 @@
 * logistic regression: multinomial, class-weighted, sklearn's ``C`` mapped to Spark's
   ``regParam = 1 / (C · Σw)`` with ``standardization=False`` (the preprocessor already
   standardises);
-* random forest: class-weighted trees (Spark caps depth at 30);
-* boosting: Spark's GBT is binary only, so K one-vs-rest GBTs are fitted and their
-  positive-class probabilities normalised (``OneVsRest`` gives no probabilities).
+* random forest: trees on bootstrap samples with class weights balanced in each sample;
+* boosting: a tree a class and round on the softmax loss, leaf by leaf (``operators/trees``).
 
 Every candidate is evaluated on the same test frame in one grouped metrics job.
 """
@@ -15,28 +14,25 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
-                                       LogisticRegressionModel, RandomForestClassificationModel,
-                                       RandomForestClassifier)
+import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasSeed, HasWeightCol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caliper.functions.columns import label_of
 from caliper.operators import metrics as ME
+from caliper.operators import trees as TR
 from caliper.operators.features import feature_names, preprocessor, with_class_weights
 
 # fixed values: candidate models, their training order and default hyper-parameters
 DEFAULT_PARAMS = {
     "logistic_regression": {"C": 1.0, "max_iter": 1000},
-    "random_forest": {"num_trees": 220, "min_leaf": 2, "max_depth": 30},
-    "hist_gradient_boosting_balanced": {"max_iter": 180, "learning_rate": 0.08, "max_depth": 5},
+    "random_forest": {"num_trees": 220, "min_leaf": 2, "max_depth": None},
+    "hist_gradient_boosting_balanced": {"max_iter": 180, "learning_rate": 0.08, "max_depth": None, "max_leaf_nodes": 31, "min_leaf": 20},
 }
-# fixed values: grids of the hyper-parameter search (max_depth None: the default depth)
+# fixed values: grids of the hyper-parameter search (max_depth None: no limit)
 PARAM_GRIDS = {
     "logistic_regression": {"C": [0.1, 1.0, 3.0]},
     "random_forest": {"num_trees": [200, 400], "max_depth": [None, 12], "min_leaf": [1, 3]},
@@ -45,100 +41,94 @@ PARAM_GRIDS = {
 MODEL_ORDER = ["logistic_regression", "random_forest", "hist_gradient_boosting_balanced"]
 
 
-# ------------------------------------------------------------------ one-vs-rest boosting with probabilities
-
-class _OvrParams(HasFeaturesCol, HasLabelCol, HasWeightCol, HasSeed):
-    numClasses = Param(Params._dummy(), "numClasses", "number of classes", typeConverter=TypeConverters.toInt)
-    maxIter = Param(Params._dummy(), "maxIter", "boosting rounds", typeConverter=TypeConverters.toInt)
-    stepSize = Param(Params._dummy(), "stepSize", "learning rate", typeConverter=TypeConverters.toFloat)
-    maxDepth = Param(Params._dummy(), "maxDepth", "tree depth", typeConverter=TypeConverters.toInt)
-
-    def __init__(self):
-        super().__init__()
-        self._setDefault(numClasses=3, maxIter=180, stepSize=0.08, maxDepth=5, featuresCol="features",
-                         labelCol="label", weightCol="weight", seed=42)
-
-
-class OvrBoostingModel(Model, _OvrParams):
-    def __init__(self, models: list[GBTClassificationModel] | None = None):
-        super().__init__()
-        self.models = models or []
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        out = dataset
-        k = len(self.models)
-        for i, m in enumerate(self.models):
-            m = m.copy()
-            m.setFeaturesCol(self.getOrDefault(self.featuresCol))
-            m.setProbabilityCol(f"__p{i}").setRawPredictionCol(f"__r{i}").setPredictionCol(f"__y{i}")
-            out = m.transform(out).drop(f"__r{i}", f"__y{i}")
-            out = out.withColumn(f"__p{i}", vector_to_array(F.col(f"__p{i}"))[1])
-        total = sum((F.col(f"__p{i}") for i in range(k)), F.lit(0.0))
-        probs = F.array(*[F.when(total > 0, F.col(f"__p{i}") / total).otherwise(F.lit(1.0 / k)) for i in range(k)])
-        out = out.withColumn("__probs", probs)
-        pred = (F.array_position(F.col("__probs"), F.array_max(F.col("__probs"))) - 1).cast("double")
-        return (out.withColumn("probability", array_to_vector(F.col("__probs"))).withColumn("prediction", pred)
-                .drop("__probs", *[f"__p{i}" for i in range(k)]))
-
-    def save(self, path: str) -> None:
-        for i, m in enumerate(self.models):
-            m.write().overwrite().save(f"{path}/class_{i}")
+# ------------------------------------------------------------------ tree ensembles as models
 
-    @classmethod
-    def load_from(cls, path: str, k: int) -> "OvrBoostingModel":
-        return cls([GBTClassificationModel.load(f"{path}/class_{i}") for i in range(k)])
+class TreeModel:
+    """A fitted ensemble that scores a ``features`` vector column."""
+
+    def __init__(self, trees: TR.Ensemble, width: int):
+        self.trees, self.width = trees, width
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return TR.predicted(df, self.trees)
 
     @property
-    def featureImportances(self):
-        import numpy as np
-        arr = np.mean([m.featureImportances.toArray() for m in self.models], axis=0)
-        return arr
-
-
-class OvrBoostingClassifier(Estimator, _OvrParams):
-    """M9: K binary GBTs (class k vs rest) with sample weights; probabilities
-    normalised across classes (all zero -> uniform)."""
-
-    @keyword_only
-    def __init__(self, numClasses=3, maxIter=180, stepSize=0.08, maxDepth=5, featuresCol="features",
-                 labelCol="label", weightCol="weight", seed=42):
-        super().__init__()
-        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
-
-    def _fit(self, dataset: DataFrame) -> OvrBoostingModel:
-        lab, feats = self.getOrDefault(self.labelCol), self.getOrDefault(self.featuresCol)
-        models = []
-        for k in range(self.getOrDefault(self.numClasses)):
-            binary = dataset.withColumn("__bin", (F.col(lab) == k).cast("double"))
-            gbt = GBTClassifier(featuresCol=feats, labelCol="__bin", weightCol=self.getOrDefault(self.weightCol),
-                                maxIter=self.getOrDefault(self.maxIter), stepSize=self.getOrDefault(self.stepSize),
-                                maxDepth=self.getOrDefault(self.maxDepth), seed=self.getOrDefault(self.seed))
-            models.append(gbt.fit(binary))
-        m = OvrBoostingModel(models)
-        m._set(featuresCol=feats, labelCol=lab, numClasses=self.getOrDefault(self.numClasses))
-        return m
+    def featureImportances(self) -> np.ndarray:
+        return self.trees.importances(self.width)
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        """A table of nodes and one of the ensemble's trees."""
+        import pandas as pd
+        t = self.trees
+        nodes = pd.DataFrame({"node": np.arange(len(t.feature)), "feature": t.feature, "cut": t.cut, "threshold": t.threshold,
+                              "left": t.left, "right": t.right, "gain": t.gain, "value": t.value.tolist()})
+        spark.createDataFrame(nodes, "node long, feature int, cut int, threshold double, left int, right int, gain double, value array<double>") \
+            .write.mode("overwrite").parquet(f"{path}/nodes")
+        whole = json.dumps({"classes": t.classes, "roots": t.roots, "of": t.of, "base": None if t.base is None else list(t.base), "width": self.width})
+        spark.createDataFrame([(whole,)], "trees string").coalesce(1).write.mode("overwrite").json(f"{path}/trees")
+
+    @classmethod
+    def load_from(cls, path: str, spark: SparkSession) -> "TreeModel":
+        told = json.loads(spark.read.json(f"{path}/trees").first()["trees"])
+        nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values("node")
+        t = TR.Ensemble(told["classes"], told["roots"], told["of"], None if told["base"] is None else np.array(told["base"]))
+        for name in ("feature", "cut", "left", "right", "gain", "threshold"):
+            setattr(t, name, nodes[name].to_numpy())
+        t.value = np.stack(nodes["value"].to_numpy())
+        return cls(t, told["width"])
+
+
+def shares_of(clf):
+    """A function of a (rows, features) array that gives the classifier's class shares."""
+    if isinstance(clf, TreeModel):
+        return lambda x: clf.trees.probabilities(x, limits=True)
+    weights, bias = clf.coefficientMatrix.toArray(), clf.interceptVector.toArray()
+    return lambda x: TR.softmax(x @ weights.T + bias)
 
 
 # ------------------------------------------------------------------ candidates
 
-def build_estimator(name: str, params: dict, n_rows: int, n_classes: int, seed: int = 42):
-    """M7–M9 with class weights in column ``weight``."""
+def build_estimator(params: dict, n_rows: int) -> LogisticRegression:
+    """M7 with class weights in column ``weight``."""
+    p = {**DEFAULT_PARAMS["logistic_regression"], **(params or {})}
+    return LogisticRegression(family="multinomial", weightCol="weight", maxIter=int(p["max_iter"]),
+                              regParam=1.0 / (float(p["C"]) * max(1, n_rows)), elasticNetParam=0.0,
+                              standardization=False, tol=1e-6)
+
+
+def tree_settings(name: str, params: dict | None, seed: int = 42) -> TR.Boosting | TR.Forest:
+    """M8, M9: the settings of a tree candidate; a depth of None is no limit."""
     p = {**DEFAULT_PARAMS[name], **(params or {})}
-    if name == "logistic_regression":
-        return LogisticRegression(family="multinomial", weightCol="weight", maxIter=int(p["max_iter"]),
-                                  regParam=1.0 / (float(p["C"]) * max(1, n_rows)), elasticNetParam=0.0,
-                                  standardization=False, tol=1e-6)
+    depth = None if p["max_depth"] is None else int(p["max_depth"])
     if name == "random_forest":
-        return RandomForestClassifier(numTrees=int(p["num_trees"]), minInstancesPerNode=int(p["min_leaf"]),
-                                      maxDepth=min(30, int(p["max_depth"] or DEFAULT_PARAMS[name]["max_depth"])), weightCol="weight", seed=seed,
-                                      featureSubsetStrategy="sqrt", bootstrap=True)
+        return TR.Forest(int(p["num_trees"]), depth, int(p["min_leaf"]), seed=seed)
     if name == "hist_gradient_boosting_balanced":
-        return OvrBoostingClassifier(numClasses=n_classes, maxIter=int(p["max_iter"]),
-                                     stepSize=float(p["learning_rate"]), seed=seed,
-                                     maxDepth=int(p["max_depth"] or DEFAULT_PARAMS[name]["max_depth"]))
+        return TR.Boosting(int(p["max_iter"]), float(p["learning_rate"]), depth, int(p["max_leaf_nodes"]), int(p["min_leaf"]))
     raise ValueError(name)
 
 
+def fit_trees(x: DataFrame, name: str, params: dict | None, classes: int, seed: int = 42) -> TreeModel:
+    """Bins of :func:`assembled` rows, then the ensemble."""
+    how = tree_settings(name, params, seed)
+    edges = TR.bin_edges(x)
+    table = TR.coded(x, edges)
+    n = table.count()
+    if isinstance(how, TR.Forest):
+        trees = TR.merged(TR.forest_groups(table, edges, classes, {0: how}, {0: 0}, {0: n}))[0]
+    elif n <= TR.LOCAL_ROWS:
+        trees = TR.merged(TR.boost_groups(table, edges, classes, {0: how}, {0: 0}))[0]
+    else:
+        trees = TR.boost_table(table, np.array([len(e) + 1 for e in edges[0]]), classes, how)
+    return TreeModel(trees.with_thresholds(edges[0]), len(edges[0]))
+
+
+def assembled(prep: PipelineModel, df: DataFrame, label: str = "label", fit: int = 0, held=False) -> DataFrame:
+    """``fit, held, row, label, features`` (array) of preprocessed rows."""
+    x = prep.transform(df.withColumns({"__row": TR.row_key(df), "__held": F.lit(held)}))
+    return x.select(F.lit(fit).cast("int").alias("fit"), F.col("__held").alias("held"), F.col("__row").alias("row"),
+                    F.col(label).cast("int").alias("label"), vector_to_array("features").alias("features"))
+
+
 @dataclass
 class FittedModel:
     """A fitted preprocessor + classifier and everything needed to score later."""
@@ -162,17 +152,19 @@ class FittedModel:
 
 
 def fit_model(name: str, train: DataFrame, numeric: list[str], categorical: list[str], class_labels: list[str],
-              params: dict | None = None, label: str = "label", seed: int = 42) -> FittedModel:
-    """Fit preprocessor and classifier on ``train`` (persisted while iterating)."""
-    prep = preprocessor(numeric, categorical).fit(train)
-    x = with_class_weights(prep.transform(train).withColumn(label, F.col(label).cast("int")), label)
-    x = x.withColumn("label", F.col(label).cast("double")).select("features", "label", "weight").persist()
-    try:
-        n = x.count()
-        est = build_estimator(name, params or {}, n, len(class_labels), seed)
-        clf = est.fit(x)
-    finally:
-        x.unpersist()
+              params: dict | None = None, label: str = "label", seed: int = 42, prep: PipelineModel | None = None) -> FittedModel:
+    """Fit preprocessor (or take a fitted one) and classifier on ``train``."""
+    from caliper.session import cut_lineage
+    prep = prep or preprocessor(numeric, categorical).fit(train)
+    if name == "logistic_regression":
+        x = with_class_weights(prep.transform(train).withColumn(label, F.col(label).cast("int")), label)
+        x = x.withColumn("label", F.col(label).cast("double")).select("features", "label", "weight").persist()
+        try:
+            clf = build_estimator(params or {}, x.count()).fit(x)
+        finally:
+            x.unpersist()
+    else:
+        clf = fit_trees(cut_lineage(assembled(prep, train, label)), name, params, len(class_labels), seed)
     return FittedModel(name, prep, clf, list(numeric), list(categorical), list(class_labels), params=params or {})
 
 
@@ -221,8 +213,9 @@ def fit_and_select(train: DataFrame, test: DataFrame, numeric: list[str], catego
             chosen[name] |= best
         if records is not None:
             records.append(record)
+    prep = preprocessor(numeric, categorical).fit(train)  # the same for all candidates
     fitted = parallel_map(lambda name: fit_model(name, train, numeric, categorical, class_labels, chosen[name],
-                                                 seed=seed), models, parallelism)
+                                                 seed=seed, prep=prep), models, parallelism)
     scored = None
     for order, (name, m) in enumerate(zip(models, fitted)):
         s = score(m, test, positive).withColumns({"model_name": F.lit(name), "train_order": F.lit(order)})
@@ -239,8 +232,7 @@ def fit_and_select(train: DataFrame, test: DataFrame, numeric: list[str], catego
 
 class PlattCalibrated:
     """Per-class sigmoid on the model's class probability, fitted on held-out rows with
-    Platt's smoothed targets (each row enters twice, weighted by the target), then
-    normalised across classes (all-zero -> uniform)."""
+    Platt's smoothed targets, then normalised across classes (all-zero -> uniform)."""
 
     def __init__(self, base: FittedModel, coefs: list[tuple[float, float]]):
         self.base, self.coefs = base, coefs
@@ -257,26 +249,62 @@ class PlattCalibrated:
                             .cast("int"))
 
 
+def platt(scored: DataFrame, classes: int, label: str = "label", probabilities: str = "probabilities",
+          steps: int = 100, tolerance: float = 1e-10) -> list[tuple[float, float]]:
+    """Slope and intercept of every class's sigmoid by Newton's method: each step sums the
+    gradients and curvatures of all classes in one aggregate (and the loss at the point; a
+    step that doesn't lower a class's loss is halved).  Stops when the gradients, a row, are
+    under ``tolerance``."""
+    y = F.col(label).cast("int")
+    x = scored.select(y.alias("y"), *[F.col(probabilities)[k].cast("double").alias(f"p{k}") for k in range(classes)])
+    counts = x.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("y") == k).alias(f"n{k}") for k in range(classes)]).first()
+    n = counts["n"]
+    targets = [((counts[f"n{k}"] + 1.0) / (counts[f"n{k}"] + 2.0), 1.0 / (n - counts[f"n{k}"] + 2.0)) for k in range(classes)]
+
+    def sums(points: list[tuple[float, float]]) -> list[list[float]]:
+        aggs = []
+        for k, (a, b) in enumerate(points):
+            p = F.col(f"p{k}")
+            z = F.lit(a) * p + F.lit(b)
+            q = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+            t = F.when(F.col("y") == k, F.lit(targets[k][0])).otherwise(F.lit(targets[k][1]))
+            loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - t * z
+            w = q * (F.lit(1.0) - q)
+            aggs += [F.sum(v).alias(f"s{k}_{i}") for i, v in enumerate((loss, (q - t) * p, q - t, w * p * p, w * p, w))]
+        row = x.agg(*aggs).first()
+        return [[row[f"s{k}_{i}"] for i in range(6)] for k in range(classes)]
+
+    if not n:
+        return [(1.0, 0.0)] * classes
+    here = [(0.0, float(np.log((targets[k][0] * counts[f"n{k}"] + targets[k][1] * (n - counts[f"n{k}"])) / max(1e-12, n - targets[k][0] * counts[f"n{k}"] - targets[k][1] * (n - counts[f"n{k}"]))))) for k in range(classes)]
+    known = sums(here)
+    move = [1.0] * classes
+    for _ in range(steps):
+        trial = list(here)
+        for k, (_, ga, gb, haa, hab, hbb) in enumerate(known):
+            if max(abs(ga), abs(gb)) <= tolerance * n:
+                continue
+            ridge = 1e-12 * max(haa, hbb, 1e-12)
+            det = (haa + ridge) * (hbb + ridge) - hab * hab
+            trial[k] = (here[k][0] - move[k] * ((hbb + ridge) * ga - hab * gb) / det, here[k][1] - move[k] * ((haa + ridge) * gb - hab * ga) / det)
+        if trial == here:
+            break
+        found = sums(trial)
+        for k in range(classes):
+            if found[k][0] <= known[k][0] + 1e-12 * abs(known[k][0]):
+                here[k], known[k], move[k] = trial[k], found[k], 1.0
+            else:
+                move[k] /= 2
+        if all(m < 1e-8 for m, point, old in zip(move, trial, here) if point != old) and trial != here:
+            break
+    return here
+
+
 def calibrate(base: FittedModel, cal: DataFrame, label: str = "label") -> PlattCalibrated:
-    s = score(base, cal).select(F.col(label).cast("int").alias("y"), "probabilities").persist()
-    try:
-        coefs = []
-        for k in range(len(base.class_labels)):
-            x = s.select((F.col("y") == k).cast("int").alias("t"), F.col("probabilities")[k].alias("p"))
-            cnt = x.agg(F.sum("t").alias("pos"), F.count(F.lit(1)).alias("n")).first()
-            pos, neg = int(cnt["pos"]), int(cnt["n"] - cnt["pos"])
-            hi, lo = (pos + 1.0) / (pos + 2.0), 1.0 / (neg + 2.0)
-            tgt = F.when(F.col("t") == 1, F.lit(hi)).otherwise(F.lit(lo))
-            two = x.select(F.explode(F.array(
-                F.struct(F.lit(1.0).alias("label"), tgt.alias("w"), F.col("p").alias("p")),
-                F.struct(F.lit(0.0).alias("label"), (F.lit(1.0) - tgt).alias("w"), F.col("p").alias("p")))).alias("r"))
-            two = two.select("r.label", "r.w", array_to_vector(F.array("r.p")).alias("features"))
-            lr = LogisticRegression(family="binomial", weightCol="w", regParam=0.0, standardization=False,
-                                    maxIter=200, tol=1e-9).fit(two)
-            coefs.append((float(lr.coefficients[0]), float(lr.intercept)))
-    finally:
-        s.unpersist()
-    return PlattCalibrated(base, coefs)
+    """Sigmoids fitted on rows that the model hasn't seen."""
+    from caliper.session import cut_lineage
+    scored = cut_lineage(score(base, cal).select(F.col(label).alias("label"), "probabilities"))
+    return PlattCalibrated(base, platt(scored, len(base.class_labels)))
 
 
 # ------------------------------------------------------------------ importances, scoring, persistence
@@ -284,14 +312,11 @@ def calibrate(base: FittedModel, cal: DataFrame, label: str = "label") -> PlattC
 def model_importance(model: FittedModel, df: DataFrame) -> DataFrame:
     """Tree importances, or the mean |coefficient| across classes; zeros when the
     classifier offers neither.  Sorted descending (T6 takes the head)."""
-    import numpy as np
     names = feature_names(model.prep, df)
     clf = model.clf
     if isinstance(clf, LogisticRegressionModel):
         imp, method = np.abs(clf.coefficientMatrix.toArray()).mean(axis=0), "avg_abs_coef"
-    elif isinstance(clf, (RandomForestClassificationModel, GBTClassificationModel)):
-        imp, method = clf.featureImportances.toArray(), "tree_importance"
-    elif isinstance(clf, OvrBoostingModel):
+    elif isinstance(clf, TreeModel):
         imp, method = clf.featureImportances, "tree_importance"
     else:
         imp, method = np.zeros(len(names)), "not_available"
@@ -320,8 +345,8 @@ def save_model(model: FittedModel, path: str, spark: SparkSession) -> None:
     """Preprocessor and classifier through Spark ML persistence, plus a one-row
     metadata table (feature lists, defaults, labels, code map)."""
     model.prep.write().overwrite().save(f"{path}/preprocessor")
-    if isinstance(model.clf, OvrBoostingModel):
-        model.clf.save(f"{path}/classifier")
+    if isinstance(model.clf, TreeModel):
+        model.clf.save(f"{path}/classifier", spark)
     else:
         model.clf.write().overwrite().save(f"{path}/classifier")
     meta = {"name": model.name, "numeric": model.numeric, "categorical": model.categorical,
@@ -336,10 +361,8 @@ def load_model(path: str, spark: SparkSession) -> FittedModel:
     name = meta["name"]
     if name == "logistic_regression":
         clf = LogisticRegressionModel.load(f"{path}/classifier")
-    elif name == "random_forest":
-        clf = RandomForestClassificationModel.load(f"{path}/classifier")
     else:
-        clf = OvrBoostingModel.load_from(f"{path}/classifier", len(meta["class_labels"]))
+        clf = TreeModel.load_from(f"{path}/classifier", spark)
     return FittedModel(name, prep, clf, meta["numeric"], meta["categorical"], meta["class_labels"],
                        {int(k): v for k, v in meta["code_map"].items()}, meta["params"], meta["defaults"],
                        meta.get("info", {}))

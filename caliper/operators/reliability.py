@@ -7,12 +7,19 @@ job, instead of one job per fold or per copy.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caliper.operators import features as FE
 from caliper.operators import metrics as ME
 from caliper.operators import models as MO
 from caliper.operators import splits as SP
+from caliper.operators import trees as TR
 from caliper.session import cut_lineage
 
 
@@ -23,26 +30,123 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def fold_rows(folds: DataFrame, k: int, numeric: list[str], categorical: list[str], parallelism: int = 4) -> DataFrame:
+    """``fit, held, row, label, features``, written once: for each fold all rows as the
+    preprocessing of the other folds' rows gives them, ``held`` those of the fold."""
+    preps = FE.fold_preprocessors(folds, k, numeric, categorical)
+    parts = [MO.assembled(prep, folds, fit=f, held=F.col("fold") == f) for f, prep in enumerate(preps)]
+    return cut_lineage(_stack(parts))
+
+
+def judged_points(x: DataFrame, k: int, name: str, points: list[dict], classes: int, positive: int = 0, seed: int = 42,
+                  parallelism: int = 4) -> DataFrame:
+    """``point, fold, label, prediction, score`` of every fold's held rows under models of the
+    fold's other rows (:func:`fold_rows`), for several settings of one candidate.
+
+    Settings that are prefixes of others share a fit: of boosting, all numbers of rounds are
+    read from the longest fit of each (rate, depth); of forests, all numbers of trees and all
+    depths from the largest forest of each leaf size.  Fits run side by side."""
+    if name == "logistic_regression":
+        weighted = {}
+        for f in range(k):
+            own = MO.with_class_weights(x.where((F.col("fit") == f) & ~F.col("held")))
+            own = own.select(MO.array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"), "weight").persist()
+            weighted[f] = (own, own.count())
+
+        def scored(job):
+            p, f = job
+            own, n = weighted[f]
+            shares = MO.shares_of(MO.build_estimator(points[p], n).fit(own))
+            return held_shares(x.where((F.col("fit") == f) & F.col("held")), shares).withColumns({"point": F.lit(p), "fold": F.lit(f)})
+
+        try:
+            found = _stack(MO.parallel_map(scored, [(p, f) for p in range(len(points)) for f in range(k)], parallelism))
+            return cut_lineage(_decided(found, positive))
+        finally:
+            for own, _ in weighted.values():
+                own.unpersist()
+    edges = TR.bin_edges(x)
+    table = TR.coded(x, edges)
+    rows = {r["fit"]: r["count"] for r in table.where("not held").groupBy("fit").count().collect()}  # a row a fold
+    settings = [MO.tree_settings(name, p, seed) for p in points]
+    frames = []
+    if name == "random_forest":
+        same: dict[tuple, list[int]] = {}
+        for i, how in enumerate(settings):
+            same.setdefault((how.min_leaf, how.features, how.rows, how.seed), []).append(i)
+        for mine in same.values():
+            depths = [settings[i].depth for i in mine]
+            largest = TR.Forest(max(settings[i].trees for i in mine), None if None in depths else max(depths), *list(same.keys())[list(same.values()).index(mine)])
+            asked = sorted({(settings[i].trees, settings[i].depth) for i in mine}, key=str)
+            got = TR.forest_groups(table, edges, classes, dict.fromkeys(range(k), largest), {f: f for f in range(k)}, rows, asked)
+            got = got.select("fit", "stage", "depth", "row", "label", F.posexplode("shares").alias("class", "share"))
+            got = got.groupBy("fit", "stage", "depth", "row", "label", "class").agg((F.sum("share") / F.col("stage")).alias("share"))
+            got = got.groupBy("fit", "stage", "depth", "row", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("class", "share"))), lambda c: c["share"]).alias("shares"))
+            for i in mine:
+                frames.append((i, got.where((F.col("stage") == settings[i].trees) & (F.col("depth") == (settings[i].depth or 0)))))
+    else:
+        same = {}
+        for i, how in enumerate(settings):
+            same.setdefault((how.rate, how.depth, how.leaves, how.min_leaf), []).append(i)
+        jobs = {g * k + f: (g, f) for g in range(len(same)) for f in range(k)}
+        longest = [TR.Boosting(max(settings[i].rounds for i in mine), *key) for key, mine in same.items()]
+        stages = sorted({settings[i].rounds for mine in same.values() for i in mine})
+        if max(rows.values()) <= TR.LOCAL_ROWS:
+            got = cut_lineage(TR.boost_groups(table, edges, classes, {j: longest[g] for j, (g, _) in jobs.items()}, {j: f for j, (_, f) in jobs.items()}, stages))
+        else:
+            got = cut_lineage(_stack([_staged(table.where(F.col("fit") == f), edges[f], classes, longest[g], stages, j) for j, (g, f) in jobs.items()]))
+        for g, mine in enumerate(same.values()):
+            for i in mine:
+                own = got.where((F.floor(F.col("fit") / k) == g) & (F.col("stage") == settings[i].rounds))
+                frames.append((i, own.withColumn("fit", F.col("fit") % k)))
+    told = [f.select(F.lit(i).alias("point"), F.col("fit").cast("int").alias("fold"), "label", "shares") for i, f in frames]
+    return cut_lineage(_decided(_stack(told), positive))
+
+
+def _staged(rows: DataFrame, edges: list, classes: int, how: TR.Boosting, stages: list[int], job: int) -> DataFrame:
+    """One distributed fit, judged after each of several numbers of rounds."""
+    whole = TR.boost_table(rows.where("not held").select("row", "label", "codes"), np.array([len(e) + 1 for e in edges]), classes, how)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                for n in stages:
+                    raw = whole.scores(codes, trees=range(min(n * classes, len(whole.roots)))) + whole.base
+                    yield from TR._judged(job, 0, n, None, batch.column("row").to_numpy(), batch.column("label").to_numpy(), TR.softmax(raw)).to_batches()
+
+    return rows.where("held").mapInArrow(run, TR._JUDGED)
+
+
+def held_shares(x: DataFrame, shares) -> DataFrame:
+    """``label, shares`` of rows with a ``features`` array."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+                found = pa.array(list(shares(values)), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column("label"), found], ["label", "shares"])
+
+    return x.select("label", "features").mapInArrow(run, "label int, shares array<double>")
+
+
+def _decided(found: DataFrame, positive: int) -> DataFrame:
+    best = (F.array_position("shares", F.array_max("shares")) - 1).cast("int")
+    return found.select("point", "fold", "label", best.alias("prediction"), F.col("shares")[positive].alias("score"))
+
+
 def cv_reliability(df: DataFrame, numeric: list[str], categorical: list[str], class_labels: list[str],
                    positive: int = 0, models: list[str] | None = None, params: dict | None = None,
                    k: int | None = None, seed: int = 42, parallelism: int = 4) -> DataFrame:
     """M18 + A24: stratified K-fold for every candidate; per model the fold mean and
     population std of accuracy, macro-F1 and critical recall, best mean macro-F1 first."""
     models = models or MO.MODEL_ORDER
-    folds = cut_lineage(SP.stratified_folds(df, k, seed=seed))
     k = k or int(SP.min_class_count(df).first()["n_splits"])
-    jobs = [(name, f) for name in models for f in range(k)]
-
-    def fit_one(job):
-        name, f = job
-        return MO.fit_model(name, folds.filter(F.col("fold") != f), numeric, categorical, class_labels,
-                            (params or {}).get(name), seed=seed)
-
-    fitted = MO.parallel_map(fit_one, jobs, parallelism)
-    scored = [MO.score(m, folds.filter(F.col("fold") == f), positive)
-              .select("label", "prediction", "score", F.lit(name).alias("model_name"), F.lit(f).alias("fold"))
-              for (name, f), m in zip(jobs, fitted)]
-    per_fold = ME.evaluate(cut_lineage(_stack(scored)), positive, by=["model_name", "fold"])
+    folds = cut_lineage(SP.stratified_folds(df, k, seed=seed))
+    x = fold_rows(folds, k, numeric, categorical, parallelism)
+    parts = MO.parallel_map(lambda name: judged_points(x, k, name, [(params or {}).get(name) or {}], len(class_labels), positive, seed, parallelism)
+                            .withColumn("model_name", F.lit(name)), models, len(models))
+    per_fold = ME.evaluate(cut_lineage(_stack(parts)), positive, by=["model_name", "fold"])
     return (per_fold.groupBy("model_name").agg(
         F.lit(k).alias("cv_splits"),
         F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"),
@@ -104,45 +208,90 @@ def spatial_holdout(df: DataFrame, name: str, numeric: list[str], categorical: l
     return attach(sizes, met).select(F.lit(True).alias("available"), F.lit(name).alias("model_name"), "*")
 
 
-def permuted_copies(df: DataFrame, features: list[str], repeats: int = 3, seed: int = 42, row_id: str = "row_id",
-                    bucket_rows: int = 20_000) -> DataFrame:
-    """For every (feature, repeat) a copy of ``df`` whose feature column is randomly
-    re-paired across rows.  Rows fall into hash buckets of about ``bucket_rows`` rows;
-    inside a bucket, rank by one hash gives the row, rank by another the donor of the
-    value, and a self-join on (bucket, rank) swaps the value in.  No global sort, no
-    collect; copies are keyed by ``perm_feature`` and ``perm_repeat``."""
+def donors(df: DataFrame, repeats: int = 3, seed: int = 42, row_id: str = "row_id", bucket_rows: int = 20_000) -> DataFrame:
+    """``perm_repeat, own, other``: for every repeat each row (``own``) with the row that
+    lends it its values (``other``), both as structs of all columns; each row lends once.
+
+    Rows fall into hash buckets of about ``bucket_rows`` rows; inside a bucket, rank by one
+    hash gives the row and rank by another the lender.  One pairing a repeat serves all
+    features, so what is shuffled doesn't grow with their number."""
     n = df.count()
     nb = max(1, n // bucket_rows)
-    out = []
-    for fi, f in enumerate(features):
-        x = df.withColumn("perm_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        key = [F.col(row_id), F.lit(fi), F.col("perm_repeat"), F.lit(seed)]
-        x = x.withColumns({"__b": F.pmod(F.xxhash64(*key, F.lit(0)), F.lit(nb)),
-                           "__h1": F.xxhash64(*key, F.lit(1)), "__h2": F.xxhash64(*key, F.lit(2))})
-        w1 = Window.partitionBy("perm_repeat", "__b").orderBy("__h1", row_id)
-        w2 = Window.partitionBy("perm_repeat", "__b").orderBy("__h2", row_id)
-        rows = x.withColumn("__rn", F.row_number().over(w1)).drop(f, "__h2")
-        donors = x.select("perm_repeat", "__b", F.row_number().over(w2).alias("__rn"), F.col(f))
-        paired = rows.join(donors, ["perm_repeat", "__b", "__rn"]).drop("__b", "__rn", "__h1")
-        out.append(paired.withColumn("perm_feature", F.lit(f)))
-    return _stack([o.select(*sorted(o.columns)) for o in out])
+    x = df.select(F.struct("*").alias("own"), F.col(row_id).alias("__id"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("perm_repeat"))
+    key = [F.col("__id"), F.col("perm_repeat"), F.lit(seed)]
+    x = x.withColumns({"__b": F.pmod(F.xxhash64(*key, F.lit(0)), F.lit(nb)),
+                       "__h1": F.xxhash64(*key, F.lit(1)), "__h2": F.xxhash64(*key, F.lit(2))})
+    w1 = Window.partitionBy("perm_repeat", "__b").orderBy("__h1", "__id")
+    w2 = Window.partitionBy("perm_repeat", "__b").orderBy("__h2", "__id")
+    takers = x.select("perm_repeat", "__b", F.row_number().over(w1).alias("__rn"), "own")
+    lenders = x.select("perm_repeat", "__b", F.row_number().over(w2).alias("__rn"), F.col("own").alias("other"))
+    return takers.join(lenders, ["perm_repeat", "__b", "__rn"]).select("perm_repeat", "own", "other")
+
+
+def feature_places(model: MO.FittedModel, df: DataFrame) -> dict[str, list[int]]:
+    """For each input feature the places that it fills in the assembled vector."""
+    meta = model.prep.transform(df.limit(0)).schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+    out: dict[str, list[int]] = {f: [] for f in model.features}
+    for attr in sorted((a for kind in meta.values() for a in kind), key=lambda a: a["idx"]):
+        name = attr.get("name", "")
+        base = name.split("__ohe_", 1)[0] if "__ohe_" in name else name.removeprefix("missingindicator_")
+        if base in out:
+            out[base].append(attr["idx"])
+    return out
 
 
 def permutation_importance(model: MO.FittedModel, test: DataFrame, features: list[str] | None = None,
-                           repeats: int = 3, seed: int = 42, positive: int = 0) -> DataFrame:
-    """M17 + T7: macro-F1 drop when one feature is permuted; mean and population std
-    over repeats; all copies scored in one ``transform`` and evaluated in one job."""
+                           repeats: int = 3, seed: int = 42, positive: int = 0, max_rows: int | None = None) -> DataFrame:
+    """M17 + T7: macro-F1 drop when one feature is permuted; mean and population std over
+    repeats.  Rows are preprocessed once and paired once a repeat; a task scores a batch once
+    for each feature, with the feature's places in the vector taken from the lenders, and
+    passes on confusion counts only.  ``max_rows`` (off by default) bounds the rows by a
+    stratified cap."""
     features = features or model.features
-    base = ME.overall(ME.confusion(MO.score(model, test, positive))).select(F.col("f1_macro").alias("__base"))
-    copies = permuted_copies(test, features, repeats, seed)
-    s = cut_lineage(MO.score(model, copies, positive).select("perm_feature", "perm_repeat", "label", "prediction"))
-    per = ME.overall(ME.confusion(s, by=["perm_feature", "perm_repeat"]), by=["perm_feature", "perm_repeat"])
+    if max_rows is not None:
+        test = cut_lineage(SP.stratified_cap(test, max_rows, seed=seed))
+    x = model.prep.transform(test).select("row_id", F.col("label").cast("int").alias("label"), vector_to_array("features").alias("v"))
+    x = cut_lineage(x)
+    places = feature_places(model, test)
+    shares = MO.shares_of(model.clf)
+    classes = len(model.class_labels)
+    names = [None, *features]  # None: nothing permuted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, other = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("v", "w"))
+            label, repeat = batch.column("label").to_numpy().astype(np.int64), batch.column("perm_repeat").to_numpy().astype(np.int64)
+            out = []
+            for i, f in enumerate(names):
+                mixed = own
+                if f is not None:
+                    if not places[f]:
+                        continue
+                    mixed = own.copy()
+                    mixed[:, places[f]] = other[:, places[f]]
+                told = shares(mixed).argmax(1)
+                cells = np.bincount((repeat * classes + label) * classes + told, minlength=repeats * classes * classes)
+                some = np.flatnonzero(cells)
+                out.append((np.full(len(some), i), some // (classes * classes), some // classes % classes, some % classes, cells[some]))
+            columns = [np.concatenate(c) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in columns[:4]] + [pa.array(columns[4])], ["at", "perm_repeat", "label", "prediction", "n"])
+
+    paired = donors(x, repeats, seed).select("perm_repeat", "own.label", "own.v", F.col("other.v").alias("w"))
+    cells = paired.mapInArrow(run, "at int, perm_repeat int, label int, prediction int, n long")
+    cells = cut_lineage(cells.groupBy("at", "perm_repeat", "label", "prediction").agg(F.sum("n").alias("n")))  # rows: features x repeats x classes^2
+    per = ME.overall(cells, by=["at", "perm_repeat"])
+    base = per.where("at = 0 and perm_repeat = 0").select(F.col("f1_macro").alias("__base"))
     from caliper.operators.common import attach
-    per = attach(per, base).withColumn("drop", F.col("__base") - F.col("f1_macro"))
-    rows = test.count()
-    return (per.groupBy(F.col("perm_feature").alias("feature"))
-            .agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
-            .withColumns({"method": F.lit("permutation_f1_macro"), "rows": F.lit(rows)})
+    per = attach(per.where("at > 0"), base).withColumn("drop", F.col("__base") - F.col("f1_macro"))
+    named = F.array(*[F.lit(f) for f in features])
+    found = per.groupBy(named[F.col("at") - 1].alias("feature")).agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
+    unused = [f for f in features if not places[f]]  # dropped at fit: nothing hangs on them
+    if unused:
+        found = found.unionByName(test.sparkSession.createDataFrame([(f, 0.0, 0.0) for f in unused], found.schema))
+    rows = x.count()
+    return (found.withColumns({"method": F.lit("permutation_f1_macro"), "rows": F.lit(rows)})
             .orderBy(F.desc("importance_mean"), F.asc("feature")))
 
 
@@ -171,41 +320,22 @@ def grid_search(train: DataFrame, name: str, grid: dict[str, list], numeric: lis
 
     ``max_rows`` bounds the labelled rows of the search (a stratified cap, as in the
     reference; the refit uses all rows).  In each fold the preprocessing is fitted once,
-    and class weights and the row count behind ``regParam`` are the fold's own.  All
-    predictions are stacked and judged by one grouped metrics job.
+    and class weights and the row count behind ``regParam`` are the fold's own.  Points that
+    are prefixes of others share their fits (:func:`judged_points`).  All predictions are
+    stacked and judged by one grouped metrics job.
 
     Returns ``(best_params, trials, record)``: ``trials`` has the ``top`` points, ``record``
     is the search record of the run evidence."""
     import itertools
     import json
 
-    from caliper.operators.features import preprocessor, with_class_weights
-
     rows = SP.stratified_cap(train, max_rows, seed=seed)
-    folds = cut_lineage(SP.stratified_folds(rows, k, seed=seed))
     k = k or int(SP.min_class_count(train).first()["n_splits"])
+    folds = cut_lineage(SP.stratified_folds(rows, k, seed=seed))
     keys = sorted(grid)
     points = [dict(zip(keys, values)) for values in itertools.product(*[grid[c] for c in keys])]
-
-    def prepared(fold: int):
-        own = folds.filter(F.col("fold") != fold)
-        prep = preprocessor(numeric, categorical).fit(own)
-        x = with_class_weights(prep.transform(own)).select("features", F.col("label").cast("double").alias("label"), "weight")
-        held = prep.transform(folds.filter(F.col("fold") == fold)).select("features", F.col("label").cast("int").alias("label"))
-        x = cut_lineage(x)
-        return x, cut_lineage(held), x.count()
-
-    parts = MO.parallel_map(prepared, range(k), parallelism)
-
-    def scored(job):
-        point, fold = job
-        x, held, n = parts[fold]
-        model = MO.build_estimator(name, {**(base or {}), **points[point]}, n, len(class_labels), seed).fit(x)
-        return model.transform(held).select(F.lit(point).alias("point"), F.lit(fold).alias("fold"), "label",
-                                            F.col("prediction").cast("int").alias("prediction"))
-
-    jobs = [(p, f) for p in range(len(points)) for f in range(k)]
-    stacked = cut_lineage(_stack(MO.parallel_map(scored, jobs, parallelism)))
+    x = fold_rows(folds, k, numeric, categorical, parallelism)
+    stacked = judged_points(x, k, name, [{**(base or {}), **p} for p in points], len(class_labels), 0, seed, parallelism)
     per = ME.overall(ME.confusion(stacked, by=["point", "fold"]), by=["point", "fold"])
     means = {r["point"]: r["m"] for r in per.groupBy("point").agg(F.avg("f1_macro").alias("m")).collect()}  # a row a point
     order = sorted(range(len(points)), key=lambda p: (-means[p], json.dumps(points[p])))
