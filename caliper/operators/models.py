@@ -203,13 +203,17 @@ def fit_and_select(train: DataFrame, test: DataFrame, numeric: list[str], catego
     search record per model."""
     models = models or MODEL_ORDER
     chosen = {name: dict((params or {}).get(name) or {}) for name in models}
+    found = dict.fromkeys(models)
+    if grids:
+        from caliper.operators import reliability as RE
+        shared = RE.search_rows(train, numeric, categorical, seed=seed)
+        found = dict(zip(models, parallel_map(lambda name: RE.grid_search(
+            train, name, grids.get(name, {}), numeric, categorical, class_labels, seed=seed, base=chosen[name], shared=shared), models, parallelism)))
     for name in models:
         record = {"model_name": name, "search_enabled": bool(grids), "best_params": {}, "best_score_f1_macro": None,
                   "top_trials": []}
-        if grids:
-            from caliper.operators.reliability import grid_search
-            best, _, record = grid_search(train, name, grids.get(name, {}), numeric, categorical, class_labels,
-                                          seed=seed, base=chosen[name])
+        if found[name]:
+            best, _, record = found[name]
             chosen[name] |= best
         if records is not None:
             records.append(record)

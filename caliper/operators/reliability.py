@@ -20,7 +20,7 @@ from caliper.operators import metrics as ME
 from caliper.operators import models as MO
 from caliper.operators import splits as SP
 from caliper.operators import trees as TR
-from caliper.session import cut_lineage
+from caliper.session import cut_lineage, ship_package
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
@@ -30,7 +30,7 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def fold_rows(folds: DataFrame, k: int, numeric: list[str], categorical: list[str], parallelism: int = 4) -> DataFrame:
+def fold_rows(folds: DataFrame, k: int, numeric: list[str], categorical: list[str]) -> DataFrame:
     """``fit, held, row, label, features``, written once: for each fold all rows as the
     preprocessing of the other folds' rows gives them, ``held`` those of the fold."""
     preps = FE.fold_preprocessors(folds, k, numeric, categorical)
@@ -79,9 +79,9 @@ def judged_points(x: DataFrame, k: int, name: str, points: list[dict], classes:
             largest = TR.Forest(max(settings[i].trees for i in mine), None if None in depths else max(depths), *list(same.keys())[list(same.values()).index(mine)])
             asked = sorted({(settings[i].trees, settings[i].depth) for i in mine}, key=str)
             got = TR.forest_groups(table, edges, classes, dict.fromkeys(range(k), largest), {f: f for f in range(k)}, rows, asked)
-            got = got.select("fit", "stage", "depth", "row", "label", F.posexplode("shares").alias("class", "share"))
-            got = got.groupBy("fit", "stage", "depth", "row", "label", "class").agg((F.sum("share") / F.col("stage")).alias("share"))
-            got = got.groupBy("fit", "stage", "depth", "row", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("class", "share"))), lambda c: c["share"]).alias("shares"))
+            share = [(F.sum(F.col("shares")[c]) / F.col("stage")).alias(f"s{c}") for c in range(classes)]
+            got = got.groupBy("fit", "stage", "depth", "row", "label").agg(*share)
+            got = cut_lineage(got.select("fit", "stage", "depth", "row", "label", F.array(*[f"s{c}" for c in range(classes)]).alias("shares")))
             for i in mine:
                 frames.append((i, got.where((F.col("stage") == settings[i].trees) & (F.col("depth") == (settings[i].depth or 0)))))
     else:
@@ -120,6 +120,8 @@ def _staged(rows: DataFrame, edges: list, classes: int, how: TR.Boosting, stages
 
 def held_shares(x: DataFrame, shares) -> DataFrame:
     """``label, shares`` of rows with a ``features`` array."""
+    ship_package(x.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -143,7 +145,7 @@ def cv_reliability(df: DataFrame, numeric: list[str], categorical: list[str], cl
     models = models or MO.MODEL_ORDER
     k = k or int(SP.min_class_count(df).first()["n_splits"])
     folds = cut_lineage(SP.stratified_folds(df, k, seed=seed))
-    x = fold_rows(folds, k, numeric, categorical, parallelism)
+    x = fold_rows(folds, k, numeric, categorical)
     parts = MO.parallel_map(lambda name: judged_points(x, k, name, [(params or {}).get(name) or {}], len(class_labels), positive, seed, parallelism)
                             .withColumn("model_name", F.lit(name)), models, len(models))
     per_fold = ME.evaluate(cut_lineage(_stack(parts)), positive, by=["model_name", "fold"])
@@ -253,6 +255,7 @@ def permutation_importance(model: MO.FittedModel, test: DataFrame, features: lis
     x = model.prep.transform(test).select("row_id", F.col("label").cast("int").alias("label"), vector_to_array("features").alias("v"))
     x = cut_lineage(x)
     places = feature_places(model, test)
+    ship_package(test.sparkSession)
     shares = MO.shares_of(model.clf)
     classes = len(model.class_labels)
     names = [None, *features]  # None: nothing permuted
@@ -313,28 +316,36 @@ def ablation(prepared_by_mode: dict[str, tuple[DataFrame, list[str], list[str]]]
     return _stack(rows)
 
 
+def search_rows(train: DataFrame, numeric: list[str], categorical: list[str], k: int | None = None, seed: int = 42,
+                max_rows: int = 120_000) -> tuple[int, DataFrame, int]:
+    """The number of folds, their preprocessed rows (:func:`fold_rows`) and the number of
+    rows searched: what the searches of all candidates share."""
+    rows = SP.stratified_cap(train, max_rows, seed=seed)
+    k = k or int(SP.min_class_count(train).first()["n_splits"])
+    folds = cut_lineage(SP.stratified_folds(rows, k, seed=seed))
+    return k, fold_rows(folds, k, numeric, categorical), folds.count()
+
+
 def grid_search(train: DataFrame, name: str, grid: dict[str, list], numeric: list[str], categorical: list[str],
                 class_labels: list[str], k: int | None = None, seed: int = 42, top: int = 5, base: dict | None = None,
-                max_rows: int = 120_000, parallelism: int = 4):
+                max_rows: int = 120_000, parallelism: int = 4, shared: tuple[int, DataFrame, int] | None = None):
     """M11 + T5: stratified K-fold search over a parameter grid by mean macro-F1.
 
     ``max_rows`` bounds the labelled rows of the search (a stratified cap, as in the
     reference; the refit uses all rows).  In each fold the preprocessing is fitted once,
     and class weights and the row count behind ``regParam`` are the fold's own.  Points that
     are prefixes of others share their fits (:func:`judged_points`).  All predictions are
-    stacked and judged by one grouped metrics job.
+    stacked and judged by one grouped metrics job.  ``shared`` (:func:`search_rows`) spares
+    searches over several candidates the same folds.
 
     Returns ``(best_params, trials, record)``: ``trials`` has the ``top`` points, ``record``
     is the search record of the run evidence."""
     import itertools
     import json
 
-    rows = SP.stratified_cap(train, max_rows, seed=seed)
-    k = k or int(SP.min_class_count(train).first()["n_splits"])
-    folds = cut_lineage(SP.stratified_folds(rows, k, seed=seed))
+    k, x, fit_rows = shared or search_rows(train, numeric, categorical, k, seed, max_rows)
     keys = sorted(grid)
     points = [dict(zip(keys, values)) for values in itertools.product(*[grid[c] for c in keys])]
-    x = fold_rows(folds, k, numeric, categorical, parallelism)
     stacked = judged_points(x, k, name, [{**(base or {}), **p} for p in points], len(class_labels), 0, seed, parallelism)
     per = ME.overall(ME.confusion(stacked, by=["point", "fold"]), by=["point", "fold"])
     means = {r["point"]: r["m"] for r in per.groupBy("point").agg(F.avg("f1_macro").alias("m")).collect()}  # a row a point
@@ -342,6 +353,6 @@ def grid_search(train: DataFrame, name: str, grid: dict[str, list], numeric: lis
     ranked = [(name, i + 1, json.dumps(points[p]), float(means[p])) for i, p in enumerate(order[:top])]
     trials = train.sparkSession.createDataFrame(ranked, "model_name string, rank int, params string, mean_test_f1_macro double")
     record = {"model_name": name, "cv_splits": k, "search_enabled": True, "best_params": points[order[0]],
-              "best_score_f1_macro": float(means[order[0]]), "fit_rows_for_search": folds.count(),
+              "best_score_f1_macro": float(means[order[0]]), "fit_rows_for_search": fit_rows,
               "top_trials": [{"rank": r, "mean_test_f1_macro": m, "params": json.loads(p)} for _, r, p, m in ranked]}
     return points[order[0]], trials, record

@@ -38,7 +38,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caliper.session import cut_lineage
+from caliper.session import cut_lineage, ship_package
 
 BINS = 256
 LOCAL_ROWS = 200_000
@@ -74,6 +74,8 @@ def codes_of(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
 
 def coded(x: DataFrame, edges: dict[int, list[np.ndarray]]) -> DataFrame:
     """``fit, held, row, label, codes`` written once; all fits read it."""
+    ship_package(x.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fits = batch.column("fit").to_numpy()
@@ -222,32 +224,35 @@ class Sapling:
         return self.asked
 
     def told(self, hists: np.ndarray) -> None:
-        """``hists``: (asked nodes, bins of all features, 3) whole numbers."""
-        nodes, whole = list(self.asked), list(hists)
-        for small, h in zip(self.asked, hists):
+        """``hists``: (3, asked nodes, bins of all features) whole numbers."""
+        nodes, whole = list(self.asked), [hists[:, i] for i in range(len(self.asked))]
+        for i, small in enumerate(self.asked):
             if small in self.other:
                 parent, other = self.other[small]
                 nodes.append(other)
-                whole.append(self.hist.pop(parent) - h)
+                whole.append(self.hist.pop(parent) - hists[:, i])
         self.asked = []
-        h = np.stack(whole)
-        run = h.cumsum(1)
-        start = np.concatenate([np.zeros((len(h), 1, 3)), run], 1)[:, self.first]
-        low = run - start[:, self.feature_of]
-        all_ = h[:, : self.bins[0]].sum(1)
-        high = all_[:, None] - low
-        ok = (low[..., 2] >= self.min_leaf) & (high[..., 2] >= self.min_leaf) & (low[..., 1] >= self.min_hessian) & (high[..., 1] >= self.min_hessian) & ~self.last
+        h = np.stack(whole, 1)
+        all_ = h[:, :, : self.bins[0]].sum(2)
+        low = h.cumsum(2)
+        ends = low[:, :, self.first + self.bins - 1]
+        low -= np.repeat(np.concatenate([np.zeros((3, len(nodes), 1)), ends[:, :, :-1]], 2), self.bins, 2)
+        rows, at = np.nonzero((low[2] >= self.min_leaf) & (all_[2][:, None] - low[2] >= self.min_leaf) & ~self.last)
+        g, w = low[0][rows, at], low[1][rows, at]
+        other_g, other_w = all_[0][rows] - g, all_[1][rows] - w
+        ok = (w >= self.min_hessian) & (other_w >= self.min_hessian)
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = low[..., 0] ** 2 / low[..., 1] + high[..., 0] ** 2 / high[..., 1] - (all_[:, 0] ** 2 / all_[:, 1])[:, None]
-        gain = np.where(ok, gain, 0.0)
+            found = np.where(ok, g * g / w + other_g * other_g / other_w - (all_[0] * all_[0] / all_[1])[rows], 0.0)
+        gain = np.zeros(low.shape[1:])
+        gain[rows, at] = found
         best = gain.argmax(1)
         for i, x in enumerate(nodes):
-            self.sums[x] = all_[i]
-            g = float(gain[i, best[i]])
-            if g > 0 and (self.depth_limit is None or self.depth[x] < self.depth_limit):
+            self.sums[x] = all_[:, i]
+            top = float(gain[i, best[i]])
+            if top > 0 and (self.depth_limit is None or self.depth[x] < self.depth_limit):
                 f = int(self.feature_of[best[i]])
-                self.feature[x], self.cut[x], self.gain[x] = f, int(best[i] - self.first[f]), g
-                self.hist[x], self.low[x] = whole[i], low[i, best[i]]
+                self.feature[x], self.cut[x], self.gain[x] = f, int(best[i] - self.first[f]), top
+                self.hist[x], self.low[x] = whole[i], low[:, i, best[i]]
 
     def move(self, codes: np.ndarray, node: np.ndarray, opened: list[int]) -> None:
         """Send the rows of newly opened nodes to their children, in place."""
@@ -281,7 +286,7 @@ class Sapling:
 
 
 def histogram(slots: np.ndarray, node: np.ndarray, nodes: list[int], stats: np.ndarray, total: int, size: int) -> np.ndarray:
-    """(asked nodes, bins of all features, 3) sums of ``stats`` (gradient, hessian) and rows;
+    """(3, asked nodes, bins of all features) sums of ``stats`` (gradient, hessian) and rows;
     ``slots`` are the rows' codes shifted to their feature's first bin."""
     rank = np.full(size, -1)
     rank[nodes] = np.arange(len(nodes))
@@ -289,11 +294,11 @@ def histogram(slots: np.ndarray, node: np.ndarray, nodes: list[int], stats: np.n
     rows = np.flatnonzero(own >= 0)
     flat = (slots[rows] + (own[rows] * total)[:, None]).ravel()
     width = slots.shape[1]
-    out = np.empty((len(nodes) * total, 3))
+    out = np.empty((3, len(nodes) * total))
     for c in range(2):
-        out[:, c] = np.bincount(flat, np.repeat(stats[rows, c], width), len(nodes) * total)
-    out[:, 2] = np.bincount(flat, minlength=len(nodes) * total)
-    return out.reshape(len(nodes), total, 3)
+        out[c] = np.bincount(flat, np.repeat(stats[rows, c], width), len(nodes) * total)
+    out[2] = np.bincount(flat, minlength=len(nodes) * total)
+    return out.reshape(3, len(nodes), total)
 
 
 def fixed_point(rows: int, heaviest: float) -> float:
@@ -427,13 +432,13 @@ def boost_table(table: DataFrame, bins: np.ndarray, classes: int, how: Boosting)
                     raw += since.scores(codes, trees=range(t, t + classes))
                 yield batch, codes, raw
 
-    def sums(state: DataFrame, since: Ensemble | None, saplings: list[Sapling], asked: list[list[int]]) -> np.ndarray:
+    def sums(state: DataFrame, since: Ensemble | None, saplings: list[Sapling], asked: list[list[int]]) -> tuple[list[np.ndarray], np.ndarray]:
         routes = [(own.feature, own.cut, own.left, own.right) for own in saplings]
         sizes = [len(a) for a in asked]
         begin = np.cumsum([0, *sizes]) * total
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            acc = np.zeros((int(begin[-1]), 3))
+            acc = np.zeros((3, int(begin[-1])))
             loss = np.zeros(2)
             for batch, codes, raw in batches_of(batches, since):
                 label, key = batch.column("label").to_numpy().astype(np.int64), batch.column("row").to_numpy()
@@ -451,18 +456,18 @@ def boost_table(table: DataFrame, bins: np.ndarray, classes: int, how: Boosting)
                         while (inner := l[node] > 0).any():
                             down = np.where(codes[line, np.where(inner, f[node], 0)] <= c[node], l[node], r[node])
                             node = np.where(inner, down, node)
-                        acc[begin[k] : begin[k + 1]] += histogram(slots, node, asked[k], stats[:, k], total, len(f)).reshape(-1, 3)
-            some = np.flatnonzero(acc[:, 2])
+                        acc[:, begin[k] : begin[k + 1]] += histogram(slots, node, asked[k], stats[:, k], total, len(f)).reshape(3, -1)
+            some = np.flatnonzero(acc[2])
             at = np.concatenate([[-1], some])
-            values = [np.concatenate([[loss[c] if c < 2 else 0.0], acc[some, c]]).astype(np.int64) for c in range(3)]
+            values = [np.concatenate([[loss[c] if c < 2 else 0.0], acc[c, some]]).astype(np.int64) for c in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(at), *map(pa.array, values)], ["slot", "g", "h", "n"])
 
         told = state.mapInArrow(run, "slot long, g long, h long, n long").groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
         slot = told.column("slot").to_numpy()
-        values = np.stack([told.column(c).to_numpy() for c in ("g", "h", "n")], 1).astype(np.float64)
-        whole = np.zeros((int(begin[-1]), 3))
-        whole[slot[slot >= 0]] = values[slot >= 0]
-        return [whole[a:b].reshape(-1, total, 3) for a, b in zip(begin, begin[1:])], values[slot < 0].sum(0)
+        values = np.stack([told.column(c).to_numpy() for c in ("g", "h", "n")]).astype(np.float64)
+        whole = np.zeros((3, int(begin[-1])))
+        whole[:, slot[slot >= 0]] = values[:, slot >= 0]
+        return [whole[:, a:b].reshape(3, -1, total) for a, b in zip(begin, begin[1:])], values[:, slot < 0].sum(1)
 
     state, since = table, None
     for done_rounds in range(how.rounds):
@@ -484,7 +489,7 @@ def boost_table(table: DataFrame, bins: np.ndarray, classes: int, how: Boosting)
                     return out
             first_step = False
             for own, h in zip(saplings, hists):
-                if len(h):
+                if h.shape[1]:
                     own.told(h)
         trees = [own.tree(how.rate)[0] for own in saplings]
         out.add(trees, list(range(classes)))
@@ -683,9 +688,8 @@ def _grouped(table: DataFrame, source: dict[int, int], chunks, per_fit: dict[int
     """Each fit's rows once for each of its chunks: a group of bounded size a task."""
     jobs = [F.struct(F.lit(f).alias("own"), F.lit(s).alias("of"), F.lit(c).alias("chunk")) for f, s in source.items() for c in chunks if per_fit is None or c < per_fit[f]]
     each = table.withColumn("job", F.explode(F.filter(F.array(*jobs), lambda j: j["of"] == F.col("fit"))))
-    groups = min(len(jobs), 4 * table.sparkSession.sparkContext.defaultParallelism)
     each = each.select(F.col("job.own").cast("int").alias("fit"), F.col("job.chunk").cast("int").alias("chunk"), "held", "row", "label", "codes")
-    return each.repartition(groups, "fit", "chunk").groupBy("fit", "chunk")
+    return each.repartitionByRange(len(jobs), "fit", "chunk").groupBy("fit", "chunk")  # ranges: a job a task
 
 
 def merged(parts: DataFrame) -> dict[int, Ensemble]:
@@ -711,7 +715,7 @@ def merged(parts: DataFrame) -> dict[int, Ensemble]:
 
 def predicted(df: DataFrame, model: Ensemble, features: str = "features") -> DataFrame:
     """``probability`` (vector) and ``prediction`` from a vector column, in Arrow batches."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # of bounded size, see Forest.rows
+    shared = ship_package(df.sparkSession).sparkContext.broadcast(model)  # of bounded size, see Forest.rows
 
     @F.pandas_udf("array<double>")
     def shares(column: pd.Series) -> pd.Series:

@@ -818,7 +818,7 @@ def q_fit_forest(spark, d):
 
 @register("fit_boosting")
 def q_fit_boosting(spark, d):
-    """M9: one-vs-rest weighted GBTs with normalised probabilities, test metrics."""
+    """M9: balanced softmax gradient boosting, test metrics."""
     return _fit_eval(spark, d, "hist_gradient_boosting_balanced")
 
 
@@ -840,7 +840,9 @@ def q_model_selection(spark, d):
 def q_grid_search(spark, d):
     """M11 + T5: grids of all three candidates, top 5 points each by mean macro-F1."""
     tr, _ = _ml_split(spark, d)
-    trials = [RE.grid_search(tr, name, MO.PARAM_GRIDS[name], R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES, R.CLASS_LABELS)[1] for name in MO.MODEL_ORDER]
+    shared = RE.search_rows(tr, R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES)
+    trials = MO.parallel_map(lambda name: RE.grid_search(tr, name, MO.PARAM_GRIDS[name], R.NUMERIC_FEATURES, R.CATEGORICAL_FEATURES,
+                                                         R.CLASS_LABELS, shared=shared)[1], MO.MODEL_ORDER, 3)
     return trials[0].unionByName(trials[1]).unionByName(trials[2])
 
 
