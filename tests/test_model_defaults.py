@@ -57,6 +57,8 @@ def test_the_search_has_the_full_grids(asked, monkeypatch):
         def unionByName(self, other):
             return self
 
+    monkeypatch.setattr(catalog.RE, "search_rows", lambda *args, **named: ("folds", args[1:], named))
     monkeypatch.setattr(catalog.RE, "grid_search", lambda train, name, grid, *args, **named: (seen.append((name, grid, named)), Trials()))
     catalog.EXACT["grid_search"](None, "")
-    assert seen == [(name, MO.PARAM_GRIDS[name], {}) for name in MO.MODEL_ORDER]
+    shared = ("folds", (catalog.R.NUMERIC_FEATURES, catalog.R.CATEGORICAL_FEATURES), {})
+    assert sorted(seen, key=lambda s: MO.MODEL_ORDER.index(s[0])) == [(name, MO.PARAM_GRIDS[name], {"shared": shared}) for name in MO.MODEL_ORDER]

@@ -1,28 +1,8 @@
-from collections import Counter
-
 from pyspark.sql import functions as F
 
-from caliper.operators import reliability as RE
 from caliper.session import bounded_broadcast
 
 
-def test_permuted_copies_are_permutations(spark):
-    df = spark.createDataFrame([(i, i % 7, float(i) * 1.5, i % 3) for i in range(300)],
-                               "row_id long, a int, b double, label int")
-    copies = RE.permuted_copies(df, ["a", "b"], repeats=2, seed=7, bucket_rows=50).collect()
-    assert len(copies) == 300 * 2 * 2
-    for f in ("a", "b"):
-        for r in (0, 1):
-            sub = [c for c in copies if c.perm_feature == f and c.perm_repeat == r]
-            assert sorted(c.row_id for c in sub) == list(range(300))          # every row once
-            orig = Counter(getattr(x, f) for x in df.collect())
-            assert Counter(getattr(c, f) for c in sub) == orig                # values re-paired, not changed
-            other = "b" if f == "a" else "a"
-            assert all(getattr(c, other) == (c.row_id % 7 if other == "a" else c.row_id * 1.5) for c in sub)
-            moved = sum(1 for c in sub if getattr(c, f) != (c.row_id % 7 if f == "a" else c.row_id * 1.5))
-            assert moved > 0
-
-
 def test_bounded_broadcast_checks_size(spark):
     small = spark.range(10).withColumnRenamed("id", "k")
     big = spark.range(1000).withColumnRenamed("id", "k")

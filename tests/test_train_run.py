@@ -102,9 +102,9 @@ def test_search_prefers_the_better_point_and_weighs_per_fold(spark):
     assert chosen.params == recs[0]["best_params"] and recs[0]["search_enabled"]
 
 
-def test_boosting_takes_no_depth_as_the_default():
-    est = MO.build_estimator("hist_gradient_boosting_balanced", {"max_depth": None}, 10, 3)
-    assert est.getOrDefault(est.maxDepth) == MO.DEFAULT_PARAMS["hist_gradient_boosting_balanced"]["max_depth"]
+def test_no_depth_is_no_limit():
+    assert MO.tree_settings("hist_gradient_boosting_balanced", {"max_depth": None}).depth is None
+    assert MO.tree_settings("random_forest", {"max_depth": 12, "num_trees": 3}).depth == 12
 
 
 def test_row_ids_do_not_depend_on_partitioning(spark):
