@@ -10,8 +10,13 @@ with 64 permutations and bands of 4.
 Exact copies (equal sets) become one node first.  In a bucket each node is compared with
 the bucket's hub, its smallest node, so near-copy groups cost one comparison a node and
 bucket.  What the hub doesn't link may still link with another node x of the hub's group;
-such pairs are found by what they have in common *against* the hub, see :func:`traces`,
-and never by pairing a group with itself.  Links are confirmed on the full sets.
+such pairs are found by what they have in common *against* the hub, see :func:`traces_of`:
+nodes meet on samples of these differences, some seventeen times for a link, whatever the
+texts' length.  What grows faster than a group is the number of its nodes that neither the
+hub nor the smallest holder of a difference links, paired where they share differences and
+their sizes and outlines don't rule a link out.  Links are confirmed on the full sets.
+
+The number of steps hangs on the longest chain of links by its logarithm, not on rows.
 
 Cases: a null or empty text (no words) has the empty set and links with nothing; fewer
 than k words are one shingle; rows with a null id are in no component (component_id null,
@@ -130,7 +135,21 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return told.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
-SAME, NEAR, FAR = 0, 1, 2  # kinds of traces
+SAME, FAR, NEAR = 0, 2, 4  # kinds of traces; NEAR + i for the i-th class of sizes
+MEETINGS = 17  # expected number of shared traces of a link: none with probability e^-17
+
+
+def sampled(hashes: np.ndarray, common: float) -> np.ndarray:
+    """The elements that a hash of their own picks, so many that of ``common`` shared ones
+    about ``MEETINGS`` are among them; all if there are fewer."""
+    if common <= MEETINGS:
+        return hashes
+    return hashes[hashing.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) < np.uint64(int(MEETINGS / common * 2.0**64))]
+
+
+def size_class(d: int) -> int:
+    """Sizes of differences from 2^(i + 8) to twice that are class i + 1, smaller ones 0."""
+    return max(0, int(d).bit_length() - 8)
 
 
 def traces_of(p: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[int, bool, np.ndarray]]]:
@@ -144,38 +163,60 @@ def traces_of(p: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[int,
     * y linked with the hub: c > 4/9 D_y, and c >= e_x / 10;
     * y not linked with the hub: c > (e_x + 2 |h|) / 18.
 
-    Two sets that share c elements share one among the first |d| - c + 1 of each in any
-    common order.  The order is: what the hub lacks, then what it has, by hash; so the
+    Two sets that share c elements share j of them among the first |d| - c + j of each in
+    any common order.  The order is: what the hub lacks, then what it has, by hash; so the
     rare additions come first, and few of the removals that many copies have in common.
-    A node with many own shingles (over a fifth) asks by its own set in the same order
-    instead: its first fifth lies outside the hub, and a link shares one of them."""
+    Where c is large, j is, too, and of these prefixes a sample by the elements' hashes will
+    do: it keeps ``MEETINGS`` of the j shared ones on average, and a link goes unseen with
+    probability e^-17 = 4e-8, like the one that two texts share no bucket.
+
+    * A node with over 3/10 of own shingles asks by its own set in the same order: a link
+      shares four fifths of it, hence at least a tenth lies outside the hub and is shared,
+      among the first 13/40 of either set (sizes of links differ by a quarter at most).
+    * Nodes linked with the hub are in classes by D_y, for j follows it; who asks has a
+      sample for each class.
+    * Of two nodes not linked with the hub, their bounds of c differ by a factor of 9/4 at
+      most, which the samples allow for."""
     inside = _common(p, h)
     own, lost = p[~inside], h[~_common(h, p)]
     n, size, d = len(p), len(h), len(own) + len(lost)
     excess = 9 * d - n - size
-    first = n - -(-THRESHOLD * n // 100) + 1
     order = np.concatenate([own, lost])
-    out = [(SAME, excess > 0 and len(own) >= first, own[:first])]
-    if out[0][1]:
+    asks = excess > 0 and 10 * len(own) > 3 * n
+    out = [(SAME, asks, sampled(own[: 13 * n // 40 + 2], 2 * n / 25 - 1))]
+    if asks:
         return order, out
     if excess <= 0:
-        return order, [*out, (NEAR, False, order[: d - 4 * d // 9])]
-    return order, [*out, (NEAR, True, order[: d - max(1, -(-excess // 10)) + 1]), (FAR, True, order[: max(0, d - (excess + 2 * size) // 18)])]
+        i = size_class(d)
+        if not i:
+            return order, [*out, (NEAR, False, order[: d - 4 * d // 9])]
+        return order, [*out, (NEAR + i, False, sampled(order[: d - 4 * d // 9 + d // 9], (128 << i) / 9 - 1))]
+    out.append((NEAR, True, order[: d - max(1, -(-excess // 10)) + 1]))
+    for i in range(1, size_class(-(-size // 4)) + 1):  # D_y is at most a quarter of the hub
+        out.append((NEAR + i, True, sampled(order[: max(0, d - (128 << i) // 3 + 1)], (128 << i) / 9 - 1)))
+    c = (excess + 2 * size) // 18
+    if c <= 72:  # the other's bound is at most 162: neither is sampled, and one shared element will do
+        return order, [*out, (FAR, True, order[: max(0, d - c)])]
+    return order, [*out, (FAR, True, sampled(order[: max(0, d - c + c // 4)], c / 9 - 1))]
+
+
+WORDS = 16
+_BITS = tuple(f"b{i}" for i in range(WORDS))
 
 
 def outline(differences: np.ndarray) -> np.ndarray:
-    """256 bits, one set for each difference by its hash.  A bit that x has and y lacks is
+    """1,024 bits, one set for each difference by its hash.  A bit that x has and y lacks is
     a difference of x alone, so |d_x & d_y| is at most D_x less the number of such bits."""
-    bits = np.zeros(256, np.uint8)
-    bits[(differences >> np.uint64(56)).astype(np.int64)] = 1
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(hashing.mix(differences) % np.uint64(64 * WORDS)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
 def traces(grouped: DataFrame, sets: DataFrame) -> DataFrame:
-    """``hub, kind, trace, asks, node, d, b0..b3`` from ``a`` (hub) and ``b`` (node); see
+    """``hub, kind, trace, asks, node, d, b0..b15`` from ``a`` (hub) and ``b`` (node); see
     :func:`traces_of` and :func:`outline`.  Pairs of nodes that may link share hub, kind and
     trace, and one of the two asks (both, for the kind FAR)."""
-    names = ["hub", "kind", "trace", "asks", "node", "d", "b0", "b1", "b2", "b3"]
+    names = ["hub", "kind", "trace", "asks", "node", "d", *_BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +230,7 @@ def traces(grouped: DataFrame, sets: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(m, hub)), pa.array(np.full(m, kind, np.int32)), pa.array(found.view(np.int64)), *same], names)
 
     return _with_sets(grouped, sets).select("a", "b", "x", "y").mapInArrow(
-        run, "hub long, kind int, trace long, asks boolean, node long, d long, b0 long, b1 long, b2 long, b3 long")
+        run, "hub long, kind int, trace long, asks boolean, node long, d long, " + ", ".join(f"{b} long" for b in _BITS))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -209,7 +250,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = nearer.select("node", F.col("next").alias("component"))
 
 
-_TOLD = ("component", "n", "d", "b0", "b1", "b2", "b3")
+_TOLD = ("component", "n", "d", *_BITS)
 
 
 def _placed(found: DataFrame, labels: DataFrame, column: str = "node") -> DataFrame:
@@ -223,7 +264,7 @@ def _may_link(x: str, y: str) -> F.Column:
     link by their sizes and outlines."""
 
     def alone(p: str, q: str) -> F.Column:
-        return sum((F.bit_count(F.col(f"{p}b{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}b{i}")))) for i in range(4)), F.lit(0))
+        return sum((F.bit_count(F.col(f"{p}{b}").bitwiseAND(F.bitwise_not(F.col(f"{q}{b}")))) for b in _BITS), F.lit(0))
 
     common = F.least(F.col(f"{x}d") - alone(x, y), F.col(f"{y}d") - alone(y, x))  # at most
     close = 9 * (F.col(f"{x}d") + F.col(f"{y}d") - 2 * common) <= F.col(f"{x}n") + F.col(f"{y}n")
@@ -271,7 +312,8 @@ def _linked(members: DataFrame, sizes: DataFrame, texts: DataFrame, k: int) -> D
         links = links.unionByName(more)
         labels = components(links)
         now = store.written(_placed(found, labels), "dedup-traces")
-    x, y = _side(now.where("asks"), "x").drop("asks"), _side(now.where("kind != 2 or asks"), "y")
+    found_by = f"kind = {SAME} or kind = {FAR} and asks or kind >= {NEAR} and not asks"
+    x, y = _side(now.where("asks"), "x").drop("asks"), _side(now.where(found_by), "y")
     once = ~F.col("asks") | (F.col("x") < F.col("y"))  # of two that ask, the smaller one
     met = x.join(y, ["hub", "kind", "trace"]).where(once & _may_link("x_", "y_"))
     rest = links_of(_pairs(met, "dedup-pairs"), "dedup-more")

@@ -92,6 +92,73 @@ def test_chains_and_stragglers_are_found(spark, table):
     assert got == want
 
 
+def _meets(x, y, hub):
+    """How many traces two sets share where one asks and the other can be found."""
+    sides = [{kind: (asks, set(found.tolist())) for kind, asks, found in minmax_dedup.traces_of(s, hub)[1]} for s in (x, y)]
+
+    def seen(asking, found):
+        n = 0
+        for kind, (asks, own) in asking.items():
+            if asks and kind in found and (kind == minmax_dedup.SAME or found[kind][0] == (kind == minmax_dedup.FAR)):
+                n += len(own & found[kind][1])
+        return n
+
+    return max(seen(*sides), seen(*reversed(sides)))
+
+
+@pytest.mark.parametrize("n", [40, 300, 1500, 6000])
+def test_links_beside_the_hub_share_traces(n):
+    """Sets that link with each other but not both with the hub, whatever way they differ."""
+    rng = np.random.default_rng(n)
+
+    def linked(a, b):
+        both = len(np.intersect1d(a, b))
+        return 100 * both >= 80 * (len(a) + len(b) - both)
+
+    def changed(s, lose, gain):
+        keep = s[rng.random(len(s)) >= lose]
+        return np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, int(gain * len(s)), np.uint64)]))
+
+    hub = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+    seen, fewest = 0, 10**9
+    for _ in range(300):
+        x = changed(hub, rng.uniform(0, 0.6), rng.uniform(0, 0.6))
+        y = changed(x, rng.uniform(0, 0.15), rng.uniform(0, 0.12))
+        if rng.random() < 0.3:  # back towards the hub, so that one of the two may link with it
+            y = np.unique(np.concatenate([y, rng.choice(hub, int(0.1 * n), replace=False)]))
+        if linked(x, y) and not (linked(x, hub) and linked(y, hub)) and len(np.intersect1d(y, hub)):
+            seen += 1
+            fewest = min(fewest, _meets(x, y, hub))
+    assert seen > 50 and fewest >= 1
+
+
+def test_outlines_bound_what_differences_share():
+    rng = np.random.default_rng(2)
+    for d in (5, 200, 2000):
+        a, b = (rng.integers(0, 1 << 63, d, np.uint64) for _ in range(2))
+        b[: d // 3] = a[: d // 3]
+        alone = int(np.bitwise_count(minmax_dedup.outline(a).view(np.uint64) & ~minmax_dedup.outline(b).view(np.uint64)).sum())
+        assert d // 3 <= d - alone <= d
+
+
+@pytest.mark.parametrize("share", [0.05, 0.12])
+def test_a_hub_with_many_unlinked_neighbours_is_not_paired_with_itself(spark, table, monkeypatch, share):
+    """Rows joined by traces grow with the neighbours, not with their square."""
+    joined = []
+    pairs = minmax_dedup._pairs
+    monkeypatch.setattr(minmax_dedup, "_pairs", lambda met, name: (joined.append(met.count()), pairs(met, name))[1])
+    counts = {}
+    for size in (250, 1000):
+        rng = random.Random(4)
+        base = prose(rng, 300)
+        texts = [" ".join(base)] + [" ".join(rng.choice(prose(rng, 3)) if rng.random() < share else w for w in base) for _ in range(size)]
+        joined.clear()
+        got = minmax_dedup.near_duplicates(table(texts), k=4)
+        assert got.where("not kept").count() < size / 4
+        counts[size] = sum(joined)
+    assert counts[1000] <= 8 * counts[250] + 2000, counts
+
+
 def test_null_and_repeated_ids(spark, table):
     text = "one two three four five six"
     docs = table([text, text, text, "other words that stand here alone", None], [3, 3, None, 9, None])
