@@ -84,14 +84,21 @@ def exact_quantile_array(df: DataFrame, col: str, fractions: Sequence[float], by
 
 
 def kth_smallest(df: DataFrame, col: str, k: int):
-    """Exact k-th smallest (1-based) value of a column."""
+    """Exact k-th smallest (1-based) value of a column: the rows of each balanced range reach
+    the driver (a number a range), and only the range that holds rank k is put in order."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = df.select(F.col(col).alias("__x")).filter(F.col("__x").isNotNull())
     values = values.groupBy("__x").agg(F.count(F.lit(1)).alias("__n"))
-    ranked = ordered_sums(values, "__x", ["__n"])
-    found = ranked.filter((F.col("__n_before") < k) & (F.col("__n_before") + F.col("__n") >= k)).first()
-    if k < 1 or found is None:
-        raise ValueError(f"rank {k} outside the rows")
-    return found["__x"]
+    kept = cut_lineage(values.repartitionByRange(ranges, "__x").withColumn("__range", F.spark_partition_id()))
+    sums = kept.groupBy("__range").agg(F.sum("__n").alias("n")).collect()
+    before = 0
+    for r in sorted(sums, key=lambda r: r["__range"]):
+        if k >= 1 and before + r["n"] >= k:
+            inside = Window.partitionBy("__range").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+            own = kept.filter(F.col("__range") == r["__range"]).withColumn("__upto", F.sum("__n").over(inside))
+            return own.filter(F.col("__upto") >= k - before).agg(F.min("__x")).first()[0]
+        before += r["n"]
+    raise ValueError(f"rank {k} outside the rows")
 
 
 def most_frequent(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:

@@ -210,40 +210,26 @@ def time_split(df: DataFrame, date: str = "date", row_id: str = "row_id", train_
     """Rows with a date, ordered by (date, row_id); the first
     ``int(train_frac·n)`` are 'train', the rest 'test'.
 
-    Level 1: per-date counts (≤ number of days) prefix-summed to find the boundary day.
-    Level 2: inside the boundary day, the exact m-th smallest row id by iterative
-    histogram refinement (``kth_smallest``), so one hot day is never sorted in one task,
-    however its ids cluster.  ``row_id`` must be numeric and unique.  Needs
+    The cut is one (date, row id): the date of the last train row is found by ranges of
+    balanced size (:func:`~caliper.operators.quantiles.kth_smallest`), then, among that
+    date's rows alone, the row id in the same way.  Rows are told apart by a comparison with
+    the cut, whether ``date`` holds a few days or a timestamp for every row: no join, no
+    window over the rows.  ``row_id`` must be sortable and unique.  Needs
     ``max(min_valid, int(min_valid_frac·N))`` dates."""
-    valid = df.filter(F.col(date).isNotNull())
-    per_day = valid.groupBy(date).agg(F.count(F.lit(1)).alias("__c"))
-    all_days = Window.partitionBy()
-    w = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.agg(F.count(F.lit(1)).alias("__N"), F.count(date).alias("__V"))
-    bounds = (per_day.withColumn("__before", F.coalesce(F.sum("__c").over(w), F.lit(0)))
-              .withColumn("__n", F.sum("__c").over(all_days)))
-    bounds = bounds.withColumn("__k", F.floor(F.col("__n") * F.lit(float(train_frac))).cast("bigint"))
-    bounds = attach(bounds, totals).select(
-        date, F.when(F.col("__V") < F.greatest(F.lit(min_valid), F.floor(F.col("__N") * F.lit(float(min_valid_frac)))),
-                     F.raise_error(F.lit("Not enough valid date values for time-based holdout.")))
-        .when((F.col("__k") <= 0) | (F.col("__k") >= F.col("__n")),
-              F.raise_error(F.lit("Invalid split index for time holdout.")))
-        .when(F.col("__before") + F.col("__c") <= F.col("__k"), F.lit("train"))
-        .when(F.col("__before") >= F.col("__k"), F.lit("test"))
-        .otherwise(F.lit("partial")).alias("__status"),
-        (F.col("__k") - F.col("__before")).alias("n"))
-    j = valid.join(F.broadcast(bounds), date)
-    whole = j.filter(F.col("__status") != "partial").withColumn("side", F.col("__status"))
-    part = bounds.filter(F.col("__status") == "partial").select(date, "n").first()   # ≤ 1 row
-    whole = whole.drop("__status", "n")
-    if part is None:
-        return whole
-    # level 2: first m rows of the boundary day by row id = row id <= the m-th smallest one
     from caliper.operators.quantiles import kth_smallest
-    edge = valid.filter(F.col(date) == F.lit(part[date]))
-    cut = kth_smallest(edge, row_id, int(part["n"]))
-    edge = edge.withColumn("side", F.when(F.col(row_id) <= F.lit(cut), F.lit("train")).otherwise(F.lit("test")))
-    return whole.unionByName(edge)
+
+    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count(date).alias("v")).first()
+    if counts["v"] < max(min_valid, int(min_valid_frac * counts["n"])):
+        raise ValueError("Not enough valid date values for time-based holdout.")
+    k = int(train_frac * counts["v"])
+    if k <= 0 or k >= counts["v"]:
+        raise ValueError("Invalid split index for time holdout.")
+    valid = df.filter(F.col(date).isNotNull())
+    day = F.lit(kth_smallest(valid, date, k))
+    before = valid.filter(F.col(date) < day).count()
+    last = F.lit(kth_smallest(valid.filter(F.col(date) == day), row_id, k - before))
+    train = (F.col(date) < day) | ((F.col(date) == day) & (F.col(row_id) <= last))
+    return valid.withColumn("side", F.when(train, F.lit("train")).otherwise(F.lit("test")))
 
 
 def holdout_sizes(split: DataFrame, group: str = "spatial_key", side: str = "side") -> DataFrame:
