@@ -254,11 +254,11 @@ class PlattCalibrated:
 
 
 def platt(scored: DataFrame, classes: int, label: str = "label", probabilities: str = "probabilities",
-          steps: int = 100, tolerance: float = 1e-10) -> list[tuple[float, float]]:
+          steps: int = 100, tolerance: float = 1e-9) -> list[tuple[float, float]]:
     """Slope and intercept of every class's sigmoid by Newton's method: each step sums the
     gradients and curvatures of all classes in one aggregate (and the loss at the point; a
-    step that doesn't lower a class's loss is halved).  Stops when the gradients, a row, are
-    under ``tolerance``."""
+    step that doesn't lower a class's loss is halved).  A class is done when its next step
+    is under ``tolerance`` of where it stands."""
     y = F.col(label).cast("int")
     x = scored.select(y.alias("y"), *[F.col(probabilities)[k].cast("double").alias(f"p{k}") for k in range(classes)])
     counts = x.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("y") == k).alias(f"n{k}") for k in range(classes)]).first()
@@ -286,16 +286,16 @@ def platt(scored: DataFrame, classes: int, label: str = "label", probabilities:
     for _ in range(steps):
         trial = list(here)
         for k, (_, ga, gb, haa, hab, hbb) in enumerate(known):
-            if max(abs(ga), abs(gb)) <= tolerance * n:
-                continue
-            ridge = 1e-12 * max(haa, hbb, 1e-12)
+            ridge = 1e-13 * max(haa, hbb, 1e-12)
             det = (haa + ridge) * (hbb + ridge) - hab * hab
-            trial[k] = (here[k][0] - move[k] * ((hbb + ridge) * ga - hab * gb) / det, here[k][1] - move[k] * ((haa + ridge) * gb - hab * ga) / det)
+            da, db = ((hbb + ridge) * ga - hab * gb) / det, ((haa + ridge) * gb - hab * ga) / det
+            if abs(da) + abs(db) > tolerance * (1 + abs(here[k][0]) + abs(here[k][1])):
+                trial[k] = (here[k][0] - move[k] * da, here[k][1] - move[k] * db)
         if trial == here:
             break
         found = sums(trial)
         for k in range(classes):
-            if found[k][0] <= known[k][0] + 1e-12 * abs(known[k][0]):
+            if found[k][0] <= known[k][0] + 1e-11 * abs(known[k][0]):  # sums are good to that
                 here[k], known[k], move[k] = trial[k], found[k], 1.0
             else:
                 move[k] /= 2

@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caliper.functions.columns import md5_order
 from caliper.operators import features as FE
 from caliper.operators import metrics as ME
 from caliper.operators import models as MO
@@ -148,7 +149,13 @@ def cv_reliability(df: DataFrame, numeric: list[str], categorical: list[str], cl
     x = fold_rows(folds, k, numeric, categorical)
     parts = MO.parallel_map(lambda name: judged_points(x, k, name, [(params or {}).get(name) or {}], len(class_labels), positive, seed, parallelism)
                             .withColumn("model_name", F.lit(name)), models, len(models))
-    per_fold = ME.evaluate(cut_lineage(_stack(parts)), positive, by=["model_name", "fold"])
+    return fold_summary(cut_lineage(_stack(parts)), k, positive)
+
+
+def fold_summary(scored: DataFrame, k: int, positive: int = 0) -> DataFrame:
+    """A24 + U2: per ``model_name`` the mean and population std over folds of predictions
+    ``model_name, fold, label, prediction, score``, best mean macro-F1 first."""
+    per_fold = ME.evaluate(scored, positive, by=["model_name", "fold"])
     return (per_fold.groupBy("model_name").agg(
         F.lit(k).alias("cv_splits"),
         F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"),
@@ -158,8 +165,8 @@ def cv_reliability(df: DataFrame, numeric: list[str], categorical: list[str], cl
 
 
 def _holdout_metrics(train: DataFrame, test: DataFrame, name: str, numeric, categorical, class_labels,
-                     positive, params, seed) -> DataFrame:
-    m = MO.fit_model(name, train, numeric, categorical, class_labels, params, seed=seed)
+                     positive, params, seed, model: MO.FittedModel | None = None) -> DataFrame:
+    m = model or MO.fit_model(name, train, numeric, categorical, class_labels, params, seed=seed)
     s = MO.score(m, test, positive)
     return ME.evaluate(s, positive)
 
@@ -171,9 +178,10 @@ def unavailable(spark, name: str, reason: str) -> DataFrame:
 
 def time_holdout(df: DataFrame, name: str, numeric: list[str], categorical: list[str], class_labels: list[str],
                  positive: int = 0, params: dict | None = None, seed: int = 42, date: str = "date",
-                 train_frac: float = 0.8) -> DataFrame:
+                 train_frac: float = 0.8, model: MO.FittedModel | None = None) -> DataFrame:
     """Refit on the earliest 80 % (by date, row id) and evaluate on the rest; a
-    one-row "unavailable" record when there are too few dated rows or no valid cut."""
+    one-row "unavailable" record when there are too few dated rows or no valid cut.  A given
+    ``model`` is evaluated without a refit."""
     c = df.agg(F.count(F.lit(1)).alias("n"), F.count(date).alias("v")).first()
     if c["v"] < max(10, int(0.4 * c["n"])):
         return unavailable(df.sparkSession, name, "Not enough valid date values for time-based holdout.")
@@ -182,7 +190,7 @@ def time_holdout(df: DataFrame, name: str, numeric: list[str], categorical: list
         return unavailable(df.sparkSession, name, "Invalid split index for time holdout.")
     sp = cut_lineage(SP.time_split(df, date, train_frac=train_frac))
     tr, te = sp.filter("side = 'train'"), sp.filter("side = 'test'")
-    met = _holdout_metrics(tr, te, name, numeric, categorical, class_labels, positive, params, seed)
+    met = _holdout_metrics(tr, te, name, numeric, categorical, class_labels, positive, params, seed, model)
     sizes = sp.agg(F.count_if(F.col("side") == "train").alias("train_rows"),
                    F.count_if(F.col("side") == "test").alias("test_rows"),
                    F.min(F.when(F.col("side") == "test", F.col(date))).alias("split_date_start"))
@@ -192,15 +200,16 @@ def time_holdout(df: DataFrame, name: str, numeric: list[str], categorical: list
 
 def spatial_holdout(df: DataFrame, name: str, numeric: list[str], categorical: list[str], class_labels: list[str],
                     positive: int = 0, params: dict | None = None, seed: int = 42, group: str = "spatial_key",
-                    test_frac: float = 0.2) -> DataFrame:
+                    test_frac: float = 0.2, model: MO.FittedModel | None = None) -> DataFrame:
     """M20 + A27: refit with whole spatial groups held out; a one-row "unavailable"
-    record when there are fewer than five groups."""
+    record when there are fewer than five groups.  A given ``model`` is evaluated without a
+    refit."""
     g0 = F.coalesce(F.col(group).cast("string"), F.lit("unknown"))
     if df.agg(F.count_distinct(g0).alias("g")).first()["g"] < 5:
         return unavailable(df.sparkSession, name, "Not enough spatial groups for group holdout.")
     sp = cut_lineage(SP.group_split(df, group, test_frac, seed))
     tr, te = sp.filter("side = 'train'"), sp.filter("side = 'test'")
-    met = _holdout_metrics(tr, te, name, numeric, categorical, class_labels, positive, params, seed)
+    met = _holdout_metrics(tr, te, name, numeric, categorical, class_labels, positive, params, seed, model)
     g = F.coalesce(F.col(group).cast("string"), F.lit("unknown"))
     sizes = sp.agg(F.count_if(F.col("side") == "train").alias("train_rows"),
                    F.count_if(F.col("side") == "test").alias("test_rows"),
@@ -220,9 +229,11 @@ def donors(df: DataFrame, repeats: int = 3, seed: int = 42, row_id: str = "row_i
     n = df.count()
     nb = max(1, n // bucket_rows)
     x = df.select(F.struct("*").alias("own"), F.col(row_id).alias("__id"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("perm_repeat"))
-    key = [F.col("__id"), F.col("perm_repeat"), F.lit(seed)]
-    x = x.withColumns({"__b": F.pmod(F.xxhash64(*key, F.lit(0)), F.lit(nb)),
-                       "__h1": F.xxhash64(*key, F.lit(1)), "__h2": F.xxhash64(*key, F.lit(2))})
+
+    def order(part: int):
+        return md5_order(F.concat_ws(":", F.col("__id").cast("string"), F.col("perm_repeat").cast("string"), F.lit(str(part))), seed)
+
+    x = x.withColumns({"__b": order(0) % nb, "__h1": order(1), "__h2": order(2)})
     w1 = Window.partitionBy("perm_repeat", "__b").orderBy("__h1", "__id")
     w2 = Window.partitionBy("perm_repeat", "__b").orderBy("__h2", "__id")
     takers = x.select("perm_repeat", "__b", F.row_number().over(w1).alias("__rn"), "own")

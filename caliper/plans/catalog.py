@@ -935,6 +935,150 @@ def q_ablation(spark, d):
                         "post_event": (post, post_num, R.CATEGORICAL_FEATURES)}, R.CLASS_LABELS, R.CRITICAL)
 
 
+# ------------------------------------------------------------------ the model operators with a given model
+# A raw fit has no SQL twin; what the library does with a model has one.  The model below is
+# given (fixed values): two trees over three features, empty values filled with constants.
+
+import json  # noqa: E402
+
+import numpy as np  # noqa: E402
+from pyspark.ml import PipelineModel  # noqa: E402
+from pyspark.ml.feature import VectorAssembler  # noqa: E402
+
+from caliper.operators import trees as TR  # noqa: E402
+
+GIVEN_FEATURES = {"number_of_vehicles": 2.0, "hour": 12.0, "mean_temp": 10.0}  # and what fills empty values
+GIVEN_LEAVES = [[0.6, 0.3, 0.1], [0.2, 0.5, 0.3], [0.1, 0.3, 0.6], [0.5, 0.25, 0.25], [0.15, 0.6, 0.25]]
+
+
+def _given_model() -> MO.FittedModel:
+    """Tree 1: hour up to 11.5, then vehicles up to 3.5; tree 2: mean_temp up to 12.5."""
+    none = [0.0, 0.0, 0.0]
+    trees = TR.Ensemble(3, roots=[0, 5], of=[-1, -1], feature=np.array([1, 0, -1, -1, -1, 2, -1, -1]), cut=np.zeros(8, np.int32),
+                        left=np.array([1, 2, 0, 0, 0, 6, 0, 0]), right=np.array([4, 3, 0, 0, 0, 7, 0, 0]),
+                        gain=np.array([0.3, 0.1, 0, 0, 0, 0.2, 0, 0]),
+                        value=np.array([none, none, *GIVEN_LEAVES[:3], none, *GIVEN_LEAVES[3:]]))
+    trees.threshold = np.array([11.5, 3.5, 0, 0, 0, 12.5, 0, 0])
+    cols = list(GIVEN_FEATURES)
+    fill = FE.ExactMedianImputerModel(inputCols=cols, stats=json.dumps({"median": GIVEN_FEATURES, "indicator": dict.fromkeys(cols, False), "dropped": []}))
+    prep = PipelineModel([fill, VectorAssembler(inputCols=cols, outputCol="features")])
+    return MO.FittedModel("random_forest", prep, MO.TreeModel(trees, 3), cols, [], R.CLASS_LABELS, defaults={"mean_temp": 15.0})
+
+
+def _given_sql(source: str, name: str, values: dict[str, str] | None = None) -> str:
+    """CTE ``name``: the rows of ``source`` with p0, p1, p2, prediction and score."""
+    x = {c: f"coalesce({c}, {v})" for c, v in GIVEN_FEATURES.items()} | (values or {})
+
+    def share(k: int) -> str:
+        a, b, c, d, e = (leaf[k] for leaf in GIVEN_LEAVES)
+        return (f"(CASE WHEN {x['hour']} <= 11.5 THEN CASE WHEN {x['number_of_vehicles']} <= 3.5 THEN {a} ELSE {b} END ELSE {c} END"
+                f" + CASE WHEN {x['mean_temp']} <= 12.5 THEN {d} ELSE {e} END) / CAST(2 AS DOUBLE)")
+
+    shares = ", ".join(f"{share(k)} AS p{k}" for k in range(3))
+    return f"""{name} AS (SELECT *, CASE WHEN p0 > p1 AND p0 > p2 THEN 0 WHEN p1 > p2 THEN 1 ELSE 2 END AS prediction, p0 AS score
+FROM (SELECT *, {shares} FROM {source}))"""
+
+
+@register("given_model_scores", S.with_(S.ALL_PREPARED, _given_sql("prepared", "given", {"mean_temp": "15.0"})) + """
+SELECT row_id, prediction AS predicted_class_index, ['Fatal', 'Serious', 'Slight'][prediction + 1] AS predicted_class_label,
+       CAST(prediction + 1 AS INTEGER) AS predicted_code, p0, p1, p2 FROM given""", ["p0", "p1", "p2"])
+def q_given_model_scores(spark, d):
+    """M14 + P16 + S11: a stored model, loaded again, scores rows without one of its inputs."""
+    path = _model_dir(spark)
+    MO.save_model(_given_model(), path, spark)
+    out = MO.batch_score(MO.load_model(path, spark), R.prepared(spark, d).drop("mean_temp"))
+    return out.select("row_id", "predicted_class_index", "predicted_class_label", "predicted_code", *[F.col("probabilities")[k].alias(f"p{k}") for k in range(3)])
+
+
+_GIVEN_EVAL = [_pc_sql("given", []), _overall_sql([]), _ovr_sql("given", []), _ap_sql("given", [])]
+_EVAL_DOUBLES = ["accuracy", "balanced_accuracy", "f1_macro", "fatal_precision", "fatal_recall", "fatal_f1", "fatal_pr_auc"]
+
+
+@register("given_model_eval", S.with_(S.ALL_PREPARED, _given_sql("prepared", "given"), *_GIVEN_EVAL) + """
+SELECT accuracy, balanced_accuracy, f1_macro, fatal_precision, fatal_recall, fatal_f1, fatal_pr_auc FROM ov, ovr, ap""", _EVAL_DOUBLES)
+def q_given_model_eval(spark, d):
+    """All metrics of a stored model on every prepared row."""
+    path = _model_dir(spark)
+    MO.save_model(_given_model(), path, spark)
+    return ME.evaluate(MO.score(MO.load_model(path, spark), R.prepared(spark, d), R.CRITICAL), R.CRITICAL)
+
+
+_GIVEN_TIME = """cut AS (SELECT *, row_number() OVER (ORDER BY date, row_id) AS rn, count(*) OVER () AS n FROM prepared WHERE date IS NOT NULL),
+held AS (SELECT * FROM cut WHERE rn > floor(n * CAST(0.8 AS DOUBLE)))"""
+
+
+@register("given_time_holdout", S.with_(S.ALL_PREPARED, _GIVEN_TIME, _given_sql("held", "given"), *_GIVEN_EVAL) + """
+SELECT TRUE AS available, 'random_forest' AS model_name, (SELECT count(*) FROM cut) - (SELECT count(*) FROM held) AS train_rows,
+       (SELECT count(*) FROM held) AS test_rows, (SELECT min(date) FROM held) AS split_date_start,
+       accuracy, balanced_accuracy, f1_macro, fatal_precision, fatal_recall, fatal_f1, fatal_pr_auc FROM ov, ovr, ap""", _EVAL_DOUBLES)
+def q_given_time_holdout(spark, d):
+    """M19 + X5: a given model on the latest fifth."""
+    return RE.time_holdout(R.prepared_checkpointed(spark, d), "random_forest", [], [], R.CLASS_LABELS, R.CRITICAL, model=_given_model())
+
+
+_GIVEN_FOLDS = """folds AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY h, row_id) - 1)
+            % (SELECT greatest(2, least(5, min(nc))) FROM cc) AS INTEGER) AS fold FROM base)"""
+
+
+@register("given_cv", S.with_(S.ALL_PREPARED, SPLIT_BASE, _GIVEN_FOLDS, _given_sql("folds", "given"), _pc_sql("given", ["fold"]), _overall_sql(["fold"]), _ovr_sql("given", ["fold"])) + """
+SELECT 'given' AS model_name, CAST(count(*) AS INTEGER) AS cv_splits, avg(accuracy) AS accuracy_mean, stddev_pop(accuracy) AS accuracy_std,
+       avg(f1_macro) AS f1_macro_mean, stddev_pop(f1_macro) AS f1_macro_std, avg(fatal_recall) AS fatal_recall_mean,
+       stddev_pop(fatal_recall) AS fatal_recall_std FROM ov JOIN ovr USING (fold)""",
+          ["accuracy_mean", "accuracy_std", "f1_macro_mean", "f1_macro_std", "fatal_recall_mean", "fatal_recall_std"])
+def q_given_cv(spark, d):
+    """A24 + U2 + X3: fold means and deviations of a given model's predictions."""
+    folds = cut_lineage(SP.stratified_folds(R.prepared_checkpointed(spark, d)))
+    k = int(SP.min_class_count(folds).first()["n_splits"])
+    return RE.fold_summary(MO.score(_given_model(), folds, R.CRITICAL).withColumn("model_name", F.lit("given")), k, R.CRITICAL)
+
+
+def _platt_sql(steps: int = 15) -> str:
+    """Newton's method on every class's sigmoid, a CTE a step."""
+    out = [_given_sql("prepared", "given"),
+           "s AS MATERIALIZED (SELECT k, CAST(label = k AS INTEGER) AS hit, CASE k WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AS p FROM given CROSS JOIN range(3) r(k))",
+           "c AS (SELECT k, sum(hit) AS pos, count(*) - sum(hit) AS neg FROM s GROUP BY k)",
+           "t AS MATERIALIZED (SELECT s.k, p, CASE WHEN hit = 1 THEN (pos + 1) / (pos + CAST(2 AS DOUBLE)) ELSE 1 / (neg + CAST(2 AS DOUBLE)) END AS t FROM s JOIN c USING (k))",
+           "w0 AS MATERIALIZED (SELECT k, CAST(0 AS DOUBLE) AS a, ln(sum(t) / (count(*) - sum(t))) AS b FROM t GROUP BY k)"]
+    for i in range(steps):
+        out.append(f"""w{i + 1} AS MATERIALIZED (SELECT k, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b
+FROM (SELECT k, a, b, sum((q - t) * p) AS ga, sum(q - t) AS gb, sum(q * (1 - q) * p * p) AS haa, sum(q * (1 - q) * p) AS hab, sum(q * (1 - q)) AS hbb
+      FROM (SELECT t.k, p, t, a, b, 1 / (1 + exp(-(a * p + b))) AS q FROM t JOIN w{i} w ON t.k = w.k) GROUP BY k, a, b))""")
+    return S.with_(S.ALL_PREPARED, *out) + f"SELECT CAST(k AS INTEGER) AS class_index, a AS slope, b AS intercept FROM w{steps}"
+
+
+@register("given_platt", _platt_sql(), ["slope", "intercept"])
+def q_given_platt(spark, d):
+    """The sigmoids of all classes on a given model's probabilities."""
+    scored = cut_lineage(MO.score(_given_model(), R.prepared(spark, d), R.CRITICAL).select("label", "probabilities"))
+    rows = [(k, float(a), float(b)) for k, (a, b) in enumerate(MO.platt(scored, 3))]
+    return spark.createDataFrame(rows, "class_index int, slope double, intercept double")
+
+
+def _permutation_sql(repeats: int = 3) -> str:
+    def key(part: int) -> str:
+        return _H.format(f"(CAST(row_id AS VARCHAR) || ':' || CAST(perm_repeat AS VARCHAR) || ':{part}')")
+
+    cols = list(GIVEN_FEATURES)
+    ctes = ["x AS (SELECT * EXCLUDE (b), b % greatest(1, (SELECT count(*) FROM prepared) // 20000) AS b FROM (SELECT row_id, label, " + ", ".join(cols)
+            + f", perm_repeat, {key(0)} AS b, {key(1)} AS h1, {key(2)} AS h2 FROM prepared CROSS JOIN range({repeats}) r(perm_repeat)))",
+            "takers AS (SELECT *, row_number() OVER (PARTITION BY perm_repeat, b ORDER BY h1, row_id) AS rn FROM x)",
+            "lenders AS (SELECT perm_repeat, b, row_number() OVER (PARTITION BY perm_repeat, b ORDER BY h2, row_id) AS rn, "
+            + ", ".join(f"{c} AS lent_{c}" for c in cols) + " FROM x)",
+            "paired AS (SELECT * FROM takers JOIN lenders USING (perm_repeat, b, rn))",
+            "mixed AS (" + " UNION ALL ".join(
+                f"SELECT '{f}' AS feature, perm_repeat, label, " + ", ".join((f"lent_{c} AS {c}" if c == f else c) for c in cols) + " FROM paired"
+                for f in ["", *cols]) + ")"]
+    return S.with_(S.ALL_PREPARED, *ctes, _given_sql("mixed", "given"), _pc_sql("given", ["feature", "perm_repeat"]), _overall_sql(["feature", "perm_repeat"])) + """
+SELECT feature, avg(drop_) AS importance_mean, stddev_pop(drop_) AS importance_std, 'permutation_f1_macro' AS method, (SELECT count(*) FROM prepared) AS rows
+FROM (SELECT feature, (SELECT f1_macro FROM ov WHERE feature = '' AND perm_repeat = 0) - f1_macro AS drop_ FROM ov WHERE feature <> '') GROUP BY feature"""
+
+
+@register("given_permutation", _permutation_sql(), ["importance_mean", "importance_std"])
+def q_given_permutation(spark, d):
+    """M17 + W4 + T7: macro-F1 drops of a given model under the same pairing of rows."""
+    return RE.permutation_importance(_given_model(), R.prepared_checkpointed(spark, d), repeats=3).withColumn("rows", F.col("rows").cast("long"))
+
+
 # ------------------------------------------------------------------ audit
 
 from caliper.operators import audit as AU  # noqa: E402
