@@ -12,8 +12,8 @@ and returns a DataFrame, which is written as Parquet and read again as the next
 * the secret scan replaces credentials in the texts and drops nothing;
 * BPE encoding gives each document's ids and what they decode to.
 
-Rows with a null doc_id pass the second and third stage: nothing can name them.  An empty
-table gives empty results.
+Verdicts are on rows, not on ids: of rows that repeat an id, or have none, each is judged by
+its own text, and of equal rows one stays.  An empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -34,14 +34,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = store.written(minmax_dedup.near_duplicates(docs, k=5).where("not kept").select("doc_id"), "pipeline-copies")
-    return docs.join(found.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    rows = store.row_keys(docs, "doc_id", "__key")
+    found = minmax_dedup.near_duplicates(rows, id_col="__key", k=5).where("not kept").select(F.col("doc_id").alias("__key"))
+    return rows.join(store.written(found, "pipeline-copies"), "__key", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = store.row_keys(docs, "doc_id", "__key")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = store.written(decontaminate.overlaps(docs, benchmark).select("doc_id"), "pipeline-contaminated")
-    return docs.join(found.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    found = decontaminate.overlaps(rows, benchmark, id_col="__key").select(F.col("doc_id").alias("__key")).distinct()
+    return rows.join(store.written(found, "pipeline-contaminated"), "__key", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
