@@ -2,9 +2,9 @@
 
 Statistics of whole texts come from DataFrame expressions alone.  Sequential covering
 learns the list from labelled documents: a rule for low quality grows condition by
-condition (statistic <= or > threshold, chosen by information gain on the growing part of
-the labels), is pruned on the rest of the labels, is kept if it is precise enough there,
-and takes the documents it covers out of what the next rule learns from.  The list comes
+condition (statistic <= or > threshold, chosen by information gain), is pruned to the
+beginning that shortens the description of the labels most, is kept if it does and is
+precise enough, and takes the documents it covers out of what the next rule learns from.  The list comes
 out as one ordered conditional expression.
 
 A learning step is one grouped count of (statistic, threshold bin): the driver sees a row
@@ -13,7 +13,9 @@ for each bin, whatever the number of labels.
 Cases: a null or empty text has no words and fails the base rules; a document without a
 label, or whose labels differ, teaches nothing; without labels (or of one kind only) the
 list is empty and keeps what the base rules keep; repeated rows are judged each for
-itself; other columns aren't read.
+itself; of conditions with equal gain the narrower one on the same statistic, else the first
+in the order of statistics is taken; a very long text is one row of statistics; other columns
+aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -124,17 +126,35 @@ def _gain(before: tuple[int, int], low: int, high: int) -> float:
     return low * (math.log2(low / (low + high)) - math.log2(before[0] / sum(before)))
 
 
-def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, bins: int = 24, min_precision: float = 0.9, min_covered: int = 8) -> list[Rule]:
-    """A decision list from statistics with ``low`` (boolean) and ``doc_id``.  Two thirds
-    of the documents (by hash of the id) grow rules, the others prune and judge them."""
+def _bits(low: int, high: int) -> float:
+    """Length of a code for which of ``low + high`` labels are low: their number, then which."""
+    n = low + high
+    return math.log2(n + 1) + (math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(high + 1)) / math.log(2)
+
+
+def saving(left: tuple[int, int], low: int, high: int, conditions: int, choices: int) -> float:
+    """Bits that a rule saves on the labels (low, high) that are left: coding those that it
+    covers apart from the others, less what it takes to name its conditions out of
+    ``choices`` each.  What chance finds among so many conditions saves nothing."""
+    apart = _bits(low, high) + _bits(left[0] - low, left[1] - high)
+    return _bits(*left) - apart - conditions * math.log2(2 * max(1, choices))
+
+
+def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, bins: int = 24, min_precision: float = 0.9) -> list[Rule]:
+    """A decision list from statistics with ``low`` (boolean).  A rule grows on the labels
+    that earlier ones left; of its beginnings the one that saves most bits is kept, if at
+    least ``min_precision`` of what it covers is low and it saves any.  So the evidence asked
+    for follows the labels at hand: a handful of hits that nothing of high quality shares is
+    enough among few labels, and many hits of a common condition are not."""
     names = list(RATIOS)
-    rows = labelled.select("low", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("grow"), *(F.expr(e).cast("double").alias(n) for n, e in RATIOS.items()))
+    rows = labelled.select("low", *(F.expr(e).cast("double").alias(n) for n, e in RATIOS.items()))
     rows = store.written(rows, "quality-labels")
     shares = [k / bins for k in range(1, bins)]
     found = rows.where("low").agg(*(F.percentile_approx(n, shares, 2000).alias(n) for n in names)).unionByName(
         rows.where("not low").agg(*(F.percentile_approx(n, shares, 2000).alias(n) for n in names))).collect()
     cuts = {n: sorted({float(x) for r in found for x in (r[n] or [])}) for n in names}
     names = [n for n in names if cuts[n]]
+    choices = sum(map(len, cuts.values()))
     binned = rows.select("*", F.array(*(F.struct(F.lit(n).alias("name"), _bin(F.col(n), cuts[n]).alias("bin")) for n in names)).alias("at")) if names else rows
     rules: list[Rule] = []
     left = F.lit(True)
@@ -148,7 +168,7 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, bins
     while names and len(rules) < max_rules:
         rule: Rule = ()
         while len(rule) < max_conditions:
-            counts = binned.where(F.col("grow") & left & holds(rule)).select("low", F.explode("at").alias("at")).groupBy("at.name", "at.bin").agg(
+            counts = binned.where(left & holds(rule)).select("low", F.explode("at").alias("at")).groupBy("at.name", "at.bin").agg(
                 F.count_if("low").alias("low"), F.count_if(~F.col("low")).alias("high")).collect()
             best = _best(counts, cuts)
             if best is None:
@@ -158,16 +178,32 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3, bins
                 break
         if not rule:
             break
-        judged = binned.where(~F.col("grow") & left).agg(*(F.count_if(holds(rule[:k]) & (F.col("low") if want else ~F.col("low"))).alias(f"{want}{k}") for k in range(1, len(rule) + 1) for want in (1, 0))).first()
-        worth = {k: (judged[f"1{k}"] + 1) / (judged[f"1{k}"] + judged[f"0{k}"] + 2) for k in range(1, len(rule) + 1)}
-        k = max(worth, key=lambda k: (worth[k], -k))  # the shortest of the most precise beginnings
-        if worth[k] < min_precision or judged[f"1{k}"] + judged[f"0{k}"] < min_covered:
+        judged = binned.where(left).agg(*(F.count_if(holds(rule[:k]) & (F.col("low") if want else ~F.col("low"))).alias(f"{want}{k}") for k in range(len(rule) + 1) for want in (1, 0))).first()
+        here = {k: (judged[f"1{k}"], judged[f"0{k}"]) for k in range(len(rule) + 1)}
+        worth = {k: saving(here[0], *here[k], k, choices) for k in range(1, len(rule) + 1) if here[k][0] >= min_precision * sum(here[k])}
+        if not worth or max(worth.values()) <= 0:
             break
+        k = max(worth, key=lambda k: (worth[k], -k))  # the shortest of those that save most
         rules.append(rule[:k])
         left = left & ~holds(rule[:k])
     return rules
 
 
+def held_out(df: DataFrame, labels: DataFrame, parts: int = 3, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", **fit) -> DataFrame:
+    """One row with ``low, caught, called, right``: over all labelled documents that pass the
+    base rules, each judged by a list learned without its part (by hash of the id), how many
+    are low, how many of these the list calls low, how many it calls low, and the share of
+    those that are."""
+    taught = _taught(store.written(statistics(df, id_col, text_col), "quality-statistics"), labels, id_col, quality_col)
+    taught = store.written(taught.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))), "quality-parts")
+    told = [taught.where(F.col("part") == p).select("low", (~as_expression(learn(taught.where(F.col("part") != p), **fit))).alias("called")) for p in range(parts)]
+    whole = told[0]
+    for t in told[1:]:
+        whole = whole.unionByName(t)
+    sums = whole.agg(F.count_if("low").alias("low"), F.count_if(F.col("low") & F.col("called")).alias("caught"), F.count_if("called").alias("called"))
+    return sums.withColumn("right", F.try_divide("caught", "called"))
+
+
 def _bin(value: Column, cuts: list[float]) -> Column:
     """How many cuts lie below the value."""
     table = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
@@ -194,11 +230,15 @@ def _best(counts: list, cuts: dict[str, list[float]]) -> tuple[Condition, int] |
     return best
 
 
+def _taught(stats: DataFrame, labels: DataFrame, id_col: str, quality_col: str) -> DataFrame:
+    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{quality_col}`").alias("quality")).where("doc_id is not null and quality is not null")
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
+    return stats.where(~base_failed()).join(known, "doc_id").withColumn("low", F.col("quality") == 0)
+
+
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", **fit) -> tuple[DataFrame, list[Rule]]:
     """Statistics, ``base_failed`` and ``kept`` for every row, and the learned list."""
     stats = store.written(statistics(df, id_col, text_col), "quality-statistics")
-    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{quality_col}`").alias("quality")).where("doc_id is not null and quality is not null")
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
-    taught = stats.where(~base_failed()).join(known, "doc_id").withColumn("low", F.col("quality") == 0)
+    taught = _taught(stats, labels, id_col, quality_col)
     rules = learn(taught, **fit)
     return stats.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & as_expression(rules)}), rules

@@ -66,6 +66,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def row_keys(df: DataFrame, id_col: str, key: str) -> DataFrame:
+    """``df`` with a long column ``key`` of its own for every row, in the order of ``id_col``
+    (nulls last).  Where ids are whole numbers, present and unique, the key is the id; else
+    rows are numbered in a written table.  One id may have any share of the rows: they are
+    dealt by the id and their place."""
+    id_ = F.col(f"`{id_col}`").cast("long")
+    if df.groupBy(id_.alias("id")).count().where("count > 1 or id is null").isEmpty():
+        return df.withColumn(key, id_)
+    order = [F.asc_nulls_last("__id"), F.asc("__place")]
+    placed = df.withColumns({"__id": id_, "__place": F.monotonically_increasing_id()})
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id())
+    return written(numbered.drop("__id", "__place"), "row-keys")
+
+
 def delete(spark: SparkSession, address: str) -> None:
     """Delete a folder of :func:`new_folder` that no later job reads."""
     if "/caliper-llm/" not in address:

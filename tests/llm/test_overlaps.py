@@ -363,3 +363,43 @@ def test_pipeline_stages(spark, tmp_dir):
     assert not any(secret_grammar.base_spans(r["text"]) for r in docs.collect())
     last = corpus_pipeline.run(spark, tmp_dir)
     assert {r["doc_id"] for r in last.collect()} == left and last.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+
+
+def _stage_folder(spark, folder, rows, bench):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_dir):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    a, b, c, d, item, tail = (" ".join(prose(rng, 60)) for _ in range(6))
+    rows = [(1, a), (3, a), (3, b), (5, c), (5, c), (None, a), (None, d), (7, d + " " + item), (7, b + " " + tail), (9, None), (9, "")]
+    docs = _stage_folder(spark, tmp_dir, [(i, t, "x", "s", len(t or "")) for i, t in rows], [(1, item)])
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, tmp_dir)
+    left = [(1, a), (3, b), (5, c), (7, rows[7][1]), (7, rows[8][1]), (9, None), (9, ""), (None, d)]
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(str((i, len(t or ""))) for i, t in got) == sorted(str((i, len(t or ""))) for i, t in left)
+    assert sorted(got, key=str) == sorted(left, key=str) and kept.columns == list(corpus_pipeline.COLUMNS)
+    clean = corpus_pipeline.drop_contaminated(spark, store.written(kept, "test-pipeline"), tmp_dir)
+    left.remove((7, rows[7][1]))
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted(left, key=str)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_dir):
+    import corpus_pipeline
+
+    _stage_folder(spark, tmp_dir, [(1, "a", "x", "s", 1)], [(1, "b")]).where("false").write.parquet(f"{tmp_dir}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_dir}/benchmark.parquet").write.parquet(f"{tmp_dir}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_dir}/none").count() == 0
+
+
+def test_row_keys_follow_the_ids(spark):
+    df = spark.createDataFrame([(i, str(i)) for i in (5, 3, 9)], "doc_id long, text string").repartition(2)
+    assert {r.key: r.doc_id for r in store.row_keys(df, "doc_id", "key").collect()} == {5: 5, 3: 3, 9: 9}
+    df = spark.createDataFrame([(i, "t") for i in [4] * 50 + [None] * 30 + [2, -1]], "doc_id long, text string").repartition(6)
+    rows = store.row_keys(df, "doc_id", "key").collect()
+    assert len({r.key for r in rows}) == 82
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.key)] == [-1, 2] + [4] * 50 + [None] * 30
