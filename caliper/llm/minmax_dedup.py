@@ -135,7 +135,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return told.groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
-SAME, FAR, NEAR = 0, 2, 4  # kinds of traces; NEAR + i for the i-th class of sizes
+ABOUT, SAME, FAR, NEAR = -1, 0, 2, 4  # kinds of traces; NEAR + i for the i-th class of sizes
 MEETINGS = 17  # expected number of shared traces of a link: none with probability e^-17
 
 
@@ -191,8 +191,9 @@ def traces_of(p: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[int,
         if not i:
             return order, [*out, (NEAR, False, order[: d - 4 * d // 9])]
         return order, [*out, (NEAR + i, False, sampled(order[: d - 4 * d // 9 + d // 9], (128 << i) / 9 - 1))]
-    out.append((NEAR, True, order[: d - max(1, -(-excess // 10)) + 1]))
-    for i in range(1, size_class(-(-size // 4)) + 1):  # D_y is at most a quarter of the hub
+    if excess < 2560:  # D_y is at least e_x / 10, and at most a quarter of the hub
+        out.append((NEAR, True, order[: d - max(1, -(-excess // 10)) + 1]))
+    for i in range(size_class(excess // 10) or 1, size_class(-(-size // 4)) + 1):
         out.append((NEAR + i, True, sampled(order[: max(0, d - (128 << i) // 3 + 1)], (128 << i) / 9 - 1)))
     c = (excess + 2 * size) // 18
     if c <= 72:  # the other's bound is at most 162: neither is sampled, and one shared element will do
@@ -213,24 +214,28 @@ def outline(differences: np.ndarray) -> np.ndarray:
 
 
 def traces(grouped: DataFrame, sets: DataFrame) -> DataFrame:
-    """``hub, kind, trace, asks, node, d, b0..b15`` from ``a`` (hub) and ``b`` (node); see
-    :func:`traces_of` and :func:`outline`.  Pairs of nodes that may link share hub, kind and
-    trace, and one of the two asks (both, for the kind FAR)."""
-    names = ["hub", "kind", "trace", "asks", "node", "d", *_BITS]
+    """``hub, kind, trace, asks, node, d, outline`` from ``a`` (hub) and ``b`` (node), see
+    :func:`traces_of`: pairs of nodes that may link share hub, kind and trace, and one of the
+    two asks.  Each hub and node have one more row, of kind ``ABOUT``, with the number of
+    differences and their :func:`outline`; both are null elsewhere."""
+    names = ["hub", "kind", "trace", "asks", "node", "d", "outline"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "x", "y")), strict=True):
-                hub, node = a.as_py(), b.as_py()
                 order, kinds = traces_of(np.frombuffer(y.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64))
-                bits = outline(order).tolist()
-                for kind, asks, found in kinds:
-                    if m := len(found):
-                        same = [pa.array(np.full(m, v)) for v in (asks, node, len(order), *bits)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, hub)), pa.array(np.full(m, kind, np.int32)), pa.array(found.view(np.int64)), *same], names)
+                sizes = [1, *(len(found) for _, _, found in kinds)]
+                n = sum(sizes)
+                kind = np.repeat(np.array([ABOUT, *(k for k, _, _ in kinds)], np.int32), sizes)
+                asks = np.repeat(np.array([False, *(asking for _, asking, _ in kinds)]), sizes)
+                told = np.concatenate([np.zeros(1, np.uint64), *(found for _, _, found in kinds)]).view(np.int64)
+                first = pa.array(np.arange(n) > 0)  # null but in the first row
+                d = pa.array(np.full(n, len(order)), mask=first.to_numpy(zero_copy_only=False))
+                outlines = pa.array([outline(order).tolist(), *[None] * (n - 1)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.repeat(a, n), pa.array(kind), pa.array(told), pa.array(asks), pa.repeat(b, n), d, outlines], names)
 
     return _with_sets(grouped, sets).select("a", "b", "x", "y").mapInArrow(
-        run, "hub long, kind int, trace long, asks boolean, node long, d long, " + ", ".join(f"{b} long" for b in _BITS))
+        run, "hub long, kind int, trace long, asks boolean, node long, d long, outline array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -275,8 +280,9 @@ def _pairs(met: DataFrame, name: str) -> DataFrame:
     return store.written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
 
 
-def _side(found: DataFrame, name: str) -> DataFrame:
-    return found.select("hub", "kind", "trace", F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in _TOLD), "asks")
+def _side(found: DataFrame, about: DataFrame, name: str, *more: str) -> DataFrame:
+    """Trace rows as one side of a meeting: the node as ``name`` and what is known of it."""
+    return found.join(about, ["hub", "node"]).select("hub", "kind", "trace", F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in _TOLD), *more)
 
 
 def _linked(members: DataFrame, sizes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -300,20 +306,21 @@ def _linked(members: DataFrame, sizes: DataFrame, texts: DataFrame, k: int) -> D
     placed = store.written(placed.withColumnRenamed("component", "of_hub"), "dedup-placed")
     apart = placed.groupBy("a").agg(F.min("of_node").alias("low"), F.max("of_node").alias("high"), F.min("of_hub").alias("own"))
     apart = store.written(apart.where("low != high or low != own").select("a"), "dedup-apart")
-    found = store.written(traces(placed.join(apart, "a", "left_semi").select("a", "b"), sets), "dedup-traces")
-    found = store.written(found.join(sizes, "node"), "dedup-traces")
-
-    now = store.written(_placed(found, labels), "dedup-traces")
-    least = now.groupBy("hub", "kind", "trace").agg(F.min(F.struct("node", *_TOLD)).alias("y"), F.count("*").alias("m")).where("m > 1")
-    least = store.written(least.select("hub", "kind", "trace", F.col("y.node").alias("y"), *(F.col(f"y.{c}").alias(f"y_{c}") for c in _TOLD)), "dedup-least")
-    met = _side(now, "x").join(least, ["hub", "kind", "trace"]).where(_may_link("x_", "y_"))
+    drawn = store.written(traces(placed.join(apart, "a", "left_semi").select("a", "b"), sets), "dedup-traces")
+    found = drawn.where(F.col("kind") != ABOUT).select("hub", "kind", "trace", "asks", "node")
+    about = drawn.where(F.col("kind") == ABOUT).select("hub", "node", "d", *(F.col("outline")[i].alias(b) for i, b in enumerate(_BITS)))
+    about = store.written(about.join(sizes, "node"), "dedup-about")
+
+    now = store.written(_placed(about, labels), "dedup-about")
+    least = found.groupBy("hub", "kind", "trace").agg(F.min("node").alias("node"), F.count("*").alias("m")).where("m > 1")
+    met = _side(found, now, "x").join(_side(least, now, "y"), ["hub", "kind", "trace"]).where(_may_link("x_", "y_"))
     more = links_of(_pairs(met, "dedup-pairs"), "dedup-more")
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
-        now = store.written(_placed(found, labels), "dedup-traces")
+        now = store.written(_placed(about, labels), "dedup-about")
     found_by = f"kind = {SAME} or kind = {FAR} and asks or kind >= {NEAR} and not asks"
-    x, y = _side(now.where("asks"), "x").drop("asks"), _side(now.where(found_by), "y")
+    x, y = _side(found.where("asks"), now, "x"), _side(found.where(found_by), now, "y", "asks")
     once = ~F.col("asks") | (F.col("x") < F.col("y"))  # of two that ask, the smaller one
     met = x.join(y, ["hub", "kind", "trace"]).where(once & _may_link("x_", "y_"))
     rest = links_of(_pairs(met, "dedup-pairs"), "dedup-more")
