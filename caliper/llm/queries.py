@@ -59,7 +59,7 @@ def op5_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents: counts and a digest of the base spans, and all spans."""
     documents = table(spark, sf_dir, "documents")
     scanned = store.written(secret_grammar.scan(documents), "secrets")
-    found = secret_grammar.add_formats(scanned, secret_grammar.learn(scanned, documents))
+    found = secret_grammar.find(documents, secret_grammar.learn(scanned, documents))
 
     def joined(spans: F.Column) -> F.Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -160,6 +160,17 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html,
 d AS (SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, min(page_id) OVER (PARTITION BY h, n) AS lead FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> lead THEN lead END AS refers_to FROM d""",
+    "op8_minmax_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS s FROM d),
+e AS MATERIALIZED (SELECT r, unnest(s) AS x FROM g),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT p.r AS a, q.r AS b, count(*) AS c FROM e p JOIN e q ON p.x = q.x AND p.r <> q.r GROUP BY ALL) t
+    JOIN g m ON m.r = a JOIN g n ON n.r = b WHERE 100 * c >= 80 * (len(m.s) + len(n.s) - c)),
+t AS (SELECT r AS a, r AS b FROM g UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a),
+k AS (SELECT a AS r, min(doc_id) AS component_id FROM t JOIN g ON g.r = t.b GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM g JOIN k USING (r)""",
     "op11_divergence_audit": r"""
 WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),

@@ -1,21 +1,25 @@
 """Secret scans with inferred grammars.
 
 Fixed patterns find the plain cases.  What they find is also the labelled material: for
-each kind, the credentials make a prefix tree with counts; states whose next-symbol and
-ending frequencies agree within the Hoeffding bound, all the way down, are merged (first
-found states first, so equal strings in another order give the same automaton); what is
-left is a probabilistic automaton of that kind's format.  Every other token-like run of a
-text (see below) is scored by its log-likelihood per symbol under each automaton; it is a secret if it
-is as likely as nearly all of the labelled ones and likelier than as ordinary text.
+each kind, the credentials make a prefix tree with counts, whose compatible states are merged
+into a probabilistic automaton of the kind's format, in two steps.  States of one depth are
+merged first, by the likelihood-ratio test on next symbols and endings, each new state against
+the pooled counts of those merged before; a single string says little, all strings at a place
+say much.  Then states of different depths are merged where they and all that follows them are
+alike; so a format of one length stays a chain, and one of any length gets a loop.
+
+All runs of a kind's alphabet that have a length seen in it are scored, whole, with their
+ending.  A run is a secret if it is as likely as nearly all of the labelled ones, and likelier
+than ordinary text by a margin that grows with its length.  A run that ends where no labelled
+one does is none.
 
 The fit uses at most ``per_kind`` distinct credentials a kind (those of smallest hash);
-ordinary text is what all whole texts have, and the scan scores all candidates of them.
-Candidates are runs of 16 or more of ``A-Za-z0-9+/_=-`` with a digit: shorter bare
-credentials, those of letters only and dotted ones with shorter parts are not scored.
+ordinary text is what all whole texts have, and the scan covers all of them.
 
 Cases: a null or empty text has no spans; without labelled credentials of a kind that
 kind has no automaton; equal spans of one kind count once; repeated rows are scanned each
-for itself; offsets are code points, ends exclusive.
+for itself; offsets are code points, ends exclusive; other columns aren't read and may have
+any name; a very long text is searched in place, run by run; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +47,6 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # longest runs: shorter ones would be dropped
 _KEYS = ("passw", "secret", "token", "api")
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 END = ""
 
 
@@ -60,12 +63,6 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def candidates(text: str, spans: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Token-like runs with a digit that no base span touches."""
-    out = [(*m.span(), m[0]) for m in _CANDIDATE.finditer(text) if any(c.isdigit() for c in m[0])]
-    return [c for c in out if not any(s[1] < c[1] and c[0] < s[2] for s in spans)]
-
-
 @dataclass
 class Automaton:
     """States 0.. with next states and counts by symbol, and counts of endings."""
@@ -73,124 +70,196 @@ class Automaton:
     step: list[dict[str, int]] = field(default_factory=list)
     seen: list[Counter] = field(default_factory=list)
     least: float = 0.0  # log-likelihood per symbol from which a string has the format
-
-    def score(self, s: str) -> float:
-        """Log-likelihood per symbol, the end counted; -inf off the automaton."""
-        total, at = 0.0, 0
+    lengths: tuple[int, int] = (0, 0)  # least and most symbols of a labelled string
+
+    def __post_init__(self):
+        self.symbols = sum((Counter({s: n for s, n in c.items() if s != END}) for c in self.seen), Counter())
+        self.usual = [max(to, key=lambda s: (c[s], s)) if to else END for to, c in zip(self.step, self.seen)]
+
+    def whole(self, s: str, known: bool = False) -> float:
+        """Log-likelihood of the string and its ending; -inf off the automaton.  A symbol
+        that was never seen at a place, but elsewhere, has the weight of a part of one
+        sighting, and leads where most others do.  Of a ``known`` string, one of those that
+        the counts are made of, its own sightings don't count."""
+        total, at, all_ = 0.0, 0, self.symbols.total()
         for symbol in s:
-            if symbol not in self.step[at]:
+            if symbol not in self.symbols or not self.step[at]:
                 return -math.inf
-            total += math.log(self.seen[at][symbol] / self.seen[at].total())
-            at = self.step[at][symbol]
+            own = self.seen[at]
+            total += math.log((max(0, own[symbol] - known) + self.symbols[symbol] / all_) / (max(1, own.total() - known) + 1))
+            at = self.step[at].get(symbol, self.step[at][self.usual[at]])
         ends = self.seen[at][END]
-        return (total + math.log((ends + 0.5) / (self.seen[at].total() + 0.5))) / (len(s) + 1)
+        return total + math.log(ends / self.seen[at].total()) if ends else -math.inf
 
-
-def prefix_tree(strings: list[str]) -> Automaton:
-    a = Automaton([{}], [Counter()])
-    for s in sorted(strings):
-        at = 0
-        for symbol in s:
-            a.seen[at][symbol] += 1
-            if symbol not in a.step[at]:
-                a.step[at][symbol] = len(a.step)
-                a.step.append({})
-                a.seen.append(Counter())
-            at = a.step[at][symbol]
-        a.seen[at][END] += 1
-    return a
+    def score(self, s: str, known: bool = False) -> float:
+        """Log-likelihood per symbol, the end counted."""
+        return self.whole(s, known) / (len(s) + 1)
 
 
-def _agree(p: Counter, q: Counter, alpha: float) -> bool:
+def _alike(p: Counter, q: Counter, z: float) -> bool:
+    """Whether two states' counts may come from one distribution: the likelihood ratio
+    against its chi-squared bound at the normal quantile ``z``."""
     n, m = p.total(), q.total()
-    if not n or not m:
+    both = p.keys() | q.keys()
+    if not n or not m or len(both) < 2:
         return True
-    bound = math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-    if bound >= 1:
-        return True
-    return all(abs(p[s] / n - q[s] / m) < bound for s in {*p, *q})
-
-
-def infer(strings: list[str], alpha: float = 0.05) -> Automaton:
-    """Merge compatible states of the strings' prefix tree.  Kept states are tried in the
-    order they were found; a state that agrees with none is kept itself."""
-    a = prefix_tree(strings)
-
-    def compatible(p: int, q: int) -> bool:
-        todo = [(p, q)]
+    ratio = 0.0
+    for s in both:
+        t = p[s] + q[s]
+        for own, size in ((p[s], n), (q[s], m)):
+            if own:
+                ratio += 2 * own * math.log(own * (n + m) / (t * size))
+    d = len(both) - 1
+    return ratio <= d * (1 - 2 / (9 * d) + z * math.sqrt(2 / (9 * d))) ** 3
+
+
+#: Normal quantiles of the tests within a depth (one in 1,000) and across depths (one in 20).
+WITHIN, ACROSS = 3.09, 1.645
+
+
+def layers(strings: list[str]) -> tuple[list[dict[str, int]], list[Counter]]:
+    """The prefix tree with alike states of each depth merged: next states and counts."""
+    step: list[dict[str, int]] = [{}]
+    seen = [Counter(s[:1] or END for s in strings)]
+    level = [(0, sorted(strings))]
+    depth = 0
+    while level:
+        children = []
+        for state, own in level:
+            below: dict[str, list[str]] = {}
+            for s in own:
+                if len(s) > depth:
+                    below.setdefault(s[depth], []).append(s)
+            children += [(state, symbol, mine) for symbol, mine in below.items()]
+        depth += 1
+        level = []
+        for state, symbol, mine in sorted(children, key=lambda c: (-len(c[2]), c[0], c[1])):
+            counts = Counter(s[depth : depth + 1] or END for s in mine)
+            for at, own in level:
+                if _alike(seen[at], counts, WITHIN):
+                    seen[at] += counts
+                    own += mine
+                    step[state][symbol] = at
+                    break
+            else:
+                step[state][symbol] = len(step)
+                level.append((len(step), mine))
+                step.append({})
+                seen.append(counts)
+    return step, seen
+
+
+def infer(strings: list[str]) -> Automaton:
+    """The automaton of labelled strings; the same for any order of them."""
+    step, seen = layers(strings)
+    name = list(range(len(step)))  # what a state was merged into
+
+    def find(x: int) -> int:
+        while name[x] != x:
+            x = name[x]
+        return x
+
+    def alike_below(p: int, q: int) -> bool:
+        todo, met = [(p, q)], set()
         while todo:
-            x, y = todo.pop()
-            if not _agree(a.seen[x], a.seen[y], alpha):
+            x, y = (find(v) for v in todo.pop())
+            if x == y or (x, y) in met:
+                continue
+            met.add((x, y))
+            if not _alike(seen[x], seen[y], ACROSS):
                 return False
-            todo += [(a.step[x][s], a.step[y][s]) for s in a.step[x].keys() & a.step[y].keys()]
+            todo += [(step[x][s], step[y][s]) for s in step[x].keys() & step[y].keys()]
         return True
 
-    def fold(p: int, q: int) -> None:
-        """Add the tree below q to p."""
+    def merge(p: int, q: int) -> None:
         todo = [(p, q)]
         while todo:
-            x, y = todo.pop()
-            a.seen[x] += a.seen[y]
-            for s, below in a.step[y].items():
-                if s in a.step[x]:
-                    todo.append((a.step[x][s], below))
-                else:
-                    a.step[x][s] = below
-
-    kept = [0]
-    while (edge := next(((k, s) for k in kept for s in sorted(a.step[k]) if a.step[k][s] not in kept), None)) is not None:
-        parent, symbol = edge
-        state = a.step[parent][symbol]
-        for k in kept:
-            if compatible(k, state):
-                a.step[parent][symbol] = k
-                fold(k, state)
-                break
-        else:
-            kept.append(state)
-    number = {state: i for i, state in enumerate(kept)}
-    out = Automaton([{s: number[t] for s, t in a.step[k].items()} for k in kept], [a.seen[k] for k in kept])
-    scores = sorted(out.score(s) for s in strings)
-    out.least = scores[len(scores) // 20] - 1e-9
+            x, y = sorted(find(v) for v in todo.pop())
+            if x != y:
+                name[y] = x
+                seen[x] = seen[x] + seen[y]
+                todo += [(step[x][s], step[y][s]) for s in step[x].keys() & step[y].keys()]
+                step[x] = step[y] | step[x]
+
+    kept: list[int] = []
+    for state in range(len(step)):
+        if find(state) == state:
+            like = next((k for k in kept if find(k) == k and alike_below(k, state)), None)
+            if like is None:
+                kept.append(state)
+            else:
+                merge(like, state)
+    left = sorted({find(x) for x in range(len(step))})
+    number = {state: i for i, state in enumerate(left)}
+    sizes = [len(s) for s in strings]
+    out = Automaton([{s: number[find(t)] for s, t in step[k].items()} for k in left], [seen[k] for k in left], lengths=(min(sizes), max(sizes)))
+    scores = sorted(out.score(s, known=True) for s in strings)  # as of strings that the fit has not seen
+    out.least = scores[len(scores) // 100] - 1e-9
     return out
 
 
+#: By how much a secret is likelier than ordinary text: so many nats, and so many a symbol.
+MARGIN, MARGIN_PER_SYMBOL = 3.0, 0.25
+
+
 @dataclass
 class Model:
     automata: dict[str, Automaton]
     plain: dict[str, float]  # log-probability of characters in ordinary text
 
+    def __post_init__(self):
+        self.runs = {}
+        for kind, a in self.automata.items():
+            letters = "".join(re.escape(s) for s in sorted(a.symbols))
+            if letters:
+                self.runs[kind] = re.compile(f"[{letters}]{{{max(1, a.lengths[0])},}}")
+
+    def has_format(self, kind: str, s: str) -> bool:
+        a = self.automata[kind]
+        if a.score(s) < a.least:
+            return False
+        usual = sum(self.plain.get(c, self.plain[END]) for c in s)
+        return a.whole(s) - usual > MARGIN + MARGIN_PER_SYMBOL * len(s)
+
     def secret(self, s: str) -> bool:
-        usual = sum(self.plain.get(c, self.plain[END]) for c in s) / (len(s) + 1)
-        return any((x := a.score(s)) >= a.least and x > usual for a in self.automata.values())
+        return any(self.has_format(kind, s) for kind in self.automata)
+
+    def formats(self, text: str) -> set[tuple[int, int]]:
+        """(start, end) of all runs of a kind's alphabet with a length seen in it that have
+        its format; a full stop at a run's end may be the sentence's."""
+        out = set()
+        for kind, runs in self.runs.items():
+            low, high = self.automata[kind].lengths
+            for m in runs.finditer(text):
+                start, end = m.span()
+                for stop in (end, end - 1) if text[end - 1] == "." else (end,):
+                    if low <= stop - start <= high and self.has_format(kind, text[start:stop]):
+                        out.add((start, stop))
+                        break
+        return out
 
 
 def spans_of(text: str, model: Model) -> list[tuple[str, int, int]]:
-    """All spans of a text: base ones and those the automata add."""
+    """All spans of a text: base ones and those the automata add beside them."""
     base = base_spans(text)
-    more = [("format", start, end) for start, end, s in candidates(text, base) if model.secret(s)]
-    return sorted({*((k, s, e) for k, s, e, _ in base), *more}, key=lambda s: (s[1], KINDS.index(s[0])))
+    more = [("format", start, end) for start, end in model.formats(text) if not any(s < end and start < e for _, s, e, _ in base)]
+    return sorted({*((k, s, e) for k, s, e, _ in base), *more}, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 _SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, spans, others``: base spans with their credentials, and the other
-    candidates.  Narrow: no shuffle."""
+    """``doc_id, spans``: base spans with their credentials.  Narrow: no shuffle."""
     store.ready(df.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in store.slices(batches, "text"):
-            base, other = [], []
-            for text in part.column("text").to_pylist():
-                found = base_spans(text or "")
-                base.append([dict(kind=k, start=s, end=e, value=v) for k, s, e, v in found])
-                other.append([dict(kind="format", start=s, end=e, value=v) for s, e, v in candidates(text or "", found)])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(base, kind), pa.array(other, kind)], ["doc_id", "spans", "others"])
+            base = [[dict(kind=k, start=s, end=e, value=v) for k, s, e, v in base_spans(text or "")] for text in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(base, kind)], ["doc_id", "spans"])
 
-    return store.as_text(df, id_col, text_col).mapInArrow(run, f"doc_id long, spans {_SPAN}, others {_SPAN}")
+    return store.as_text(df, id_col, text_col).mapInArrow(run, f"doc_id long, spans {_SPAN}")
 
 
 def plain_symbols(df: DataFrame, text_col: str = "text") -> dict[str, float]:
@@ -214,7 +283,7 @@ def plain_symbols(df: DataFrame, text_col: str = "text") -> dict[str, float]:
     return {c: math.log((n + 1) / total) for c, n in seen.items()} | {END: math.log(1 / total)}
 
 
-def learn(scanned: DataFrame, texts: DataFrame, text_col: str = "text", per_kind: int = 400, alpha: float = 0.05) -> Model:
+def learn(scanned: DataFrame, texts: DataFrame, text_col: str = "text", per_kind: int = 400) -> Model:
     """Automata from the scan's labelled credentials, one task for each kind's bounded
     sample."""
     one = scanned.select(F.explode("spans").alias("s")).select("s.kind", "s.value").distinct()
@@ -222,37 +291,54 @@ def learn(scanned: DataFrame, texts: DataFrame, text_col: str = "text", per_kind
     few = parts[0].unionByName(parts[1]).unionByName(parts[2])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = infer(sorted(pdf["value"]), alpha)
-        rows = [(pdf["kind"].iloc[0], i, s, a.step[i].get(s, -1), n, a.least) for i in range(len(a.step)) for s, n in a.seen[i].items()]
-        return pd.DataFrame(rows, columns=["kind", "state", "symbol", "next", "n", "least"])
+        a = infer(sorted(pdf["value"]))
+        rows = [(pdf["kind"].iloc[0], i, s, a.step[i].get(s, -1), n, a.least, *a.lengths) for i in range(len(a.step)) for s, n in a.seen[i].items()]
+        return pd.DataFrame(rows, columns=["kind", "state", "symbol", "next", "n", "least", "shortest", "longest"])
 
     automata: dict[str, Automaton] = {}
-    for r in few.groupBy("kind").applyInPandas(fit, "kind string, state long, symbol string, next long, n long, least double").collect():
-        a = automata.setdefault(r["kind"], Automaton(least=r["least"]))
+    for r in few.groupBy("kind").applyInPandas(fit, "kind string, state long, symbol string, next long, n long, least double, shortest long, longest long").collect():
+        a = automata.setdefault(r["kind"], Automaton(least=r["least"], lengths=(r["shortest"], r["longest"])))
         while len(a.step) <= max(r["state"], r["next"]):
             a.step.append({})
             a.seen.append(Counter())
         a.seen[r["state"]][r["symbol"]] = r["n"]
         if r["next"] >= 0:
             a.step[r["state"]][r["symbol"]] = r["next"]
+    for a in automata.values():
+        a.__post_init__()  # the totals of what was filled in
     return Model(automata, plain_symbols(texts, text_col))
 
 
-def add_formats(scanned: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, spans`` with the spans that the automata add, by start, then kind."""
-    shared = scanned.sparkSession.sparkContext.broadcast(model)  # states of a bounded sample
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
+def find(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, spans`` (kind, start, end) of every row, base spans and those that the
+    automata add, by start, then kind."""
+    spark = store.ready(df.sparkSession)
+    shared = spark.sparkContext.broadcast(model)  # states of a bounded sample
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            out = []
-            for spans, others in zip(batch.column("spans").to_pylist(), batch.column("others").to_pylist(), strict=True):
-                spans = spans + [o for o in others if m.secret(o["value"])]
-                out.append(sorted(spans, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], ["doc_id", "spans"])
-
-    return scanned.select("doc_id", "spans", "others").mapInArrow(run, f"doc_id long, spans {_SPAN}")
+        for part in store.slices(batches, "text"):
+            found = [[dict(kind=k, start=s, end=e) for k, s, e in spans_of(text or "", shared.value)] for text in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, kind)], ["doc_id", "spans"])
+
+    return store.as_text(df, id_col, text_col).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+
+
+def held_out(scanned: DataFrame, texts: DataFrame, parts: int = 3) -> DataFrame:
+    """``kind, labelled, caught``: distinct credentials of each kind, and how many have a
+    format that a model learned from the other parts (by hash of the credential)."""
+    one = store.written(scanned.select(F.explode("spans").alias("s")).select("s.kind", "s.value").distinct().withColumn("part", F.pmod(F.xxhash64("value"), F.lit(parts))), "secret-labels")
+    plain = plain_symbols(texts)
+    told = []
+    for p in range(parts):
+        rest = one.where(F.col("part") != p).groupBy(F.lit(0).alias("doc_id"), F.xxhash64("value")).agg(F.collect_list(F.struct("kind", F.lit(0).alias("start"), F.lit(0).alias("end"), "value")).alias("spans"))
+        model = Model(learn(rest, texts.limit(0)).automata, plain)
+        caught = F.udf(model.secret, "boolean")  # a few labelled strings
+        told.append(one.where(F.col("part") == p).select("kind", caught("value").alias("caught")))
+    whole = told[0]
+    for t in told[1:]:
+        whole = whole.unionByName(t)
+    return whole.groupBy("kind").agg(F.count("*").alias("labelled"), F.count_if("caught").alias("caught"))
 
 
 def redact(df: DataFrame, model: Model, text_col: str = "text", length_col: str | None = None, mark: str = "[secret]") -> DataFrame:
