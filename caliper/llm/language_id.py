@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from caliper.llm import store
 
 UNKNOWN = "und"
+PARTS = 64
+MAX_LANGUAGES = 200  # a megabyte each
 BITS = 16
 _ALPHA: list[np.ndarray] = []
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -162,9 +164,17 @@ def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, bits: i
     weights = np.log((1 + n) / (1 + df)) + 1
     place = F.struct((~F.col("text").rlike(r"\p{L}")).alias("bare"), F.xxhash64("text").alias("hash"))  # texts with letters first
     placed = labelled.withColumn("place", place)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    last = placed.select("lang", "place").distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("place").alias("last"))
-    sample = placed.join(F.broadcast(last), "lang").where("place <= last").select("text", "lang").distinct()  # a row for each language is broadcast
+    # the smallest hashes of each language: first in each of ``PARTS`` parts of it, then among
+    # these, so that no task orders a language's texts, whatever share it has
+    part = F.pmod(F.shiftright("place.hash", 20), F.lit(PARTS))
+    few = placed.select("lang", "place").distinct().withColumn("part", part)
+    for keys in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("place"))
+        few = few.withColumn("rank", rank).where(F.col("rank") <= per_language)
+    last = store.written(few.groupBy("lang").agg(F.max("place").alias("last")), "language-samples")
+    if (languages := last.count()) > MAX_LANGUAGES:
+        raise ValueError(f"{languages} languages are labelled; a model is held whole by every task, so it has {MAX_LANGUAGES} at most")
+    sample = placed.join(F.broadcast(last), "lang").where("place <= last").select("text", "lang").distinct()  # MAX_LANGUAGES rows at most are broadcast
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [c for t in sorted(pdf["text"].unique()) if (c := sparse(t, bits)) is not None]
