@@ -5,14 +5,17 @@ masks here have six counting positions each, and together they hit every run of
 aligned words with at most two substitutions.  Seeds of benchmark items and of documents
 are joined by hash; each hit names an item, a document and a shift between them, and along
 that shift the words are compared: an overlap is a run of ``WINDOW`` aligned words of
-which at most ``SLACK`` differ.  An item shorter than that must occur whole and unchanged;
-an item of fewer than six words is too short to be told from chance and isn't searched.
+which at most ``SLACK`` differ.  An item of six to eleven words must occur whole, with one
+substitution at most: it is found by three words in a row, one of which is left on either
+side.  Fewer words say little inside a text; such an item must be the document's whole text.
+The masks for short items are only laid over documents where there are such items.
 
 Before the join a bitmap of the benchmark's seed hashes (its size follows their number, up
 to 32 MB) drops most seeds that hit nothing, in the task that makes them.  It only spares
 rows: what passes is joined exactly.
 
-Cases: a null or empty text or item has no seeds; a null id is never reported and never
+Cases: a null or empty text or item has no seeds; a very long text is taken whole, its words
+as one array of hashes; a null id is never reported and never
 dropped; rows that repeat an id are reported under it if any of them overlaps; equal items
 are reported each; other columns aren't read; without items nothing is reported.
 """
@@ -28,14 +31,32 @@ from pyspark.sql import functions as F
 
 from caliper.llm import hashing, store
 
-MASKS = ("111111", "11101011", "101100111")
+MASKS = ("111111", "11101011", "101100111", "111")
 WINDOW, SLACK = 12, 2
 LEAST = 6
+LONG, SHORT, WHOLE = (0, 1, 2), (3,), len(MASKS)  # numbers of masks; WHOLE stands for a whole text
 
 
-def seeds(words: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """For each mask the seed hashes at all positions, and the mask's number."""
-    for number, mask in enumerate(MASKS):
+def masks_for(n: int) -> tuple[int, ...]:
+    """The masks that find an item of n words."""
+    return LONG if n >= WINDOW else SHORT if n >= LEAST else (WHOLE,) if n else ()
+
+
+def whole(words: np.ndarray) -> np.ndarray:
+    """The one seed of a text of fewer than ``LEAST`` words."""
+    total = np.full(1, WHOLE + 1, np.uint64)
+    for w in words:
+        total = total * np.uint64(0xD6E8FEB86659FD93) + w
+    return hashing.mix(total)
+
+
+def seeds(words: np.ndarray, masks: tuple[int, ...] = LONG) -> Iterator[tuple[np.ndarray, int]]:
+    """For each of the masks (by number) the seed hashes at all positions, and its number."""
+    for number in masks:
+        if number == WHOLE:
+            yield whole(words), number
+            continue
+        mask = MASKS[number]
         n = len(words) - len(mask) + 1
         if n <= 0:
             continue
@@ -47,17 +68,19 @@ def seeds(words: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """``hash, item, at`` of all seeds from ``item, text``."""
+    """``hash, item, at, mask`` of all seeds from ``item, text``."""
     store.ready(items.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in store.slices(batches, "text"):
             words, ends = hashing.word_hashes(*hashing.texts_buffer(part.column("text")))
             for i, item in enumerate(part.column("item").to_pylist()):
-                for h, _ in seeds(words[ends[i] : ends[i + 1]]):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([item] * len(h), pa.int64()), pa.array(np.arange(len(h)))], ["hash", "item", "at"])
+                own = words[ends[i] : ends[i + 1]]
+                for h, number in seeds(own, masks_for(len(own))):
+                    same = [pa.array(np.full(len(h), v)) for v in (item, number)]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), same[0], pa.array(np.arange(len(h))), same[1]], ["hash", "item", "at", "mask"])
 
-    return items.mapInArrow(run, "hash long, item long, at long")
+    return items.mapInArrow(run, "hash long, item long, at long, mask long")
 
 
 def bitmap(seeds_of_items: DataFrame, n: int) -> np.ndarray:
@@ -72,8 +95,14 @@ def bitmap(seeds_of_items: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def document_seeds(texts: DataFrame, marked: np.ndarray) -> DataFrame:
-    """``hash, doc_id, at`` of the seeds that fall on a marked bit, from ``doc_id, text``."""
+def marked_by(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which places are marked."""
+    return np.flatnonzero((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))
+
+
+def document_seeds(texts: DataFrame, marked: np.ndarray, masks: tuple[int, ...] = LONG) -> DataFrame:
+    """``hash, doc_id, at`` of the masks' seeds that fall on a marked bit, from ``doc_id,
+    text``."""
     spark = store.ready(texts.sparkSession)
     shared = spark.sparkContext.broadcast(marked)
     shift = np.uint64(64 - 6 - int(np.log2(len(marked))))
@@ -83,9 +112,14 @@ def document_seeds(texts: DataFrame, marked: np.ndarray) -> DataFrame:
         for part in store.slices(batches, "text"):
             words, ends = hashing.word_hashes(*hashing.texts_buffer(part.column("text")))
             hashes, places = [], []
-            for h, number in seeds(words):  # over all texts at once; seeds that cross an end are dropped below
-                place = h >> shift
-                at = np.flatnonzero((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))
+            if WHOLE in masks:
+                few = np.flatnonzero((np.diff(ends) > 0) & (np.diff(ends) < LEAST))
+                h = np.concatenate([np.zeros(0, np.uint64), *(whole(words[ends[i] : ends[i + 1]]) for i in few)])
+                ok = marked_by(bits, h >> shift)
+                hashes.append(h[ok])
+                places.append((few[ok], np.zeros(len(ok), np.int64)))
+            for h, number in seeds(words, tuple(m for m in masks if m != WHOLE)):  # over all texts at once; seeds that cross an end are dropped below
+                at = marked_by(bits, h >> shift)
                 row = np.searchsorted(ends, at, "right") - 1
                 at, row = (x[at + len(MASKS[number]) <= ends[row + 1]] for x in (at, row))
                 hashes.append(h[at])
@@ -104,8 +138,8 @@ def aligned(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
     all overlapping windows, how many the windows span, and where they begin in the
     document.  None without such a window."""
     start, stop = max(0, -shift), min(len(item), len(doc) - shift)
-    width, slack = (WINDOW, SLACK) if len(item) >= WINDOW else (len(item), 0)
-    if stop - start < width:
+    width, slack = (WINDOW, SLACK) if len(item) >= WINDOW else (len(item), int(len(item) >= LEAST))
+    if stop - start < width or len(item) < LEAST and len(doc) != len(item):
         return None
     same = doc[start + shift : stop + shift] == item[start:stop]
     total = np.concatenate([[0], np.cumsum(same)])
@@ -129,8 +163,9 @@ def overlaps(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     n = marks.count()
     if not n:
         return spark.createDataFrame([], "doc_id long, item_id long, matched long, spanned long, first_word long")
-    found = store.written(document_seeds(texts, bitmap(marks, n)), "decontaminate-seeds")
-    hits = found.join(marks.withColumnRenamed("at", "item_at"), "hash").select("doc_id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    masks = tuple(sorted(r["mask"] for r in marks.select("mask").distinct().collect()))  # five at most
+    found = store.written(document_seeds(texts, bitmap(marks, n), masks), "decontaminate-seeds")
+    hits = found.join(marks.drop("mask").withColumnRenamed("at", "item_at"), "hash").select("doc_id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = store.written(hits, "decontaminate-hits")
 
     def tokens(key: str):

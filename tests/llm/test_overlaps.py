@@ -205,8 +205,10 @@ def overlapping(texts, items):
     for d, i in itertools.product(texts, items):
         w, x = words(texts[d]), words(items[i])
         if len(x) < 6:
+            if x and x == w:
+                out.add((d, i))
             continue
-        width, slack = (12, 2) if len(x) >= 12 else (len(x), 0)
+        width, slack = (12, 2) if len(x) >= 12 else (len(x), 1)
         for shift in range(-len(x), len(w)):
             a, b = max(0, -shift), min(len(x), len(w) - shift)
             same = [x[k] == w[k + shift] for k in range(a, b)]
@@ -332,6 +334,22 @@ def test_records_are_gzip_members():
         zip_warc.parse(zip_warc.record(1, None, b"payload", None).replace(b"payload\r\n", b"pAyload\r\n"))
 
 
+def test_short_items_of_a_benchmark(spark, table):
+    """Six to eleven words with one substitution; fewer only as a whole text."""
+    rng = random.Random(3)
+    six, nine, eleven = (prose(rng, n) for n in (6, 9, 11))
+
+    def other(words, *places):
+        return ["zzz" if i in places else w for i, w in enumerate(words)]
+
+    texts = [" ".join(prose(rng, 30) + w + prose(rng, 30)) for w in (
+        six, other(six, 2), other(six, 0), other(six, 1, 4), six[:4], nine, other(nine, 4), other(nine, 0, 8), other(eleven, 5), other(eleven, 5, 6))]
+    texts += ["Two words", "two  words\n", "two words more", "words two", "one", "", None]
+    bench = spark.createDataFrame(list(enumerate([" ".join(w) for w in (six, nine, eleven)] + ["two words", "one", "", None])), "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"], r["matched"], r["spanned"]) for r in decontaminate.overlaps(table(texts), bench).collect()}
+    assert got == {(0, 0, 6, 6), (1, 0, 5, 6), (2, 0, 5, 6), (5, 1, 9, 9), (6, 1, 8, 9), (8, 2, 10, 11), (10, 3, 2, 2), (11, 3, 2, 2), (14, 4, 1, 1)}
+
+
 def test_pipeline_stages(spark, tmp_dir):
     import corpus_pipeline
     from caliper.llm import secret_grammar
