@@ -15,9 +15,12 @@ Texts are encoded once, into a written table of ids; the range shuffle moves ids
 shards are coded as they are written, slice by slice.  Shards are written whole under their final names by whichever attempt
 ends; the list of shards is a written table with a row for each.
 
+The number of shards follows the coded size, ``SHARD_BYTES`` each, so what a task holds
+(checkpoints and the document table of its shard) doesn't grow with the table.
+
 Cases: a null or empty text has the end id alone; a null doc_id sorts first; rows that
-repeat an id are stored one after the other, ordered by their ids' bytes; other columns aren't read; an
-empty table makes no shard.
+repeat an id are stored one after the other, ordered by a hash of their ids, then the ids'
+bytes; other columns aren't read; an empty table makes no shard.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ from caliper.llm import store
 MAGIC = b"HUFFIDS1"
 LONGEST = 18
 BLOCK = 1024
+SHARD_BYTES = 24 << 20
 TABLE = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("start", "<u8"), ("n", "<u8")])
 _TAIL = np.dtype([("payload_bits", "<u8"), ("ids", "<u8"), ("documents", "<u8"), ("magic", "S8")])
 
@@ -286,7 +290,8 @@ def write(ids: DataFrame, code: Code, folder: str, shards: int) -> DataFrame:
         store.put_file(f"{folder}/{name}", parts)
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([name]), pa.array([sum(map(len, tables))], pa.int64()), pa.array(total, pa.int64())], ["shard", "file", "documents", "ids"])
 
-    ranged = ids.where("ids is not null").select("doc_id", "ids", "width").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+    order = ["doc_id", F.xxhash64("ids")]  # an id that many rows share is dealt to many shards
+    ranged = ids.where("ids is not null").select("doc_id", "ids", "width").repartitionByRange(shards, *order).sortWithinPartitions(*order, "ids")
     return store.written(ranged.mapInArrow(fill, "shard long, file string, documents long, ids long"), "token-shards")
 
 
@@ -347,5 +352,7 @@ def store_ids(df: DataFrame, vocabulary: str, end_id: int, folder: str | None =
     spark = df.sparkSession
     folder = folder or store.new_folder(spark, "token-ids")
     ids = store.written(encoded(df, vocabulary, end_id, id_col, text_col), "token-encoded")
-    code = Code(code_lengths(id_counts(ids)))
-    return folder, write(ids, code, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = id_counts(ids)
+    lengths = code_lengths(counts)
+    coded = sum(n * lengths[i] for i, n in counts.items()) // 8
+    return folder, write(ids, Code(lengths), folder, 1 + coded // SHARD_BYTES)
