@@ -9,7 +9,9 @@ until the root is infinity.  The trees of all distinct words of a batch that hav
 number of leaves are rows of one array and take their steps together.
 
 Cases: a null or empty text has no ids and decodes to the empty text; a null id stays
-null; repeated rows are coded each for itself; other columns of the table are not read.
+null; repeated rows are coded each for itself; pairs of equal rank merge from the left; a very
+long text is coded word by word; an empty table gives no rows; other columns of the table are
+not read and may have any name.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ many copies there are, a language with a labelled text that has letters has cent
 
 Cases: a null text or one without a letter is ``und`` with score 0 and rejected; a null
 ``lang`` or null id teaches nothing; without labelled texts everything is ``und``; equal
-cosines go to the language that sorts first; repeated rows count each for itself.
+cosines go to the language that sorts first; repeated rows count each for itself; a very long
+text is one vector; an empty table gives no rows; all columns pass, but those that have the
+names of the result's are replaced.
 """
 
 from __future__ import annotations

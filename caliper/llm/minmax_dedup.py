@@ -16,12 +16,12 @@ texts' length.  What grows faster than a group is the number of its nodes that n
 hub nor the smallest holder of a difference links, paired where they share differences and
 their sizes and outlines don't rule a link out.  Links are confirmed on the full sets.
 
-The number of steps hangs on the longest chain of links by its logarithm, not on rows.
+The rounds of the search for components grow with the longest chain of links, not with rows.
 
 Cases: a null or empty text (no words) has the empty set and links with nothing; fewer
 than k words are one shingle; rows with a null id are in no component (component_id null,
 kept); rows that repeat an id each get the component of their own text; other columns
-aren't read; an empty table gives an empty result.
+aren't read; a very long text is one set; an empty table gives an empty result.
 """
 
 from __future__ import annotations

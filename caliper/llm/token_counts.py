@@ -16,7 +16,9 @@ each white space run, lower case; special strings of the raw text stay as they a
 count once they are complete).
 
 Cases: a null or empty text has no prefixes and 0 tokens; a null id stays null; repeated
-rows are counted each for itself; other columns of the table are not read.
+rows are counted each for itself; a very long text is solved word by word, its prefix counts
+are one array; an empty table gives no rows; other columns of the table are not read and may
+have any name.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ about hosts and paths over to URLs that no rule fits.
 
 Cases: a null URL or one without ``://`` has an empty host and path, which fit no rule;
 without labelled URLs of both verdicts the model's verdict is the one verdict that was
-seen, or ``allow``; repeated rows are judged each for itself; other columns aren't read.
+seen, or ``allow``; repeated rows are judged each for itself; a very long URL is one row of
+n-grams; of equally long rules the first one given wins; an empty table gives no rows; other
+columns aren't read.
 """
 
 from __future__ import annotations
