@@ -80,6 +80,39 @@ def test_distributed_fit_gives_the_same_trees(spark, monkeypatch, early):
         assert np.array_equal(getattr(own, name), getattr(far, name)), name
 
 
+@pytest.mark.parametrize("early", [False, True])
+def test_a_barrier_stage_gives_the_same_trees_in_few_jobs(spark, monkeypatch, early):
+    codes, label, key = sample(900, 5)
+    bins, how = np.full(4, 12), TR.Boosting(rounds=5 if not early else 60, rate=0.6, leaves=8, early_stop=early, patience=2)
+    *_, own = TR.boost_rows(codes, label, key, bins, 3, how)
+    table = spark.createDataFrame([(int(k), int(y), bytes(c)) for k, y, c in zip(key, label, codes)], "row long, label int, codes binary").repartition(5)
+    monkeypatch.setattr(TR, "TASK_ROWS", 300)
+    group = f"barrier-{early}"
+    spark.sparkContext.setJobGroup(group, "one fit")
+    far = TR.boost_table(table, bins, 3, how)
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 6  # whatever the number of rounds
+    for other in (far, TR.boost_steps(table, bins, 3, how)):
+        for name in ("roots", "feature", "cut", "left", "right", "value", "base"):
+            assert np.array_equal(getattr(own, name), getattr(other, name)), name
+
+
+def test_tasks_without_rows_take_part(spark, monkeypatch):
+    monkeypatch.setattr(TR, "TASK_ROWS", 1)
+    table = spark.createDataFrame([(5, y, bytes([y, 1])) for y in (0, 1, 1, 0)], "row long, label int, codes binary")  # one key: one task has all rows
+    far = TR.boost_table(table, np.array([2, 3]), 2, TR.Boosting(rounds=3, min_leaf=1))
+    *_, own = TR.boost_rows(np.array([[0, 1], [1, 1], [1, 1], [0, 1]], np.uint8), np.array([0, 1, 1, 0]), np.full(4, 5), np.array([2, 3]), 2, TR.Boosting(rounds=3, min_leaf=1))
+    assert np.array_equal(own.value, far.value) and np.array_equal(own.feature, far.feature) and (far.feature == 0).any()
+
+
+def test_where_cores_are_unknown_each_step_is_a_job(spark, monkeypatch):
+    monkeypatch.setattr(TR, "cores", lambda spark: 0)
+    codes, label, key = sample(80, 5)
+    table = spark.createDataFrame([(int(k), int(y), bytes(c)) for k, y, c in zip(key, label, codes)], "row long, label int, codes binary")
+    *_, own = TR.boost_rows(codes, label, key, np.full(4, 12), 3, TR.Boosting(rounds=2, leaves=3))
+    assert np.array_equal(own.value, TR.boost_table(table, np.full(4, 12), 3, TR.Boosting(rounds=2, leaves=3)).value)
+
+
 def test_a_prefix_of_a_fit_is_the_shorter_fit():
     codes, label, key = sample(400, 1)
     bins = np.full(4, 12)
