@@ -126,6 +126,38 @@ def test_a_prefix_of_a_fit_is_the_shorter_fit():
     assert np.array_equal(deep.scores(codes, depth=3), flat.scores(codes)) and len(deep.feature) > len(flat.feature)
 
 
+@pytest.mark.parametrize("judged", [False, True])
+def test_forests_grow_from_drawn_rows_alone(spark, monkeypatch, judged):
+    codes, label, key = sample(4000, 7)
+    held = np.arange(4000) % 4 == 0 if judged else np.zeros(4000, bool)
+    table = spark.createDataFrame([(0, bool(h), int(k), int(y), bytes(c)) for h, k, y, c in zip(held, key, label, codes)],
+                                  "fit int, held boolean, row long, label int, codes binary").repartition(3)
+    how, n = TR.Forest(trees=23, rows=60), int((~held).sum())
+    passed = TR._drawn(table, {0: how}, {0: 0}, {0: n}, {0: 3}, judged).groupBy("chunk").agg(F.count_if(~F.col("held")).alias("n"), F.count_if("held").alias("held")).collect()
+    assert len(passed) == 3 and all(r.n < 60 * 10 * 1.3 and (r.held == held.sum()) for r in passed)  # not all 4000 rows
+    order = np.lexsort((label, key))
+    mine = order[~held[order]]
+    own = TR.Ensemble(3)
+    own.add([TR.forest_tree(codes[mine], label[mine], TR.bootstrap(key[mine], t, 60 / n, how.seed), 3, t, how) for t in range(23)], [-1] * 23)
+    if not judged:
+        far = TR.merged(TR.forest_groups(table, {}, 3, {0: how}, {0: 0}, {0: n}))[0]
+        for name in ("roots", "feature", "cut", "left", "right", "value"):
+            assert np.array_equal(getattr(own, name), getattr(far, name)), name
+        return
+    got = TR.forest_groups(table, {}, 3, {0: how}, {0: 0}, {0: n}, [(23, None), (12, 2)]).groupBy("stage", "row").agg(*[F.sum(F.col("shares")[c]).alias(f"s{c}") for c in range(3)]).collect()
+    told = {(r.stage, r.row): (r.s0, r.s1, r.s2) for r in got}
+    at = np.flatnonzero(held)
+    for stage, depth in ((23, None), (12, 2)):
+        want = own.scores(codes[at], trees=range(stage), depth=depth)
+        assert np.allclose([told[stage, int(k)] for k in key[at]], want, atol=1e-9)
+
+
+def test_a_chunk_whose_trees_draw_nothing_keeps_them(spark):
+    table = spark.createDataFrame([(0, False, 3, 1, bytes([1]))], "fit int, held boolean, row long, label int, codes binary")
+    far = TR.merged(TR.forest_groups(table, {}, 2, {0: TR.Forest(trees=41)}, {0: 0}, {0: 10**9}))[0]  # a rate of next to nothing
+    assert len(far.roots) == 41
+
+
 def test_forest_tree_equals_plain_gini_splits():
     codes, label, _ = sample(70, 9, d=3, levels=40)
     weight = TR.balanced(np.bincount(label, minlength=3))[label]
@@ -232,6 +264,24 @@ def test_large_folds_take_the_distributed_way(spark, frame, monkeypatch):
     folds.unpersist()
 
 
+def test_held_rows_of_large_folds_stay_out_of_the_tasks_that_grow_trees(spark, frame, monkeypatch):
+    folds = SP.stratified_folds(frame.where("row_id < 200"), 2).cache()
+    x = RE.fold_rows(folds, 2, NUM, CAT)
+    points = [{"num_trees": 12, "max_depth": 2}, {"num_trees": 5}]
+    near = RE.judged_points(x, 2, "random_forest", points, 3).collect()
+    monkeypatch.setattr(TR, "LOCAL_ROWS", 10)
+    seen, drawn = [], TR._drawn
+    monkeypatch.setattr(TR, "_drawn", lambda *args: seen.append(args[-1]) or drawn(*args))
+    far = RE.judged_points(x, 2, "random_forest", points, 3).collect()
+    assert seen == [False, False] and len(near) == len(far) == 400
+
+    def plain(rows):
+        return sorted((r.point, r.fold, r.label, r.prediction, round(r.score, 9)) for r in rows)
+
+    assert plain(near) == plain(far)
+    folds.unpersist()
+
+
 def test_sigmoids_equal_a_logistic_regression(spark):
     rng = np.random.default_rng(4)
     rows = []
