@@ -67,6 +67,54 @@ def test_boosting_equals_a_plain_sequential_version():
     assert np.allclose(own.scores(codes) + own.base, plain_boosting(codes, label, 3, 8, 0.3, 6, 4), rtol=0, atol=1e-9)
 
 
+@pytest.mark.parametrize("small", [0, 1 << 14])
+def test_features_of_few_bins_are_summed_together(monkeypatch, small):
+    monkeypatch.setattr(TR, "SMALL", small)
+    bins = np.array([8, 24, 256, 1, 2, 2, 255, 3, 2, 1])
+    rng = np.random.default_rng(4)
+    columns = np.stack([rng.integers(0, b, 700) for b in bins]).astype(np.uint8)
+    columns[:, :2] = (bins - 1)[:, None]  # the last code of every feature
+    joint = TR.Joint(bins)
+    assert len(joint.groups) == 4 and sorted(f for g in joint.groups for f, _ in g) == list(range(len(bins)))
+    rows = np.append(np.flatnonzero(rng.random(700) < 0.6), [0, 1])
+    own, g, h = rng.integers(0, 3, len(rows)), rng.integers(-(2**40), 2**40, len(rows)) * 1.0, rng.integers(0, 2**40, len(rows)) * 1.0
+    got = joint.sums(joint.of(columns), rows, own, 3, g, h)
+    first = np.cumsum(bins) - bins
+    for f, b in enumerate(bins):
+        for c, w in enumerate((g, h, np.ones(len(rows)))):
+            want = np.zeros((3, b))
+            np.add.at(want, (own, columns[f, rows]), w)
+            assert np.array_equal(got[c, :, first[f] : first[f] + b], want)
+
+
+def test_tasks_read_sums_with_and_without_places(tmp_dir):
+    from concurrent.futures import ThreadPoolExecutor
+
+    class Context:
+        def __init__(self, own):
+            self.own = own
+
+        def allGather(self, told):
+            return ["a", "b", "c"]
+
+        def partitionId(self):
+            return self.own
+
+        taskAttemptId = partitionId
+
+    dense, thin = np.arange(-6.0, 6.0).reshape(3, 4), np.zeros((3, 4))
+    thin[2, 1] = -(2.0**50)
+
+    def run(i):
+        together = TR.meeting(tmp_dir, Context(i))
+        return [together(x) for x in ([dense, thin, thin][i], np.zeros((3, 4)), [thin, thin, dense][i])]
+
+    with ThreadPoolExecutor(3) as pool:
+        found = list(pool.map(run, range(3)))
+    for own in found:
+        assert all(np.array_equal(a, b) for a, b in zip(own, [dense + 2 * thin, 0 * thin, dense + 2 * thin]))
+
+
 @pytest.mark.parametrize("early", [False, True])
 def test_distributed_fit_gives_the_same_trees(spark, monkeypatch, early):
     monkeypatch.setattr(TR, "REFRESH", 2)
