@@ -113,15 +113,37 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     and, for each, the first piece of the slot's chain of pieces."""
     n = len(sizes)
     after, last = np.full(n, -1), np.arange(n)
-    heap = [(-int(s), i, np.array([s], np.int64), np.array([i])) for i, s in enumerate(sizes)]
     if k == 1:
         return np.zeros(n, np.int64)
+    sizes = np.asarray(sizes, np.int64)
+    heap = [(-s, i, None, None) for i, s in enumerate(sizes.tolist())]  # pieces by themselves
     heapq.heapify(heap)
     turn = n
     while len(heap) > 1:
-        _, _, a, a_first = heapq.heappop(heap)
-        _, _, b, b_first = heapq.heappop(heap)
+        key, at, a, a_first = heapq.heappop(heap)
+        if at < n:
+            a, a_first = sizes[at : at + 1], np.array([at])
+        _, at, b, b_first = heapq.heappop(heap)
+        if at < n:
+            # while a has empty slots and the largest imbalance, it takes one piece after the other: all at a time
+            more = [at]
+            while heap and len(a) + len(more) < k and heap[0][1] < n and heap[0][0] > key:
+                more.append(heapq.heappop(heap)[1])
+            b, b_first = sizes[more], np.array(more)
+            turn += len(more) - 1
         over = len(a) + len(b) - k
+        if over == 1 and min(len(a), len(b)) == 1:  # one piece meets the smallest slot, whose sum moves up
+            full, firsts = (b, b_first) if len(a) == 1 else (a, a_first)
+            x, y = a_first[-1], b_first[-1]
+            after[last[x]] = y
+            last[x] = last[y]
+            total = a[-1] + b[-1]
+            spot = k - 1 - int(full[-2::-1].searchsorted(total, "right" if len(a) == 1 else "left"))  # among equal sums a's come first
+            full[spot + 1 :], firsts[spot + 1 :] = full[spot:-1], firsts[spot:-1]
+            full[spot], firsts[spot] = total, x
+            heapq.heappush(heap, (int(full[-1] - full[0]), turn, full, firsts))
+            turn += 1
+            continue
         if over > 0:  # the smallest slots of either meet the other's, largest with smallest
             x, y = a_first[len(a) - over :], b_first[::-1][:over]
             after[last[x]] = y
@@ -134,7 +156,7 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
         heapq.heappush(heap, (-int(sums[0] - (sums[-1] if len(sums) == k else 0)), turn, sums, firsts))
         turn += 1
     window = np.empty(n, np.int64)
-    firsts = heap[0][3]
+    firsts = heap[0][3] if n > 1 else np.arange(n)
     at, here = np.arange(len(firsts)), firsts
     while len(here):
         window[here] = at

@@ -136,6 +136,33 @@ def test_differencing_is_as_even_as_the_plain_method(k):
             assert sums.max() - sums.min() < sizes.max() / 4
 
 
+def merged_one_by_one(sizes, k):
+    """Differencing with a merge a step; of equal sums the first partition's come first."""
+    heap = [(-s, i, [(s, [i])]) for i, s in enumerate(sizes)]
+    turn = len(sizes)
+    while len(heap) > 1:
+        heap.sort()
+        (_, _, a), (_, _, b), *heap = heap
+        over = max(0, len(a) + len(b) - k)
+        met = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a[len(a) - over :], b[::-1])]
+        slots = sorted(a[: len(a) - over] + met + b[: len(b) - over], key=lambda s: -s[0])
+        heap.append((-(slots[0][0] - (slots[-1][0] if len(slots) == k else 0)), turn, slots))
+        turn += 1
+    return [at for i in range(len(sizes)) for at, (_, own) in enumerate(heap[0][2]) if i in own]
+
+
+def test_merges_at_a_time_are_merges_one_by_one(monkeypatch):
+    rng = np.random.default_rng(11)
+    sizes = [rng.integers(1, high + 1, rng.integers(1, 70)) for high in (1, 3, 9, 50, 1024) for _ in range(12)]
+    for own in sizes:
+        for k in (2, 5, 17, 40):
+            assert WP.differencing(own, k).tolist() == merged_one_by_one(own.tolist(), k)
+    sorts = []
+    monkeypatch.setattr(WP.np, "argsort", lambda x, kind, own=np.argsort: sorts.append(len(x)) or own(x, kind=kind))
+    WP.differencing(np.arange(1000, 0, -1), 300)
+    assert len(sorts) < 50  # 999 when every merge was sorted
+
+
 def test_known_partition():
     sums = np.bincount(WP.differencing(np.array([8, 7, 6, 5, 4]), 2), [8, 7, 6, 5, 4])
     assert sorted(sums) == [14, 16]  # what differencing gives for this textbook case
