@@ -25,10 +25,10 @@ bytes; other columns aren't read; an empty table makes no shard.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +42,57 @@ from caliper.llm import store
 MAGIC = b"HUFFIDS1"
 LONGEST = 18
 BLOCK = 1024
+JOINED = 50
+AT_ONCE = 200
+RUN = 1 << 15  # values at a time, so that arrays stay in a core's cache
 SHARD_BYTES = 24 << 20
 TABLE = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("start", "<u8"), ("n", "<u8")])
 _TAIL = np.dtype([("payload_bits", "<u8"), ("ids", "<u8"), ("documents", "<u8"), ("magic", "S8")])
 
 
+class Words:
+    """Words and the ids of each, one after the other."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The number of each word, -1 where it isn't known."""
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Remember words that aren't known yet; their numbers."""
+        first = len(self.place)
+        self.place.update(zip(words, range(first, first + len(words))))
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        return np.arange(first, first + len(words))
+
+    def ids_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words, and how many each has."""
+        return _gathered(self.ids, np.cumsum(self.sizes) - self.sizes, self.sizes, places), self.sizes[places]
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """The values of entries, each ``sizes`` values from ``starts`` on in ``flat``."""
+    parts = [flat[:0]]
+    for at in range(0, len(entries), RUN):
+        own = entries[at : at + RUN]
+        length = sizes[own]
+        until = np.cumsum(length)
+        parts.append(flat[np.repeat(starts[own] - (until - length), length) + np.arange(int(until[-1]))])
+    return np.concatenate(parts)
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.  No token spans a space but as its
     first character, so a text whose white space is all single characters is the sequence
     of its space-led words.  Of a run of texts each distinct word that is new is given to
-    the library once, all joined to one text; the tokens that begin with a space cut its
-    ids into words again.  A text with other white space goes to the library whole."""
+    the library once, joined to texts of ``JOINED`` words; the tokens that begin with a space
+    cut their ids into words again.  A text with other white space goes to the library whole."""
 
     def __init__(self, path: str, room: int = 200_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of all tasks get in each other's way
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,20 +102,24 @@ class Encoder:
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]  # the character that stands for a space
         self.leads = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(size)])
         self.room = room
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words, each with a space before it."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = (4 * np.append(np.flatnonzero(self.leads[ids]), len(ids))).tolist()
+        self.young, self.old = Words(), Words()
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other, and how many each has."""
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), AT_ONCE):  # what the library and Python hold of each id is many times its size
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(each), "<u4"))
+            sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learned(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, each with a space before it, and how many each has."""
+        ids, _ = self._whole([" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
+        cuts = np.append(np.flatnonzero(self.leads[ids]), len(ids))
         if len(cuts) != len(words) + 1:
             raise ValueError("words and their tokens don't fit")
-        flat = ids.tobytes()
-        self.young.update((w, flat[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+        return ids, np.diff(cuts)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and where each text's end."""
@@ -86,30 +128,31 @@ class Encoder:
         firsts = np.concatenate([[0], ends[:-1]])
         coded = parts.flatten().dictionary_encode()
         words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() or (not w.isalpha() and _DOUBLE.search(w) is not None) for w in words), bool, len(words))
+        odd = pc.match_substring_regex(coded.dictionary, _ODD).to_numpy(zero_copy_only=False)
         plain = np.add.reduceat(odd[at].astype(np.int64), firsts) == 0
-        own = self._whole([words[at[k]] if ok else t or "" for k, ok, t in zip(firsts.tolist(), plain.tolist(), texts.to_pylist(), strict=True)])
-        if len(self.young) > self.room:
-            self.old, self.young = self.young, {}
+        own, own_sizes = self._whole([words[k] if ok else texts[i].as_py() or "" for i, (k, ok) in enumerate(zip(at[firsts].tolist(), plain.tolist(), strict=True))])
+        if len(self.young.place) > self.room:
+            self.old, self.young = self.young, Words()
         known = self.young
-        new = {w for w, x in zip(words, odd.tolist(), strict=True) if not x and w not in known}
-        for w in new & self.old.keys():
-            known[w] = self.old[w]
-            new.discard(w)
-        if new:
-            self._learn(list(new))
-        ids_of = [known.get(w, b"") for w in words] + own + [b""]
-        sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) >> 2
-        starts = np.cumsum(sizes) - sizes
-        entry = np.where(np.repeat(plain, np.diff(ends, prepend=0)), at, len(ids_of) - 1)  # a text taken whole has one entry
-        entry[firsts] = len(words) + np.arange(len(own))
-        length = sizes[entry]
-        until = np.cumsum(length)
-        spot = np.repeat(starts[entry] - (until - length), length) + np.arange(int(until[-1]))
-        return np.frombuffer(b"".join(ids_of), "<u4")[spot], until[ends - 1]
-
-
-_DOUBLE = re.compile(r"\s\s")
+        place = known.places(words)
+        new = np.flatnonzero((place < 0) & ~odd)
+        if len(new):
+            was = self.old.places([words[i] for i in new.tolist()])
+            again, new = new[was >= 0], new[was < 0]
+            place[again] = known.add([words[i] for i in again.tolist()], *self.old.ids_of(was[was >= 0]))
+            if len(new):
+                some = [words[i] for i in new.tolist()]
+                place[new] = known.add(some, *self._learned(some))
+        sizes = np.concatenate([known.sizes, own_sizes, [0]])
+        entry = np.where(np.repeat(plain, np.diff(ends, prepend=0)), place[at], len(sizes) - 1)  # a text taken whole has one entry
+        entry[firsts] = len(known.sizes) + np.arange(len(own_sizes))
+        until = np.cumsum(sizes[entry])
+        return _gathered(np.concatenate([known.ids, own]), np.cumsum(sizes) - sizes, sizes, entry), until[ends - 1]
+
+
+# fixed value: the characters that str.isspace() names
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = f"^$|^{_SPACE}|{_SPACE}$|{_SPACE}{_SPACE}"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -215,27 +258,43 @@ class Code:
 
     def bits(self, ids: np.ndarray) -> np.ndarray:
         """The code bits of ids, one to an element."""
+        data, rest, after = self.packed(ids)
+        return np.unpackbits(np.frombuffer(data + bytes([rest << (8 - after)] if after else []), np.uint8))[: 8 * len(data) + after]
+
+    def packed(self, ids: np.ndarray, rest: int = 0, before: int = 0) -> tuple[bytes, int, int]:
+        """Whole bytes of the ``before`` (under eight) bits ``rest`` and the code bits of ids,
+        then the bits that fill no byte and their number.  Codes are added up in 32-bit words,
+        of which each touches two at most."""
         n = self.length[ids].astype(np.int64)
-        ends = np.cumsum(n)
-        back = (np.repeat(ends, n) - 1 - np.arange(int(ends[-1]) if len(ends) else 0)).astype(np.uint32)
-        return ((np.repeat(self.code[ids], n) >> back) & np.uint32(1)).astype(np.uint8)
+        ends = before + np.cumsum(n)
+        bits = int(ends[-1]) if len(ends) else before
+        word, at = np.divmod(ends - n, 32)
+        wide = self.code[ids].astype(np.uint64) << (64 - at - n).astype(np.uint64)
+        size = (bits >> 5) + 2
+        words = np.bincount(word, wide >> np.uint64(32), size) + np.bincount(word + 1, wide & np.uint64(0xFFFFFFFF), size)
+        data = bytearray(words.astype(">u4").tobytes())
+        data[0] |= rest << (8 - before)
+        whole, after = divmod(bits, 8)
+        return bytes(data[:whole]), data[whole] >> (8 - after), after
 
     def decode(self, payload: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Ids of blocks that begin at the bits ``starts`` and have ``sizes`` ids, all
         blocks in step.  ``payload`` needs four bytes beyond its last bit."""
-        at = starts.astype(np.int64).copy()
-        out = np.zeros((len(starts), int(sizes.max()) if len(sizes) else 0), np.uint32)
+        order = np.argsort(-sizes, kind="stable")  # blocks that end are the last ones of those in step
+        at, falling = starts[order].astype(np.int64), sizes[order]
+        steps = int(falling[0]) if len(falling) else 0
+        live = len(falling) - np.searchsorted(falling[::-1], np.arange(steps), "right")
+        out = np.zeros((steps, len(falling)), np.uint32)
         wide = payload.astype(np.uint32)
         word = (wide[:-3] << np.uint32(24)) | (wide[1:-2] << np.uint32(16)) | (wide[2:-1] << np.uint32(8)) | wide[3:]
-        live = np.arange(len(starts))
-        for k in range(out.shape[1]):
-            if k >= sizes[live].min():
-                live = live[sizes[live] > k]
-            here = at[live]
+        for k, m in enumerate(live.tolist()):
+            here = at[:m]
             look = (word[here >> 3] >> (32 - LONGEST - (here & 7)).astype(np.uint32)) & np.uint32((1 << LONGEST) - 1)
-            out[live, k] = self.table_id[look]
-            at[live] = here + self.table_length[look]
-        return out[np.arange(out.shape[1])[None, :] < sizes[:, None]]
+            out[k, :m] = self.table_id[look]
+            here += self.table_length[look]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return np.ascontiguousarray(out.T)[place][np.arange(steps)[None, :] < sizes[:, None]]
 
 
 def _inside(blocks: np.ndarray) -> np.ndarray:
@@ -258,7 +317,7 @@ def write(ids: DataFrame, code: Code, folder: str, shards: int) -> DataFrame:
 
         def parts(out) -> None:
             out.write(MAGIC)
-            rest, checkpoints = np.zeros(0, np.uint8), []
+            rest, before, checkpoints = 0, 0, []
             bits = 0
             for part in store.slices(batches, "ids"):
                 rows = part.column("ids").to_pylist()
@@ -277,11 +336,10 @@ def write(ids: DataFrame, code: Code, folder: str, shards: int) -> DataFrame:
                 tables.append(table)
                 total[0] += len(flat)
                 bits += int(length.sum())
-                flow = np.concatenate([rest, own.bits(flat)])
-                whole = len(flow) // 8 * 8
-                out.write(np.packbits(flow[:whole]).tobytes())
-                rest = flow[whole:]
-            out.write(np.packbits(rest).tobytes())
+                for at in range(0, len(flat), RUN):
+                    data, rest, before = own.packed(flat[at : at + RUN], rest, before)
+                    out.write(data)
+            out.write(bytes([rest << (8 - before)] if before else []))
             for x in (*checkpoints, *tables):
                 out.write(x.tobytes())
             out.write(np.array([(bits, total[0], sum(map(len, tables)), MAGIC)], _TAIL).tobytes())

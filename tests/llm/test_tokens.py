@@ -116,6 +116,34 @@ def test_library_words_are_independent(byte):
         assert ids[a:b].tolist() == byte.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_words_are_learned_some_at_a_time_and_kept(byte, monkeypatch):
+    own, asked = token_store.Encoder(BYTE, room=300), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.append(max(map(str.split, texts), key=len))
+            return byte.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    own.tokenizer = Counted()
+    runs = [[" ".join(f"w{i * i}x" for i in range(a, a + 400)), "a\x1cb \x85c", "d \u3000e f", None] for a in (0, 100, 500, 0)]
+    for texts in runs:  # words of the last run but one are learned again, the others are known
+        ids, ends = own.encode(pa.array(texts))
+        for text, a, b in zip(texts, [0, *ends.tolist()], ends.tolist()):
+            assert ids[a:b].tolist() == byte.encode(text or "", add_special_tokens=False).ids
+    assert max(map(len, asked)) <= token_store.JOINED  # the library was given all new words as one text
+
+
+def test_codes_are_packed_without_spreading_their_bits():
+    code = token_store.Code(token_store.code_lengths({i: 1 + 2**26 // (i + 1) ** 3 for i in range(900)}))
+    ids = np.random.default_rng(3).integers(0, 900, 5000)
+    plain = "".join(f"{int(code.code[i]):0{int(code.length[i])}b}" for i in ids)
+    data, rest, before = b"", 0, 0
+    for part in np.split(ids, [0, 1, 2, 3, 40, 40, 3000]):
+        more, rest, before = code.packed(part, rest, before)
+        data += more
+    assert "".join(f"{x:08b}" for x in data) + (f"{rest:0{before}b}" if before else "") == plain
+
+
 def test_code_lengths_are_best_and_limited():
     counts = {i: 2**i for i in range(24)} | {100 + i: 1 for i in range(5)}
     lengths = token_store.code_lengths(counts, 12)
