@@ -145,6 +145,18 @@ def test_a_barrier_stage_gives_the_same_trees_in_few_jobs(spark, monkeypatch, ea
             assert np.array_equal(getattr(own, name), getattr(other, name)), name
 
 
+def test_a_barrier_fit_is_not_the_last_stage_of_its_job(spark, monkeypatch):
+    """Spark begins such a stage anew after a lost executor unless the job ends with it."""
+    codes, label, key = sample(300, 5)
+    table = spark.createDataFrame([(int(k), int(y), bytes(c)) for k, y, c in zip(key, label, codes)], "row long, label int, codes binary")
+    plans, frame = [], type(table)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or collect(df))
+    TR.boost_table(table, np.full(4, 12), 3, TR.Boosting(rounds=2, leaves=3))
+    [plan] = [p for p in plans if "MapInArrow" in p]
+    assert "Exchange" in plan.split("MapInArrow")[0]
+
+
 def test_tasks_without_rows_take_part(spark, monkeypatch):
     monkeypatch.setattr(TR, "TASK_ROWS", 1)
     table = spark.createDataFrame([(5, y, bytes([y, 1])) for y in (0, 1, 1, 0)], "row long, label int, codes binary")  # one key: one task has all rows
