@@ -391,3 +391,64 @@ def test_permutation_importance_equals_permuted_tables(spark, frame, name):
     assert got["a"].importance_mean > 0.05 and got["none"].importance_mean == 0 and got["a"].rows == test.count()
     assert RE.permutation_importance(model, test, ["a"], repeats=1, max_rows=50).first().rows == 50
     test.unpersist()
+
+
+def _walked(e: TR.Ensemble, tree: int, row, depth: int | None = None) -> int:
+    x = e.roots[tree]
+    while e.feature[x] >= 0 and depth != 0:
+        x = int(e.left[x] if row[e.feature[x]] <= (e.cut[x] if row.dtype == np.uint8 else e.threshold[x]) else e.right[x])
+        depth = None if depth is None else depth - 1
+    return x
+
+
+def test_leaves_of_small_and_deep_trees_equal_a_plain_walk():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, [256, 9, 2, 40], (700, 4)).astype(np.uint8)
+    label = (codes[:, 0].astype(int) * 7 + codes[:, 1] * 5 + rng.integers(0, 60, 700)) // 40 % 3
+    edges = [np.arange(256)[: n - 1] + 0.5 for n in (256, 9, 2, 40)]
+    *_, boosted = TR.boost_rows(codes, label, np.arange(700), np.array([256, 9, 2, 40]), 3, TR.Boosting(rounds=3, early_stop=False, min_leaf=2))
+    forest = TR.Ensemble(3)
+    forest.add([TR.forest_tree(codes, label, np.ones(700, np.int64), 3, t, TR.Forest(trees=2, min_leaf=1)) for t in range(2)], [-1, -1])
+    assert (forest.feature < 0).sum() > 2 * TR.MASKED  # both ways of finding leaves are taken
+    values = codes + rng.choice([0.0, 0.5, np.nan, np.inf, -np.inf], codes.shape, p=[0.5, 0.2, 0.1, 0.1, 0.1])
+    for e in (boosted, forest):
+        e.with_thresholds(edges)
+        for t in range(len(e.roots)):
+            assert e.leaves(codes, t).tolist() == [_walked(e, t, r) for r in codes]
+            assert e.leaves(values, t, limits=True).tolist() == [_walked(e, t, r) for r in values]
+            assert e.leaves(codes, t, depth=2).tolist() == [_walked(e, t, r, 2) for r in codes]
+        assert not any(k.startswith("_") for k in e.__getstate__())
+
+
+def test_saplings_open_leaves_under_opened_ones_too():
+    rng = np.random.default_rng(9)
+    codes = rng.integers(0, 200, (6000, 6)).astype(np.uint8)
+    label = ((codes[:, 0] > 90).astype(int) + (codes[:, 1] * codes[:, 2].astype(int) > 9000)) % 3
+    calls = [0]
+
+    def together(own):
+        calls[0] += 1
+        return own
+
+    *_, whole = TR.boost_rows(codes, label, np.arange(6000), np.full(6, 200), 3, TR.Boosting(rounds=5, early_stop=False), together)
+    assert len(whole.roots) == 15
+    assert calls[0] <= 60  # 82 where a step opens the best closed leaf and its rivals alone
+
+
+def test_permutation_scores_only_rows_that_get_another_value(spark, monkeypatch):
+    from caliper.plans import catalog
+    model = catalog._given_model()
+    seen = spark.sparkContext.accumulator(0)
+    plain = MO.shares_of(model.clf)
+
+    def counted(x):
+        seen.add(len(x))
+        return plain(x)
+
+    monkeypatch.setattr(MO, "shares_of", lambda clf: counted)
+    # one value of number_of_vehicles in all rows, two of hour, another mean_temp in each row
+    rows = [(i, i % 3, 2.0, float(6 + 12 * (i % 2)), float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, label int, number_of_vehicles double, hour double, mean_temp double")
+    got = {r["feature"]: r for r in RE.permutation_importance(model, df, repeats=2).collect()}
+    assert got["number_of_vehicles"]["importance_mean"] == 0 and got["mean_temp"]["rows"] == 200
+    assert 2 * 200 < seen.value < 2 * 200 * 3  # all once a repeat, then those that get another value
