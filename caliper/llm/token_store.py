@@ -151,8 +151,8 @@ class Encoder:
 
 
 # fixed value: the characters that str.isspace() names
-_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_ODD = f"^$|^{_SPACE}|{_SPACE}$|{_SPACE}{_SPACE}"
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = f"^$|^{SPACE}|{SPACE}$|{SPACE}{SPACE}"
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -32,11 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caliper.llm import store
+from caliper.llm.token_store import SPACE
 
 POOL_IDS = 512 * 1024
 POOL_PIECES = 4096
@@ -46,6 +48,7 @@ LONG_RUN = 2000
 _SCHEMA = "sequence_id long, ids binary, pieces array<struct<doc_id: long, start: long, length: long, offset: long, doc_tokens: long>>"
 # fixed value: how byte-level BPE cuts a text into words
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SINGLE = _PATTERN.replace(r"|\s+(?!\S)", "")  # cuts the same way where white space is single characters
 
 
 class Encoder:
@@ -58,12 +61,14 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.quick = _same_ranks(path)
+        self.quick, self.single = _same_ranks(path) or (None, None)
 
-    def encode(self, text: str, long_runs: bool) -> np.ndarray:
+    def encode(self, text: str, long_runs: bool, spaces: bool = True) -> np.ndarray:
+        """``long_runs``: the text may have very long runs without white space; ``spaces``: it
+        may have white space next to white space, which alone needs a look ahead."""
         if self.quick is None or any(s in text for s in self.specials) or (long_runs and _longest_run(text.encode()) >= LONG_RUN):
             return np.array(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids), np.uint32)
-        return self.quick.encode_to_numpy(text, disallowed_special=())
+        return (self.quick if spaces else self.single).encode_to_numpy(text, disallowed_special=())
 
 
 def _longest_run(data: bytes) -> int:
@@ -72,8 +77,9 @@ def _longest_run(data: bytes) -> int:
 
 
 def _same_ranks(path: str):
-    """A tiktoken encoding with a vocabulary file's ranks, or None where the file is more
-    than a byte-level BPE with merges in id order."""
+    """Two tiktoken encodings with a vocabulary file's ranks, for all texts and for those
+    without white space next to white space, or None where the file is more than a
+    byte-level BPE with merges in id order."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -95,7 +101,7 @@ def _same_ranks(path: str):
     merged = [model["vocab"].get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
     if merged != list(range(256, 256 + len(merged))) or sorted(ids.values()) != list(range(256 + len(merged))):
         return None
-    return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ids, special_tokens={})
+    return tuple(tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ids, special_tokens={}) for p in (_PATTERN, _SINGLE))
 
 
 def _byte_letters() -> dict[str, int]:
@@ -265,8 +271,9 @@ def pack(df: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, id_c
             texts = part.column("text").fill_null("")
             buffer = texts.buffers()[2]
             long_runs = buffer is not None and _longest_run(memoryview(buffer)) >= LONG_RUN
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
-                yield from pool.add(doc_id, np.concatenate([own.encode(text.as_py(), long_runs), end]))
+            spaces = pc.match_substring_regex(texts, f"{SPACE}{SPACE}").to_pylist()
+            for doc_id, text, several in zip(part.column("doc_id").to_pylist(), texts, spaces, strict=True):
+                yield from pool.add(doc_id, np.concatenate([own.encode(text.as_py(), long_runs, several), end]))
         if pool.docs:
             yield pool.flush()
 

@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
@@ -305,3 +307,19 @@ def test_queries_on_a_small_folder(spark, tmp_dir):
     for r in Q.op12_window_packing(spark, tmp_dir).collect():
         ids = library.encode(docs[r.doc_id][0] or "", add_special_tokens=False).ids + [0]
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(ids)
+
+
+def test_texts_of_single_white_space_need_no_look_ahead():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = WP.Encoder(path)
+    rng = random.Random(12)
+    pieces = ["a", "don't", "'ll", "7", "x9", "é", "日本", "!?", "_", "…", "٣", "½"]
+    spaces = [" ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000"]
+    texts = ["", " ", "\n", " a", "a ", "\na\n", "a  b", "a \nb", "a\u3000\u2003b", "a\xa0 b", " \x85"]
+    texts += ["".join(rng.choice(pieces) + (rng.choice(spaces) if rng.random() < 0.5 else "") for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    texts += ["".join(rng.choice(pieces + spaces) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    several = pc.match_substring_regex(pa.array(texts), WP.SPACE * 2).to_pylist()
+    assert 0 < sum(several) < len(texts)
+    for text, spaced in zip(texts, several):
+        assert own.encode(text, False, spaced).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert "(?!" in own.quick._pat_str and "(?!" not in own.single._pat_str
