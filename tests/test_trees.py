@@ -452,3 +452,48 @@ def test_permutation_scores_only_rows_that_get_another_value(spark, monkeypatch)
     got = {r["feature"]: r for r in RE.permutation_importance(model, df, repeats=2).collect()}
     assert got["number_of_vehicles"]["importance_mean"] == 0 and got["mean_temp"]["rows"] == 200
     assert 2 * 200 < seen.value < 2 * 200 * 3  # all once a repeat, then those that get another value
+
+
+def _grove(spark, monkeypatch, codes, label, key, how, held=None, **limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(TR, name, value)
+    held = np.zeros(len(label), bool) if held is None else held
+    import pandas as pd
+    table = spark.createDataFrame(pd.DataFrame({"fit": 0, "held": held, "row": key, "label": label, "codes": [bytes(c) for c in codes]}),
+                                  "fit int, held boolean, row long, label int, codes binary").repartition(3)
+    return TR.planted(table, [np.arange(255) + 0.5] * codes.shape[1], 3, how, 0, int((~held).sum()))
+
+
+def test_forests_draw_from_all_rows_however_they_are_grown(spark, monkeypatch):
+    codes, label, key = sample(45_000, 11, levels=30)
+    label = np.where(np.random.default_rng(1).random(45_000) < 0.2, key % 3, label)
+    how = TR.Forest(trees=12)
+    order = np.lexsort((label, key))
+    own = TR.Ensemble(3)
+    for t in range(12):
+        drawn = TR.bootstrap(key[order], t, 1.0, how.seed)
+        assert (drawn > 0).sum() > TR.NODE_ROWS  # some nodes are split by counts
+        own.add([TR.forest_tree(codes[order], label[order], drawn, 3, t, how)], [-1])
+    near = _grove(spark, monkeypatch, codes, label, key, how)
+    far = _grove(spark, monkeypatch, codes, label, key, how, TREE_ROWS=1000, PART_ROWS=TR.NODE_ROWS)
+    assert {part for _, part, *_ in near._read()} == {0} and max(part for _, part, *_ in far._read()) > 1
+    points = [(12, None), (7, None), (12, 3), (3, 9)]
+    for grove in (near, far):
+        for (n, depth), sums in zip(points, grove.sums(codes[:3000], points)):
+            assert np.array_equal(sums, own.scores(codes[:3000], trees=range(n), depth=depth))
+        assert np.allclose(grove.importances(4), own.importances(4), atol=1e-12)
+        values = codes[:50].astype(float)
+        values[::7, 0] = np.nan
+        assert np.allclose(grove.probabilities(values), own.scores(np.where(np.isnan(values), 255, values).astype(np.uint8)) / 12)
+
+
+def test_splits_by_counts_equal_splits_by_sorted_rows(monkeypatch):
+    codes, label, key = sample(3000, 3, levels=200)
+    drawn = TR.bootstrap(key, 5, 1.0, 42)
+    whole = TR.Ensemble(3)
+    whole.add([TR.forest_tree(codes, label, drawn, 3, 5, TR.Forest(min_leaf=5))], [-1])
+    monkeypatch.setattr(TR, "NODE_ROWS", 100)
+    parts = TR.Ensemble(3)
+    parts.add([TR.forest_tree(codes, label, drawn, 3, 5, TR.Forest(min_leaf=5))], [-1])
+    assert len(parts.feature) > 100
+    assert (np.abs(whole.scores(codes) - parts.scores(codes)).max(1) < 1e-9).mean() > 0.95  # splits of equal gain may part
