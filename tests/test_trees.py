@@ -497,3 +497,13 @@ def test_splits_by_counts_equal_splits_by_sorted_rows(monkeypatch):
     parts.add([TR.forest_tree(codes, label, drawn, 3, 5, TR.Forest(min_leaf=5))], [-1])
     assert len(parts.feature) > 100
     assert (np.abs(whole.scores(codes) - parts.scores(codes)).max(1) < 1e-9).mean() > 0.95  # splits of equal gain may part
+
+
+def test_stored_forests_stay_out_of_the_driver(spark, frame, monkeypatch, tmp_dir):
+    train = frame.where("row_id % 5 != 0")
+    model = MO.fit_model("random_forest", train, NUM, CAT, NAMES, {"num_trees": 25})
+    monkeypatch.setattr(TR, "merged", None)  # nothing brings trees together
+    monkeypatch.setattr(TR.Grove, "_read", None)  # and the driver reads none
+    MO.save_model(model, f"{tmp_dir}/m", spark)
+    again = MO.load_model(f"{tmp_dir}/m", spark)
+    assert np.array_equal(again.clf.featureImportances, model.clf.featureImportances) and model.clf.featureImportances.sum() == pytest.approx(1)
