@@ -62,3 +62,12 @@ def test_the_search_has_the_full_grids(asked, monkeypatch):
     catalog.EXACT["grid_search"](None, "")
     shared = ("folds", (catalog.R.NUMERIC_FEATURES, catalog.R.CATEGORICAL_FEATURES), {})
     assert sorted(seen, key=lambda s: MO.MODEL_ORDER.index(s[0])) == [(name, MO.PARAM_GRIDS[name], {"shared": shared}) for name in MO.MODEL_ORDER]
+
+
+def test_forests_of_all_queries_draw_from_all_rows():
+    import itertools
+    grid = MO.PARAM_GRIDS["random_forest"]
+    points = [None, *(dict(zip(grid, values)) for values in itertools.product(*grid.values()))]
+    for point in points:
+        how = MO.tree_settings("random_forest", point)
+        assert all(how.rate(n) == 1.0 for n in (1, 20_001, 432_244, 10**9))

@@ -507,3 +507,15 @@ def test_stored_forests_stay_out_of_the_driver(spark, frame, monkeypatch, tmp_di
     MO.save_model(model, f"{tmp_dir}/m", spark)
     again = MO.load_model(f"{tmp_dir}/m", spark)
     assert np.array_equal(again.clf.featureImportances, model.clf.featureImportances) and model.clf.featureImportances.sum() == pytest.approx(1)
+
+
+def test_a_forest_saved_over_another_is_the_one_that_scores(spark, monkeypatch, tmp_dir):
+    codes, label, key = sample(300, 12)
+    values, seen = codes.astype(float), []
+    for y in (label, (label + 1) % 3):
+        grove = _grove(spark, monkeypatch, codes, y, key, TR.Forest(trees=3))
+        grove.save(f"{tmp_dir}/m", spark)
+        again = TR.Grove(f"{tmp_dir}/m", 3, 3, grove.edges)
+        assert np.array_equal(again.probabilities(values), grove.probabilities(values))
+        seen.append(again.probabilities(values))
+    assert not np.array_equal(*seen)
